@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import jaccard_join, mixing, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op10_mix_sources": mixing.query,
 }
 
