@@ -139,21 +139,30 @@ def words(buf: np.ndarray, at: np.ndarray, white: np.ndarray = WHITE) -> tuple[n
 
 
 def shingles(poly: Poly, buf: np.ndarray, at: np.ndarray, size: int = 5) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its windows of `size` words; a shorter text with a word gives one, of all its words."""
+    """For each text the sorted distinct 64-bit keys of its windows of `size` words; a shorter text with a word gives one, of all its words.
+
+    A key is 255 less the bytes in its words (0 at least), in the top byte, over 56 bits of hash: ascending keys are
+    descending lengths, so roughly ascending frequencies.
+    """
     with np.errstate(over="ignore"):
         starts, ends, of = words(buf, at)
-        word = poly.pieces(poly.sums(buf), starts, ends)
+        word, long = poly.pieces(poly.sums(buf), starts, ends), ends - starts
         n = len(word) - size + 1
-        windows = np.zeros(max(n, 0), np.uint64)
+        windows, bytes_ = np.zeros(max(n, 0), np.uint64), np.zeros(max(n, 0), np.int64)
         for k in range(size if n > 0 else 0):
             windows += word[k : k + n] * _KEYS[k]
-        windows = mix(windows)
+            bytes_ += long[k : k + n]
+        windows = _keyed(windows, bytes_)
         for i in range(len(at) - 1):
             a, b = of[i], of[i + 1]
             if b - a >= size:
                 yield np.unique(windows[a : b - size + 1])
             elif b > a:
-                tag = _KEYS[40] * np.uint64(b - a)
-                yield mix(np.array([np.sum(word[a:b] * _KEYS[: b - a], dtype=np.uint64) + tag], np.uint64))
+                whole = np.array([np.sum(word[a:b] * _KEYS[: b - a], dtype=np.uint64) + _KEYS[40] * np.uint64(b - a)], np.uint64)
+                yield _keyed(whole, np.array([long[a:b].sum()]))
             else:
                 yield np.zeros(0, np.uint64)
+
+
+def _keyed(hashes: np.ndarray, bytes_: np.ndarray) -> np.ndarray:
+    return mix(hashes) >> np.uint64(8) | (255 - np.minimum(bytes_, 255)).astype(np.uint64) << np.uint64(56)

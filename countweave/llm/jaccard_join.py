@@ -1,7 +1,8 @@
 """N-gram Jaccard join by prefix trees.
 
 1. Each text becomes the set of its word n-grams (64-bit hashes); texts of equal sets are one node.
-2. Sets are read in a global order that puts n-grams frequent in the corpus last. Two sets of Jaccard similarity t have
+2. Sets are read in a global order: n-grams frequent in the corpus last, and among the others those of longer words,
+   which are the rarer ones, first. Two sets of Jaccard similarity t have
    an n-gram in common among the first s - ceil(t * s) + 1 of each, so nodes joined by such an n-gram (never all pairs:
    each is hung under one of its n-gram's nodes) form candidate clusters outside of which no link can be.
 3. Each cluster's sets are stored in a path-compressed trie. A set is looked up by walking the trie level by level, with
@@ -288,7 +289,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     A-Z count as a-z; words are runs outside space and \x09-\x0D; a text of fewer than `size` words has one n-gram,
     a text without words (or null) none and no link, so it is its own component. Rows of one key are one document of
     several texts for reachability. A null key has a null component and links nothing. An empty table gives no rows.
-    Keys are integers. N-grams are compared by 64-bit hashes.
+    Keys are integers. N-grams are compared by 56 bits of hash and their length.
     """
     spark = df.sparkSession
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))

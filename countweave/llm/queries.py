@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, quality_rules, suffix_dedup
+from . import jaccard_join, mixing, packing, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_best_fit_packing": packing.query,
     "op8_jaccard_join": jaccard_join.query,
     "op10_mix_sources": mixing.query,
 }
