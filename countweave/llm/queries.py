@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, packing, quality_rules, suffix_dedup
+from . import jaccard_join, mixing, packing, quality_rules, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
+    "op2_url_filter": url_filter.query,
     "op3_quality_rules": quality_rules.query,
     "op4_best_fit_packing": packing.query,
+    "op5_warc": warc.query,
     "op8_jaccard_join": jaccard_join.query,
     "op10_mix_sources": mixing.query,
 }
 
 ORACLE_SQL = {
+    "op2_url_filter": url_filter.SQL,
     "op3_quality_rules": quality_rules.SQL,
+    "op5_warc": warc.SQL,
     "op10_mix_sources": mixing.SQL,
 }
