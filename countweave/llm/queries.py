@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, packing, quality_rules, suffix_dedup, url_filter, warc
+from . import jaccard_join, license_scan, mixing, packing, quality_rules, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_best_fit_packing": packing.query,
     "op5_warc": warc.query,
+    "op7_license_scan": license_scan.query,
     "op8_jaccard_join": jaccard_join.query,
     "op10_mix_sources": mixing.query,
 }
@@ -18,5 +19,6 @@ ORACLE_SQL = {
     "op2_url_filter": url_filter.SQL,
     "op3_quality_rules": quality_rules.SQL,
     "op5_warc": warc.SQL,
+    "op7_license_scan": license_scan.SQL,
     "op10_mix_sources": mixing.SQL,
 }
