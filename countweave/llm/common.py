@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text hashed in one numpy step.
 STEP = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -40,9 +40,12 @@ def cut(df: DataFrame, what: str = "table") -> DataFrame:
     """Write df as a table in the shared folder and read it back: a lost executor then costs no more than one step."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, what)
-    df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of the finished step
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the table stands for the shuffle files of this step
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 

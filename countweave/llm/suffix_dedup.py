@@ -17,7 +17,6 @@ documents are first cut where content says so:
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -42,10 +41,6 @@ def _node(text: str) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
-def _digest(data) -> bytes:
-    return hashlib.sha256(data).digest()[:16]
-
-
 def _slide(x: np.ndarray, w: int, f: np.ufunc, fill: int) -> np.ndarray:
     """f over each w values in a row: two running passes over blocks of w."""
     n = len(x)
@@ -67,49 +62,44 @@ def anchors(hashes: np.ndarray, w: int) -> np.ndarray:
 
 
 def _find(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """A row (id, node, n, ...) for each text and (anchor, segment, node, at, ...) for each anchor of a text not yet seen in this task."""
+    """A row (id, node) for each text and (id, null, anchor, segment, at) for each anchor of a text not yet seen in this task."""
     poly, seen, w = Poly(5), set(), length - k + 1
     for batch in batches:
-        ids = batch.column(0)
-        buf, at = utf8(batch.column(1))
-        nodes = []
+        ids, known = batch.column(0), batch.column(1).to_pylist()
+        buf, at = utf8(batch.column(2))
         for i, j, part, off in steps(buf, at):
             with np.errstate(over="ignore"):
-                sums = None
-                out: list[tuple] = []
+                sums, out = None, []
                 for d in range(j - i):
                     a, b = int(off[d]), int(off[d + 1])
-                    node = _digest(part[a:b])
-                    nodes.append(node)
-                    if b - a < length or node in seen:
+                    if b - a < length or known[i + d] in seen:
                         continue
                     if len(seen) < SEEN:
-                        seen.add(node)
+                        seen.add(known[i + d])
                     sums = poly.sums(part) if sums is None else sums
                     begin = np.arange(a, b - k + 1)
                     hashes = poly.pieces(sums, begin, begin + k)
                     places = anchors(hashes, w)
                     x, y = np.maximum(begin[places] - (length - k), a), np.minimum(begin[places] + length, b)
                     segment = mix(poly.pieces(sums, x, y) ^ (begin[places] - x).astype(np.uint64))
-                    out.append((hashes[places].view(np.int64), segment.view(np.int64), node, places))
+                    out.append((hashes[places].view(np.int64), segment.view(np.int64), i + d, places))
             if out:
-                anchor, segment = (np.concatenate([o[c] for o in out]) for c in (0, 1))
-                node = pa.array([o[2] for o in out], pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), [len(o[3]) for o in out])))
-                place = np.concatenate([o[3] for o in out])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(anchor), ids.type), node, pa.array(place), pa.array(anchor), pa.array(segment)], ["id", "node", "n", "anchor", "segment"])
+                anchor, segment, place = (np.concatenate([o[c] for o in out]) for c in (0, 1, 3))
+                row = ids.take(pa.array(np.repeat([o[2] for o in out], [len(o[3]) for o in out])))
+                yield pa.RecordBatch.from_arrays([row, pa.nulls(len(row), pa.binary()), pa.array(anchor), pa.array(segment), pa.array(place)], FOUND)
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.binary()), pa.array(np.diff(at)), none, none], ["id", "node", "n", "anchor", "segment"])
+        yield pa.RecordBatch.from_arrays([ids, batch.column(1), none, none, none], FOUND)
+
+
+FOUND = ["id", "node", "anchor", "segment", "at"]
 
 
 def _segments(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, twice, left, bytes) for rows (text, node, wanted) with wanted: an array of (at, anchor, segment, twice)."""
+    """(anchor, segment, twice, left, bytes) for rows (text, wanted) with wanted: an array of (at, anchor, segment, twice)."""
     for batch in batches:
         buf, at = utf8(batch.column(0))
-        nodes = batch.column(1).to_pylist()
-        for d, wanted in enumerate(batch.column(2).to_pylist()):
+        for d, wanted in enumerate(batch.column(1).to_pylist()):
             text = buf[at[d] : at[d + 1]].tobytes()
-            if _digest(text) != nodes[d]:
-                continue
             rows = []
             for x in wanted:
                 begin = max(0, x["at"] - (length - k))
@@ -244,11 +234,14 @@ def _strip(batches: Iterator[pa.RecordBatch], text: str, length: int) -> Iterato
             kept.append(data.tobytes())
             spans.append(pieces)
         columns = [c for name, c in zip(names, batch.columns, strict=True) if not name.startswith("__")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*(x for x in names if not x.startswith("__")), "kept", "n_bytes", "spans"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*(x for x in names if not x.startswith("__")), *STRIPPED])
+
+
+STRIPPED = ["kept", "kept_text", "n_bytes", "spans"]
 
 
 def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
-    """df with kept (the remaining bytes), n_bytes (of the whole text) and spans (array of [begin, end), removed, maximal).
+    """df with kept (the remaining bytes), kept_text (the same without what is left of characters that were cut), n_bytes (of the whole text) and spans (array of [begin, end), removed, maximal).
 
     Texts are UTF-8 bytes, null is empty. Every byte of a `length`-byte string that also starts elsewhere, in this or
     another row, goes; both places lose it. Texts under `length` bytes stay whole. Equal texts of `length` bytes or
@@ -256,22 +249,24 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     gives no rows; input columns named like an output are replaced. Anchors and segments are compared by 64-bit hashes
     over the whole corpus, texts by 128-bit ones.
     """
-    df = without(df, ["kept", "n_bytes", "spans"])
-    # The id tells rows apart as far as their keys do; rows that share it hold the same text.
-    texts = df.select(F.xxhash64(F.col(key), _node(text)).alias("id"), F.col(text).alias("text"))
-    facts = cut(texts.mapInArrow(lambda it: _find(it, length, k), "id long, node binary, n long, anchor long, segment long"), "anchors")
-    nodes = cut(facts.where("anchor IS NULL").groupBy("node").agg(F.min("id").alias("first"), (F.count("*") > 1).alias("twice")), "nodes")
-    found = facts.where("anchor IS NOT NULL").select("anchor", "segment", "node", F.col("n").alias("at"))
+    df = without(df, STRIPPED)
+    # Rows of one id hold the same key and text, so one of them stands for all.
+    node = _node(text)
+    texts = df.select(F.xxhash64(F.col(key), node).alias("id"), node.alias("node"), F.col(text).alias("text"))
+    facts = cut(texts.mapInArrow(lambda it: _find(it, length, k), "id long, node binary, anchor long, segment long, at long"), "anchors")
+    rows = facts.where("anchor IS NULL").select("id", "node")
+    copied = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    copies = rows.join(copied, "node", "left_semi").select("id").distinct().withColumn("twice", F.lit(True))
+    found = facts.where("anchor IS NOT NULL").select("id", "anchor", "segment", "at")
     # Equal segments first, then equal anchors: hot ones shrink before they are dealt.
-    place = F.xxhash64("node", "at")
-    segments = found.groupBy("anchor", "segment").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.first("node").alias("node"), F.first("at").alias("at"))
-    segments = cut(segments.withColumn("twice", F.col("x") != F.col("y")).drop("x", "y"), "segments")
-    several = segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    compare = segments.join(several, "anchor", "left_semi")
-    alone = segments.where("twice").join(several, "anchor", "left_anti").select("anchor", "segment", F.lit(None).cast("array<array<long>>").alias("runs"))
-    asked = compare.groupBy("node").agg(F.collect_list(F.struct("at", "anchor", "segment", "twice")).alias("wanted"))  # of one text each
-    asked = asked.join(nodes, "node").select(F.col("first").alias("id"), "node", "wanted")
-    cut_out = texts.join(asked, "id").select("text", "node", "wanted").mapInArrow(lambda it: _segments(it, length, k), "anchor long, segment long, twice boolean, left long, bytes binary")
+    place = F.xxhash64("id", "at")
+    segments = found.groupBy("anchor", "segment").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.first("id").alias("id"), F.first("at").alias("at"))
+    segments = segments.withColumn("twice", F.col("x") != F.col("y")).drop("x", "y")
+    number = segments.groupBy("anchor").agg(F.count("*").alias("n"))
+    segments = cut(segments.join(number, "anchor").where("n > 1 OR twice"), "segments")
+    alone = segments.where("n = 1").select("anchor", "segment", F.lit(None).cast("array<array<long>>").alias("runs"))
+    asked = segments.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "segment", "twice")).alias("wanted"))  # of one text each
+    cut_out = texts.select("id", "text").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _segments(it, length, k), "anchor long, segment long, twice boolean, left long, bytes binary")
     covered = cut(
         cut_out.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(lambda it: _collect(it, length, k), "anchor long, segment long, runs array<array<long>>").unionByName(alone),
         "covered",
@@ -279,11 +274,11 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     begin = F.greatest(F.col("at") - (length - k), F.lit(0).cast("long"))
     whole = F.array(F.array(begin, F.col("at") + length))  # cut to the text's end below
     moved = F.transform("runs", lambda r: F.transform(r, lambda x: x + begin))
-    runs = found.join(covered, ["anchor", "segment"]).select("node", F.coalesce(moved, whole).alias("runs"))
-    runs = runs.groupBy("node").agg(F.flatten(F.collect_set("runs")).alias("__runs"))  # of one text each
-    marks = nodes.join(runs, "node", "left").where("twice OR __runs IS NOT NULL")
-    tagged = df.withColumn("__node", _node(text)).join(marks.select(F.col("node").alias("__m"), F.col("twice").alias("__twice"), "__runs"), F.col("__node") == F.col("__m"), "left").drop("__m", "__node")
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "kept binary, n_bytes long, spans array<array<long>>"])
+    runs = found.join(covered, ["anchor", "segment"]).select("id", F.coalesce(moved, whole).alias("runs"))
+    runs = runs.groupBy("id").agg(F.flatten(F.collect_set("runs")).alias("__runs"))  # of one text each
+    marks = cut(runs.join(copies, "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs"), "marks")
+    tagged = df.withColumn("__id", F.xxhash64(F.col(key), node)).join(marks, F.col("__id") == F.col("__m"), "left").drop("__m", "__id")
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "kept binary, kept_text string, n_bytes long, spans array<array<long>>"])
     return tagged.mapInArrow(lambda it: _strip(it, text, length), kinds)
 
 
