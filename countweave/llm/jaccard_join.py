@@ -1,10 +1,11 @@
 """N-gram Jaccard join by prefix trees.
 
-1. Each text becomes the set of its word n-grams (64-bit hashes); texts of equal sets are one node.
-2. Sets are read in a global order: n-grams frequent in the corpus last, and among the others those of longer words,
-   which are the rarer ones, first. Two sets of Jaccard similarity t have
-   an n-gram in common among the first s - ceil(t * s) + 1 of each, so nodes joined by such an n-gram (never all pairs:
-   each is hung under one of its n-gram's nodes) form candidate clusters outside of which no link can be.
+1. Each text becomes the set of its word n-grams (64-bit keys); texts of equal sets are one node.
+2. Sets are read in one global order: a sample of half the n-grams, by hash, those in fewer sets first; then the other
+   n-grams; last those that are frequent by a table of fixed size. Two sets of Jaccard similarity t have an n-gram in
+   common among the first s - ceil(t * s) + 1 of each. Only the sample has to be counted over the corpus, and a set
+   with so many n-grams of its own there is done with. The others are hung under one node of each such n-gram (never
+   all pairs), which makes candidate clusters outside of which no link can be.
 3. Each cluster's sets are stored in a path-compressed trie. A set is looked up by walking the trie level by level, with
    the overlap of a path shared by all sets below it and subtrees dropped whose remaining length cannot reach the
    overlap needed. Lookups stop when at most one component still has sets that were not looked up: all links that
@@ -19,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Poly, cut, shingles, steps, utf8
@@ -32,6 +34,8 @@ THRESHOLD = (80, 100)
 CELLS = 1 << 20
 #: Times an n-gram has to be seen among about this many to count as frequent there.
 OFTEN, AMONG = 4, 2 << 20
+#: Eighths of the n-grams that are counted, and how many of those a part of the counting holds.
+SAMPLED, PART = 4, 2 << 20
 #: n-grams that one task holds of a cluster.
 BLOCK = 4 << 20
 
@@ -90,31 +94,43 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     yield from flush(True)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(gram, a, b): a node of an n-gram in its prefix (b null), or two nodes joined by one (a > b).
+def _postings(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int], ranks: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, grams, refs, nodes, spares, a, b): n-grams of many nodes in one row for each part, or edges a > b.
 
-    Nodes that share an n-gram here are joined here, so that an n-gram leaves a task once in a while only.
+    grams[i] is of nodes[refs[i]]; spares: how many more sampled n-grams than its prefix a node has. Where those are
+    too few, the rest of the prefix comes along, of which frequent n-grams join their nodes here already.
     """
-    grams_of, nodes_of, held, seen = [], [], 0, set()
+    grams_of, refs, nodes, spares, often, held, seen = [], [], [], [], [], 0, set()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal grams_of, nodes_of, held
-        if not nodes_of:
+        nonlocal grams_of, refs, nodes, spares, often, held
+        if not nodes:
             return
-        grams = np.concatenate(grams_of)
-        nodes = np.repeat(np.array(nodes_of, np.int64), [len(x) for x in grams_of])
-        order = np.argsort(grams, kind="stable")
-        grams, nodes = grams[order], nodes[order]
-        new = np.r_[True, grams[1:] != grams[:-1]]
-        head = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([np.maximum(nodes, head)[~new], np.minimum(nodes, head)[~new]], 1), axis=0) if not new.all() else np.zeros((0, 2), np.int64)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        g = np.r_[grams[new].view(np.int64), pairs[:, 0]]
-        a = np.r_[nodes[new], pairs[:, 0]]
-        b = pa.concat_arrays([pa.nulls(int(new.sum()), pa.int64()), pa.array(pairs[:, 1])])
-        for i in range(0, len(g), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(g[i : i + 100_000]), pa.array(a[i : i + 100_000]), b[i : i + 100_000]], ["gram", "a", "b"])
-        grams_of, nodes_of, held = [], [], 0
+        own, spare = np.array(nodes, np.int64), np.array(spares, np.int32)
+        grams, ref = np.concatenate(grams_of), np.repeat(np.array(refs, np.uint32), [len(x) for x in grams_of])
+        a = b = np.zeros(0, np.int64)
+        if often:
+            g = np.concatenate([x for x, _ in often])
+            r = np.repeat(np.array([x for _, x in often], np.uint32), [len(x) for x, _ in often])
+            order = np.argsort(g, kind="stable")
+            g, r = g[order], r[order]
+            new = np.r_[True, g[1:] != g[:-1]]
+            head = r[np.flatnonzero(new)][np.cumsum(new) - 1]
+            grams, ref = np.r_[grams, g[new]], np.r_[ref, r[new]]
+            pairs = np.unique(np.stack([r[~new], head[~new]], 1), axis=0)
+            a, b = np.maximum(own[pairs[:, 0]], own[pairs[:, 1]]), np.minimum(own[pairs[:, 0]], own[pairs[:, 1]])
+        part = (grams >> np.uint64(32)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        for k in range(parts):
+            at = order[cuts[k] : cuts[k + 1]]
+            if len(at):
+                used, where = np.unique(ref[at], return_inverse=True)
+                yield _blobs([k], [grams[at].tobytes()], [where.astype(np.uint32).tobytes()], [own[used].tobytes()], [spare[used].tobytes()], [None], [None])
+        if len(a):
+            none = [None] * len(a)
+            yield _blobs([int(x) % parts for x in a], none, none, none, none, a, b)
+        grams_of, refs, nodes, spares, often, held = [], [], [], [], [], 0
         seen.clear()
 
     for _, grams in _sets(batches, size):
@@ -122,35 +138,93 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int],
             continue
         seen.add(node)
         rank = ranks[(grams % np.uint64(len(ranks))).astype(np.int64)]
-        ordered = grams[np.argsort(rank, kind="stable")] if rank.any() else grams
-        prefix = ordered[: _prefix(len(grams), t)]
-        grams_of.append(prefix)
-        nodes_of.append(node)
-        held += len(prefix)
+        sampled = (grams >> np.uint64(24) & np.uint64(7)) < SAMPLED
+        light = rank == 0
+        counted = grams[sampled & light]
+        spare = len(counted) - _prefix(len(grams), t)
+        if spare < 0:
+            others = grams[~sampled & light][:-spare]
+            lacking = -spare - len(others)
+            counted = np.r_[counted, others]
+            if lacking:
+                heavy = np.flatnonzero(~light)
+                often.append((grams[heavy[np.argsort(rank[heavy], kind="stable")]][:lacking], len(nodes)))
+        grams_of.append(counted)
+        refs.append(len(nodes))
+        nodes.append(node)
+        spares.append(spare)
+        held += len(counted)
         if held > AMONG // 2:
             yield from flush()
     yield from flush()
 
 
+BLOB = ["part", "grams", "refs", "nodes", "spares", "a", "b"]
+
+
+def _blobs(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], BLOB)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, gram, times, spare) of n-grams in two nodes or more, for rows sorted by part; edges as (a, b, null, null)."""
+    part, held = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        grams = np.concatenate([np.frombuffer(x[0], np.uint64) for x in held])
+        refs = [np.frombuffer(x[1], np.uint32) for x in held]
+        nodes = np.concatenate([np.frombuffer(x[2], np.int64)[r] for x, r in zip(held, refs, strict=True)])
+        spare = np.concatenate([np.frombuffer(x[3], np.int32)[r] for x, r in zip(held, refs, strict=True)])
+        held.clear()
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        several = np.zeros(len(grams), bool)
+        several[1:] = grams[1:] == grams[:-1]
+        several[:-1] |= several[1:]
+        order, grams = order[several], grams[several]
+        nodes, spare = nodes[order], spare[order]
+        order = np.lexsort((nodes, grams))
+        grams, nodes, spare = grams[order], nodes[order], spare[order]
+        if not len(grams):
+            return
+        once = np.r_[True, (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])]
+        grams, nodes, spare = grams[once], nodes[once], spare[once]
+        first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        times = np.diff(np.r_[first, len(grams)])
+        times = np.repeat(times, times)
+        keep = times > 1
+        grams, nodes, spare, times = grams[keep].view(np.int64), nodes[keep], spare[keep], times[keep]
+        for i in range(0, len(grams), 100_000):
+            s = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[s]), pa.array(grams[s]), pa.array(times[s], pa.int64()), pa.array(spare[s], pa.int64())], ["node", "gram", "times", "spare"])
+
+    for batch in batches:
+        edges = batch.filter(pc.is_valid(batch.column(5)))
+        none = pa.nulls(edges.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([edges.column(5), edges.column(6), none, none], ["node", "gram", "times", "spare"])
+        for row in batch.filter(pc.is_null(batch.column(5))).to_pylist():
+            if row["part"] != part:
+                yield from close()
+                part = row["part"]
+            held.append((row["grams"], row["refs"], row["nodes"], row["spares"]))
+    yield from close()
+
+
 def _hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by n-gram, edges (a, b) from each node to the first one of its n-gram; edges pass."""
-    last_gram, last_node = None, None
+    """Of rows (gram, node) sorted by n-gram, edges (a, b) from each node to the first one of its n-gram."""
+    last_gram, last_node = None, 0
     for batch in batches:
-        if not batch.num_rows:
+        g, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(g):
             continue
-        edge = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-        a0 = batch.column(1).to_numpy()
-        out_a, out_b = a0[edge], batch.column(2).drop_null().to_numpy()
-        g, a = batch.column(0).to_numpy()[~edge], a0[~edge]
-        if len(g):
-            new = np.r_[g[0] != last_gram, g[1:] != g[:-1]]
-            place = np.where(new, np.arange(len(g)), -1)
-            place = np.maximum.accumulate(place)
-            head = np.where(place >= 0, a[np.maximum(place, 0)], 0 if last_node is None else last_node)
-            last_gram, last_node = g[-1], head[-1]
-            apart = head != a
-            out_a, out_b = np.r_[out_a, a[apart]], np.r_[out_b, head[apart]]
-        pairs = np.unique(np.stack([np.maximum(out_a, out_b), np.minimum(out_a, out_b)], 1), axis=0)
+        new = np.r_[g[0] != last_gram, g[1:] != g[:-1]]
+        place = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
+        head = np.where(place >= 0, node[np.maximum(place, 0)], last_node)
+        last_gram, last_node = g[-1], head[-1]
+        pairs = np.unique(np.stack([np.maximum(node, head), np.minimum(node, head)], 1)[head != node], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
@@ -300,25 +374,33 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     if len(frequent):
         ranks[frequent["cell"]] = np.log2(frequent["times"]).astype(np.uint8)
     shared = spark.sparkContext.broadcast(ranks)
-    edges = cut(
+    parts = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) * SAMPLED // 8 // PART))
+    counted = cut(
         texts.where("id IS NOT NULL")
-        .mapInArrow(lambda it: _postings(it, size, t, shared.value), "gram long, a long, b long")
-        .repartition("gram")
-        .sortWithinPartitions("gram")
-        .mapInArrow(_hang, "a long, b long")
-        .distinct(),
-        "candidates",
+        .mapInArrow(lambda it: _postings(it, size, t, shared.value, parts), "part long, grams binary, refs binary, nodes binary, spares binary, a long, b long")
+        .repartition("part")
+        .sortWithinPartitions("part")
+        .mapInArrow(_count, "node long, gram long, times long, spare long"),
+        "counted",
     )
+    own = Window.partitionBy("node")  # of one text each
+    prefix = counted.where("times IS NOT NULL").withColumn("place", F.row_number().over(own.orderBy("times", "gram"))).withColumn("n", F.count("*").over(own)).where("place <= n - spare")
+    hung = prefix.select("gram", "node").repartition("gram").sortWithinPartitions("gram").mapInArrow(_hang, "a long, b long")
+    edges = hung.unionByName(counted.where("times IS NULL").select(F.col("node").alias("a"), F.col("gram").alias("b")))
     clusters = components(edges).select("node", F.col("component").alias("cluster"))
     first = sets.where("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    members = cut(clusters.join(first, "node"), "members")
+    members = clusters.join(first, "node")
+    members = cut(members.join(members.groupBy("cluster").agg(F.count("*").alias("of")).where("of > 1").drop("of"), "cluster"), "members")
     deal = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
     dealt = members.join(deal, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = dealt.select("cluster", "node", "id", "blocks", "mine", other.alias("other")).select("cluster", "node", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     fetched = tasks.withColumnRenamed("id", "of").join(texts, F.col("of") == F.col("id")).select("cluster", "i", "j", "node", "text")
     links = cut(fetched.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _join(it, size, t), "a long, b long"), "links")
-    label = components(links).select("node", F.col("component").alias("label"))
+    if deal.where("blocks > 1").isEmpty():  # each cluster was joined as a whole
+        label = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    else:
+        label = components(links).select("node", F.col("component").alias("label"))
     own = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = _smallest(own)
     return ids.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component_id"))
