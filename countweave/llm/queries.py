@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_scan, mixing, packing, quality_rules, suffix_dedup, url_filter, warc
+from . import jaccard_join, license_scan, mixing, packing, quality_crf, quality_rules, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.query,
     "op7_license_scan": license_scan.query,
     "op8_jaccard_join": jaccard_join.query,
+    "op9_quality_crf": quality_crf.query,
     "op10_mix_sources": mixing.query,
 }
 
