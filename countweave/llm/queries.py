@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, license_scan, mixing, packing, quality_crf, quality_rules, suffix_dedup, url_filter, warc
+from . import embedding_dedup, jaccard_join, license_scan, mixing, packing, quality_crf, quality_rules, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_best_fit_packing": packing.query,
     "op5_warc": warc.query,
+    "op6_embedding_dedup": embedding_dedup.query,
     "op7_license_scan": license_scan.query,
     "op8_jaccard_join": jaccard_join.query,
     "op9_quality_crf": quality_crf.query,
