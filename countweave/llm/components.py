@@ -86,3 +86,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL)
             break
         before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def smallest(own: DataFrame) -> DataFrame:
+    """Rows (id, label, ...) with component_id, the smallest id under the label; an id under several labels joins them, one without a label is its own."""
+    whole = own.where("id IS NOT NULL AND label IS NOT NULL")
+    again = whole.groupBy("id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
+    if again.isEmpty():
+        least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
+        out = own.join(least, "label", "left")
+    else:
+        more = whole.join(again.select("id", "a"), "id").select("a", F.col("label").alias("b"))
+        to = components(more).select(F.col("node").alias("label"), "component")
+        whole = whole.join(to, "label", "left").withColumn("to", F.coalesce("component", "label"))
+        least = whole.join(whole.groupBy("to").agg(F.min("id").alias("c")), "to").groupBy("id").agg(F.min("c").alias("component_id"))
+        out = own.join(least, "id", "left")
+    return out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))

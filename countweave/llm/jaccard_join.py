@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Poly, cut, shingles, steps, utf8
-from .components import components
+from .common import LOWER, Poly, cut, shingles, sieve, steps, utf8
+from .components import components, smallest
 
 SIZE = 5
 #: Similarity as a fraction, for exact arithmetic on integers.
@@ -395,32 +395,17 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     dealt = members.join(deal, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = dealt.select("cluster", "node", "id", "blocks", "mine", other.alias("other")).select("cluster", "node", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    fetched = tasks.withColumnRenamed("id", "of").join(texts, F.col("of") == F.col("id")).select("cluster", "i", "j", "node", "text")
+    wanted = sieve(texts, "id", members, "id").where("__maybe")
+    fetched = tasks.withColumnRenamed("id", "of").join(wanted, F.col("of") == F.col("id")).select("cluster", "i", "j", "node", "text")
     links = cut(fetched.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _join(it, size, t), "a long, b long"), "links")
     if deal.where("blocks > 1").isEmpty():  # each cluster was joined as a whole
         label = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     else:
         label = components(links).select("node", F.col("component").alias("label"))
     own = sets.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = _smallest(own)
+    ids = smallest(own)
     return ids.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component_id"))
 
 
-def _smallest(own: DataFrame) -> DataFrame:
-    """own with component_id; ids under several labels (repeated keys) join those labels."""
-    whole = own.where("id IS NOT NULL AND label IS NOT NULL")
-    again = whole.groupBy("id").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
-    if again.isEmpty():
-        least = whole.groupBy("label").agg(F.min("id").alias("component_id"))
-        out = own.join(least, "label", "left")
-    else:
-        more = whole.join(again.select("id", "a"), "id").select("a", F.col("label").alias("b"))
-        to = components(more).select(F.col("node").alias("label"), "component")
-        whole = whole.join(to, "label", "left").withColumn("to", F.coalesce("component", "label"))
-        least = whole.join(whole.groupBy("to").agg(F.min("id").alias("c")), "to").groupBy("id").agg(F.min("c").alias("component_id"))
-        out = own.join(least, "id", "left")
-    return out.withColumn("component_id", F.coalesce("component_id", "id"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
