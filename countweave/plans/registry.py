@@ -2,6 +2,424 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import align, factorize, graph, matrix, metrics, ontology, ranks
+from ..sources import readers
+from .fixtures import EVENTS_SQL, LINEITEM_SQL, document_counts, event_counts, lineitem_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "normalize"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+_NORM = f"""WITH {LINEITEM_SQL}, norm AS (
+  SELECT dataset, cell, gene, value / sum(value) OVER (PARTITION BY dataset, cell) AS value FROM counts
+), sizes AS (SELECT dataset, count(DISTINCT cell) AS n_cells FROM counts GROUP BY 1)"""
+
+
+@query("cell_metrics", f"WITH {LINEITEM_SQL} SELECT dataset, cell, sum(value)::BIGINT AS n_umi, count(*) AS n_gene FROM counts GROUP BY ALL")
+def _(spark, sf):
+    return matrix.cell_metrics(matrix.counts(lineitem_counts(spark, sf)))
+
+
+@query("gene_metrics", f"WITH {LINEITEM_SQL} SELECT dataset, gene, sum(value)::BIGINT AS gene_sum, sum(value * value)::BIGINT AS gene_sum_sq, count(*) AS n_cell FROM counts GROUP BY ALL")
+def _(spark, sf):
+    return matrix.gene_metrics(matrix.counts(lineitem_counts(spark, sf)))
+
+
+@query("document_gene_metrics", r"""WITH w AS (
+  SELECT lang AS dataset, doc_id::VARCHAR AS cell, substr(w, 1, 3) AS gene FROM (SELECT lang, doc_id, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+')) AS w FROM documents) WHERE w <> ''
+), counts AS (SELECT dataset, cell, gene, count(*) AS value FROM w GROUP BY ALL)
+SELECT dataset, gene, sum(value)::BIGINT AS gene_sum, sum(value * value)::BIGINT AS gene_sum_sq, count(*) AS n_cell FROM counts GROUP BY ALL""")
+def _(spark, sf):
+    return matrix.gene_metrics(matrix.counts(document_counts(spark, sf)))
+
+
+@query("event_cell_metrics", f"WITH {EVENTS_SQL} SELECT dataset, cell, sum(value)::BIGINT AS n_umi, count(*) AS n_gene FROM counts GROUP BY ALL")
+def _(spark, sf):
+    return matrix.cell_metrics(event_counts(spark, sf))
+
+
+@query("filter_cells_genes", f"""WITH {LINEITEM_SQL}, c AS (SELECT dataset, cell FROM counts GROUP BY ALL HAVING count(*) BETWEEN 100 AND 1000),
+g AS (SELECT dataset, gene FROM counts GROUP BY ALL HAVING count(*) >= 12 AND sum(value) BETWEEN 200 AND 100000)
+SELECT * FROM counts SEMI JOIN c USING (dataset, cell) SEMI JOIN g USING (dataset, gene)""")
+def _(spark, sf):
+    return matrix.filtered(lineitem_counts(spark, sf), min_genes=100, max_genes=1000, min_cells=12, min_counts=200, max_counts=100000)
+
+
+@query("mito_share", f"WITH {LINEITEM_SQL} SELECT dataset, avg(starts_with(gene, 'Brand#1')::INT) AS mt_pct FROM (SELECT DISTINCT dataset, gene FROM counts) GROUP BY 1")
+def _(spark, sf):
+    return matrix.mito_share(lineitem_counts(spark, sf), "Brand#1")
+
+
+@query("mito_counts", f"WITH {LINEITEM_SQL} SELECT dataset, cell, sum(CASE WHEN starts_with(gene, 'Brand#1') THEN value ELSE 0 END) / sum(value) AS mito FROM counts GROUP BY ALL")
+def _(spark, sf):
+    return matrix.mito_counts(lineitem_counts(spark, sf), "Brand#1")
+
+
+@query("normalize", f"{_NORM} SELECT * FROM norm")
+def _(spark, sf):
+    return matrix.normalized(matrix.counts(lineitem_counts(spark, sf)))
+
+
+_MOMENTS = f"""{_NORM}, m AS (
+  SELECT dataset, gene, sum(value) AS norm_sum, sum(value * value) AS norm_sum_sq, sum(value) / any_value(n_cells) AS norm_mean,
+         greatest(sum(value * value) - sum(value) * sum(value) / any_value(n_cells), 0) / (any_value(n_cells) - 1) AS norm_var
+  FROM norm JOIN sizes USING (dataset) GROUP BY ALL
+)"""
+
+
+@query("gene_moments", f"{_MOMENTS} SELECT * FROM m")
+def _(spark, sf):
+    return matrix.gene_moments(matrix.normalized(lineitem_counts(spark, sf)))
+
+
+# The normal quantile's upper tail by Acklam's rational approximation (fixed values), within 1e-9.
+_TAIL = """-(((((-7.784894002430293e-03 * q - 3.223964580411365e-01) * q - 2.400758277161838) * q - 2.549732539343734) * q + 4.374664141464968) * q + 2.938163982698783)
+  / ((((7.784695709041462e-03 * q + 3.224671290700398e-01) * q + 2.445134137142996) * q + 3.754408661907416) * q + 1)"""
+
+
+@query("variable_genes", f"""{_MOMENTS}, c AS (
+  SELECT dataset, avg(1 / n) AS c, count(*) AS k FROM (SELECT dataset, cell, sum(value) AS n FROM counts GROUP BY ALL) GROUP BY 1
+), z AS (SELECT dataset, {_TAIL} AS z FROM (SELECT dataset, sqrt(-2 * ln(0.99 / count(*) / 2)) AS q FROM m GROUP BY 1)
+), v AS (
+  SELECT gene FROM m JOIN c USING (dataset) JOIN z USING (dataset)
+  WHERE norm_var / c > norm_mean + z * sqrt(norm_mean * c / k) AND log10(norm_var) > log10(norm_mean * c) + 0.1
+), shared AS (
+  SELECT gene FROM (SELECT DISTINCT dataset, gene FROM counts) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT dataset) FROM counts)
+)
+SELECT DISTINCT gene FROM v SEMI JOIN shared USING (gene)""")
+def _(spark, sf):
+    return matrix.variable_genes(lineitem_counts(spark, sf))
+
+
+@query("shared_genes", f"WITH {LINEITEM_SQL} SELECT gene FROM (SELECT DISTINCT dataset, gene FROM counts) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT dataset) FROM counts)")
+def _(spark, sf):
+    return matrix.shared_genes(lineitem_counts(spark, sf))
+
+
+@query("gene_union", f"WITH {LINEITEM_SQL} SELECT gene FROM counts UNION SELECT p_brand || ':' || p_size FROM part")
+def _(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.concat_ws(":", "p_brand", "p_size").alias("gene"))
+    return lineitem_counts(spark, sf).select("gene").union(parts).distinct()
+
+
+@query("scale", f"""{_NORM}, r AS (
+  SELECT dataset, gene, sqrt(sum(value * value) / (any_value(n_cells) - 1)) AS rms FROM norm JOIN sizes USING (dataset) WHERE starts_with(gene, 'Brand#2') GROUP BY ALL
+) SELECT dataset, cell, gene, value / rms AS value FROM norm JOIN r USING (dataset, gene)""")
+def _(spark, sf):
+    x = lineitem_counts(spark, sf)
+    return matrix.scaled(matrix.normalized(x), x.where(F.col("gene").startswith("Brand#2")).select("gene").distinct())
+
+
+@query("gene_values", f"""{_NORM}, cells AS (SELECT DISTINCT dataset, cell FROM counts), g AS (SELECT * FROM norm WHERE gene = 'Brand#11:7')
+SELECT dataset, cell, CASE WHEN dataset = 'A' THEN coalesce(value, 0) ELSE log2(coalesce(value, 0) * 10000 + 1) END AS value FROM cells LEFT JOIN g USING (dataset, cell)""")
+def _(spark, sf):
+    x = lineitem_counts(spark, sf)
+    return matrix.gene_values(matrix.normalized(x), x.select("dataset", "cell").distinct(), "Brand#11:7", log=True, plain_in=("A",))
+
+
+@query("gene_by_group", f"""{_NORM}, g AS (SELECT dataset, cell, value FROM norm WHERE gene = 'Brand#11:7')
+SELECT *, CASE WHEN stddev_pop(value) OVER (PARTITION BY dataset) > 0 THEN value / stddev_pop(value) OVER (PARTITION BY dataset) ELSE 0 END AS scaled FROM g""")
+def _(spark, sf):
+    return matrix.by_group(matrix.normalized(lineitem_counts(spark, sf)).where("gene = 'Brand#11:7'").select("dataset", "cell", "value"), "dataset")
+
+
+@query("gene_clipped", f"""{_NORM}, q AS (SELECT dataset, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM norm GROUP BY 1)
+SELECT dataset, cell, gene, least(greatest(value, lo), hi) AS value FROM norm JOIN q USING (dataset)""")
+def _(spark, sf):
+    return matrix.clipped(matrix.normalized(lineitem_counts(spark, sf)), 0.1, 0.9).select("dataset", "cell", "gene", "value")
+
+
+@query("cluster_centers", "SELECT label AS cluster, median(embedding[1]::DOUBLE) AS x, median(embedding[2]::DOUBLE) AS y FROM embeddings GROUP BY 1")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return matrix.centers(e.select(F.col("label").alias("cluster"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")))
+
+
+@query("export_cells", f"{_NORM} SELECT dataset, cell, gene, log2(value * 10000 + 1) AS value FROM norm")
+def _(spark, sf):
+    return matrix.exported(lineitem_counts(spark, sf))
+
+
+@query("top_cells", f"""WITH {LINEITEM_SQL}, t AS (
+  SELECT dataset, cell FROM (SELECT dataset, cell, row_number() OVER (PARTITION BY dataset ORDER BY sum(value) DESC, cell) AS r FROM counts GROUP BY dataset, cell) WHERE r <= 7
+) SELECT * FROM counts SEMI JOIN t USING (dataset, cell)""")
+def _(spark, sf):
+    return matrix.top_cells(lineitem_counts(spark, sf), 7)
+
+
+@query("subset_reorganize", f"""WITH {LINEITEM_SQL} SELECT (cell::BIGINT % 3)::VARCHAR AS dataset, dataset || ':' || cell AS cell, gene, value FROM counts WHERE cell::BIGINT % 2 = 0""")
+def _(spark, sf):
+    x = lineitem_counts(spark, sf)
+    cells = x.select("dataset", "cell").distinct().where("cast(cell AS bigint) % 2 = 0").withColumn("k", F.expr("cast(cell AS bigint) % 3"))
+    return matrix.reorganized(matrix.subset(x, cells), cells, "k")
+
+
+_RANK = f"""{_NORM}, x AS (SELECT dataset AS "group", dataset || '-' || cell AS cell, gene, value FROM norm),
+cells AS (SELECT DISTINCT "group", cell FROM x), stored AS (SELECT DISTINCT gene FROM x),
+full_ AS (SELECT c."group", c.cell, g.gene, coalesce(x.value, 0) AS value FROM cells c CROSS JOIN stored g LEFT JOIN x ON x.cell = c.cell AND x.gene = g.gene),
+ranked AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS r FROM full_),
+ties AS (SELECT gene, 1 - sum(t * t * t - t) / (sum(t)::DOUBLE * sum(t) * sum(t) - sum(t)) AS t, sum(t)::DOUBLE AS n FROM (SELECT gene, value, count(*)::DOUBLE AS t FROM full_ GROUP BY ALL) GROUP BY gene),
+s AS (SELECT gene, "group", sum(r) AS r1, count(*)::DOUBLE AS n1, sum(ln(value + 1e-10)) AS logs FROM ranked GROUP BY ALL),
+w AS (SELECT gene, sum(logs) AS all_logs FROM s GROUP BY 1),
+u AS (SELECT *, n - n1 AS n2, n1 * (n - n1) + n1 * (n1 + 1) / 2 - r1 AS u1 FROM s JOIN ties USING (gene) JOIN w USING (gene))
+SELECT gene, "group", logs / n1 AS avg_expr, logs / n1 - (all_logs - logs) / n2 AS log_fc, least(u1, n1 * n2 - u1) AS statistic,
+       (greatest(u1, n1 * n2 - u1) - (n1 * n2 / 2 + 0.5)) / sqrt(t * n1 * n2 * (n + 1) / 12) AS z FROM u"""
+
+
+@query("rank_test", _RANK)
+def _(spark, sf):
+    norm = matrix.normalized(lineitem_counts(spark, sf)).withColumn("name", F.concat_ws("-", "dataset", "cell"))
+    cells = norm.select(F.col("name").alias("cell"), F.col("dataset").alias("group")).distinct()
+    return ranks.rank_test(norm.select(F.col("name").alias("cell"), "gene", "value"), cells).drop("pval", "padj")
+
+
+@query("wilcoxon_clusters")
+def _(spark, sf):
+    norm = matrix.normalized(lineitem_counts(spark, sf))
+    clusters = norm.select("dataset", "cell").distinct().withColumn("cluster", F.expr("cast(cell AS bigint) % 3"))
+    return ranks.wilcoxon(norm, clusters)
+
+
+@query("wilcoxon_datasets")
+def _(spark, sf):
+    norm = matrix.normalized(lineitem_counts(spark, sf))
+    clusters = norm.select("dataset", "cell").distinct().withColumn("cluster", F.expr("cast(cell AS bigint) % 2"))
+    return ranks.wilcoxon(norm, clusters, "datasets")
+
+
+@query("benjamini_hochberg", """WITH p AS (SELECT s_suppkey AS id, s_nationkey AS g, (abs(s_acctbal) % 97) / 97 AS pval FROM supplier),
+r AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, rank() OVER (PARTITION BY g ORDER BY pval) + count(*) OVER (PARTITION BY g, pval) - 1 AS r FROM p)
+SELECT id, g, pval, least(1.0, min(pval * n / r) OVER (PARTITION BY g ORDER BY pval RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS padj FROM r""")
+def _(spark, sf):
+    p = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("g"), ((F.abs("s_acctbal") % 97) / 97).alias("pval"))
+    return ranks.adjusted(p, ["g"])
+
+
+@query("quantiles", f"WITH {LINEITEM_SQL}, {{}} SELECT dataset, unnest([0, 0.25, 0.5, 0.75, 1]) AS level, unnest(quantile_cont(value, [0, 0.25, 0.5, 0.75, 1])) AS value FROM counts GROUP BY dataset".replace(", {}", ""))
+def _(spark, sf):
+    levels = [0.0, 0.25, 0.5, 0.75, 1.0]
+    q = lineitem_counts(spark, sf).groupBy("dataset").agg(F.percentile("value", F.array(*map(F.lit, levels))).alias("q"))
+    pairs = F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("q").alias("value"))
+    return q.select("dataset", F.explode(pairs).alias("p")).select("dataset", F.col("p")["level"].alias("level"), F.col("p")["value"].alias("value"))
+
+
+def _vectors(spark, sf):
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+_KNN = """WITH v AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v, label FROM embeddings), d AS (
+  SELECT a.id AS src, b.id AS dst, list_distance(a.v, b.v) AS dist, list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2 FROM v a, v b
+), k AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM d QUALIFY rank <= 10)"""
+
+
+@query("knn", f"{_KNN} SELECT src, rank, dst, dist FROM k")
+def _(spark, sf):
+    return graph.knn(_vectors(spark, sf), 10)
+
+
+@query("snn", f"""{_KNN}, s AS (SELECT a.src, b.src AS dst, count(*) AS n FROM k a JOIN k b ON a.dst = b.dst GROUP BY ALL)
+SELECT src, dst, n / (20 - n) AS weight FROM s WHERE n / (20 - n) >= 1 / 15""")
+def _(spark, sf):
+    return graph.snn(graph.knn(_vectors(spark, sf), 10), 10)
+
+
+@query("neighbour_vote", f"""{_KNN}, n AS (SELECT src, label, count(*) AS n FROM k JOIN v ON v.id = k.dst GROUP BY ALL)
+SELECT src AS id, label FROM n QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, label DESC) = 1""")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    return graph.vote(v.select("id", "label"), graph.knn(v, 10))
+
+
+@query("mixing_share", f"{_KNN} SELECT k.src AS id, avg((a.label <> b.label)::INT) AS share FROM k JOIN v a ON a.id = k.src JOIN v b ON b.id = k.dst GROUP BY 1")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    return metrics.mixing_share(graph.knn(v, 10), v.select("id", F.col("label").alias("dataset")))
+
+
+@query("communities")
+def _(spark, sf):
+    return graph.communities(graph.snn(graph.knn(_vectors(spark, sf), 20), 20))
+
+
+_LABELS = "l AS (SELECT c_nationkey AS a, c_custkey % 7 AS b FROM customer), t AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY ALL)"
+
+
+@query("purity", f"WITH {_LABELS} SELECT sum(m) / sum(n) AS purity FROM (SELECT max(n) AS m, sum(n) AS n FROM t GROUP BY a)")
+def _(spark, sf):
+    return metrics.purity(spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_nationkey AS a", "c_custkey % 7 AS b"), "a", "b")
+
+
+@query("adjusted_rand", f"""WITH {_LABELS}, x AS (SELECT sum(n * (n - 1) / 2) AS x, sum(n) * (sum(n) - 1) / 2 AS m FROM t),
+p AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT sum(n) AS n FROM t GROUP BY a)), q AS (SELECT sum(n * (n - 1) / 2) AS q FROM (SELECT sum(n) AS n FROM t GROUP BY b))
+SELECT (x - p * q / m) / ((p + q) / 2 - p * q / m) AS ari FROM x, p, q""")
+def _(spark, sf):
+    return metrics.rand_index(spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_nationkey AS a", "c_custkey % 7 AS b"), "a", "b")
+
+
+@query("contingency", f"WITH {_LABELS} SELECT a, b, n::BIGINT AS n FROM t")
+def _(spark, sf):
+    return metrics.contingency(spark.read.parquet(f"{sf}/customer.parquet").selectExpr("c_nationkey AS a", "c_custkey % 7 AS b"), "a", "b")
+
+
+_SCALED = """f AS (SELECT label::VARCHAR AS dataset, vec_id::VARCHAR AS cell, generate_subscripts(embedding, 1) - 1 AS factor, unnest(embedding)::DOUBLE AS value FROM embeddings),
+r AS (SELECT dataset, factor, sqrt(sum(value * value) / (count(*) - 1)) AS rms FROM f GROUP BY ALL),
+s AS (SELECT f.dataset, cell, f.factor, value / rms AS value FROM f JOIN r ON f.dataset = r.dataset AND f.factor = r.factor)"""
+
+
+def _factors(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return e.select(F.col("label").cast("string").alias("dataset"), F.col("vec_id").cast("string").alias("cell"), F.col("embedding").cast("array<double>").alias("h"))
+
+
+@query("scaled_factors", f"WITH {_SCALED} SELECT dataset, cell, factor::INT AS factor, value FROM s")
+def _(spark, sf):
+    return align.scaled_factors(_factors(spark, sf))
+
+
+@query("top_factor", f"WITH {_SCALED} SELECT dataset, cell, factor::INT AS cluster FROM s QUALIFY row_number() OVER (PARTITION BY dataset, cell ORDER BY value DESC, factor) = 1")
+def _(spark, sf):
+    return align.top_factor(align.scaled_factors(_factors(spark, sf)))
+
+
+@query("quantile_align")
+def _(spark, sf):
+    e = _factors(spark, sf)
+    return align.quantile_align(e.select("dataset", "cell", F.transform(F.slice("h", 1, 8), F.abs).alias("h")), min_cells=3, max_sample=500)
+
+
+@query("top_genes", f"""{_NORM} SELECT dataset AS factor, gene, value AS loading, r AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY value DESC, gene) AS r FROM (SELECT dataset, gene, sum(value) AS value FROM norm GROUP BY ALL)) WHERE r <= 30""")
+def _(spark, sf):
+    sums = matrix.normalized(lineitem_counts(spark, sf)).groupBy(F.col("dataset").alias("factor"), "gene").agg(F.round(F.sum("value"), 12).alias("loading"))
+    return metrics.top_genes(sums, 30)
+
+
+def _factor_rows(spark, sf):
+    x = lineitem_counts(spark, sf)
+    norm = matrix.normalized(x)
+    genes = matrix.variable_genes(x).orderBy("gene")
+    names = [r[0] for r in genes.collect()]  # the axis of the loadings, whose size is checked
+    return factorize.rows_of(matrix.scaled(norm, genes), names), names
+
+
+@query("inmf")
+def _(spark, sf):
+    rows, genes = _factor_rows(spark, sf)
+    return factorize.loadings(spark, factorize.factorize(rows, genes, 5, max_iters=5))
+
+
+@query("inmf_hals")
+def _(spark, sf):
+    rows, genes = _factor_rows(spark, sf)
+    return factorize.loadings(spark, factorize.factorize(rows, genes, 5, max_iters=5, method="hals"))
+
+
+@query("inmf_project")
+def _(spark, sf):
+    rows, genes = _factor_rows(spark, sf)
+    return factorize.project(rows, factorize.factorize(rows, genes, 5, max_iters=3))
+
+
+@query("online_inmf")
+def _(spark, sf):
+    rows, genes = _factor_rows(spark, sf)
+    return factorize.loadings(spark, factorize.online(rows, genes, 5, batch=150, epochs=1))
+
+
+_LISTS = "SELECT p_brand AS gene, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'c' || p_size || ';c' || (p_partkey % 7) || ';c' || (p_partkey % 13) END AS barcodes FROM part"
+
+
+@query("feature_matrix", f"""WITH g AS ({_LISTS}), b AS (SELECT gene, unnest(string_split(barcodes, ';')) AS cell FROM g),
+alive AS (SELECT cell FROM b GROUP BY 1 HAVING count(*) > 40),
+p AS (SELECT p_brand AS gene, 'c' || (p_partkey % 29) AS cell FROM part)
+SELECT cell, gene, count(*) AS value FROM (SELECT * FROM b UNION ALL SELECT * FROM p) SEMI JOIN alive USING (cell) GROUP BY ALL""")
+def _(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    lists = F.when(F.col("p_partkey") % 11 != 0, F.concat(F.lit("c"), "p_size", F.lit(";c"), F.col("p_partkey") % 7, F.lit(";c"), F.col("p_partkey") % 13))
+    genes = part.select(F.col("p_brand").alias("gene"), lists.alias("barcodes"))
+    promoters = part.select(F.col("p_brand").alias("gene"), F.concat(F.lit("c"), F.col("p_partkey") % 29).alias("barcodes"))
+    return readers.feature_matrix(genes, promoters, 40)
+
+
+_ANNOTATION = "a AS (SELECT p_partkey::VARCHAR AS gene, 'T' || p_size AS term, p_brand FROM part)"
+
+
+def _annotation(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("gene"), F.concat(F.lit("T"), "p_size").alias("term"), "p_brand")
+
+
+@query("term_counts", f"""WITH {_ANNOTATION}, s AS (SELECT * FROM a WHERE starts_with(p_brand, 'Brand#1'))
+SELECT term, count(*) AS k, (SELECT count(*) FROM s) AS drawn, (SELECT count(*) FROM a WHERE a.term = s.term) AS marked, (SELECT count(*) FROM a) AS n FROM s GROUP BY term""")
+def _(spark, sf):
+    a = _annotation(spark, sf)
+    return ontology.term_counts(a.where(F.col("p_brand").startswith("Brand#1")), a, a)
+
+
+_ENRICHED = """i AS (SELECT term, k, drawn, marked, n, unnest(range(k, least(drawn, marked) + 1)) AS i FROM c),
+p AS (SELECT term, k, drawn, marked, n, least(1.0, sum(exp(lgamma(marked + 1) - lgamma(i + 1) - lgamma(marked - i + 1) + lgamma(n - marked + 1) - lgamma(drawn - i + 1) - lgamma(n - marked - drawn + i + 1)
+  - lgamma(n + 1) + lgamma(drawn + 1) + lgamma(n - drawn + 1)))) AS pval FROM i WHERE n - marked - drawn + i >= 0 GROUP BY ALL),
+r AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY pval) + count(*) OVER (PARTITION BY pval) - 1 AS r FROM p),
+q AS (SELECT *, least(1.0, min(pval * m / r) OVER (ORDER BY pval RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS padj FROM r)"""
+
+
+@query("enrichment", f"""WITH {_ANNOTATION}, s AS (SELECT * FROM a WHERE starts_with(p_brand, 'Brand#1')),
+c AS (SELECT term, count(*) AS k, (SELECT count(*) FROM s) AS drawn, (SELECT count(*) FROM a WHERE a.term = s.term) AS marked, (SELECT count(*) FROM a) AS n FROM s GROUP BY term), {_ENRICHED}
+SELECT term, k, drawn, marked, n, round(pval, 7) AS pval, round(padj, 7) AS padj, padj < 0.05 AS significant FROM q""")
+def _(spark, sf):
+    a = _annotation(spark, sf)
+    return ontology.enrichment(a.where(F.col("p_brand").startswith("Brand#1")), a, a).withColumn("pval", F.round("pval", 7)).withColumn("padj", F.round("padj", 7))
+
+
+_TREE = "edges AS (SELECT DISTINCT 'T' || p_size AS go, 'T' || (p_size // 2) AS parent FROM part WHERE p_size > 1), up AS (SELECT * FROM edges UNION SELECT up.go, edges.parent FROM up JOIN edges ON up.parent = edges.go)"
+_IC = """own AS (SELECT 'T' || p_size AS go, count(*) AS n FROM part GROUP BY 1),
+ic AS (SELECT go, sum(n) / (SELECT sum(n) FROM own) AS frequency, -log10(sum(n) / (SELECT sum(n) FROM own)) AS ic FROM (SELECT parent AS go, n FROM edges JOIN own USING (go) UNION ALL SELECT * FROM own) GROUP BY go)"""
+
+
+def _edges(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").where("p_size > 1").select(F.concat(F.lit("T"), "p_size").alias("go"), F.expr("concat('T', p_size div 2)").alias("parent")).distinct()
+
+
+@query("ancestors", f"WITH RECURSIVE {_TREE} SELECT DISTINCT go, parent FROM up")
+def _(spark, sf):
+    return ontology.closure(_edges(spark, sf))
+
+
+@query("information_content", f"WITH RECURSIVE {_TREE}, {_IC} SELECT go, frequency, ic FROM ic")
+def _(spark, sf):
+    return ontology.information(_annotation(spark, sf), _edges(spark, sf))
+
+
+_SIM = """reach AS (SELECT * FROM up UNION SELECT go, go FROM ic), pairs AS (
+  SELECT x.go AS a, y.go AS b, max(ic.ic) AS m FROM reach x JOIN reach y ON x.parent = y.parent AND x.go < y.go JOIN ic ON ic.go = x.parent GROUP BY ALL)"""
+
+
+@query("term_similarity", f"""WITH RECURSIVE {_TREE}, {_IC}, {_SIM}
+SELECT a, b, CASE WHEN p.ic = 0 OR q.ic = 0 THEN 0 ELSE 2 * m / (p.ic + q.ic) END AS similarity FROM pairs JOIN ic p ON p.go = a JOIN ic q ON q.go = b""")
+def _(spark, sf):
+    edges = _edges(spark, sf)
+    ic = ontology.information(_annotation(spark, sf), edges)
+    return ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
+
+
+@query("term_representatives")
+def _(spark, sf):
+    edges = _edges(spark, sf)
+    ic = ontology.information(_annotation(spark, sf), edges)
+    similar = ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
+    return ontology.representatives(ic.select("go", (F.crc32("go") / float(1 << 32)).alias("pval")), similar, ic, 0.6)
