@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Poly, cut, mix, steps, utf8, without
+from .common import Poly, cut, mix, sieve, steps, utf8, without
 
 LENGTH = 400
 K = 160
@@ -266,7 +266,8 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     segments = cut(segments.join(number, "anchor").where("n > 1 OR twice"), "segments")
     alone = segments.where("n = 1").select("anchor", "segment", F.lit(None).cast("array<array<long>>").alias("runs"))
     asked = segments.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "segment", "twice")).alias("wanted"))  # of one text each
-    cut_out = texts.select("id", "text").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _segments(it, length, k), "anchor long, segment long, twice boolean, left long, bytes binary")
+    asked = cut(asked, "asked")
+    cut_out = sieve(texts.select("id", "text"), "id", asked, "id").where("__maybe").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _segments(it, length, k), "anchor long, segment long, twice boolean, left long, bytes binary")
     covered = cut(
         cut_out.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(lambda it: _collect(it, length, k), "anchor long, segment long, runs array<array<long>>").unionByName(alone),
         "covered",
@@ -277,7 +278,10 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     runs = found.join(covered, ["anchor", "segment"]).select("id", F.coalesce(moved, whole).alias("runs"))
     runs = runs.groupBy("id").agg(F.flatten(F.collect_set("runs")).alias("__runs"))  # of one text each
     marks = cut(runs.join(copies, "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs"), "marks")
-    tagged = df.withColumn("__id", F.xxhash64(F.col(key), node)).join(marks, F.col("__id") == F.col("__m"), "left").drop("__m", "__id")
+    tagged = sieve(df.withColumn("__id", F.xxhash64(F.col(key), node)), "__id", marks, "__m")
+    changed = tagged.where("__maybe").join(marks, F.col("__id") == F.col("__m"), "left").drop("__m", "__id", "__maybe")
+    whole = tagged.where("NOT __maybe").drop("__id", "__maybe").withColumns({"__twice": F.lit(None).cast("boolean"), "__runs": F.lit(None).cast("array<array<long>>")})
+    tagged = changed.unionByName(whole)
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "kept binary, kept_text string, n_bytes long, spans array<array<long>>"])
     return tagged.mapInArrow(lambda it: _strip(it, text, length), kinds)
 
