@@ -47,7 +47,7 @@ def filtered(x: DataFrame, min_genes=0, max_genes=math.inf, min_cells=0, max_cel
     """x without cells and genes whose metrics (both of x as it was given) are outside the bounds, which are inclusive."""
     cells = cell_metrics(x).where(F.col("n_gene").between(min_genes, F.lit(float(max_genes)))).select(*CELL)
     genes = gene_metrics(x).where(F.col("n_cell").between(min_cells, F.lit(float(max_cells))) & F.col("gene_sum").between(min_counts, F.lit(float(max_counts)))).select(*GENE)
-    return x.join(cells, CELL, "left_semi").join(genes, GENE, "left_semi")
+    return x.join(cells, CELL, "left_semi").join(genes, GENE, "left_semi").select(*x.columns)
 
 
 def top_cells(x: DataFrame, n: int) -> DataFrame:
