@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from .factorize import Factors, loadings, specificity
 from .ranks import rank_test
 
@@ -51,7 +52,7 @@ def factor_markers(norm: DataFrame, cells: DataFrame, f: Factors, one: str, two:
     dataset, by log_fc and p; of those the n with the largest loadings there. Part shared: the n largest of the lesser
     of both datasets' loadings.
     """
-    spark = norm.sparkSession
+    spark, norm, cells = norm.sparkSession, session.cut(norm), session.cut(cells)  # each is read once a factor
     close = [int(i) for i in range(f.w.shape[1]) if abs(specificity(f, one, two)[i]) <= share]
     long = loadings(spark, f).where(F.col("dataset").isin(one, two)).select("dataset", "gene", F.posexplode(F.zip_with("w", "v", lambda a, b: a + b)).alias("factor", "loading")).where(F.col("factor").isin(close))
     both = long.groupBy("factor", "gene").agg(F.min("loading").alias("loading"))

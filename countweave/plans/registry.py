@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, factorize, graph, matrix, metrics, ontology, ranks
+from ..operators import align, factorize, graph, matrix, metrics, ontology, plots, ranks
 from ..sources import readers
 from .fixtures import EVENTS_SQL, LINEITEM_SQL, document_counts, event_counts, lineitem_counts
 
@@ -423,3 +423,60 @@ def _(spark, sf):
     ic = ontology.information(_annotation(spark, sf), edges)
     similar = ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
     return ontology.representatives(ic.select("go", (F.crc32("go") / float(1 << 32)).alias("pval")), similar, ic, 0.6)
+
+
+@query("factor_markers")
+def _(spark, sf):
+    rows, genes = _factor_rows(spark, sf)
+    f = factorize.factorize(rows, genes, 3, max_iters=2)
+    h = factorize.project(rows, f)
+    top = h.select("dataset", "cell", (F.expr("array_position(h, array_max(h))") - 1).cast("int").alias("cluster"))
+    return metrics.factor_markers(matrix.normalized(lineitem_counts(spark, sf)), top, f, "A", "N", share=100, log_fc=0.0, p=0.5)
+
+
+_POINTS = "points AS (SELECT DISTINCT dataset, cell, cell::DOUBLE AS x, length(cell)::DOUBLE AS y FROM counts)"
+
+
+def _points(x):
+    return x.select("dataset", "cell").distinct().select("dataset", "cell", F.col("cell").cast("double").alias("x"), F.length("cell").cast("double").alias("y"))
+
+
+@query("plot_expression", f"""{_NORM}, {_POINTS}, g AS (SELECT * FROM norm WHERE gene = 'Brand#11:7')
+SELECT dataset, cell, x, y, log2(value * 10000 + 1) AS value FROM points LEFT JOIN g USING (dataset, cell)""")
+def _(spark, sf):
+    x = lineitem_counts(spark, sf)
+    return plots.expression(matrix.normalized(x), _points(x), "Brand#11:7")
+
+
+@query("plot_scatter")
+def _(spark, sf):
+    x = lineitem_counts(spark, sf)
+    return plots.scatter(_points(x), _points(x).withColumn("cluster", F.length("cell")))
+
+
+@query("plot_variance_mean", f"""{_MOMENTS} SELECT dataset, gene, log10(norm_mean) AS mean, log10(norm_var) AS variance, starts_with(gene, 'Brand#2') AS chosen FROM m""")
+def _(spark, sf):
+    x = lineitem_counts(spark, sf)
+    return plots.variance_mean(x, x.where(F.col("gene").startswith("Brand#2")).select("gene").distinct())
+
+
+@query("plot_loading_ranks", f"""{_NORM}, l AS (SELECT dataset AS factor, gene, round(sum(value), 12) AS loading FROM norm GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY factor ORDER BY loading, gene) AS rank FROM l""")
+def _(spark, sf):
+    sums = matrix.normalized(lineitem_counts(spark, sf)).groupBy(F.col("dataset").alias("factor"), "gene").agg(F.round(F.sum("value"), 12).alias("loading"))
+    return plots.loading_ranks(sums)
+
+
+@query("plot_proportions", f"""WITH {LINEITEM_SQL}, c AS (SELECT DISTINCT dataset, cell FROM counts), n AS (SELECT dataset, length(cell)::INT AS cluster, count(*) AS n FROM c GROUP BY ALL)
+SELECT *, n / sum(n) OVER (PARTITION BY dataset) AS share FROM n""")
+def _(spark, sf):
+    return plots.proportions(lineitem_counts(spark, sf).select("dataset", "cell").distinct().withColumn("cluster", F.length("cell")))
+
+
+@query("term_table")
+def _(spark, sf):
+    edges = _edges(spark, sf)
+    ic = ontology.information(_annotation(spark, sf), edges)
+    similar = ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
+    terms = ic.select("go", F.col("go").alias("name"), (F.crc32("go") / float(1 << 32)).alias("pval"))
+    return plots.term_table(terms, ontology.representatives(terms, similar, ic, 0.6), ic)
