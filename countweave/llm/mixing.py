@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import cut, without
 
 #: Production weights: a source gets the square root of its share, renormalized (up-weights the small sources).
 POWER = 0.5
 SEED = 17
 #: Rates beyond this are refused: exp(-rate) has to stay a normal number.
 MOST = 500.0
+#: Up to so many sources their rates are sent to every task; beyond, each source is dealt over SALTS tasks.
+FEW, SALTS = 1000, 64
 
 
 def uniform(*key: Column, seed: int) -> Column:
@@ -61,9 +63,15 @@ def replicate(df: DataFrame, key: str = "doc_id", source: str = "source", units:
     """
     units = F.coalesce(F.length("text"), F.lit(0)) if units is None else units
     df = without(df, ["copy", "rate", "shuffle_key"])
-    rates = source_rates(df, source, units, weights, power).withColumnRenamed("src", "__src")
+    rates = cut(source_rates(df, source, units, weights, power).withColumnRenamed("src", "__src"), "rates")
+    same = F.col(source).eqNullSafe(F.col("__src"))
+    if rates.count() <= FEW:  # a row holds at most MOST + 12 * sqrt(MOST) + 21 numbers
+        rated = df.join(F.broadcast(rates), same)
+    else:  # a source's rows are dealt over SALTS tasks
+        salted = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__salt") == F.col("__salt_of"))).drop("__salt", "__salt_of")
     u = uniform(F.col(key), seed=seed)
-    drawn = df.join(rates, F.col(source).eqNullSafe(F.col("__src"))).withColumn("__n", F.when(F.col("rate") > 0, F.size(F.filter("cdf", lambda c: c <= u))).otherwise(F.lit(0))).drop("cdf", "__src")
+    drawn = rated.withColumn("__n", F.when(F.col("rate") > 0, F.size(F.filter("cdf", lambda c: c <= u))).otherwise(F.lit(0))).drop("cdf", "__src")
     copies = drawn.where(F.col("__n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long") - 1))).drop("__n")
     out = copies.withColumn("shuffle_key", uniform(F.col(key), F.col("copy"), seed=seed + 1))
     return out.repartitionByRange(F.col("shuffle_key"), F.col(key)).sortWithinPartitions("shuffle_key", key) if shuffle else out
