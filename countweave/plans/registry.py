@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..operators import align, factorize, graph, matrix, metrics, ontology, plots, ranks
 from ..sources import readers
+from ..streaming import online
 from .fixtures import EVENTS_SQL, LINEITEM_SQL, document_counts, event_counts, lineitem_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,3 +482,25 @@ def _(spark, sf):
     similar = ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
     terms = ic.select("go", F.col("go").alias("name"), (F.crc32("go") / float(1 << 32)).alias("pval"))
     return plots.term_table(terms, ontology.representatives(terms, similar, ic, 0.6), ic)
+
+
+@query("impute", f"""{_KNN}, g AS (SELECT id, (label % 3)::VARCHAR AS gene, 1.0 + label AS value FROM v)
+SELECT k.src AS id, gene, sum(value) / 10 AS value FROM k JOIN g ON g.id = k.dst GROUP BY ALL""")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    values = v.select("id", (F.col("label") % 3).cast("string").alias("gene"), (F.col("label") + 1.0).alias("value"))
+    return graph.imputed(values, graph.knn(v, 10))
+
+
+@query("approximate_knn")
+def _(spark, sf):
+    return graph.approximate_knn(_vectors(spark, sf), 10)
+
+
+@query("stream_daily_totals", "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def _(spark, sf):
+    path = f"{sf}/event[s].parquet"  # a pattern: a stream's path itself has to be a folder
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    folder = session.new_path(spark, "totals")
+    online.totals_by_day(stream, folder, session.new_path(spark, "stream")).awaitTermination()
+    return spark.read.parquet(folder).withColumn("total", F.round("total", 6))

@@ -16,11 +16,16 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="countweave-"))).rstrip("/")
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table of that folder, which goes when the driver ends."""
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    path = new_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -26,3 +26,9 @@ def running_cell_metrics(stream: DataFrame) -> DataFrame:
 def project_stream(rows: DataFrame, f: Factors, folder: str, checkpoint: str) -> StreamingQuery:
     """H of arriving cells (dataset, cell, genes, values) at fixed loadings, appended as Parquet; each cell for itself, without state."""
     return project(rows, f).writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def totals_by_day(stream: DataFrame, folder: str, checkpoint: str, time: str = "ts", kind: str = "event_type", value: str = "value") -> StreamingQuery:
+    """(day, kind, n, total) of all that arrives, in whole after each batch as Parquet."""
+    daily = stream.groupBy(F.to_date(time).alias("day"), kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return daily.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
