@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +51,38 @@ def cut(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between Spark and Python; rows are larger only if one text is.
+BATCH = 16 << 20
+_LIBC: list = []
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH bytes, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
+def tidied(f):
+    """A task's generator that gives its memory back to the system in the end, as Spark keeps the worker."""
+
+    @functools.wraps(f)
+    def run(*args, **names):
+        try:
+            yield from f(*args, **names)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if not _LIBC:
+                try:
+                    _LIBC.append(ctypes.CDLL("libc.so.6").malloc_trim)
+                except (OSError, AttributeError):  # another libc
+                    _LIBC.append(lambda _: 0)
+            _LIBC[0](0)
+
+    return run
+
+
 #: Bits of a sieve; its table has at most BITS / 64 rows, whatever the keys.
 BITS = 1 << 24
 

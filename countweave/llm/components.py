@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidied
 
 #: Edges (16 bytes each) of a forest that one task may hold, and of which a task makes one forest at a time.
 SMALL, HELD = 2_000_000, 500_000
@@ -38,6 +38,7 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = deeper
 
 
+@tidied
 def _forest(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """(u, v): each node under the smallest of its component, of every HELD edges or of all."""
     held, n = [], 0

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidied
 from .components import components, roots, smallest
 
 THRESHOLD = 0.98
@@ -58,6 +58,7 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+@tidied
 def _deal(batches: Iterator[pa.RecordBatch], leading: int, apart: float) -> Iterator[pa.RecordBatch]:
     """(label, cls, size, vector) -> rows with cell and role: 0 in its own cell, 1 in each cell that its window reaches."""
     for batch in batches:
@@ -86,6 +87,7 @@ def _deal(batches: Iterator[pa.RecordBatch], leading: int, apart: float) -> Iter
                 at += n
 
 
+@tidied
 def _count(batches: Iterator[pa.RecordBatch], threshold: float, leading: int, apart: float) -> Iterator[pa.RecordBatch]:
     """(cls, n, a, b): direct links of a class found here, or an edge of a forest. Rows come sorted by group, members first."""
     group, held, at_least = None, [], needed()

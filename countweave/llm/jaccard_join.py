@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Poly, cut, shingles, sieve, steps, utf8
+from .common import cut, LOWER, Poly, shingles, sieve, small_batches, steps, tidied, utf8
 from .components import components, smallest
 
 SIZE = 5
@@ -60,6 +60,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int |
                 yield ids[i + k], grams
 
 
+@tidied
 def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A row (id, n, node, null, null) for each text, and rows (null, null, null, cell, count) of what is frequent."""
     rows, held, n_held, seen = [], [], 0, set()
@@ -94,6 +95,7 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     yield from flush(True)
 
 
+@tidied
 def _postings(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int], ranks: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, grams, refs, nodes, spares, a, b): n-grams of many nodes in one row for each part, or edges a > b.
 
@@ -167,6 +169,7 @@ def _blobs(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], BLOB)
 
 
+@tidied
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, gram, times, spare) of n-grams in two nodes or more, for rows sorted by part; edges as (a, b, null, null)."""
     part, held = None, []
@@ -213,6 +216,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+@tidied
 def _hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (gram, node) sorted by n-gram, edges (a, b) from each node to the first one of its n-gram."""
     last_gram, last_node = None, 0
@@ -322,6 +326,7 @@ def link(sets: list[np.ndarray], t: tuple[int, int] = THRESHOLD) -> np.ndarray:
             labels[np.isin(labels, joined)] = joined[0]
 
 
+@tidied
 def _join(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) that give the components of each task key; rows (cluster, i, j, node, text) come sorted by key."""
     poly, key, nodes, sets, a, b = Poly(8), None, [], [], [], []
@@ -366,6 +371,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     Keys are integers. N-grams are compared by 56 bits of hash and their length.
     """
     spark = df.sparkSession
+    small_batches(spark)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     facts = cut(texts.mapInArrow(lambda it: _describe(it, size), "id long, n long, node long, cell long, times long"), "sets")
     sets = facts.where("cell IS NULL").select("id", "n", "node")

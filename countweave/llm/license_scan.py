@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import small_batches, tidied, without
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 BLANK = re.compile("\n[ \t\r\f\v]*\n")
@@ -91,6 +91,7 @@ class Templates:
         return out
 
 
+@tidied
 def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: frozenset) -> Iterator[pa.RecordBatch]:
     counts = dict.fromkeys(vocabulary, 0)
     for batch in batches:
@@ -100,6 +101,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary: frozenset) -> It
     yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
+@tidied
 def _scan(batches: Iterator[pa.RecordBatch], text: str, templates: Templates) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
     for batch in batches:
@@ -125,6 +127,7 @@ def scan(df: DataFrame, text: str = "text", templates: tuple = TEMPLATES, t: tup
     labels. Rows are judged one by one; input columns named like an output are replaced.
     """
     df = without(df, OUT)
+    small_batches(df.sparkSession)
     vocabulary = frozenset(w for _, x in templates for w in WORD.findall(lower(x)))
     seen = df.select(F.col(text).alias("text")).mapInArrow(lambda it: _frequencies(it, vocabulary), "word string, n long")
     counts = {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one for each word of the templates

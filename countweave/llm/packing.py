@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, small_batches, tidied, without
 
 CAPACITY = 1024
 END = 2  #: id after each document
@@ -45,18 +45,24 @@ class Ids:
 
     def __init__(self, path: str, ranks: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(ranks, "rb") as file:
             table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    def _whole(self):
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer
+
     def of(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
             if "<|" in text or UNUSUAL(text):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                out.append(np.array(self._whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 out.append(self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes())
         return out
@@ -65,6 +71,7 @@ class Ids:
 UNUSUAL = re.compile("[^\x00-\u024f]").search
 
 
+@tidied
 def _tokenize(batches: Iterator[pa.RecordBatch], text: str, paths: tuple[str, str], capacity: int) -> Iterator[pa.RecordBatch]:
     """A row for each piece: the document's other columns, piece, start, length, ids (bytes), ids_crc32, slot."""
     if paths not in _LOADED:
@@ -103,6 +110,7 @@ def tokenize(df: DataFrame, text: str = "text", paths: tuple[str, str] | None =
     """
     paths = paths or (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     df = without(df, [*PIECE, "sequence_id", "offset"])
+    small_batches(df.sparkSession)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text]
     return df.mapInArrow(lambda it: _tokenize(it, text, paths, capacity), ", ".join([*fields, "piece long, start long, length long, ids binary, ids_crc32 long, slot long"]))
 
@@ -185,6 +193,7 @@ def evolve(lengths: list[int], start: Bins | None, migrants: Bins, capacity: int
     return min(people, key=lambda p: p[0])[1]
 
 
+@tidied
 def _islands(batches: Iterator[pa.RecordBatch], capacity: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Rows (island, slot, length, bin, pattern) sorted by island: pieces with the bin they are in (or null) and migrants (slot null). Gives the pieces with their new bins, and elites."""
     island, held, migrants = None, [], []

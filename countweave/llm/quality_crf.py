@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Poly, mix, steps, utf8, without, words
+from .common import mix, Poly, small_batches, steps, tidied, utf8, WHITE, without, words
 
 #: Labelled documents to fit on (those of the smallest hashes), and the fitting itself.
 SAMPLE, PENALTY, ROUNDS, RATE = 4000, 1e-3, 250, 0.1
@@ -120,6 +120,7 @@ def fit(features: np.ndarray, of: np.ndarray, labels: np.ndarray) -> Model:
     return Model(scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
+@tidied
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, features, lines) of rows (text, label)."""
     poly = Poly(11)
@@ -153,6 +154,7 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+@tidied
 def _score(batches: Iterator[pa.RecordBatch], text: str, model: Model) -> Iterator[pa.RecordBatch]:
     poly = Poly(11)
     for batch in batches:
@@ -174,6 +176,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     like an output are replaced.
     """
     df = without(df, ["score", "lines_good"])
+    small_batches(df.sparkSession)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
     return df.mapInArrow(lambda it: _score(it, text, model), ", ".join([*fields, "score double, lines_good array<double>"]))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _KEYS, WHITE, Poly, mix, steps, utf8, without, words
+from .common import _KEYS, mix, Poly, small_batches, steps, tidied, utf8, WHITE, without, words
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -54,6 +54,7 @@ def mask_of(rules: tuple[str, ...]) -> int:
     return sum(1 << places[name] for name in set(rules))
 
 
+@tidied
 def _measure(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     poly, symbol, upper, lower = Poly(), np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
     symbol[list(SYMBOLS)] = True
@@ -103,6 +104,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     Repeated windows are found by 64-bit hash within each document.
     """
     df = without(df, [*MEASURES, "failed"])
+    small_batches(df.sparkSession)
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{m} long" for m in MEASURES)])
     measured = df.mapInArrow(lambda it: _measure(it, text), kinds)
     bits = [F.when(r.column(), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)]

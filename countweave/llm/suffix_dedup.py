@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Poly, cut, mix, sieve, steps, utf8, without
+from .common import cut, mix, Poly, sieve, small_batches, steps, tidied, utf8, without
 
 LENGTH = 400
 K = 160
@@ -61,6 +61,7 @@ def anchors(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(_slide(low, w, np.maximum, 0) == hashes)
 
 
+@tidied
 def _find(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """A row (id, node) for each text and (id, null, anchor, segment, at) for each anchor of a text not yet seen in this task."""
     poly, seen, w = Poly(5), set(), length - k + 1
@@ -94,6 +95,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa
 FOUND = ["id", "node", "anchor", "segment", "at"]
 
 
+@tidied
 def _segments(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """(anchor, segment, twice, left, bytes) for rows (text, wanted) with wanted: an array of (at, anchor, segment, twice)."""
     for batch in batches:
@@ -149,6 +151,7 @@ def repeated_columns(columns: np.ndarray, length: int, wanted: int) -> np.ndarra
     return found
 
 
+@tidied
 def _collect(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     """(anchor, segment, runs): the bytes of each segment, from its start, that repeated strings cover. Rows come sorted by anchor."""
     reach, width = length - k, 2 * length - k
@@ -203,6 +206,7 @@ def _covered(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kind)], ["anchor", "segment", "runs"])
 
 
+@tidied
 def _strip(batches: Iterator[pa.RecordBatch], text: str, length: int) -> Iterator[pa.RecordBatch]:
     """Adds kept (bytes), n_bytes and spans (maximal removed runs) to rows that carry __node, __twice and __runs."""
     for batch in batches:
@@ -250,6 +254,7 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     over the whole corpus, texts by 128-bit ones.
     """
     df = without(df, STRIPPED)
+    small_batches(df.sparkSession)
     # Rows of one id hold the same key and text, so one of them stands for all.
     node = _node(text)
     texts = df.select(F.xxhash64(F.col(key), node).alias("id"), node.alias("node"), F.col(text).alias("text"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import small_batches, tidied, without
 
 TOKEN = re.compile("[a-z0-9]+")
 #: Rules are sent to every executor; more than this many are refused.
@@ -95,6 +95,7 @@ def index(rules: tuple, counts: dict[str, int]) -> dict[str | None, list[int]]:
     return out
 
 
+@tidied
 def _judge(batches: Iterator[pa.RecordBatch], url: str, rules: tuple, waiting: dict) -> Iterator[pa.RecordBatch]:
     run = [re.compile(r"(?s:.*\.)?" + re.escape(r.host)) if isinstance(r, HostRule) else re.compile(r.pattern) for r in rules]
     always = waiting.get(None, [])
@@ -128,6 +129,7 @@ def judge(df: DataFrame, url: str = "url", rules: tuple = RULES) -> DataFrame:
     if len(rules) > MOST:
         raise ValueError(f"more than {MOST} rules")
     df = without(df, OUT)
+    small_batches(df.sparkSession)
     tokens = {t for r in rules for t in r.tokens()}
     waiting = index(rules, count_tokens(df, url, tokens) if tokens else {})
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]

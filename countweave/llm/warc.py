@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import cut, new_path, small_batches, tidied
 
 MIN_BYTES = 100
 #: Bytes after which a new archive begins, and bytes read at a time.
@@ -50,6 +50,7 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, refers
     return b"".join([squeeze.compress(lines.encode()), squeeze.compress(block), squeeze.compress(BREAK + BREAK), squeeze.flush()])
 
 
+@tidied
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Archives of rows (key, url, text, digest, refers_to); gives (path, records)."""
     store, at = fs.FileSystem.from_uri(folder)
@@ -96,6 +97,7 @@ def write(df: DataFrame, folder: str | None = None, key: str = "page_id", url: s
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(text).alias("text"))
     folder = folder or new_path(df.sparkSession, "warc")
+    small_batches(df.sparkSession)
     ready = revisits(rows, "key", "text").select("key", "url", "text", "__digest", "__refers_to")
     return cut(ready.mapInArrow(lambda it: _write(it, folder), "path string, records long"), "archives")
 
@@ -145,6 +147,7 @@ def parse(member: bytes) -> dict:
 KINDS = {"key": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_digest": pa.string(), "payload_bytes": pa.int64(), "payload": pa.binary()}
 
 
+@tidied
 def _read(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     def rows(held: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[n] for x in held], KINDS[n]) for n in names], names)
