@@ -54,9 +54,10 @@ def places(words: list[str], phrases: tuple = PHRASES) -> list[tuple[int, str]]:
     """(word, label) of all places where a phrase's words stand one after the other."""
     line, out = f" {' '.join(words)} ", []
     for phrase, label in phrases:
-        at = line.find(f" {phrase} ")
+        at, word, last = line.find(f" {phrase} "), 0, 0
         while at >= 0:
-            out.append((line.count(" ", 0, at), label))
+            word, last = word + line.count(" ", last, at), at
+            out.append((word, label))
             at = line.find(f" {phrase} ", at + 1)
     return out
 
