@@ -213,7 +213,7 @@ def _(spark, sf):
     return ranks.adjusted(p, ["g"])
 
 
-@query("quantiles", f"WITH {LINEITEM_SQL}, {{}} SELECT dataset, unnest([0, 0.25, 0.5, 0.75, 1]) AS level, unnest(quantile_cont(value, [0, 0.25, 0.5, 0.75, 1])) AS value FROM counts GROUP BY dataset".replace(", {}", ""))
+@query("quantiles", f"WITH {LINEITEM_SQL} SELECT dataset, unnest([0, 0.25, 0.5, 0.75, 1]::DOUBLE[]) AS level, unnest(quantile_cont(value::DOUBLE, [0, 0.25, 0.5, 0.75, 1])) AS value FROM counts GROUP BY dataset")
 def _(spark, sf):
     levels = [0.0, 0.25, 0.5, 0.75, 1.0]
     q = lineitem_counts(spark, sf).groupBy("dataset").agg(F.percentile("value", F.array(*map(F.lit, levels))).alias("q"))
