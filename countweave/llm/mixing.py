@@ -2,8 +2,9 @@
 
 A source with target share t of all text units is repeated at the rate t * total / its own units. Each document takes
 the number of copies at which the Poisson distribution of that mean passes a uniform number hashed from its key and a
-seed: the draw needs no state, so retries and other partitionings give the same copies. Copies are then dealt in a
-global random order. Built-in functions only.
+seed: the draw needs no state, so retries and other partitionings give the same copies. A rate too high for one draw is
+split into equal parts that draw for themselves, as a sum of Poisson numbers is one of the summed rate. Copies are then
+dealt in a global random order. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from .common import cut, without
 #: Production weights: a source gets the square root of its share, renormalized (up-weights the small sources).
 POWER = 0.5
 SEED = 17
-#: Rates beyond this are refused: exp(-rate) has to stay a normal number.
+#: Rates of parts are at most this, and rates out of given weights beyond it are refused.
 MOST = 500.0
+#: Up to this rate there is one part, as in SQL: exp(-rate) is still a normal number.
+ONE = 700.0
 #: Up to so many sources their rates are sent to every task; beyond, each source is dealt over SALTS tasks.
 FEW, SALTS = 1000, 64
 
@@ -29,10 +32,10 @@ def uniform(*key: Column, seed: int) -> Column:
 
 
 def source_rates(df: DataFrame, source: str, units: Column, weights: DataFrame | None = None, power: float = POWER) -> DataFrame:
-    """(source, rate, cdf): rate = target share * total / own units; cdf = the Poisson distribution up to where it is 1 in double precision.
+    """(source, rate, parts, cdf): rate = target share * total / own units; cdf = the Poisson distribution of rate / parts up to where it is 1 in double precision.
 
     weights: (source, weight), weight >= 0; sources without one get 0. Without weights: own share ** power. A null
-    source is a source of its own. A source without units gets rate 0. Rates over MOST raise an error.
+    source is a source of its own. A source without units gets rate 0. With weights, rates over MOST raise an error.
     """
     own = df.groupBy(F.col(source).alias("src")).agg(F.sum(units.cast("double")).alias("own"))
     if weights is None:
@@ -43,16 +46,20 @@ def source_rates(df: DataFrame, source: str, units: Column, weights: DataFrame |
     total = shares.agg(F.sum("own").alias("all_own"), F.sum("w").alias("all_w"))
     rate = F.when((F.col("own") > 0) & (F.col("all_w") > 0), F.col("w") / F.col("all_w") * F.col("all_own") / F.col("own")).otherwise(F.lit(0.0))
     rated = shares.join(F.broadcast(total), F.lit(True)).select("src", rate.alias("rate"))  # total: always one row
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
-    first = F.exp(-F.col("rate"))
+    parts = F.when(F.col("rate") <= ONE, F.lit(1)).otherwise(F.ceil(F.col("rate") / MOST).cast("int"))
+    each = F.col("rate") / F.col("parts")
+    last = F.ceil(each + 12 * F.sqrt(each) + 20).cast("int")
+    first = F.exp(-each)
     cdf = F.aggregate(
         F.sequence(F.lit(1), last),
         F.struct(first.alias("p"), F.array(first).alias("c")),
-        lambda acc, k: F.struct((acc["p"] * F.col("rate") / k).alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + acc["p"] * F.col("rate") / k)).alias("c")),
+        lambda acc, k: F.struct((acc["p"] * each / k).alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + acc["p"] * each / k)).alias("c")),
         lambda acc: acc["c"],
     )
-    checked = F.when(F.col("rate") <= MOST, F.col("rate")).otherwise(F.raise_error(F.concat(F.lit("repetition rate over the limit: "), F.col("rate").cast("string"))).cast("double"))
-    return rated.withColumn("rate", checked).withColumn("cdf", cdf)
+    if weights is not None:
+        checked = F.when(F.col("rate") <= MOST, F.col("rate")).otherwise(F.raise_error(F.concat(F.lit("repetition rate over the limit: "), F.col("rate").cast("string"))).cast("double"))
+        rated = rated.withColumn("rate", checked)
+    return rated.withColumn("parts", parts).withColumn("cdf", cdf)
 
 
 def replicate(df: DataFrame, key: str = "doc_id", source: str = "source", units: Column | None = None, weights: DataFrame | None = None, power: float = POWER, seed: int = SEED, shuffle: bool = True) -> DataFrame:
@@ -65,13 +72,14 @@ def replicate(df: DataFrame, key: str = "doc_id", source: str = "source", units:
     df = without(df, ["copy", "rate", "shuffle_key"])
     rates = cut(source_rates(df, source, units, weights, power).withColumnRenamed("src", "__src"), "rates")
     same = F.col(source).eqNullSafe(F.col("__src"))
-    if rates.count() <= FEW:  # a row holds at most MOST + 12 * sqrt(MOST) + 21 numbers
+    if rates.count() <= FEW:  # a row holds at most ONE + 12 * sqrt(ONE) + 21 numbers
         rated = df.join(F.broadcast(rates), same)
     else:  # a source's rows are dealt over SALTS tasks
         salted = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__salt") == F.col("__salt_of"))).drop("__salt", "__salt_of")
-    u = uniform(F.col(key), seed=seed)
-    drawn = rated.withColumn("__n", F.when(F.col("rate") > 0, F.size(F.filter("cdf", lambda c: c <= u))).otherwise(F.lit(0))).drop("cdf", "__src")
+    draw = lambda *part: F.size(F.filter("cdf", lambda c: c <= uniform(F.col(key), *part, seed=seed)))
+    several = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + draw(part))
+    drawn = rated.withColumn("__n", F.when(F.col("parts") > 1, several).when(F.col("rate") > 0, draw()).otherwise(F.lit(0))).drop("cdf", "parts", "__src")
     copies = drawn.where(F.col("__n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long") - 1))).drop("__n")
     out = copies.withColumn("shuffle_key", uniform(F.col(key), F.col("copy"), seed=seed + 1))
     return out.repartitionByRange(F.col("shuffle_key"), F.col(key)).sortWithinPartitions("shuffle_key", key) if shuffle else out

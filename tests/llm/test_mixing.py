@@ -69,3 +69,36 @@ def test_edge_cases(spark):
     weights = spark.createDataFrame([("a", 1.0)], "source string, weight double")
     with pytest.raises(Exception, match="repetition rate"):
         M.replicate(frame(spark, [(1, "x", "a"), (2, "x" * 10_000, "b")]), weights=weights).collect()
+
+
+def test_small_sources_beside_a_large_one(spark, monkeypatch):
+    """Rates far over what one draw can do: copies are the sum over the parts, and their mean is the rate."""
+    rows = [(0, "x" * 4_000_000, "all"), *((i, "xx", "mid") for i in range(1, 4)), *((i, "x", "rare") for i in range(4, 6))]
+    own = {"all": 4_000_000, "mid": 6, "rare": 2}
+    rate = {s: n**0.5 / sum(v**0.5 for v in own.values()) * sum(own.values()) / n for s, n in own.items()}
+    assert M.ONE < rate["mid"] < rate["rare"]
+
+    def summed(key, r):
+        parts = 1 if r <= M.ONE else math.ceil(r / M.MOST)
+        return copies(key, r) if parts == 1 else sum(copies(f"{key}:{p}", r / parts) for p in range(1, parts + 1))
+
+    def counts():
+        out = M.replicate(frame(spark, rows), shuffle=False).groupBy("doc_id", "source", "rate").count().collect()
+        return {r.doc_id: (r.source, r["count"]) for r in out}
+
+    got_n = counts()
+    for k, _, s in rows:
+        want = summed(k, rate[s])
+        assert got_n.get(k, (s, 0)) == (s, want)
+        assert abs(want - rate[s]) < 6 * rate[s] ** 0.5 + 1
+    monkeypatch.setattr(M, "FEW", 0)
+    assert counts() == got_n
+
+
+def test_one_draw_up_to_the_rates_that_sql_can_do(spark):
+    """Between MOST and ONE the copies are those of the SQL's single draw."""
+    rows = [(0, "x" * 1_490_000, "all"), *((i, "x", "rare") for i in range(1, 5))]
+    rate = 2 / (1_490_000**0.5 + 2) * 1_490_004 / 4
+    assert M.MOST < rate < M.ONE
+    got_n = {r.doc_id: r["count"] for r in M.replicate(frame(spark, rows), shuffle=False).groupBy("doc_id").count().collect()}
+    assert {k: n for k, n in got_n.items() if k} == {k: copies(k, rate) for k in range(1, 5)}
