@@ -39,8 +39,8 @@ class Ids:
     """Token ids of texts by a tokenizer file, as bytes of little-endian unsigned 32-bit numbers.
 
     Texts of Latin letters without `<|` go through the same vocabulary as ranks, which gives the same ids in a quarter
-    of the time; all others (special tokens, scripts whose classes may differ between Unicode versions) through the
-    tokenizer file itself.
+    of the time; all others (special tokens, scripts whose classes may differ between Unicode versions, very long runs
+    of white space) through the tokenizer file itself.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -61,7 +61,7 @@ class Ids:
     def of(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if "<|" in text or UNUSUAL(text):
+            if "<|" in text or UNUSUAL(text) or len(text) >= RUN and LONG_RUN(text):
                 out.append(np.array(self._whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
                 out.append(self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes())
@@ -69,6 +69,9 @@ class Ids:
 
 
 UNUSUAL = re.compile("[^\x00-\u024f]").search
+#: Length of a run of white space that counts as very long: on about a million characters the pattern of the ranks gives up.
+RUN = 100_000
+LONG_RUN = re.compile(rf"(?<!\s)\s{{{RUN}}}").search
 
 
 @tidied

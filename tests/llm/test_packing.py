@@ -29,6 +29,11 @@ def test_special_tokens_in_texts():
         assert IDS.of([text])[0] == np.array(ids(text)[:-1], "<u4").tobytes()
 
 
+def test_runs_of_white_space_over_a_million():
+    for text in (" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", "a b" + "\t \n" * 400_000 + " c", "a\u00a0" + " " * 99_999 + "b", "x" + " " * 100_000):
+        assert IDS.of([text])[0] == np.array(ids(text)[:-1], "<u4").tobytes()
+
+
 def check(rows, got, capacity):
     """Pieces are those of the documents, sequences are gapless and within capacity."""
     want = []
