@@ -18,9 +18,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id; documents without an id stay."""
-    groups = jaccard_join.join(docs.select("doc_id", "text")).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked rows, the one with the smallest id; rows without an id are compared too and come last.
+
+    Rows are told apart by a number of their own, so repeated rows are a group, and texts under one id are not.
+    """
+    rows = cut(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard_join.join(rows.select("__row", "text"), key="__row").select("__row", "component_id")
+    facts = rows.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row").alias("place"))
+    members = cut(groups.join(facts, "__row"), "members")
+    first = members.groupBy("component_id").agg(F.min("place").alias("place")).select("place.__row")
+    return rows.join(members.join(first, "__row", "left_anti").select("__row"), "__row", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,16 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_policies_name_rules():
     assert all(set(p) <= {r.name for r in Q.RULES} for p in Q.POLICIES.values())
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    """Repeated rows, copies without an id, and two texts under one id, all over 400 bytes."""
+    text = [" ".join("word%d" % random.Random(1000 * i + j).randrange(10_000) for j in range(80)) for i in range(6)]
+    rows = [(1, text[0]), (1, text[0]), (1, text[0]), (None, text[1]), (2, text[1]), (None, text[2]), (None, text[2] + " tail"), (3, text[3]), (4, text[3]), (4, text[4]), (5, text[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    single = C.near_duplicates(spark, docs, str(tmp_path))
+    got = [(r.doc_id, r.text) for r in single.collect()]
+    kept = [x for x in got if x[0] is not None]
+    assert sorted(kept) == [(1, text[0]), (2, text[1]), (3, text[3]), (4, text[4]), (5, text[5])]
+    assert len(got) == 6 and [t for i, t in got if i is None][0] in (text[2], text[2] + " tail")
+    assert sorted((r.doc_id or 0, r.text) for r in C.repeated_passages(spark, single, str(tmp_path)).collect()) == sorted((i or 0, t) for i, t in got)
