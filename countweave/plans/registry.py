@@ -302,7 +302,7 @@ def _(spark, sf):
 @query("quantile_align")
 def _(spark, sf):
     e = _factors(spark, sf)
-    return align.quantile_align(e.select("dataset", "cell", F.transform(F.slice("h", 1, 8), F.abs).alias("h")), min_cells=3, max_sample=500)
+    return align.quantile_align(e.select("dataset", "cell", F.transform("h", F.abs).alias("h")), refine=20)
 
 
 @query("top_genes", f"""{_NORM} SELECT dataset AS factor, gene, value AS loading, r AS rank FROM (
