@@ -12,22 +12,27 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; where that is unset, a folder of this machine if Spark runs on it alone, as in tests, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (path or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="countweave-"))).rstrip("/")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        path = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="countweave-"))
+    return path.rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table of that folder, which goes when the driver ends."""
+def cut(df: DataFrame, what: str = "table") -> DataFrame:
+    """Write df as a table in the shared folder and read it back: a lost executor then costs no more than one step."""
     spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, "step")
+    path = new_path(spark, what)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # the table stands for the shuffle files of this step
     try:
