@@ -1,11 +1,9 @@
-"""What several operators share: cutting lineage in the shared folder, and hashing of words over whole Arrow batches."""
+"""What several operators share: Arrow batches, sieves, and hashing of words over whole batches. Lineage is cut by `session`."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,44 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..session import cut, new_path
+
 #: Bytes of text hashed in one numpy step.
 STEP = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) a local one for tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.conf.get("spark.countweave.shared", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="countweave-")
-            spark.conf.set("spark.countweave.shared", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def cut(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: a lost executor then costs no more than one step."""
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, what)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # the table stands for the shuffle files of this step
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
-
-
 #: Bytes of an Arrow batch between Spark and Python; rows are larger only if one text is.
 BATCH = 16 << 20
 _LIBC: list = []
@@ -88,7 +53,7 @@ BITS = 1 << 24
 
 
 def sieve(df: DataFrame, key: str, among: DataFrame, its: str) -> DataFrame:
-    """(df with __maybe): true for all rows whose integer key is among the keys of the other table, and for few others.
+    """(df with __maybe): true for all rows whose key is among the keys of the other table, and for few others.
 
     Saves the shuffle of rows that a join would drop. The bits are made by an aggregation and sent to all tasks.
     """

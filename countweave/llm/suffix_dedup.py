@@ -1,18 +1,21 @@
 """Removal of every byte covered by a long string that also starts elsewhere in the corpus.
 
-The collection Burrows-Wheeler order is built column by column: one symbol per text is put in each round, the order of
-the suffixes follows by a stable sort on the new symbols, and the common prefixes of neighbours by range minima. Over
-whole documents that takes as many rounds as the longest has bytes, each over everything put in before. So the
-documents are first cut where content says so:
+The Burrows-Wheeler transform of a collection is built column by column: a round puts in one symbol of each text, in the
+order of the suffixes behind it; that column is the round's part of the transform, its stable sort gives the order of
+the longer suffixes, and range minima give their common prefixes with their neighbours. Over whole documents that takes
+as many rounds as the longest has bytes, each over everything put in before. So the documents are first cut where
+content says so:
 
 1. Anchors: the K-grams whose hash is smallest in some window of LENGTH - K + 1 K-grams. A string of LENGTH bytes holds
    an anchor at a place that depends on the string only. The segment of an anchor reaches LENGTH - K bytes to its left
-   and LENGTH to its right, so it holds all strings with that anchor there.
+   and LENGTH to its right, so it holds all strings with that anchor there. In long periodic stretches, where every
+   place would be an anchor, those near the ends are enough: what lies inside is repeated by itself.
 2. Segments of equal content count once, with whether they occur twice. An anchor that occurs once, or only in equal
    segments, needs no comparing.
 3. The remaining segments, dealt by anchor, are aligned at it: strings that can be equal start in the same column. Each
-   task builds the order and the common prefixes of its collection from the last column to the first, reading the
-   columns in sequence from a file; a string is repeated if it has LENGTH bytes in common with a neighbour.
+   task builds the transform and the common prefixes of its collection from the last column to the first, through files
+   that it reads and writes in sequence; a string is repeated if it has LENGTH bytes in common with a neighbour.
+4. An anchor with more than HOT different segments is not held by one task: its strings are counted by their hashes.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, Poly, sieve, small_batches, steps, tidied, utf8, without
+from .common import cut, mix, Poly, sieve, small_batches, tidied, utf8, WHITE, without
 
 LENGTH = 400
 K = 160
-#: Segments in a collection (more only if one anchor has more), and bytes of columns that stay in memory.
-COLLECTION, IN_MEMORY = 20_000, 32 << 20
+#: Bytes of a repeated string, and words of the whole run, that make a repeated passage.
+PASSAGE = (200, 50)
+#: Segments in a collection, and different segments of one anchor that a task may hold.
+COLLECTION, HOT = 20_000, 4_000
 PAD = 0xFF  # no byte of UTF-8
-#: Anchors that a task holds to tell texts it has seen.
-SEEN = 200_000
+#: Anchors that a task holds to tell texts it has seen; bytes of a text that are searched at a time.
+SEEN, PART = 200_000, 1 << 20
 
 
 def _node(text: str) -> Column:
@@ -41,6 +46,12 @@ def _node(text: str) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
+def _row(key: str, node: Column) -> Column:
+    """128 bits out of the row's key and text."""
+    named = F.concat(node, F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
+    return F.unhex(F.md5(named))
+
+
 def _slide(x: np.ndarray, w: int, f: np.ufunc, fill: int) -> np.ndarray:
     """f over each w values in a row: two running passes over blocks of w."""
     n = len(x)
@@ -61,42 +72,88 @@ def anchors(hashes: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero(_slide(low, w, np.maximum, 0) == hashes)
 
 
+def thinned(places: np.ndarray, hashes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(places without those inside long periodic stretches, those stretches).
+
+    Anchors of one hash at equal distances of k / 2 at most show a period. In a stretch of more than 5 * length bytes each
+    string starts again a period further on; as the strings of all phases are also among those near its ends, other
+    texts' strings still find them there.
+    """
+    if len(places) < 3:
+        return places, []
+    gap = np.diff(places)
+    tied = (hashes[places[1:]] == hashes[places[:-1]]) & (gap <= k // 2)
+    alike = np.r_[False, tied[1:] & tied[:-1] & (gap[1:] == gap[:-1]), False]  # of gap i with gap i - 1
+    stay, stretches, i = np.ones(len(places), bool), [], 0
+    firsts = np.flatnonzero(alike[1:] & ~alike[:-1])  # the gap before the first one that is alike
+    lasts = np.flatnonzero(alike[:-1] & ~alike[1:])
+    for i, j in zip(firsts, lasts, strict=True):
+        begin, end = int(places[i]), int(places[j + 1]) + k
+        if end - begin > 5 * length:
+            stretches.append((begin, end))
+            stay[i : j + 2] &= (places[i : j + 2] < begin + 2 * length) | (places[i : j + 2] > end - 2 * length)
+    return places[stay], stretches
+
+
+def _parts(n: int, k: int, reach: int, far: int, part: int) -> Iterator[tuple[int, int, int, int]]:
+    """(begin, end, first, last) of the parts of a text of n bytes: anchors at first .. last - 1 see all they need in begin .. end."""
+    around = 2 * (reach + far + k)
+    for first in range(0, n - k + 1, part):
+        last = min(first + part, n - k + 1)
+        yield max(0, first - around), min(n, last + around), first, last
+
+
 @tidied
-def _find(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """A row (id, node) for each text and (id, null, anchor, segment, at) for each anchor of a text not yet seen in this task."""
-    poly, seen, w = Poly(5), set(), length - k + 1
+def _find(batches: Iterator[pa.RecordBatch], short: int, length: int, k: int, part: int = PART) -> Iterator[pa.RecordBatch]:
+    """A row (id, node) for each text, (id, null, anchor, segment, at) for each anchor of a text not yet seen in this task, and (id, null, null, null, at, until) for each periodic stretch."""
+    poly, seen, w, reach = Poly(5), set(), short - k + 1, short - k
     for batch in batches:
         ids, known = batch.column(0), batch.column(1).to_pylist()
         buf, at = utf8(batch.column(2))
-        for i, j, part, off in steps(buf, at):
-            with np.errstate(over="ignore"):
-                sums, out = None, []
-                for d in range(j - i):
-                    a, b = int(off[d]), int(off[d + 1])
-                    if b - a < length or known[i + d] in seen:
-                        continue
-                    if len(seen) < SEEN:
-                        seen.add(known[i + d])
-                    sums = poly.sums(part) if sums is None else sums
-                    begin = np.arange(a, b - k + 1)
+        out, stretches, held = [], [], 0
+
+        def close() -> pa.RecordBatch:
+            anchor, segment, place = (np.concatenate([o[c] for o in out]) for c in (0, 1, 3))
+            row = ids.take(pa.array(np.repeat([o[2] for o in out], [len(o[3]) for o in out])))
+            return pa.RecordBatch.from_arrays([row, pa.nulls(len(row), pa.binary()), pa.array(anchor), pa.array(segment), pa.array(place), pa.nulls(len(row), pa.int64())], FOUND)
+
+        for d, node in enumerate(known):
+            data = buf[at[d] : at[d + 1]]
+            if len(data) < short or node in seen:
+                continue
+            if len(seen) < SEEN:
+                seen.add(node)
+            for a, b, first, last in _parts(len(data), k, reach, length, part):
+                with np.errstate(over="ignore"):
+                    sums = poly.sums(data[a:b])
+                    begin = np.arange(b - a - k + 1)
                     hashes = poly.pieces(sums, begin, begin + k)
-                    places = anchors(hashes, w)
-                    x, y = np.maximum(begin[places] - (length - k), a), np.minimum(begin[places] + length, b)
-                    segment = mix(poly.pieces(sums, x, y) ^ (begin[places] - x).astype(np.uint64))
-                    out.append((hashes[places].view(np.int64), segment.view(np.int64), i + d, places))
-            if out:
-                anchor, segment, place = (np.concatenate([o[c] for o in out]) for c in (0, 1, 3))
-                row = ids.take(pa.array(np.repeat([o[2] for o in out], [len(o[3]) for o in out])))
-                yield pa.RecordBatch.from_arrays([row, pa.nulls(len(row), pa.binary()), pa.array(anchor), pa.array(segment), pa.array(place)], FOUND)
+                    places, periodic = thinned(anchors(hashes, w), hashes, length, k)
+                    stretches += [(d, a + x, a + y) for x, y in periodic]
+                    places = places[(places >= first - a) & (places < last - a)]
+                    x, y = np.maximum(places - reach, 0), np.minimum(places + length, b - a)
+                    segment = mix(poly.pieces(sums, x, y) ^ (places - x).astype(np.uint64))
+                out.append((hashes[places].view(np.int64), segment.view(np.int64), d, places + a))
+                held += len(places)
+            if held > 200_000:
+                yield close()
+                out, held = [], 0
+        if out:
+            yield close()
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, batch.column(1), none, none, none], FOUND)
+        yield pa.RecordBatch.from_arrays([ids, batch.column(1), none, none, none, none], FOUND)
+        if stretches:
+            none = pa.nulls(len(stretches), pa.int64())
+            d, x, y = (pa.array(c, pa.int64()) for c in zip(*stretches, strict=True))
+            yield pa.RecordBatch.from_arrays([ids.take(d), pa.nulls(len(d), pa.binary()), none, none, x, y], FOUND)
 
 
-FOUND = ["id", "node", "anchor", "segment", "at"]
+FOUND = ["id", "node", "anchor", "segment", "at", "until"]
+FOUND_SCHEMA = "id binary, node binary, anchor long, segment long, at long, until long"
 
 
 @tidied
-def _segments(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], short: int, length: int, k: int) -> Iterator[pa.RecordBatch]:
     """(anchor, segment, twice, left, bytes) for rows (text, wanted) with wanted: an array of (at, anchor, segment, twice)."""
     for batch in batches:
         buf, at = utf8(batch.column(0))
@@ -104,10 +161,40 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterato
             text = buf[at[d] : at[d + 1]].tobytes()
             rows = []
             for x in wanted:
-                begin = max(0, x["at"] - (length - k))
+                begin = max(0, x["at"] - (short - k))
                 rows.append((x["anchor"], x["segment"], x["twice"], x["at"] - begin, text[begin : x["at"] + length]))
             for r in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[r : r + 5000], strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["anchor", "segment", "twice", "left", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[r : r + 5000], strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], SEGMENT)
+
+
+SEGMENT = ["anchor", "segment", "twice", "left", "bytes"]
+SEGMENT_SCHEMA = "anchor long, segment long, twice boolean, left long, bytes binary"
+
+
+@tidied
+def _strings(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """(anchor, segment, level, start, away, hash) of all strings that hold the anchor, `away` bytes from their start, for rows like those of `_segments`; start counts from the segment's first byte."""
+    poly = Poly(9)
+    for batch in batches:
+        buf, at = utf8(batch.column(4))
+        left = batch.column(3).to_numpy()
+        with np.errstate(over="ignore"):
+            sums = poly.sums(buf)
+            for level, length in enumerate(lengths):
+                last = np.minimum(left, np.diff(at) - length)  # the string holds the anchor and ends with the segment
+                n = np.maximum(last + 1, 0)
+                row = np.repeat(np.arange(len(n)), n)
+                start = np.arange(int(n.sum())) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+                begin = at[row] + start
+                hashes = poly.pieces(sums, begin, begin + length).view(np.int64)
+                away = left[row] - start
+                for i in range(0, len(row), 100_000):
+                    s = slice(i, i + 100_000)
+                    taken = pa.array(row[s])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(np.full(len(taken), level, np.int32)), pa.array(start[s]), pa.array(away[s]), pa.array(hashes[s])], ["anchor", "segment", "level", "start", "away", "hash"])
+
+
+STRING_SCHEMA = "anchor long, segment long, level int, start long, away long, hash long"
 
 
 def _range_least(d: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -128,61 +215,88 @@ def _range_least(d: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return out
 
 
-def repeated_columns(columns: np.ndarray, length: int, wanted: int) -> np.ndarray:
-    """For a (columns x texts) matrix of symbols: in which of the first `wanted` columns a text's string of `length` symbols equals another's there.
+class Rounds:
+    """The files of one collection of n texts of `width` symbols: columns (the last one first), the transform, and the order and common prefixes of the round before and of this one."""
 
-    columns is read row by row from its end; nothing but the order and the common prefixes is kept between rounds.
+    def __init__(self, n: int, width: int):
+        self.n, self.width = n, width
+        self.columns, self.transform, *self.states = (tempfile.TemporaryFile() for _ in range(4))
+        self.columns.truncate(n * width)
+
+    def put(self, at: int, block: np.ndarray) -> None:
+        """Texts at, at + 1 .. as rows of `block`."""
+        columns = np.memmap(self.columns, np.uint8, "r+", shape=(self.width, self.n))
+        columns[:, at : at + len(block)] = block[:, ::-1].T
+
+    def close(self) -> None:
+        for file in (self.columns, self.transform, *self.states):
+            file.close()
+
+
+def repeated_columns(rounds: Rounds, lengths: tuple[int, ...], wanted: int) -> np.ndarray:
+    """(length, column, text): whether a text's string of that many symbols equals another's in one of the first `wanted` columns.
+
+    A round reads the next column and the state of the last round, appends its part to the transform, and writes the
+    new state. A round's arrays, one number for each text, are all that is in memory.
     """
-    width, n = columns.shape
-    order, common = np.arange(n), np.zeros(n, np.uint16)
-    found = np.zeros((wanted, n), bool)
+    n, width, most = rounds.n, rounds.width, max(lengths)
+    found = np.zeros((len(lengths), wanted, n), bool)
+    rounds.columns.flush()
+    rounds.columns.seek(0)
+    before, after = rounds.states
+    np.arange(n, dtype=np.uint32).tofile(before)
+    np.zeros(n, np.uint16).tofile(before)
     for c in range(width - 1, -1, -1):
-        symbols = np.asarray(columns[c])[order]
-        turn = np.argsort(symbols, kind="stable")
+        before.seek(0)
+        after.seek(0)
+        column = np.fromfile(rounds.columns, np.uint8, n)
+        order, common = np.fromfile(before, np.uint32, n), np.fromfile(before, np.uint16, n)
+        symbols = column[order]
+        symbols.tofile(rounds.transform)
+        turn = np.argsort(symbols, kind="stable")  # the transform's own step from a symbol to the suffix it begins
         symbols = symbols[turn]
         same = np.flatnonzero(symbols[1:] == symbols[:-1]) + 1
         new = np.zeros(n, np.uint16)
-        new[same] = np.minimum(_range_least(common, turn[same - 1], turn[same]) + 1, length)
-        order, common = order[turn], new
+        new[same] = np.minimum(_range_least(common, turn[same - 1], turn[same]) + 1, most)
+        order = order[turn]
+        order.tofile(after)
+        new.tofile(after)
+        before, after = after, before
         if c < wanted:
-            hit = common >= length
-            hit[:-1] |= hit[1:]
-            found[c, order[hit]] = True
+            for level, length in enumerate(lengths):
+                hit = new >= length
+                hit[:-1] |= hit[1:]
+                found[level, c, order[hit]] = True
     return found
 
 
 @tidied
-def _collect(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, runs): the bytes of each segment, from its start, that repeated strings cover. Rows come sorted by anchor."""
-    reach, width = length - k, 2 * length - k
+def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int) -> Iterator[pa.RecordBatch]:
+    """(anchor, segment, level, runs): the bytes of each segment, from its start, that repeated strings of lengths[level] cover. Rows come sorted by anchor."""
+    reach, width = min(lengths) - k, min(lengths) - k + max(lengths)
     rows: list[tuple] = []
 
     def close() -> pa.RecordBatch:
         part = rows.copy()
         rows.clear()
-        n = len(part)
-        with tempfile.TemporaryFile() as file:
-            if n * width > IN_MEMORY:
-                file.truncate(n * width)
-                columns = np.memmap(file, np.uint8, "r+", shape=(width, n))
-            else:
-                columns = np.empty((width, n), np.uint8)
-            for i in range(0, n, 4096):
-                block = np.full((min(4096, n - i), width), PAD, np.uint8)
-                for r, (_, _, _, left, text) in enumerate(part[i : i + 4096]):
-                    block[r, reach - left : reach - left + len(text)] = np.frombuffer(text, np.uint8)
-                columns[:, i : i + 4096] = block.T
-            found = repeated_columns(columns, length, reach + 1)
-            del columns
+        rounds = Rounds(len(part), width)
+        for i in range(0, len(part), 4096):
+            block = np.full((min(4096, len(part) - i), width), PAD, np.uint8)
+            for r, (_, _, _, left, text) in enumerate(part[i : i + 4096]):
+                block[r, reach - left : reach - left + len(text)] = np.frombuffer(text, np.uint8)
+            rounds.put(i, block)
+        found = repeated_columns(rounds, lengths, reach + 1)
+        rounds.close()
         out = []
         for r, (anchor, segment, twice, left, text) in enumerate(part):
-            first, last = reach - left, min(reach, reach - left + len(text) - length)
-            if last < first:
-                continue
-            at = np.arange(first, last + 1) if twice else first + np.flatnonzero(found[first : last + 1, r])
-            if len(at):
-                out.append((anchor, segment, _runs(at - first, length)))
-        return _covered(out)
+            for level, length in enumerate(lengths):
+                first, last = reach - left, min(reach, reach - left + len(text) - length)
+                if last >= first:
+                    at = np.arange(first, last + 1) if twice else first + np.flatnonzero(found[level, first : last + 1, r])
+                    if len(at):
+                        out.append((anchor, segment, level, _runs(at - first, length)))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], COVERED)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -195,103 +309,155 @@ def _collect(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator
         yield close()
 
 
+COVERED = ["anchor", "segment", "level", "runs"]
+COVERED_SCHEMA = "anchor long, segment long, level int, runs array<array<long>>"
+
+
 def _runs(places: np.ndarray, length: int) -> list[list[int]]:
     """[begin, end] of the maximal runs that strings of `length` at these sorted places cover."""
     cuts = np.flatnonzero(np.diff(places) > length) + 1
     return [[int(x[0]), int(x[-1]) + length] for x in np.split(places, cuts)]
 
 
-def _covered(rows: list[tuple]) -> pa.RecordBatch:
-    kind = pa.list_(pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], kind)], ["anchor", "segment", "runs"])
+def _merged(runs: list | None, level: int, n: int) -> list[list[int]]:
+    """The maximal runs of this level among [level, begin, end], in order and within n bytes."""
+    out: list[list[int]] = []
+    for x, y in sorted((x, min(y, n)) for of, x, y in runs or () if of == level):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return out
+
+
+def passages(data: np.ndarray, runs: list[list[int]], least: int) -> list[list[int]]:
+    """Of the runs of bytes those that hold `least` words or more, words that they cut through included, less those parts of words."""
+    out = []
+    for x, y in runs:
+        inside = ~WHITE[data[x:y]]
+        if np.count_nonzero(inside[1:] & ~inside[:-1]) + inside[:1].sum() >= least:
+            white = np.r_[x == 0 or WHITE[data[x - 1]], ~inside, y == len(data) or WHITE[data[y]]]
+            edges = np.flatnonzero(white)
+            if edges[0] < edges[-1]:
+                out.append([x + int(edges[0]), x + int(edges[-1]) - 1])
+    return out
+
+
+def _without(data: np.ndarray, spans: list[list[int]], gap: bytes = b"") -> bytes:
+    """data without the spans; `gap` takes a span's place where it stood between other bytes and no white space is left."""
+    at, out = 0, []
+    for x, y in spans:
+        out.append(data[at:x].tobytes())
+        if gap and 0 < x and y < len(data) and not (WHITE[data[x - 1]] or WHITE[data[y]]):
+            out.append(gap)
+        at = y
+    return b"".join([*out, data[at:].tobytes()])
 
 
 @tidied
-def _strip(batches: Iterator[pa.RecordBatch], text: str, length: int) -> Iterator[pa.RecordBatch]:
-    """Adds kept (bytes), n_bytes and spans (maximal removed runs) to rows that carry __node, __twice and __runs."""
+def _strip(batches: Iterator[pa.RecordBatch], text: str, length: int, passage: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+    """Adds the outputs to rows that carry __twice and __runs."""
+    spans_type = pa.list_(pa.list_(pa.int64()))
     for batch in batches:
         names = batch.schema.names
         buf, at = utf8(batch.column(names.index(text)))
-        twice = batch.column(names.index("__twice")).to_pylist()
-        runs = batch.column(names.index("__runs")).to_pylist()
-        kept, spans = [], []
+        twice, runs = batch.column(names.index("__twice")).to_pylist(), batch.column(names.index("__runs")).to_pylist()
+        kept, spans, clean, found = [], [], [], []
         for r in range(batch.num_rows):
             data = buf[at[r] : at[r + 1]]
             n = len(data)
-            if twice[r] and n >= length:
-                pieces = [[0, n]]
-            elif runs[r]:
-                pieces = []
-                for x, y in sorted(runs[r]):
-                    y = min(y, n)
-                    if pieces and x <= pieces[-1][1]:
-                        pieces[-1][1] = max(pieces[-1][1], y)
-                    else:
-                        pieces.append([x, y])
-            else:
-                pieces = []
-            if pieces:
-                stay = np.ones(n, bool)
-                for x, y in pieces:
-                    stay[x:y] = False
-                data = data[stay]
-            kept.append(data.tobytes())
-            spans.append(pieces)
+            whole = [[0, n]] if twice[r] else None
+            spans.append(whole if whole and n >= length else _merged(runs[r], 0, n))
+            kept.append(_without(data, spans[-1]))
+            if passage:
+                long = whole if whole and n >= passage[0] else _merged(runs[r], 1 if passage[0] != length else 0, n)
+                found.append(passages(data, long, passage[1]))
+                clean.append(_without(data, found[-1], b" ").decode("utf-8", "ignore") if found[-1] else None)
         columns = [c for name, c in zip(names, batch.columns, strict=True) if not name.startswith("__")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(np.diff(at)), pa.array(spans, pa.list_(pa.list_(pa.int64())))], [*(x for x in names if not x.startswith("__")), *STRIPPED])
+        made = [pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(np.diff(at)), pa.array(spans, spans_type)]
+        if passage:
+            made += [pa.array(found, spans_type), pa.array(clean, pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, *made], [*(x for x in names if not x.startswith("__")), *STRIPPED[: len(made)]])
 
 
-STRIPPED = ["kept", "kept_text", "n_bytes", "spans"]
+STRIPPED = ["kept", "kept_text", "n_bytes", "spans", "passages", "clean_text"]
+STRIPPED_SCHEMA = ["kept binary", "kept_text string", "n_bytes long", "spans array<array<long>>", "passages array<array<long>>", "clean_text string"]
 
 
-def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
+def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int | None = None, passage: tuple[int, int] | None = None, hot: int = HOT) -> DataFrame:
     """df with kept (the remaining bytes), kept_text (the same without what is left of characters that were cut), n_bytes (of the whole text) and spans (array of [begin, end), removed, maximal).
 
     Texts are UTF-8 bytes, null is empty. Every byte of a `length`-byte string that also starts elsewhere, in this or
     another row, goes; both places lose it. Texts under `length` bytes stay whole. Equal texts of `length` bytes or
     more go whole. Rows with null or repeated keys are rows like others: keys only speed up the search. An empty table
-    gives no rows; input columns named like an output are replaced. Anchors and segments are compared by 64-bit hashes
-    over the whole corpus, texts by 128-bit ones.
+    gives no rows; input columns named like an output are replaced.
+
+    passage: (bytes, words), bytes <= length: adds passages (the maximal runs of repeated strings of so many bytes that
+    hold so many words or more, cut back to whole words) and clean_text (the text without them, a space where words
+    would meet; null where there is none). Both come out of the same rounds.
+
+    Segments and strings are compared by two 64-bit hashes, that of the anchor and their own, over the whole corpus;
+    rows and texts by 128-bit ones. k: bytes of an anchor, by default two fifths of the shortest string.
     """
+    lengths = (length,) if passage is None or passage[0] == length else (length, passage[0])
+    short, length = min(lengths), max(lengths)
+    k = k or max(8, short * K // LENGTH)
     df = without(df, STRIPPED)
     small_batches(df.sparkSession)
     # Rows of one id hold the same key and text, so one of them stands for all.
     node = _node(text)
-    texts = df.select(F.xxhash64(F.col(key), node).alias("id"), node.alias("node"), F.col(text).alias("text"))
-    facts = cut(texts.mapInArrow(lambda it: _find(it, length, k), "id long, node binary, anchor long, segment long, at long"), "anchors")
-    rows = facts.where("anchor IS NULL").select("id", "node")
+    texts = df.select(_row(key, node).alias("id"), node.alias("node"), F.col(text).alias("text"))
+    facts = cut(texts.mapInArrow(lambda it: _find(it, short, length, k), FOUND_SCHEMA), "anchors")
+    rows = facts.where("node IS NOT NULL").select("id", "node")
     copied = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
     copies = rows.join(copied, "node", "left_semi").select("id").distinct().withColumn("twice", F.lit(True))
     found = facts.where("anchor IS NOT NULL").select("id", "anchor", "segment", "at")
-    # Equal segments first, then equal anchors: hot ones shrink before they are dealt.
-    place = F.xxhash64("id", "at")
-    segments = found.groupBy("anchor", "segment").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.first("id").alias("id"), F.first("at").alias("at"))
-    segments = segments.withColumn("twice", F.col("x") != F.col("y")).drop("x", "y")
+    known = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "known")
+    likely = sieve(found, "anchor", known, "anchor").where("__maybe").drop("__maybe")
+    # Equal segments first, then equal anchors: hot ones shrink before they are dealt. A row that is there twice counts twice.
+    segments = likely.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.first(F.struct("id", "at")).alias("one"))
+    segments = segments.select("anchor", "segment", "one.id", "one.at", (F.col("times") > 1).alias("twice"))
     number = segments.groupBy("anchor").agg(F.count("*").alias("n"))
     segments = cut(segments.join(number, "anchor").where("n > 1 OR twice"), "segments")
-    alone = segments.where("n = 1").select("anchor", "segment", F.lit(None).cast("array<array<long>>").alias("runs"))
-    asked = segments.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "segment", "twice")).alias("wanted"))  # of one text each
-    asked = cut(asked, "asked")
-    cut_out = sieve(texts.select("id", "text"), "id", asked, "id").where("__maybe").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _segments(it, length, k), "anchor long, segment long, twice boolean, left long, bytes binary")
-    covered = cut(
-        cut_out.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(lambda it: _collect(it, length, k), "anchor long, segment long, runs array<array<long>>").unionByName(alone),
-        "covered",
-    )
-    begin = F.greatest(F.col("at") - (length - k), F.lit(0).cast("long"))
-    whole = F.array(F.array(begin, F.col("at") + length))  # cut to the text's end below
-    moved = F.transform("runs", lambda r: F.transform(r, lambda x: x + begin))
-    runs = found.join(covered, ["anchor", "segment"]).select("id", F.coalesce(moved, whole).alias("runs"))
-    runs = runs.groupBy("id").agg(F.flatten(F.collect_set("runs")).alias("__runs"))  # of one text each
+    alone = segments.where("n = 1").select("anchor", "segment", F.explode(F.array(*[F.lit(i) for i in range(len(lengths))])).alias("level"), F.lit(None).cast("array<array<long>>").alias("runs"))
+
+    def cut_out(some: DataFrame) -> DataFrame:
+        """The bytes of these segments."""
+        asked = cut(some.groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "segment", "twice")).alias("wanted")), "asked")  # of one text each
+        return sieve(texts.select("id", "text"), "id", asked, "id").where("__maybe").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _segments(it, short, length, k), SEGMENT_SCHEMA)
+
+    dealt = cut_out(segments.where((F.col("n") > 1) & (F.col("n") <= hot))).repartition("anchor").sortWithinPartitions("anchor", "segment")
+    covered = dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA).unionByName(alone)
+    crowded = segments.where(F.col("n") > hot)
+    if not crowded.isEmpty():
+        strings = cut(cut_out(crowded).mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA), "strings").distinct()
+        again = strings.groupBy("anchor", "level", "away", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        of = F.element_at(F.array(*[F.lit(x) for x in lengths]), F.col("level") + 1)
+        hits = strings.join(again, ["anchor", "level", "away", "hash"]).select("anchor", "segment", "level", F.array("start", F.col("start") + of).alias("run"))
+        counted = hits.groupBy("anchor", "segment", "level").agg(F.collect_list("run").alias("runs"))  # of one segment each
+        twice = crowded.where("twice").select("anchor", "segment", F.explode(F.array(*[F.lit(i) for i in range(len(lengths))])).alias("level"), F.lit(None).cast("array<array<long>>").alias("runs"))
+        covered = covered.unionByName(counted).unionByName(twice)
+    covered = cut(covered, "covered")
+    begin = F.greatest(F.col("at") - (short - k), F.lit(0).cast("long"))
+    whole = F.array(F.array(F.col("level").cast("long"), begin, F.col("at") + length))  # cut to the text's end below
+    moved = F.transform("runs", lambda r: F.array(F.col("level").cast("long"), r[0] + begin, r[1] + begin))
+    met = sieve(found, "segment", covered, "segment").where("__maybe").drop("__maybe")
+    runs = met.join(covered, ["anchor", "segment"]).select("id", F.coalesce(moved, whole).alias("runs"))
+    levels = [F.lit(i).cast("long") for i in range(len(lengths))]
+    stretched = facts.where("until IS NOT NULL").select("id", F.array(*[F.array(i, "at", "until") for i in levels]).alias("runs"))
+    runs = runs.unionByName(stretched).groupBy("id").agg(F.flatten(F.collect_set("runs")).alias("__runs"))  # of one text each
     marks = cut(runs.join(copies, "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs"), "marks")
-    tagged = sieve(df.withColumn("__id", F.xxhash64(F.col(key), node)), "__id", marks, "__m")
+    tagged = sieve(df.withColumn("__id", _row(key, node)), "__id", marks, "__m")
     changed = tagged.where("__maybe").join(marks, F.col("__id") == F.col("__m"), "left").drop("__m", "__id", "__maybe")
     whole = tagged.where("NOT __maybe").drop("__id", "__maybe").withColumns({"__twice": F.lit(None).cast("boolean"), "__runs": F.lit(None).cast("array<array<long>>")})
     tagged = changed.unionByName(whole)
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "kept binary, kept_text string, n_bytes long, spans array<array<long>>"])
-    return tagged.mapInArrow(lambda it: _strip(it, text, length), kinds)
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *STRIPPED_SCHEMA[: 6 if passage else 4]])
+    return tagged.mapInArrow(lambda it: _strip(it, text, lengths[0], passage), kinds)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and text: the documents without repeated passages (PASSAGE), which may be shorter than the contract's strings."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    return strip(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.coalesce("clean_text", "text").alias("text")
+    return strip(docs, passage=PASSAGE).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), text)
