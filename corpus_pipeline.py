@@ -31,10 +31,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated bytes; bytes of a character that was cut through go too, and so do documents of which nothing is left."""
-    stripped = suffix_dedup.strip(docs.select(*COLUMNS))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    left = stripped.where("n_bytes = 0 OR kept_text != ''").withColumn("text", text)
+    """Documents without their passages of 50 words or more that stand elsewhere too; documents of which no word is left go."""
+    passage = suffix_dedup.PASSAGE
+    stripped = suffix_dedup.strip(docs.select(*COLUMNS), length=passage[0], passage=passage)
+    some = F.col("clean_text").isNull() | F.col("clean_text").rlike(r"[^ \x09-\x0D]")
+    left = stripped.where(some).withColumn("text", F.coalesce("clean_text", "text"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
