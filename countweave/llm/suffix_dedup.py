@@ -35,7 +35,7 @@ K = 160
 #: Bytes of a repeated string, and words of the whole run, that make a repeated passage.
 PASSAGE = (200, 50)
 #: Segments in a collection, and different segments of one anchor that a task may hold.
-COLLECTION, HOT = 20_000, 4_000
+COLLECTION, HOT = 20_000, 20_000
 PAD = 0xFF  # no byte of UTF-8
 #: Anchors that a task holds to tell texts it has seen; bytes of a text that are searched at a time.
 SEEN, PART = 200_000, 1 << 20
@@ -173,28 +173,25 @@ SEGMENT_SCHEMA = "anchor long, segment long, twice boolean, left long, bytes bin
 
 @tidied
 def _strings(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, level, start, away, hash) of all strings that hold the anchor, `away` bytes from their start, for rows like those of `_segments`; start counts from the segment's first byte."""
+    """(anchor, segment, level, hashes) for rows like those of `_segments`: of the strings that hold the anchor, from the segment's first byte on, hashes of what they are and of where in them it is."""
     poly = Poly(9)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
     for batch in batches:
         buf, at = utf8(batch.column(4))
-        left = batch.column(3).to_numpy()
+        names, left, out = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(3).to_numpy(), []
         with np.errstate(over="ignore"):
             sums = poly.sums(buf)
             for level, length in enumerate(lengths):
-                last = np.minimum(left, np.diff(at) - length)  # the string holds the anchor and ends with the segment
-                n = np.maximum(last + 1, 0)
-                row = np.repeat(np.arange(len(n)), n)
-                start = np.arange(int(n.sum())) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-                begin = at[row] + start
-                hashes = poly.pieces(sums, begin, begin + length).view(np.int64)
-                away = left[row] - start
-                for i in range(0, len(row), 100_000):
-                    s = slice(i, i + 100_000)
-                    taken = pa.array(row[s])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(np.full(len(taken), level, np.int32)), pa.array(start[s]), pa.array(away[s]), pa.array(hashes[s])], ["anchor", "segment", "level", "start", "away", "hash"])
+                for r, name in enumerate(names):
+                    n = min(int(left[r]), int(at[r + 1] - at[r]) - length) + 1  # the string holds the anchor and ends with the segment
+                    if n > 0:
+                        begin = int(at[r]) + np.arange(n)
+                        out.append((*name, level, mix(poly.pieces(sums, begin, begin + length) ^ (left[r] - np.arange(n)).astype(np.uint64)).view(np.int64)))
+        for i in range(0, len(out), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000], strict=True), kinds, strict=True)], ["anchor", "segment", "level", "hashes"])
 
 
-STRING_SCHEMA = "anchor long, segment long, level int, start long, away long, hash long"
+STRING_SCHEMA = "anchor long, segment long, level int, hashes array<long>"
 
 
 def _range_least(d: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -430,10 +427,12 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     covered = dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA).unionByName(alone)
     crowded = segments.where(F.col("n") > hot)
     if not crowded.isEmpty():
-        strings = cut(cut_out(crowded).mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA), "strings").distinct()
-        again = strings.groupBy("anchor", "level", "away", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        bytes_ = cut_out(crowded).dropDuplicates(["anchor", "segment"])  # of repeated rows
+        strings = cut(bytes_.mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA), "strings").select("anchor", "segment", "level", F.posexplode("hashes").alias("start", "hash"))
+        again = cut(strings.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
         of = F.element_at(F.array(*[F.lit(x) for x in lengths]), F.col("level") + 1)
-        hits = strings.join(again, ["anchor", "level", "away", "hash"]).select("anchor", "segment", "level", F.array("start", F.col("start") + of).alias("run"))
+        hits = sieve(strings, "hash", again, "hash").where("__maybe").join(again, ["anchor", "hash"])
+        hits = hits.select("anchor", "segment", "level", F.array(F.col("start").cast("long"), F.col("start") + of.cast("long")).alias("run"))
         counted = hits.groupBy("anchor", "segment", "level").agg(F.collect_list("run").alias("runs"))  # of one segment each
         twice = crowded.where("twice").select("anchor", "segment", F.explode(F.array(*[F.lit(i) for i in range(len(lengths))])).alias("level"), F.lit(None).cast("array<array<long>>").alias("runs"))
         covered = covered.unionByName(counted).unionByName(twice)
