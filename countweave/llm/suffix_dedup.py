@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, Poly, sieve, small_batches, tidied, utf8, WHITE, without
+from .common import cut, mix, Poly, sieve, small_batches, steps, tidied, utf8, WHITE, without
 
 LENGTH = 400
 K = 160
 #: Bytes of a repeated string, and words of the whole run, that make a repeated passage.
-PASSAGE = (200, 50)
+PASSAGE = (240, 50)
 #: Segments in a collection, and different segments of one anchor that a task may hold.
 COLLECTION, HOT = 20_000, 20_000
 PAD = 0xFF  # no byte of UTF-8
@@ -52,24 +53,20 @@ def _row(key: str, node: Column) -> Column:
     return F.unhex(F.md5(named))
 
 
-def _slide(x: np.ndarray, w: int, f: np.ufunc, fill: int) -> np.ndarray:
-    """f over each w values in a row: two running passes over blocks of w."""
-    n = len(x)
-    m = -(-n // w) * w
-    padded = np.full(m, fill, x.dtype)
-    padded[:n] = x
-    blocks = padded.reshape(-1, w)
-    ahead = f.accumulate(blocks, axis=1).ravel()
-    back = f.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(back[: n - w + 1], ahead[w - 1 : n])
+def _slide(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
+    """f over each w values in a row, by doubling."""
+    now, wide = x, 1
+    while 2 * wide <= w:
+        now, wide = f(now[:-wide], now[wide:]), 2 * wide
+    return f(now[: len(x) - w + 1], now[w - wide : w - wide + len(x) - w + 1])
 
 
-def anchors(hashes: np.ndarray, w: int) -> np.ndarray:
-    """Places that are smallest in some window of w; with ties, all of them."""
-    least = _slide(hashes, w, np.minimum, np.iinfo(hashes.dtype).max)
+def anchors(hashes: np.ndarray, w: int, fits: np.ndarray | None = None) -> np.ndarray:
+    """Places that are smallest in some window of w; with ties, all of them. fits: at which places a window may begin."""
+    least = _slide(hashes, w, np.minimum)
     low = np.full(len(hashes) + w - 1, 0, hashes.dtype)
-    low[w - 1 : w - 1 + len(least)] = least
-    return np.flatnonzero(_slide(low, w, np.maximum, 0) == hashes)
+    low[w - 1 : w - 1 + len(least)] = least if fits is None else np.where(fits[: len(least)], least, 0)
+    return np.flatnonzero(_slide(low, w, np.maximum) == hashes)
 
 
 def thinned(places: np.ndarray, hashes: np.ndarray, length: int, k: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -103,49 +100,56 @@ def _parts(n: int, k: int, reach: int, far: int, part: int) -> Iterator[tuple[in
         yield max(0, first - around), min(n, last + around), first, last
 
 
+def _search(poly: Poly, data: np.ndarray, off: np.ndarray, short: int, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(places, hashes of the anchors and of the segments there, periodic stretches) of texts that stand one after the other."""
+    w, reach = short - k + 1, short - k
+    if len(data) < short:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), []
+    with np.errstate(over="ignore"):
+        sums = poly.sums(data)
+        begin = np.arange(len(data) - k + 1)
+        hashes = (sums[k:] - sums[:-k]) * poly.down[: len(begin)]  # not mixed: the order of the upper bits will do
+        room = np.repeat(off[1:], np.diff(off))[: len(begin)] - begin
+        places, stretches = thinned(anchors(hashes, w, room >= short), hashes, length, k)
+        of = np.searchsorted(off, places, "right") - 1
+        x, y = np.maximum(places - reach, off[of]), np.minimum(places + length, off[of + 1])
+        return places, mix(hashes[places]), mix(poly.pieces(sums, x, y) ^ (places - x).astype(np.uint64)), stretches
+
+
 @tidied
 def _find(batches: Iterator[pa.RecordBatch], short: int, length: int, k: int, part: int = PART) -> Iterator[pa.RecordBatch]:
     """A row (id, node) for each text, (id, null, anchor, segment, at) for each anchor of a text not yet seen in this task, and (id, null, null, null, at, until) for each periodic stretch."""
-    poly, seen, w, reach = Poly(5), set(), short - k + 1, short - k
+    poly, seen, reach = Poly(5), set(), short - k
     for batch in batches:
         ids, known = batch.column(0), batch.column(1).to_pylist()
         buf, at = utf8(batch.column(2))
-        out, stretches, held = [], [], 0
-
-        def close() -> pa.RecordBatch:
-            anchor, segment, place = (np.concatenate([o[c] for o in out]) for c in (0, 1, 3))
-            row = ids.take(pa.array(np.repeat([o[2] for o in out], [len(o[3]) for o in out])))
-            return pa.RecordBatch.from_arrays([row, pa.nulls(len(row), pa.binary()), pa.array(anchor), pa.array(segment), pa.array(place), pa.nulls(len(row), pa.int64())], FOUND)
-
-        for d, node in enumerate(known):
-            data = buf[at[d] : at[d + 1]]
-            if len(data) < short or node in seen:
-                continue
-            if len(seen) < SEEN:
-                seen.add(node)
-            for a, b, first, last in _parts(len(data), k, reach, length, part):
-                with np.errstate(over="ignore"):
-                    sums = poly.sums(data[a:b])
-                    begin = np.arange(b - a - k + 1)
-                    hashes = poly.pieces(sums, begin, begin + k)
-                    places, periodic = thinned(anchors(hashes, w), hashes, length, k)
-                    stretches += [(d, a + x, a + y) for x, y in periodic]
-                    places = places[(places >= first - a) & (places < last - a)]
-                    x, y = np.maximum(places - reach, 0), np.minimum(places + length, b - a)
-                    segment = mix(poly.pieces(sums, x, y) ^ (places - x).astype(np.uint64))
-                out.append((hashes[places].view(np.int64), segment.view(np.int64), d, places + a))
-                held += len(places)
-            if held > 200_000:
-                yield close()
-                out, held = [], 0
-        if out:
-            yield close()
         none = pa.nulls(batch.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays([ids, batch.column(1), none, none, none, none], FOUND)
-        if stretches:
-            none = pa.nulls(len(stretches), pa.int64())
-            d, x, y = (pa.array(c, pa.int64()) for c in zip(*stretches, strict=True))
-            yield pa.RecordBatch.from_arrays([ids.take(d), pa.nulls(len(d), pa.binary()), none, none, x, y], FOUND)
+        fresh = np.zeros(batch.num_rows, bool)
+        for d, node in enumerate(known):
+            fresh[d] = at[d + 1] - at[d] >= short and node not in seen
+            if fresh[d] and len(seen) < SEEN:
+                seen.add(node)
+        for i, j, data, off in steps(buf, at, part):
+            if not fresh[i:j].any():
+                continue
+            for a, b, first, last in _parts(len(data), k, reach, length, part) if j - i == 1 else [(0, len(data), 0, len(data))]:
+                places, anchor, segment, stretches = _search(poly, data[a:b], np.clip(off, a, b) - a, short, length, k)
+                of = np.searchsorted(off, places + a, "right") - 1
+                keep = (places >= first - a) & (places < last - a) & fresh[i + of]
+                places, of = places[keep] + a, of[keep]
+                yield _found(ids, i + of, anchor[keep].view(np.int64), segment[keep].view(np.int64), places - off[of])
+                if stretches:
+                    x, y = np.array(stretches, np.int64).T + a
+                    of = np.searchsorted(off, x, "right") - 1
+                    own = fresh[i + of]
+                    yield _found(ids, (i + of)[own], None, None, (x - off[of])[own], (y - off[of])[own])
+
+
+def _found(ids: pa.Array, rows: np.ndarray, anchor: np.ndarray | None, segment: np.ndarray | None, at: np.ndarray, until: np.ndarray | None = None) -> pa.RecordBatch:
+    none = pa.nulls(len(rows), pa.int64())
+    columns = [none if c is None else pa.array(c) for c in (anchor, segment, at, until)]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.nulls(len(rows), pa.binary()), *columns], FOUND)
 
 
 FOUND = ["id", "node", "anchor", "segment", "at", "until"]
@@ -269,7 +273,7 @@ def repeated_columns(rounds: Rounds, lengths: tuple[int, ...], wanted: int) -> n
 
 @tidied
 def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, level, runs): the bytes of each segment, from its start, that repeated strings of lengths[level] cover. Rows come sorted by anchor."""
+    """(anchor, segment, level, begin, end): the bytes of each segment, from its start, that repeated strings of lengths[level] cover. Rows come sorted by anchor."""
     reach, width = min(lengths) - k, min(lengths) - k + max(lengths)
     rows: list[tuple] = []
 
@@ -277,23 +281,26 @@ def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int
         part = rows.copy()
         rows.clear()
         rounds = Rounds(len(part), width)
+        left, size = np.array([r[3] for r in part]), np.array([len(r[4]) for r in part])
         for i in range(0, len(part), 4096):
-            block = np.full((min(4096, len(part) - i), width), PAD, np.uint8)
-            for r, (_, _, _, left, text) in enumerate(part[i : i + 4096]):
-                block[r, reach - left : reach - left + len(text)] = np.frombuffer(text, np.uint8)
+            some = part[i : i + 4096]
+            block, at = np.full((len(some), width), PAD, np.uint8), np.arange(width) - (reach - left[i : i + 4096, None])
+            block[(at >= 0) & (at < size[i : i + 4096, None])] = np.frombuffer(b"".join(r[4] for r in some), np.uint8)
             rounds.put(i, block)
         found = repeated_columns(rounds, lengths, reach + 1)
         rounds.close()
-        out = []
-        for r, (anchor, segment, twice, left, text) in enumerate(part):
-            for level, length in enumerate(lengths):
-                first, last = reach - left, min(reach, reach - left + len(text) - length)
-                if last >= first:
-                    at = np.arange(first, last + 1) if twice else first + np.flatnonzero(found[level, first : last + 1, r])
-                    if len(at):
-                        out.append((anchor, segment, level, _runs(at - first, length)))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int64())))
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], COVERED)
+        anchor, segment, twice = (np.array([r[c] for r in part]) for c in range(3))
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for level, length in enumerate(lengths):
+            # Strings that start within `reach` of each other and are longer cover one run.
+            first, last = reach - left, np.minimum(reach, reach - left + size - length)
+            inside = (np.arange(reach + 1)[:, None] >= first) & (np.arange(reach + 1)[:, None] <= last)
+            hit = inside & (found[level] | twice)
+            some = np.flatnonzero(hit.any(0))
+            begin, end = hit.argmax(0)[some] - first[some], reach - hit[::-1].argmax(0)[some] - first[some] + length
+            for c, x in zip(out, (anchor[some], segment[some], np.full(len(some), level), begin, end), strict=True):
+                c.append(x.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], COVERED)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -306,25 +313,19 @@ def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int
         yield close()
 
 
-COVERED = ["anchor", "segment", "level", "runs"]
-COVERED_SCHEMA = "anchor long, segment long, level int, runs array<array<long>>"
-
+COVERED = ["anchor", "segment", "level", "begin", "end"]
+COVERED_SCHEMA = "anchor long, segment long, level long, begin long, end long"
 
-def _runs(places: np.ndarray, length: int) -> list[list[int]]:
-    """[begin, end] of the maximal runs that strings of `length` at these sorted places cover."""
-    cuts = np.flatnonzero(np.diff(places) > length) + 1
-    return [[int(x[0]), int(x[-1]) + length] for x in np.split(places, cuts)]
 
-
-def _merged(runs: list | None, level: int, n: int) -> list[list[int]]:
-    """The maximal runs of this level among [level, begin, end], in order and within n bytes."""
-    out: list[list[int]] = []
-    for x, y in sorted((x, min(y, n)) for of, x, y in runs or () if of == level):
-        if out and x <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], y)
-        else:
-            out.append([x, y])
-    return out
+def _merged(runs: np.ndarray, level: int, n: int) -> list[list[int]]:
+    """The maximal runs of this level among rows (level, begin, end), in order and within n bytes."""
+    own = runs[runs[:, 0] == level, 1:]
+    if not len(own):
+        return []
+    own = np.minimum(own[np.argsort(own[:, 0], kind="stable")], n)
+    until = np.maximum.accumulate(own[:, 1])
+    new = np.flatnonzero(np.r_[True, own[1:, 0] > until[:-1]])
+    return np.stack([own[new, 0], until[np.r_[new[1:] - 1, len(own) - 1]]], 1).tolist()
 
 
 def passages(data: np.ndarray, runs: list[list[int]], least: int) -> list[list[int]]:
@@ -358,16 +359,18 @@ def _strip(batches: Iterator[pa.RecordBatch], text: str, length: int, passage: t
     for batch in batches:
         names = batch.schema.names
         buf, at = utf8(batch.column(names.index(text)))
-        twice, runs = batch.column(names.index("__twice")).to_pylist(), batch.column(names.index("__runs")).to_pylist()
+        twice, column = batch.column(names.index("__twice")).to_pylist(), batch.column(names.index("__runs")).fill_null([])
+        cuts = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(column)))]
+        runs = np.asarray(column.flatten().flatten(), np.int64).reshape(-1, 3)
         kept, spans, clean, found = [], [], [], []
         for r in range(batch.num_rows):
             data = buf[at[r] : at[r + 1]]
             n = len(data)
-            whole = [[0, n]] if twice[r] else None
-            spans.append(whole if whole and n >= length else _merged(runs[r], 0, n))
+            whole, own = [[0, n]] if twice[r] else None, runs[cuts[r] : cuts[r + 1]]
+            spans.append(whole if whole and n >= length else _merged(own, 0, n))
             kept.append(_without(data, spans[-1]))
             if passage:
-                long = whole if whole and n >= passage[0] else _merged(runs[r], 1 if passage[0] != length else 0, n)
+                long = whole if whole and n >= passage[0] else _merged(own, 1 if passage[0] != length else 0, n)
                 found.append(passages(data, long, passage[1]))
                 clean.append(_without(data, found[-1], b" ").decode("utf-8", "ignore") if found[-1] else None)
         columns = [c for name, c in zip(names, batch.columns, strict=True) if not name.startswith("__")]
@@ -406,8 +409,12 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     texts = df.select(_row(key, node).alias("id"), node.alias("node"), F.col(text).alias("text"))
     facts = cut(texts.mapInArrow(lambda it: _find(it, short, length, k), FOUND_SCHEMA), "anchors")
     rows = facts.where("node IS NOT NULL").select("id", "node")
-    copied = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    copies = rows.join(copied, "node", "left_semi").select("id").distinct().withColumn("twice", F.lit(True))
+    copied = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("one")).where("n > 1").select("node", "one")
+    copies = cut(rows.join(copied, "node").select("id", "one", F.lit(True).alias("twice")).distinct(), "copies")
+    # Of equal texts one is searched for what it shares with others.
+    others = copies.where("id != one").select("id")
+    marked = sieve(facts.where("node IS NULL").drop("node"), "id", others, "id")
+    facts = marked.where("NOT __maybe").unionByName(marked.where("__maybe").join(others, "id", "left_anti")).drop("__maybe")
     found = facts.where("anchor IS NOT NULL").select("id", "anchor", "segment", "at")
     known = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "known")
     likely = sieve(found, "anchor", known, "anchor").where("__maybe").drop("__maybe")
@@ -416,7 +423,9 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     segments = segments.select("anchor", "segment", "one.id", "one.at", (F.col("times") > 1).alias("twice"))
     number = segments.groupBy("anchor").agg(F.count("*").alias("n"))
     segments = cut(segments.join(number, "anchor").where("n > 1 OR twice"), "segments")
-    alone = segments.where("n = 1").select("anchor", "segment", F.explode(F.array(*[F.lit(i) for i in range(len(lengths))])).alias("level"), F.lit(None).cast("array<array<long>>").alias("runs"))
+    of_level = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("level")) for i in range(len(lengths))])).alias("l")
+    # Of a segment that is there twice, all strings are.
+    twice = lambda some: some.where("twice").select("anchor", "segment", of_level).select("anchor", "segment", "l.level", F.lit(0).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"))
 
     def cut_out(some: DataFrame) -> DataFrame:
         """The bytes of these segments."""
@@ -424,34 +433,30 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         return sieve(texts.select("id", "text"), "id", asked, "id").where("__maybe").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _segments(it, short, length, k), SEGMENT_SCHEMA)
 
     dealt = cut_out(segments.where((F.col("n") > 1) & (F.col("n") <= hot))).repartition("anchor").sortWithinPartitions("anchor", "segment")
-    covered = dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA).unionByName(alone)
+    covered = dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA).unionByName(twice(segments.where("n = 1")))
     crowded = segments.where(F.col("n") > hot)
     if not crowded.isEmpty():
         bytes_ = cut_out(crowded).dropDuplicates(["anchor", "segment"])  # of repeated rows
         strings = cut(bytes_.mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA), "strings").select("anchor", "segment", "level", F.posexplode("hashes").alias("start", "hash"))
         again = cut(strings.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
-        of = F.element_at(F.array(*[F.lit(x) for x in lengths]), F.col("level") + 1)
         hits = sieve(strings, "hash", again, "hash").where("__maybe").join(again, ["anchor", "hash"])
-        hits = hits.select("anchor", "segment", "level", F.array(F.col("start").cast("long"), F.col("start") + of.cast("long")).alias("run"))
-        counted = hits.groupBy("anchor", "segment", "level").agg(F.collect_list("run").alias("runs"))  # of one segment each
-        twice = crowded.where("twice").select("anchor", "segment", F.explode(F.array(*[F.lit(i) for i in range(len(lengths))])).alias("level"), F.lit(None).cast("array<array<long>>").alias("runs"))
-        covered = covered.unionByName(counted).unionByName(twice)
+        runs = hits.groupBy("anchor", "segment", "level").agg(F.min("start").cast("long").alias("begin"), F.max("start").cast("long").alias("end"))
+        runs = runs.withColumn("end", F.col("end") + F.element_at(F.array(*map(F.lit, lengths)), F.col("level") + 1))
+        covered = covered.unionByName(runs.withColumn("level", F.col("level").cast("long"))).unionByName(twice(crowded))
     covered = cut(covered, "covered")
-    begin = F.greatest(F.col("at") - (short - k), F.lit(0).cast("long"))
-    whole = F.array(F.array(F.col("level").cast("long"), begin, F.col("at") + length))  # cut to the text's end below
-    moved = F.transform("runs", lambda r: F.array(F.col("level").cast("long"), r[0] + begin, r[1] + begin))
+    begin = F.greatest(F.col("at") - (short - k), F.lit(0))
     met = sieve(found, "segment", covered, "segment").where("__maybe").drop("__maybe")
-    runs = met.join(covered, ["anchor", "segment"]).select("id", F.coalesce(moved, whole).alias("runs"))
-    levels = [F.lit(i).cast("long") for i in range(len(lengths))]
-    stretched = facts.where("until IS NOT NULL").select("id", F.array(*[F.array(i, "at", "until") for i in levels]).alias("runs"))
-    runs = runs.unionByName(stretched).groupBy("id").agg(F.flatten(F.collect_set("runs")).alias("__runs"))  # of one text each
-    marks = cut(runs.join(copies, "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs"), "marks")
+    runs = met.join(covered, ["anchor", "segment"]).select("id", F.array("level", begin + F.col("begin"), F.coalesce(begin + F.col("end"), F.col("at") + length)).alias("run"))  # cut to the text's end later
+    stretched = facts.where("until IS NOT NULL").select("id", "at", "until", of_level).select("id", F.array("l.level", "at", "until").alias("run"))
+    runs = runs.unionByName(stretched).groupBy("id").agg(F.collect_set("run").alias("__runs"))  # of one text each
+    marks = cut(runs.join(copies.drop("one"), "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs"), "marks")
     tagged = sieve(df.withColumn("__id", _row(key, node)), "__id", marks, "__m")
-    changed = tagged.where("__maybe").join(marks, F.col("__id") == F.col("__m"), "left").drop("__m", "__id", "__maybe")
-    whole = tagged.where("NOT __maybe").drop("__id", "__maybe").withColumns({"__twice": F.lit(None).cast("boolean"), "__runs": F.lit(None).cast("array<array<long>>")})
-    tagged = changed.unionByName(whole)
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *STRIPPED_SCHEMA[: 6 if passage else 4]])
-    return tagged.mapInArrow(lambda it: _strip(it, text, lengths[0], passage), kinds)
+    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *STRIPPED_SCHEMA[: 6 if passage else 4]]
+    changed = tagged.where("__maybe").join(marks, F.col("__id") == F.col("__m"), "left").drop("__m", "__id", "__maybe").mapInArrow(lambda it: _strip(it, text, lengths[0], passage), ", ".join(kinds))
+    value, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<array<long>>")
+    same = [value.cast("binary").alias("kept"), value.alias("kept_text"), F.octet_length(value).cast("long").alias("n_bytes"), none.alias("spans"), none.alias("passages"), F.lit(None).cast("string").alias("clean_text")]
+    whole = tagged.where("NOT __maybe").select(*[F.col(f"`{c}`") for c in df.columns], *same[: 6 if passage else 4])
+    return changed.unionByName(whole)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
