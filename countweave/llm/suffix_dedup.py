@@ -15,7 +15,8 @@ content says so:
 3. The remaining segments, dealt by anchor, are aligned at it: strings that can be equal start in the same column. Each
    task builds the transform and the common prefixes of its collection from the last column to the first, through files
    that it reads and writes in sequence; a string is repeated if it has LENGTH bytes in common with a neighbour.
-4. An anchor with more than HOT different segments is not held by one task: its strings are counted by their hashes.
+4. An anchor with more than HOT different segments is not held by one task: its strings are counted by their hashes,
+   those first ruled out that share no core with others.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ PASSAGE = (240, 50)
 #: Segments in a collection, and different segments of one anchor that a task may hold.
 COLLECTION, HOT = 20_000, 20_000
 PAD = 0xFF  # no byte of UTF-8
+#: Strings of a crowded anchor that are first counted by what they have in common.
+BUNDLE = 16
 #: Anchors that a task holds to tell texts it has seen; bytes of a text that are searched at a time.
 SEEN, PART = 200_000, 1 << 20
 
@@ -177,25 +180,64 @@ SEGMENT_SCHEMA = "anchor long, segment long, twice boolean, left long, bytes bin
 
 @tidied
 def _strings(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, level, hashes) for rows like those of `_segments`: of the strings that hold the anchor, from the segment's first byte on, hashes of what they are and of where in them it is."""
+    """(anchor, segment, left, level, first, hashes) for rows like those of `_segments`, of the strings that hold the anchor.
+
+    Strings are told by how far before the anchor they start, and bundled by BUNDLE such places. Without a column
+    `wanted`, a hash for each bundle from `first` on, of the bytes that all of its strings hold. With it, an array of
+    (level, place), the hashes of those bundles' strings, from the place `first` on. Every hash is also of the place.
+    """
     poly = Poly(9)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
     for batch in batches:
         buf, at = utf8(batch.column(4))
-        names, left, out = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(3).to_numpy(), []
+        names, wanted = list(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True)), batch.column(5).to_pylist() if batch.num_columns > 5 else None
+        out = []
         with np.errstate(over="ignore"):
             sums = poly.sums(buf)
-            for level, length in enumerate(lengths):
-                for r, name in enumerate(names):
-                    n = min(int(left[r]), int(at[r + 1] - at[r]) - length) + 1  # the string holds the anchor and ends with the segment
-                    if n > 0:
-                        begin = int(at[r]) + np.arange(n)
-                        out.append((*name, level, mix(poly.pieces(sums, begin, begin + length) ^ (left[r] - np.arange(n)).astype(np.uint64)).view(np.int64)))
+            for r, (anchor, segment, left) in enumerate(names):
+                least = [max(0, left - (int(at[r + 1] - at[r]) - length)) for length in lengths]  # a string ends with the segment
+                if wanted is None:
+                    for level, length in enumerate(lengths):
+                        if least[level] <= left:
+                            place = np.arange(least[level] // BUNDLE, left // BUNDLE + 1) * BUNDLE
+                            core = at[r] + left - place
+                            out.append((anchor, segment, left, level, int(place[0]) // BUNDLE, _placed(poly.pieces(sums, core, core - BUNDLE + 1 + length), place)))
+                else:
+                    for x in wanted[r]:
+                        place = np.arange(max(x["place"] * BUNDLE, least[x["level"]]), min(x["place"] * BUNDLE + BUNDLE - 1, left) + 1)
+                        begin = at[r] + left - place
+                        out.append((anchor, segment, left, x["level"], int(place[0]), _placed(poly.pieces(sums, begin, begin + lengths[x["level"]]), place)))
         for i in range(0, len(out), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000], strict=True), kinds, strict=True)], ["anchor", "segment", "level", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000], strict=True), kinds, strict=True)], ["anchor", "segment", "left", "level", "first", "hashes"])
+
+
+def _placed(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ mix(place.astype(np.uint64) + np.uint64(1))).view(np.int64)
+
 
+STRING_SCHEMA = "anchor long, segment long, left long, level int, first long, hashes array<long>"
 
-STRING_SCHEMA = "anchor long, segment long, level int, hashes array<long>"
+
+def _shared(strings: DataFrame) -> DataFrame:
+    """(anchor, segment, left, level, place) of the hashes of `_strings` that are there more than once with their anchor."""
+    each = strings.select("anchor", "segment", "left", "level", "first", F.posexplode("hashes").alias("i", "hash"))
+    again = cut(each.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    hits = sieve(each, "hash", again, "hash").where("__maybe").join(again, ["anchor", "hash"])
+    return hits.select("anchor", "segment", "left", "level", (F.col("first") + F.col("i")).alias("place"))
+
+
+def crowded_runs(segments: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(anchor, segment, level, begin, end) like `_collect`, for segments of crowded anchors: counted, not held.
+
+    Most strings are ruled out by what the strings of their bundle have in common, so few are counted one by one.
+    """
+    segments = cut(segments.dropDuplicates(["anchor", "segment"]), "crowded")  # bytes cut out of repeated rows
+    bundles = _shared(segments.mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA))
+    bundles = cut(bundles.groupBy("anchor", "segment").agg(F.collect_list(F.struct("level", "place")).alias("wanted")), "bundles")  # of one segment each
+    strings = cut(segments.join(bundles, ["anchor", "segment"]).select(*SEGMENT, "wanted").mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA), "strings")
+    runs = _shared(strings).groupBy("anchor", "segment", "left", "level").agg(F.min("place").alias("near"), F.max("place").alias("far"))
+    long = F.element_at(F.array(*map(F.lit, lengths)), F.col("level") + 1)
+    return runs.select("anchor", "segment", F.col("level").cast("long").alias("level"), (F.col("left") - F.col("far")).alias("begin"), (F.col("left") - F.col("near") + long).alias("end"))
 
 
 def _range_least(d: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -436,13 +478,7 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     covered = dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA).unionByName(twice(segments.where("n = 1")))
     crowded = segments.where(F.col("n") > hot)
     if not crowded.isEmpty():
-        bytes_ = cut_out(crowded).dropDuplicates(["anchor", "segment"])  # of repeated rows
-        strings = cut(bytes_.mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA), "strings").select("anchor", "segment", "level", F.posexplode("hashes").alias("start", "hash"))
-        again = cut(strings.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
-        hits = sieve(strings, "hash", again, "hash").where("__maybe").join(again, ["anchor", "hash"])
-        runs = hits.groupBy("anchor", "segment", "level").agg(F.min("start").cast("long").alias("begin"), F.max("start").cast("long").alias("end"))
-        runs = runs.withColumn("end", F.col("end") + F.element_at(F.array(*map(F.lit, lengths)), F.col("level") + 1))
-        covered = covered.unionByName(runs.withColumn("level", F.col("level").cast("long"))).unionByName(twice(crowded))
+        covered = covered.unionByName(crowded_runs(cut_out(crowded), lengths)).unionByName(twice(crowded))
     covered = cut(covered, "covered")
     begin = F.greatest(F.col("at") - (short - k), F.lit(0))
     met = sieve(found, "segment", covered, "segment").where("__maybe").drop("__maybe")

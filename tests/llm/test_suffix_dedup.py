@@ -65,6 +65,7 @@ def test_edge_cases(spark):
 def test_crowded_anchors_are_counted_by_strings(spark):
     shared = "".join(random.Random(8).choice("abcdefgh ") for _ in range(70))
     rows = [(i, "".join(random.Random(i).choice("uvwxyz") for _ in range(50)) + shared + "".join(random.Random(-i).choice("UVWXYZ") for _ in range(60))) for i in range(1, 40)] + corpus(3, 30)
+    rows += [(200, shared[8:] + "end"), (201, "go" + shared[:60]), (202, shared[:52])]
     want = brute(rows, 40)
     assert run(spark, rows, 40, 12, hot=2) == run(spark, rows, 40, 12) == want and any(r[3] for r in want)
 
