@@ -28,7 +28,7 @@ from .common import cut, small_batches, tidied, without
 CAPACITY = 1024
 END = 2  #: id after each document
 ISLAND = 8192
-POPULATION, GENERATIONS, EPOCHS = 6, 12, 2
+POPULATION, GENERATIONS, EPOCHS = 6, 10, 3
 ELITES = 64  #: patterns that migrate from an island
 WEAK = 256  #: least filled bins of an island that are packed anew with those of MERGED - 1 others
 MERGED = 16
@@ -164,33 +164,39 @@ def cost(bins: Bins, capacity: int) -> tuple[int, float]:
     return len(bins), -sum(float(sum(b)) ** 2 for b in bins)
 
 
-def evolve(lengths: list[int], start: Bins | None, migrants: Bins, capacity: int, seed: int) -> Bins:
-    """The best packing that a few generations find from the starting one, those of random orders, and migrants."""
+def evolve(lengths: list[int], start: Bins | None, migrants: Bins, capacity: int, seed: int, generations: int = GENERATIONS) -> Bins:
+    """The best packing that some generations find.
+
+    The first ones are the starting packing (else best fit, longest first), that with the migrants' bins put in, best
+    fit in random orders, and random halves of the first completed by best fit. A child has well-filled bins of one
+    parent put into the other; its weakest bins are then shaken out and best-fitted in a random order. It takes the
+    place of the worst if it is better. Ends early where the lengths need all bins that are left.
+    """
     rng, stock = random.Random(seed), [0] * (capacity + 1)
     for x in lengths:
         stock[x] += 1
     falling = sorted(lengths, reverse=True)
-    best, least = start or best_fit(falling, [], capacity), -(-sum(lengths) // capacity)
-    if len(best) <= least:
-        return best
-    people = [best]
+    first, least = start or best_fit(falling, [], capacity), -(-sum(lengths) // capacity)
+    if len(first) <= least:
+        return first
+    people = [first]
     if migrants:
-        people.append(inject(best, migrants, stock, capacity))
+        people.append(inject(first, migrants, stock, capacity))
     while len(people) < POPULATION:
-        some = rng.sample(best, len(best) // 2)
-        people.append(inject([], some, stock, capacity) if rng.random() < 0.5 else best_fit(rng.sample(falling, len(falling)), [], capacity))
+        some = rng.sample(first, len(first) // 2)
+        people.append(inject([], some, stock, capacity) if len(people) % 2 else best_fit(rng.sample(falling, len(falling)), [], capacity))
     people = [(cost(p, capacity), p) for p in people]
-    for _ in range(GENERATIONS):
+    for _ in range(generations):
         people.sort(key=lambda p: p[0])
         if people[0][0][0] <= least:
             break
         (_, a), (_, b) = rng.sample(people[: POPULATION // 2 + 1], 2)
         full = [x for x in b if 200 * sum(x) >= 199 * capacity]
-        child = inject(a, rng.sample(full, len(full) // 2), stock, capacity)
-        worst = sorted(child, key=sum)
-        shaken = [x for b in worst[: 4 + len(worst) // 50] for x in b]
+        child = sorted(inject(a, rng.sample(full, len(full) // 2), stock, capacity), key=sum)
+        weak = 4 + len(child) // rng.choice((10, 25, 50))
+        shaken = [x for b in child[:weak] for x in b]
         rng.shuffle(shaken)
-        child = best_fit(shaken, worst[4 + len(worst) // 50 :], capacity)
+        child = best_fit(shaken, child[weak:], capacity)
         if (c := cost(child, capacity)) < people[-1][0]:
             people[-1] = (c, child)
     return min(people, key=lambda p: p[0])[1]
@@ -198,7 +204,10 @@ def evolve(lengths: list[int], start: Bins | None, migrants: Bins, capacity: int
 
 @tidied
 def _islands(batches: Iterator[pa.RecordBatch], capacity: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows (island, slot, length, bin, pattern) sorted by island: pieces with the bin they are in (or null) and migrants (slot null). Gives the pieces with their new bins, and elites."""
+    """Rows (island, slot, length, bin, pattern) sorted by island: pieces with the bin they are in (or null) and migrants (slot null).
+
+    Gives the pieces with their new bins, elites, and a row without slot and pattern: length bins of best fit alone, and bins now.
+    """
     island, held, migrants = None, [], []
 
     def close() -> pa.RecordBatch:
@@ -211,6 +220,7 @@ def _islands(batches: Iterator[pa.RecordBatch], capacity: int, seed: int) -> Ite
         for s, x, _ in sorted(held):
             slots[x].append(s)
         out = [(island, slots[x].pop(), x, n, None) for n, b in enumerate(bins) for x in b]
+        out.append((island, None, len(best_fit(sorted((x for _, x, _ in held), reverse=True), [], capacity)), len(bins), None))
         elites = list(dict.fromkeys(tuple(sorted(b)) for b in bins if sum(b) == capacity))[:ELITES]
         out += [(island, None, None, None, list(e)) for e in elites]
         held.clear()
@@ -225,7 +235,8 @@ def _islands(batches: Iterator[pa.RecordBatch], capacity: int, seed: int) -> Ite
                 migrants.clear()
                 island = i
             if slot is None:
-                migrants.append(pattern)
+                if pattern is not None:
+                    migrants.append(pattern)
             else:
                 held.append((slot, length, bin_))
     if held:
@@ -241,22 +252,34 @@ ISLAND_ROW = ["island", "slot", "length", "bin", "pattern"]
 ISLAND_SCHEMA = "island long, slot long, length long, bin long, pattern array<long>"
 
 
-def _epoch(rows: DataFrame, capacity: int, seed: int) -> DataFrame:
-    return cut(rows.select(*ISLAND_ROW).repartition("island").sortWithinPartitions("island", "slot").mapInArrow(lambda it: _islands(it, capacity, seed), ISLAND_SCHEMA), "islands")
+def _epoch(rows: DataFrame, n: int, capacity: int, seed: int) -> DataFrame:
+    """An epoch of n islands, each about a task."""
+    return cut(rows.select(*ISLAND_ROW).repartition(n, "island").sortWithinPartitions("island", "slot").mapInArrow(lambda it: _islands(it, capacity, seed), ISLAND_SCHEMA), "islands")
+
+
+def islands(small: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, epochs: int = EPOCHS) -> tuple[DataFrame, int]:
+    """(rows of `_islands` after these epochs, with elites sent on in between; number of islands) for pieces (slot, length) shorter than capacity."""
+    n = max(1, -(-small.count() // island))
+    rows = small.select(F.pmod(F.xxhash64("slot"), F.lit(n)).alias("island"), "slot", "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("array<long>").alias("pattern"))
+    for e in range(epochs):
+        if e:  # elites go on along the ring
+            rows = rows.where("slot IS NOT NULL OR pattern IS NOT NULL").withColumn("island", F.when(F.col("slot").isNull(), F.pmod(F.col("island") + 1, F.lit(n))).otherwise(F.col("island")))
+        rows = _epoch(rows, n, capacity, 1000 * e)
+    return rows, n
+
+
+def gains(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, epochs: int = EPOCHS) -> DataFrame:
+    """(island, best_fit, evolved): sequences that best fit alone, longest first, and the islands need for pieces (slot, length), full ones left out."""
+    rows, _ = islands(pieces.where(F.col("length") < capacity).select("slot", "length"), capacity, island, epochs)
+    return rows.where("slot IS NULL AND pattern IS NULL").select("island", F.col("length").alias("best_fit"), F.col("bin").alias("evolved"))
 
 
 def arrange(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, epochs: int = EPOCHS) -> DataFrame:
     """(slot, sequence_id, offset) for pieces (slot, length), 1 <= length <= capacity, slots distinct."""
     full = pieces.where(F.col("length") == capacity).select("slot", (-1 - F.col("slot")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     small = pieces.where(F.col("length") < capacity).select("slot", "length")
-    n = max(1, -(-small.count() // island))
+    rows, n = islands(small, capacity, island, epochs)
     none, no_pattern = F.lit(None).cast("long"), F.lit(None).cast("array<long>")
-    rows = small.select(F.pmod(F.xxhash64("slot"), F.lit(n)).alias("island"), "slot", "length", none.alias("bin"), no_pattern.alias("pattern"))
-    for e in range(epochs):
-        rows = _epoch(rows, capacity, 1000 * e)
-        if n == 1:
-            break
-        rows = rows.withColumn("island", F.when(F.col("slot").isNull(), F.pmod(F.col("island") + 1, F.lit(n))).otherwise(F.col("island")))
     rows = rows.where("slot IS NOT NULL")
     done = []
     while n > 1:
@@ -265,7 +288,7 @@ def arrange(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, e
         marked = cut(rows.join(weak, ["island", "bin"], "left"), "marked")
         done.append(marked.where("weak IS NULL").select("slot", "length", F.concat_ws(":", F.lit(len(done)), "island", "bin").alias("place")))
         n = -(-n // MERGED)
-        rows = _epoch(marked.where("weak").select(F.floor(F.col("island") / MERGED).alias("island"), "slot", "length", none.alias("bin"), no_pattern.alias("pattern")), capacity, 9000 + len(done)).where("slot IS NOT NULL")
+        rows = _epoch(marked.where("weak").select(F.floor(F.col("island") / MERGED).alias("island"), "slot", "length", none.alias("bin"), no_pattern.alias("pattern")), n, capacity, 9000 + len(done)).where("slot IS NOT NULL")
     done.append(rows.select("slot", "length", F.concat_ws(":", F.lit(len(done)), "island", "bin").alias("place")))
     placed = done[0]
     for d in done[1:]:

@@ -74,16 +74,37 @@ def test_edge_cases(spark):
     assert P.pack(frame(spark, [])).collect() == []
 
 
-def test_optimum_of_triples():
-    """Lengths made by cutting full bins in three: the optimum is known; it beats best fit and stays near it."""
-    r = random.Random(9)
-    lengths = []
-    for _ in range(120):
-        a, b = sorted(r.sample(range(1, 200), 2))
-        lengths += [400 + a, 400 + b - a, 224 - b] if b < 224 else []
-    n = len(lengths) // 3
-    plain = P.best_fit(sorted(lengths, reverse=True), [], 1024)
-    best = P.evolve(lengths, None, [], 1024, 3)
-    assert sorted(x for b in best for x in b) == sorted(lengths)
-    assert all(sum(b) <= 1024 for b in best)
-    assert n <= len(best) <= min(len(plain), n + 2)
+def triples(n, seed):
+    """Lengths of n sequences cut in three, all over a quarter: n is the optimum, which best fit misses by far."""
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        a = r.randrange(260, 512)
+        b = r.randrange(250, max(251, 1024 - a - 249))
+        out += [a, b, 1024 - a - b]
+    return out
+
+
+def test_evolution_gains_over_best_fit():
+    for n, seed in ((50, 1), (200, 2), (600, 3)):
+        lengths = triples(n, seed)
+        plain = P.best_fit(sorted(lengths, reverse=True), [], 1024)
+        best = P.evolve(lengths, None, [], 1024, 3)
+        assert sorted(x for b in best for x in b) == sorted(lengths) and all(sum(b) <= 1024 for b in best)
+        assert n <= len(best) < len(plain)
+
+
+def test_islands_gain_over_best_fit(spark):
+    lengths = triples(400, 5)
+    random.Random(1).shuffle(lengths)
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "slot long, length long")
+    per_island = P.gains(pieces, island=400).collect()
+    assert len(per_island) == 3 and all(r.evolved < r.best_fit for r in per_island)
+    later, first = (sum(r.evolved for r in P.gains(pieces, island=400, epochs=e).collect()) for e in (4, 1))
+    assert later < first  # what migrates and evolves further helps
+    n = P.arrange(pieces, island=400).select("sequence_id").distinct().count()
+    assert 400 <= n < len(P.best_fit(sorted(lengths, reverse=True), [], 1024))
+
+
+def test_any_long_text(spark):
+    texts = [c * 1_000_000 for c in ("a", " ", "é", "字", "😀", "#", "\n")] + ["the cat " * 125_000, "字 " * 200_000]
+    check(list(enumerate(texts)), P.pack(frame(spark, list(enumerate(texts)))).collect(), 1024)
