@@ -1,9 +1,11 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line is good or bad. A line's features are shares of kinds of characters, repeated words, whether an earlier line
-is equal, and the same of the lines around it. Training takes each line of a labelled document to have its label, and
-maximizes the likelihood of the chains. A document's score is the mean, by bytes, of its lines' probabilities of being
-good, out of the forward-backward marginals.
+is equal, and the same of the lines around it. Lines have no labels of their own: a document's is good with the
+probability logistic(a * (share - b)) of the share of its bytes in good lines, the mean of its lines' forward-backward
+marginals. Training first gives each line its document's label, only as a start, and then maximizes the likelihood of
+the documents' labels with the lines latent, a and b included, lines being good where nothing speaks against it; so a good document may hold bad lines, and a bad one
+good lines. The document's score is that probability.
 """
 
 from __future__ import annotations
@@ -18,8 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import mix, Poly, small_batches, steps, tidied, utf8, WHITE, without, words
 
-#: Labelled documents to fit on (those of the smallest hashes), and the fitting itself.
-SAMPLE, PENALTY, ROUNDS, RATE = 4000, 1e-3, 250, 0.1
+#: Labelled documents to fit on (those of the smallest hashes), and lines of each (in a row, from a place given by the hash).
+SAMPLE, LINES = 4000, 128
+#: The fitting: weight of the penalty, rounds with the documents' labels on their lines and with latent lines, and their steps.
+PENALTY, SEEDED, LATENT, RATES = 1e-3, 60, 220, (0.1, 0.05)
+#: a and b at the start, and their bounds.
+LINK, LINK_LOW, LINK_HIGH = (8.0, 0.6), (4.0, 0.2), (40.0, 0.9)
+#: Weight of the mean share: lines that no document's label speaks against are good.
+PRIOR = 0.3
+#: Step of the central difference that gives the marginals' slopes.
+STEP = 1e-4
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
 
 
@@ -71,6 +81,7 @@ class Model:
     scale: np.ndarray  #: of each feature
     weights: np.ndarray  #: of a good line against a bad one
     moves: np.ndarray  #: from bad, good to bad, good
+    link: tuple[float, float]  #: a and b
 
 
 def marginals(emit: np.ndarray, of: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,49 +115,91 @@ def marginals(emit: np.ndarray, of: np.ndarray, moves: np.ndarray) -> tuple[np.n
     return good.clip(0, 1), pairs, logs
 
 
-def fit(features: np.ndarray, of: np.ndarray, labels: np.ndarray) -> Model:
-    """Maximum penalized likelihood by Adam's steps; every line has its text's label."""
+def shares(good: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each text's bytes in good lines, each line's weight in it); in a text without bytes all lines weigh alike."""
+    weight = np.where(np.repeat(np.add.reduceat(size, of[:-1]), np.diff(of)) > 0, size, 1.0)
+    weight = weight / np.repeat(np.add.reduceat(weight, of[:-1]), np.diff(of))
+    return np.add.reduceat(good * weight, of[:-1]), weight
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def likelihood(theta: np.ndarray, link: np.ndarray, x: np.ndarray, size: np.ndarray, of: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(mean log likelihood of the texts' labels with latent lines, and PRIOR of the mean share; its slope in the weights and moves, in a and b).
+
+    The slope of a weighted sum of marginals is how the expected features change along those weights, so two more
+    passes of forward-backward, a small step to both sides, give it for all lines at once.
+    """
+    emit, moves = x @ theta[:-4], theta[-4:].reshape(2, 2)
+    share, weight = shares(marginals(emit, of, moves)[0], size, of)
+    p = logistic(link[0] * (share - link[1]))
+    off = labels - p
+    along = STEP * np.repeat(off * link[0] + PRIOR, np.diff(of)) * weight
+    (up, up_pairs, _), (down, down_pairs, _) = marginals(emit + along, of, moves), marginals(emit - along, of, moves)
+    slope = np.r_[x.T @ (up - down), (up_pairs - down_pairs).ravel()] / (2 * STEP * len(labels))
+    value = float(np.log(np.where(labels > 0, p, 1 - p).clip(1e-300)).mean() + PRIOR * share.mean())
+    return value, slope, np.array([(off * (share - link[1])).mean(), -link[0] * off.mean()])
+
+
+def fit(features: np.ndarray, size: np.ndarray, of: np.ndarray, labels: np.ndarray) -> Model:
+    """Maximum penalized likelihood by Adam's steps: first with each text's label on its lines, then with latent lines."""
     scale = np.maximum(features.std(0), 0.05)
     scale[-1] = 1
-    x, y = features / scale, np.repeat(labels, np.diff(of)).astype(np.float64)
-    theta, m, v = np.zeros(x.shape[1] + 4), 0.0, 0.0
+    x, labels = features / scale, labels.astype(np.float64)
+    y, theta, link = np.repeat(labels, np.diff(of)), np.zeros(x.shape[1] + 4), np.array(LINK)
     stay = np.diff(of) - 1
     seen = np.array([[stay[labels == 0].sum(), 0], [0, stay[labels == 1].sum()]], np.float64)
-    for i in range(1, ROUNDS + 1):
-        good, pairs, _ = marginals(x @ theta[:-4], of, theta[-4:].reshape(2, 2))
-        slope = np.r_[x.T @ (y - good), (seen - pairs).ravel()] / len(labels) - PENALTY * theta * len(theta)
-        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
-        theta = theta + RATE * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
-    return Model(scale, theta[:-4], theta[-4:].reshape(2, 2))
+    for latent, rounds, rate in zip((False, True), (SEEDED, LATENT), RATES, strict=True):
+        m, v = 0.0, 0.0
+        theta[-4:] *= not latent  # moves between lines of one label say nothing yet
+        for i in range(1, rounds + 1):
+            if not latent:
+                good, pairs, _ = marginals(x @ theta[:-4], of, theta[-4:].reshape(2, 2))
+                slope, of_link = np.r_[x.T @ (y - good), (seen - pairs).ravel()] / len(labels), np.zeros(2)
+            else:
+                _, slope, of_link = likelihood(theta, link, x, size, of, labels)
+            slope = np.r_[slope - PENALTY * theta, of_link]
+            m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+            step = rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+            theta, link = theta + step[:-2], np.clip(link + step[-2:], LINK_LOW, LINK_HIGH)
+    return Model(scale, theta[:-4], theta[-4:].reshape(2, 2), (float(link[0]), float(link[1])))
 
 
 @tidied
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, features, lines) of rows (text, label)."""
+    """(label, features, size) of LINES lines at most of each of the rows (text, label, hash)."""
     poly = Poly(11)
     for batch in batches:
         buf, at = utf8(batch.column(0))
+        hashes = batch.column(2).to_pylist()
         for i, j, part, off in steps(buf, at):
-            x, _, of = lines(part, off, poly)
-            rows = [x[of[d] : of[d + 1]].astype(np.float32).tobytes() for d in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(rows, pa.binary())], ["label", "features"])
+            x, size, of = lines(part, off, poly)
+            rows = []
+            for d in range(j - i):
+                first = int(of[d]) + hashes[i + d] % max(1, int(of[d + 1] - of[d]) - LINES + 1)
+                s = slice(first, min(first + LINES, int(of[d + 1])))
+                rows.append((x[s].astype(np.float32).tobytes(), size[s].astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), *(pa.array([r[c] for r in rows], pa.binary()) for c in (0, 1))], ["label", "features", "size"])
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model fitted on at most `sample` of the labelled documents of df, those of the smallest hashes of their keys.
+    """A model fitted on at most `sample` of the labelled documents of df, those of the smallest hashes of their keys, and on at most LINES lines of each.
 
     Rows without a key or a label do not count, nor do those held out (see `held_out`). Without a labelled document
     every score is 1/2.
     """
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k", "label").limit(sample)
-    got = df.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("text", "label").mapInArrow(_features, "label int, features binary")
-    rows = sorted((r["label"], bytes(r["features"])) for r in got.orderBy(F.xxhash64("features")).limit(2 * sample).collect())  # twice: keys may repeat
+    got = df.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("text", "label", F.xxhash64("k").alias("hash")).mapInArrow(_features, "label int, features binary, size binary")
+    rows = sorted((r["label"], bytes(r["features"]), bytes(r["size"])) for r in got.orderBy(F.xxhash64("features")).limit(2 * sample).collect())  # twice: keys may repeat
     width = lines(np.zeros(0, np.uint8), np.zeros(2, np.int64), Poly(11))[0].shape[1]
     if not rows:
-        return Model(np.ones(width), np.zeros(width), np.zeros((2, 2)))
-    each = [np.frombuffer(x, np.float32).reshape(-1, width) for _, x in rows]
-    return fit(np.concatenate(each).astype(np.float64), np.r_[0, np.cumsum([len(x) for x in each])], np.array([y for y, _ in rows]))
+        return Model(np.ones(width), np.zeros(width), np.zeros((2, 2)), (LINK[0], 0.5))
+    each = [np.frombuffer(x, np.float32).reshape(-1, width) for _, x, _ in rows]
+    size = np.concatenate([np.frombuffer(z, np.float32) for _, _, z in rows]).astype(np.float64)
+    return fit(np.concatenate(each).astype(np.float64), size, np.r_[0, np.cumsum([len(x) for x in each])], np.array([y for y, _, _ in rows]))
 
 
 def held_out(key: str):
@@ -163,14 +216,13 @@ def _score(batches: Iterator[pa.RecordBatch], text: str, model: Model) -> Iterat
         for i, j, part, off in steps(buf, at):
             x, size, of = lines(part, off, poly)
             good, _, _ = marginals((x / model.scale) @ model.weights, of, model.moves)
-            weight = np.where(np.repeat(np.add.reduceat(size, of[:-1]), np.diff(of)) > 0, size, 1.0)
-            scores[i:j] = np.add.reduceat(good * weight, of[:-1]) / np.add.reduceat(weight, of[:-1])
+            scores[i:j] = logistic(model.link[0] * (shares(good, size, of)[0] - model.link[1]))
             goods += [good[of[d] : of[d + 1]] for d in range(j - i)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores.clip(0, 1)), pa.array(goods, pa.list_(pa.float64()))], [*batch.schema.names, "score", "lines_good"])
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lines_good (of each \\n-split line, the probability that it is good) and score (their mean by bytes).
+    """df with lines_good (of each \\n-split line, the probability that it is good) and score (the probability that the document is good, by the share of its bytes in good lines).
 
     A null text is empty: one empty line. Rows are scored one by one, by their whole text alone; input columns named
     like an output are replaced.

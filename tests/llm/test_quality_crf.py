@@ -55,6 +55,42 @@ def documents(n, seed):
 SCHEMA = "doc_id long, text string, lines_good string, score double"
 
 
+def test_slopes_against_differences():
+    r = np.random.default_rng(7)
+    of, size = np.array([0, 3, 4, 9]), r.integers(0, 20, 9).astype(float)
+    x, labels, theta, link = r.standard_normal((9, 4)), np.array([1.0, 0.0, 1.0]), r.standard_normal(8), np.array([6.0, 0.5])
+    _, slope, of_link = Q.likelihood(theta, link, x, size, of, labels)
+    for i, want in enumerate(slope):
+        step = np.eye(8)[i] * 1e-5
+        assert np.isclose((Q.likelihood(theta + step, link, x, size, of, labels)[0] - Q.likelihood(theta - step, link, x, size, of, labels)[0]) / 2e-5, want, atol=1e-6)
+    for i, want in enumerate(of_link):
+        step = np.eye(2)[i] * 1e-5
+        assert np.isclose((Q.likelihood(theta, link + step, x, size, of, labels)[0] - Q.likelihood(theta, link - step, x, size, of, labels)[0]) / 2e-5, want, atol=1e-6)
+
+
+def test_lines_are_told_apart_within_documents(spark):
+    """Good documents hold a bad line, bad ones good lines; only documents have labels."""
+    r = random.Random(11)
+    words = ["stone", "river", "over", "the", "and", "walk", "light"]
+    line = lambda bad: " ".join(r.choice(words) + (r.choice(["###", "&&&"]) if bad else "") for _ in range(12)) + "."
+    rows, labels, truth = [], [], {}
+    for i in range(300):
+        bad = i % 3 == 0
+        kinds = [r.random() < 0.65 for _ in range(8)] if bad else [j == i % 8 for j in range(8)]
+        truth[i] = kinds
+        rows.append((i, "\n".join(map(line, kinds)), "x", 1.0))
+        labels.append((i, int(sum(kinds) < 4), 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = Q.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = Q.score(docs, model).where(Q.held_out("doc_id")).collect()
+    marks = {k: y for k, y, _ in labels}
+    assert sum((x.score >= 0.3) == bool(marks[x.doc_id]) for x in got) >= 0.95 * len(got)
+    lines = [(p, b) for x in got for p, b in zip(x.lines_good, truth[x.doc_id], strict=True)]
+    right, as_their_document = sum((p < 0.5) == b for p, b in lines), sum((marks[x.doc_id] == 0) == b for x in got for b in truth[x.doc_id])
+    assert right >= 0.83 * len(lines) and right > as_their_document
+    assert sum(min(x.lines_good) < 0.5 < max(x.lines_good) for x in got) >= 0.5 * len(got)
+
+
 def test_held_out_accuracy(spark):
     rows, labels = documents(300, 5)
     odd = [(None, "x", "x", 1.0), (1000, None, "x", 1.0), (1001, "", "x", 1.0), (1001, "", "x", 1.0), (1002, "w " * 60_000, "x", 1.0)]
