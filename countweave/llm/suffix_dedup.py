@@ -37,12 +37,12 @@ K = 160
 #: Bytes of a repeated string, and words of the whole run, that make a repeated passage.
 PASSAGE = (240, 50)
 #: Segments in a collection, and different segments of one anchor that a task may hold.
-COLLECTION, HOT = 20_000, 20_000
+COLLECTION, HOT = 10_000, 10_000
 PAD = 0xFF  # no byte of UTF-8
 #: Strings of a crowded anchor that are first counted by what they have in common.
 BUNDLE = 16
 #: Anchors that a task holds to tell texts it has seen; bytes of a text that are searched at a time.
-SEEN, PART = 200_000, 1 << 20
+SEEN, PART = 200_000, 1 << 19
 
 
 def _node(text: str) -> Column:
@@ -315,7 +315,7 @@ def repeated_columns(rounds: Rounds, lengths: tuple[int, ...], wanted: int) -> n
 
 @tidied
 def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, level, begin, end): the bytes of each segment, from its start, that repeated strings of lengths[level] cover. Rows come sorted by anchor."""
+    """(anchor, segment, level, begin, end): the bytes of each segment that is there once, from its start, that repeated strings of lengths[level] cover. Rows come sorted by anchor."""
     reach, width = min(lengths) - k, min(lengths) - k + max(lengths)
     rows: list[tuple] = []
 
@@ -337,7 +337,7 @@ def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int
             # Strings that start within `reach` of each other and are longer cover one run.
             first, last = reach - left, np.minimum(reach, reach - left + size - length)
             inside = (np.arange(reach + 1)[:, None] >= first) & (np.arange(reach + 1)[:, None] <= last)
-            hit = inside & (found[level] | twice)
+            hit = inside & found[level] & ~twice  # of segments that are there twice all strings are repeated
             some = np.flatnonzero(hit.any(0))
             begin, end = hit.argmax(0)[some] - first[some], reach - hit[::-1].argmax(0)[some] - first[some] + length
             for c, x in zip(out, (anchor[some], segment[some], np.full(len(some), level), begin, end), strict=True):
@@ -459,32 +459,32 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     facts = marked.where("NOT __maybe").unionByName(marked.where("__maybe").join(others, "id", "left_anti")).drop("__maybe")
     found = facts.where("anchor IS NOT NULL").select("id", "anchor", "segment", "at")
     known = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "known")
-    likely = sieve(found, "anchor", known, "anchor").where("__maybe").drop("__maybe")
+    likely = cut(sieve(found, "anchor", known, "anchor").where("__maybe").drop("__maybe"), "likely")
     # Equal segments first, then equal anchors: hot ones shrink before they are dealt. A row that is there twice counts twice.
     segments = likely.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.first(F.struct("id", "at")).alias("one"))
     segments = segments.select("anchor", "segment", "one.id", "one.at", (F.col("times") > 1).alias("twice"))
     number = segments.groupBy("anchor").agg(F.count("*").alias("n"))
     segments = cut(segments.join(number, "anchor").where("n > 1 OR twice"), "segments")
     of_level = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("level")) for i in range(len(lengths))])).alias("l")
-    # Of a segment that is there twice, all strings are.
-    twice = lambda some: some.where("twice").select("anchor", "segment", of_level).select("anchor", "segment", "l.level", F.lit(0).cast("long").alias("begin"), F.lit(None).cast("long").alias("end"))
-
     def cut_out(some: DataFrame) -> DataFrame:
         """The bytes of these segments."""
         asked = cut(some.groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "segment", "twice")).alias("wanted")), "asked")  # of one text each
         return sieve(texts.select("id", "text"), "id", asked, "id").where("__maybe").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _segments(it, short, length, k), SEGMENT_SCHEMA)
 
     dealt = cut_out(segments.where((F.col("n") > 1) & (F.col("n") <= hot))).repartition("anchor").sortWithinPartitions("anchor", "segment")
-    covered = dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA).unionByName(twice(segments.where("n = 1")))
+    covered = dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA)
     crowded = segments.where(F.col("n") > hot)
     if not crowded.isEmpty():
-        covered = covered.unionByName(crowded_runs(cut_out(crowded), lengths)).unionByName(twice(crowded))
-    covered = cut(covered, "covered")
+        covered = covered.unionByName(crowded_runs(cut_out(crowded), lengths))
+    # A segment's strings were found where it stands; of one that is there twice all are repeated, wherever it stands.
     begin = F.greatest(F.col("at") - (short - k), F.lit(0))
-    met = sieve(found, "segment", covered, "segment").where("__maybe").drop("__maybe")
-    runs = met.join(covered, ["anchor", "segment"]).select("id", F.array("level", begin + F.col("begin"), F.coalesce(begin + F.col("end"), F.col("at") + length)).alias("run"))  # cut to the text's end later
+    alone = cut(covered, "covered").join(segments.where("NOT twice").select("anchor", "segment", "id", "at"), ["anchor", "segment"])
+    alone = alone.select("id", F.array("level", begin + F.col("begin"), begin + F.col("end")).alias("run"))
+    often = segments.where("twice").select("anchor", "segment")
+    met = sieve(likely, "segment", often, "segment").where("__maybe").join(often, ["anchor", "segment"])
+    met = met.select("id", "at", of_level).select("id", F.array(F.col("l.level"), begin, F.col("at") + length).alias("run"))  # cut to the text's end later
     stretched = facts.where("until IS NOT NULL").select("id", "at", "until", of_level).select("id", F.array("l.level", "at", "until").alias("run"))
-    runs = runs.unionByName(stretched).groupBy("id").agg(F.collect_set("run").alias("__runs"))  # of one text each
+    runs = alone.unionByName(met).unionByName(stretched).groupBy("id").agg(F.collect_set("run").alias("__runs"))  # of one text each
     marks = cut(runs.join(copies.drop("one"), "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs"), "marks")
     tagged = sieve(df.withColumn("__id", _row(key, node)), "__id", marks, "__m")
     kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *STRIPPED_SCHEMA[: 6 if passage else 4]]
