@@ -17,7 +17,7 @@ from .common import cut, without
 #: Production weights: a source gets the square root of its share, renormalized (up-weights the small sources).
 POWER = 0.5
 SEED = 17
-#: Rates of parts are at most this, and rates out of given weights beyond it are refused.
+#: Rates of parts are at most this.
 MOST = 500.0
 #: Up to this rate there is one part, as in SQL: exp(-rate) is still a normal number.
 ONE = 700.0
@@ -35,7 +35,7 @@ def source_rates(df: DataFrame, source: str, units: Column, weights: DataFrame |
     """(source, rate, parts, cdf): rate = target share * total / own units; cdf = the Poisson distribution of rate / parts up to where it is 1 in double precision.
 
     weights: (source, weight), weight >= 0; sources without one get 0. Without weights: own share ** power. A null
-    source is a source of its own. A source without units gets rate 0. With weights, rates over MOST raise an error.
+    source is a source of its own. A source without units gets rate 0.
     """
     own = df.groupBy(F.col(source).alias("src")).agg(F.sum(units.cast("double")).alias("own"))
     if weights is None:
@@ -56,9 +56,6 @@ def source_rates(df: DataFrame, source: str, units: Column, weights: DataFrame |
         lambda acc, k: F.struct((acc["p"] * each / k).alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + acc["p"] * each / k)).alias("c")),
         lambda acc: acc["c"],
     )
-    if weights is not None:
-        checked = F.when(F.col("rate") <= MOST, F.col("rate")).otherwise(F.raise_error(F.concat(F.lit("repetition rate over the limit: "), F.col("rate").cast("string"))).cast("double"))
-        rated = rated.withColumn("rate", checked)
     return rated.withColumn("parts", parts).withColumn("cdf", cdf)
 
 
@@ -70,16 +67,17 @@ def replicate(df: DataFrame, key: str = "doc_id", source: str = "source", units:
     """
     units = F.coalesce(F.length("text"), F.lit(0)) if units is None else units
     df = without(df, ["copy", "rate", "shuffle_key"])
-    rates = cut(source_rates(df, source, units, weights, power).withColumnRenamed("src", "__src"), "rates")
+    rates = source_rates(df, source, units, weights, power)
+    rates = cut(rates.select(F.col("src").alias("__src"), "rate", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")), "rates")
     same = F.col(source).eqNullSafe(F.col("__src"))
     if rates.count() <= FEW:  # a row holds at most ONE + 12 * sqrt(ONE) + 21 numbers
         rated = df.join(F.broadcast(rates), same)
     else:  # a source's rows are dealt over SALTS tasks
         salted = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rated = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__salt") == F.col("__salt_of"))).drop("__salt", "__salt_of")
-    draw = lambda *part: F.size(F.filter("cdf", lambda c: c <= uniform(F.col(key), *part, seed=seed)))
-    several = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + draw(part))
-    drawn = rated.withColumn("__n", F.when(F.col("parts") > 1, several).when(F.col("rate") > 0, draw()).otherwise(F.lit(0))).drop("cdf", "parts", "__src")
+    draw = lambda *part: F.size(F.filter("__cdf", lambda c: c <= uniform(F.col(key), *part, seed=seed)))
+    several = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + draw(part))
+    drawn = rated.withColumn("__n", F.when(F.col("__parts") > 1, several).when(F.col("rate") > 0, draw()).otherwise(F.lit(0))).drop("__cdf", "__parts", "__src")
     copies = drawn.where(F.col("__n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long") - 1))).drop("__n")
     out = copies.withColumn("shuffle_key", uniform(F.col(key), F.col("copy"), seed=seed + 1))
     return out.repartitionByRange(F.col("shuffle_key"), F.col(key)).sortWithinPartitions("shuffle_key", key) if shuffle else out

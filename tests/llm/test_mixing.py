@@ -1,7 +1,6 @@
 import hashlib
 import math
 
-import pytest
 
 from countweave.llm import mixing as M
 
@@ -67,8 +66,15 @@ def test_edge_cases(spark):
     assert M.replicate(frame(spark, [])).collect() == []
     assert M.replicate(frame(spark, [(1, None, "a")])).collect() == []
     weights = spark.createDataFrame([("a", 1.0)], "source string, weight double")
-    with pytest.raises(Exception, match="repetition rate"):
-        M.replicate(frame(spark, [(1, "x", "a"), (2, "x" * 10_000, "b")]), weights=weights).collect()
+    high = M.replicate(frame(spark, [(1, "x", "a"), (2, "x" * 10_000, "b")]), weights=weights).collect()
+    assert abs(len(high) - 10_001) < 600 and {r.doc_id for r in high} == {1}
+
+
+def test_clashing_names(spark):
+    rows = [(i, "x" * (5 + i), "ab"[i % 2], 1, 2, 3, 4, 5) for i in range(40)]
+    named = spark.createDataFrame(rows, "doc_id long, text string, source string, cdf int, parts int, src int, own int, w int")
+    plain = M.replicate(frame(spark, [r[:3] for r in rows])).collect()
+    assert [(r.doc_id, r.copy) for r in M.replicate(named).collect()] == [(r.doc_id, r.copy) for r in plain]
 
 
 def test_small_sources_beside_a_large_one(spark, monkeypatch):
