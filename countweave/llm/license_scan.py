@@ -1,7 +1,7 @@
 """License scan: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a paragraph, or of a longer one a window of WIDE words every STEP words. It takes a template's label where
-it holds the threshold share of the template's distinct words. The words of all templates are put in one order by the
+A block is a paragraph, or of a longer one a window of WIDE words every STEP words, and such a window over the whole
+text, for licenses printed in several paragraphs. It takes a template's label where it holds the threshold share of the template's distinct words. The words of all templates are put in one order by the
 number of documents that hold them, over the whole corpus, rare ones first: a block that meets the threshold holds one
 of the first |T| - ceil(t |T|) + 1 words of the template T (prefix filter), has at least ceil(t |T|) distinct words
 (length filter), and the words of T from its first common one on suffice (positional filter). What passes is counted.
@@ -42,12 +42,18 @@ def lower(text: str | None) -> str:
     return (text or "").encode().lower().decode()  # A-Z only
 
 
+def windows(words: list[str]) -> Iterator[list[str]]:
+    for at in range(0, max(1, len(words) - STEP), STEP):
+        yield words[at : at + WIDE]
+
+
 def blocks(text: str) -> Iterator[list[str]]:
-    for paragraph in BLANK.split(text):
-        words = WORD.findall(paragraph)
-        if words:
-            for at in range(0, max(1, len(words) - STEP), STEP):
-                yield words[at : at + WIDE]
+    """Windows of the paragraphs, and, of several paragraphs, windows across them."""
+    found = [words for words in map(WORD.findall, BLANK.split(text)) if words]
+    for words in found:
+        yield from windows(words)
+    if len(found) > 1:
+        yield from windows([w for words in found for w in words])
 
 
 def places(words: list[str], phrases: tuple = PHRASES) -> list[tuple[int, str]]:
@@ -157,6 +163,7 @@ WITH d AS (
   FROM i, (VALUES {_PHRASE}) AS p(label, phrase) WHERE words[pos:pos + len(phrase) - 1] = phrase GROUP BY r
 ), paragraphs AS (
   SELECT r, regexp_extract_all(unnest(regexp_split_to_array(t, '\\n[ \\t\\r\\f\\v]*\\n')), '{_W}') AS words FROM w
+  UNION ALL SELECT r, words FROM w WHERE len(words) > 0
 ), b AS (
   SELECT r, words, unnest(range(0, greatest(1, len(words) - {STEP}), {STEP})) AS pos FROM paragraphs
 ), sets AS (

@@ -42,5 +42,25 @@ def test_against_every_pair(spark):
     assert {x for r in got for x in r.labels.split(",") if x} == {x for x, _ in L.TEMPLATES}
 
 
+def test_licenses_in_several_paragraphs(spark):
+    """As they are printed: title, notice and list items with blank lines between, none of which holds enough alone."""
+    rows = []
+    for i, (_, t) in enumerate(L.TEMPLATES):
+        w = t.split()
+        cuts = [0, len(w) // 3, 2 * len(w) // 3, len(w)]
+        rows.append((i, "Title of the file\n\n" + "\n\n".join(" ".join(w[a:b]) for a, b in zip(cuts, cuts[1:])) + "\n\n" + "more text " * 500, 1, "x"))
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, (label, _) in enumerate(L.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score == 1
+
+
+def test_a_table_of_hundreds_of_templates(spark):
+    r = random.Random(4)
+    templates = tuple((f"t{i}", " ".join(f"w{r.randrange(3000)}" for _ in range(60))) for i in range(400))
+    rows = [(i, "intro text " + t if i % 3 else " ".join(t.split()[:30]), 1, "x") for i, (_, t) in enumerate(templates)]
+    got = {x.doc_id: x.labels for x in L.scan(spark.createDataFrame(rows, SCHEMA), templates=templates).collect()}
+    assert all(got[i] == (f"t{i}" if i % 3 else "") for i in range(400))
+
+
 def test_empty(spark):
     assert L.scan(spark.createDataFrame([], SCHEMA)).collect() == []
