@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is judged once per document: the ledger keeps the measurements and one bit per failed rule. A policy is a
-named, versioned mask of rules that reject; applying a policy or taking rules out of it (ablation) reads the ledger
-only, never the texts.
+Every rule is judged once per document: the ledger keeps the measurements, one bit per failed rule and the version of
+the rule set, as a table (`recorded`). A policy is a named, versioned mask of rules that reject; applying a policy or
+taking rules out of it (ablation) reads that table only, never the texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _KEYS, mix, Poly, small_batches, steps, tidied, utf8, WHITE, without, words
+from .common import _KEYS, cut, mix, Poly, small_batches, steps, tidied, utf8, WHITE, without, words
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -42,6 +42,8 @@ RULES = (
     Rule("capitals", "n_upper > n_lower"),
 )
 BASE = ("few_words", "repeated_words")
+#: Goes up when a rule is added or changed.
+RULE_SET = 1
 #: Versioned policies: the rules that reject.
 POLICIES = {
     "base-1": BASE,
@@ -114,8 +116,17 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     return measured.withColumn("failed", total.cast("long"))
 
 
+def recorded(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger of (key, text) as a table in the shared folder: key, measurements, failed, and rule_set, the version it was judged by."""
+    judged = ledger(df.select(key, text), text).drop(text)
+    return cut(judged.withColumn("rule_set", F.lit(RULE_SET)), "ledger")
+
+
 def apply_policy(ledger_df: DataFrame, policy: str = "strict-1") -> DataFrame:
-    """The ledger with `kept`: no rule of the policy failed. Reads bits only."""
+    """The ledger with `kept`: no rule of the policy failed. Reads bits only; bits of another rule set are refused."""
+    if "rule_set" in ledger_df.columns:
+        same = F.col("rule_set") == RULE_SET
+        ledger_df = ledger_df.withColumn("failed", F.when(same, F.col("failed")).otherwise(F.raise_error(F.lit("the ledger is of another rule set")).cast("long")))
     return without(ledger_df, ["kept"]).withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask_of(POLICIES[policy]))) == 0)
 
 
@@ -137,7 +148,7 @@ def ablations(ledger_df: DataFrame, policy: str = "strict-1") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    judged = apply_policy(ledger(docs))
+    judged = apply_policy(recorded(docs))
     base = F.col("failed").bitwiseAND(F.lit(mask_of(BASE))) != 0
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 

@@ -2,6 +2,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from countweave.llm import quality_rules as Q
 
 SCHEMA = "doc_id long, text string, n_words string, Failed int"
@@ -61,3 +64,14 @@ def test_ablations(spark):
         assert got[rule.name] == (sum(f[i] for f in all_), sum(f[i] and sum(f) == 1 for f in all_))
     empty = Q.ledger(spark.createDataFrame([], SCHEMA))
     assert {(r.n_failed, r.n_only) for r in Q.ablations(empty, "base-1").collect()} == {(0, 0)} and empty.collect() == []
+
+
+def test_the_recorded_ledger_serves_policies_and_ablations(spark):
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts())], SCHEMA)
+    table = Q.recorded(df)
+    assert "text" not in table.columns and {r.rule_set for r in table.collect()} == {Q.RULE_SET}
+    for policy in Q.POLICIES:
+        assert {r.doc_id for r in Q.apply_policy(table, policy).where("kept").collect()} == {r.doc_id for r in Q.apply_policy(Q.ledger(df), policy).where("kept").collect()}
+        assert sorted(Q.ablations(table, policy).collect()) == sorted(Q.ablations(Q.ledger(df), policy).collect())
+    with pytest.raises(Exception, match="another rule set"):
+        Q.apply_policy(table.withColumn("rule_set", F.lit(0))).collect()
