@@ -17,7 +17,7 @@ from ..session import cut, new_path
 STEP = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of an Arrow batch between Spark and Python; rows are larger only if one text is.
-BATCH = 16 << 20
+BATCH = 8 << 20
 _LIBC: list = []
 
 

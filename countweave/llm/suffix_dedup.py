@@ -162,7 +162,7 @@ FOUND_SCHEMA = "id binary, node binary, anchor long, segment long, at long, unti
 @tidied
 def _segments(batches: Iterator[pa.RecordBatch], short: int, length: int, k: int) -> Iterator[pa.RecordBatch]:
     """(anchor, segment, twice, left, bytes) for rows (text, wanted) with wanted: an array of (at, anchor, segment, twice)."""
-    for batch in batches:
+    for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
         buf, at = utf8(batch.column(0))
         for d, wanted in enumerate(batch.column(1).to_pylist()):
             text = buf[at[d] : at[d + 1]].tobytes()
