@@ -20,6 +20,8 @@ from .. import session
 #: Numbers of the loadings of all datasets; more are refused.
 MOST = 20_000_000
 ROWS = "dataset string, cell string, genes array<int>, values array<double>"
+#: Cells that are dense at a time, and groups in which tasks' sums are added.
+CHUNK, WAYS = 500, 8
 
 
 def solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -58,6 +60,8 @@ def solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
                 x[np.ix_(p, columns)] = np.linalg.lstsq(inside, right[np.ix_(p, columns)], rcond=None)[0] if np.linalg.cond(inside) > 1e13 else np.linalg.solve(inside, right[np.ix_(p, columns)])
             y[:, columns] = gram @ x[:, columns] - right[:, columns]
             y[np.ix_(p, columns)] = 0
+    else:
+        raise ValueError("the pivoting did not end")
     return np.maximum(x, 0)
 
 
@@ -96,35 +100,31 @@ def _cells(x: np.ndarray, w: np.ndarray, v: np.ndarray, penalty: float) -> np.nd
 
 
 def _sums(batches: Iterator[pd.DataFrame], w: np.ndarray, v: dict[str, np.ndarray], penalty: float) -> Iterator[pd.DataFrame]:
-    """(dataset, place, sums): X'H by gene, H'H at places from -k, and the squares of X at -k - 1, added up over a task's cells."""
-    cross, gram, squares = {}, {}, {}
+    """(dataset, sums) of a task's cells: |X|^2, their number, H'H and X'H, one after the other as doubles."""
+    total: dict[str, np.ndarray] = {}
     for pdf in batches:
         for d, part in pdf.groupby("dataset"):
-            for i in range(0, len(part), 2000):
-                x = _dense(part.iloc[i : i + 2000], len(w))
+            for i in range(0, len(part), CHUNK):
+                x = _dense(part.iloc[i : i + CHUNK], len(w))
                 h = _cells(x, w, v[d], penalty)
-                cross[d] = cross.get(d, 0) + x.T @ h
-                gram[d] = gram.get(d, 0) + h.T @ h
-                squares[d] = squares.get(d, 0.0) + float((x * x).sum())
-    k = w.shape[1]
-    for d in cross:
-        places = [*range(len(w)), *range(-k, 0), -k - 1]
-        sums = [*cross[d], *gram[d], np.r_[squares[d], np.zeros(k - 1)]]
-        yield pd.DataFrame({"dataset": d, "place": places, "sums": [s.tolist() for s in sums]})
+                total[d] = total.get(d, 0) + np.concatenate([[(x * x).sum(), len(x)], (h.T @ h).ravel(), (x.T @ h).ravel()])
+    yield pd.DataFrame({"dataset": list(total), "sums": [s.tobytes() for s in total.values()]})
+
 
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"dataset": pdf["dataset"].iloc[:1], "sums": [sum(map(np.frombuffer, pdf["sums"])).tobytes()]})
 
-def _pass(rows: DataFrame, f: Factors) -> tuple[dict, dict, dict]:
-    """(X'H, H'H, |X|^2) of each dataset for the best H at these loadings."""
+
+def _pass(rows: DataFrame, f: Factors) -> tuple[dict, dict, dict, dict]:
+    """(X'H, H'H, |X|^2, cells) of each dataset for the best H at these loadings. Tasks' sums are added in WAYS groups before the driver gets them."""
     w, v, penalty, k = f.w, f.v, f.penalty, f.w.shape[1]
-    parts = rows.mapInPandas(lambda it: _sums(it, w, v, penalty), "dataset string, place int, sums array<double>")
-    total = parts.groupBy("dataset", "place").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(k)]).toPandas()
-    cross, gram, squares = {}, {}, {}
-    for d, part in total.groupby("dataset"):
-        part = part.sort_values("place")
-        s, at = part[[f"s{i}" for i in range(k)]].to_numpy(), part["place"].to_numpy()
-        squares[d] = s[at == -k - 1][0, 0]
-        gram[d], cross[d] = s[(at < 0) & (at >= -k)], s[at >= 0]
-    return cross, gram, squares
+    parts = rows.mapInPandas(lambda it: _sums(it, w, v, penalty), "dataset string, sums binary").withColumn("way", F.spark_partition_id() % WAYS)
+    cross, gram, squares, cells = {}, {}, {}, {}
+    for d, s in parts.groupBy("dataset", "way").applyInPandas(_added, "dataset string, sums binary").collect():
+        s = np.frombuffer(s)
+        for out, x in ((squares, s[0]), (cells, s[1]), (gram, s[2 : 2 + k * k].reshape(k, k)), (cross, s[2 + k * k :].reshape(-1, k))):
+            out[d] = out.get(d, 0) + x
+    return cross, gram, squares, cells
 
 
 def objective(f: Factors, cross: dict, gram: dict, squares: dict) -> float:
@@ -158,7 +158,7 @@ def factorize(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, t
         f = start or _start(rows, genes, k, penalty, seed + rep)
         before = None
         for _ in range(max_iters + 1):  # the last pass only measures
-            cross, gram, squares = _pass(rows, f)
+            cross, gram, squares, _ = _pass(rows, f)
             now = objective(f, cross, gram, squares)
             f.objective.append(now)
             if before is not None and abs(before - now) / ((before + now) / 2) <= thresh or len(f.objective) > max_iters:
@@ -170,8 +170,8 @@ def factorize(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, t
     return best
 
 
-def update(f: Factors, cross: dict, gram: dict, method: str = "nnls") -> None:
-    """New V and W for these sums."""
+def update(f: Factors, cross: dict, gram: dict, method: str = "nnls", own: set[str] | None = None) -> None:
+    """New V and W for these sums; with own, the V of those datasets only."""
     if method == "nnls":
         for d in cross:
             f.v[d] = solve((1 + f.penalty) * gram[d], (cross[d] - f.w @ gram[d]).T).T
@@ -180,7 +180,7 @@ def update(f: Factors, cross: dict, gram: dict, method: str = "nnls") -> None:
     for j in range(f.w.shape[1]):
         step = sum(cross[d][:, j] - (f.w + f.v[d]) @ gram[d][:, j] for d in cross) / max(sum(g[j, j] for g in gram.values()), 1e-15)
         f.w[:, j] = np.maximum(f.w[:, j] + step, 1e-16)
-    for d in cross:
+    for d in cross if own is None else own & cross.keys():
         for j in range(f.w.shape[1]):
             step = (cross[d][:, j] - (f.w + (1 + f.penalty) * f.v[d]) @ gram[d][:, j]) / max((1 + f.penalty) * gram[d][j, j], 1e-15)
             f.v[d][:, j] = np.maximum(f.v[d][:, j] + step, 1e-16)
@@ -201,31 +201,50 @@ def project(rows: DataFrame, f: Factors) -> DataFrame:
     return rows.mapInPandas(lambda it: _project(it, w, v, penalty), "dataset string, cell string, h array<double>")
 
 
-def online(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, batch: int = 5000, epochs: int = 5, seed: int = 1, start: Factors | None = None) -> Factors:
-    """Factors by mini-batches of about `batch` cells, dealt by hash and anew each epoch.
+def remember(now: np.ndarray, old: np.ndarray, fresh: np.ndarray, size: float, step: int, rolled: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(the running sums with a batch's added, what of them is of the epoch before) of H'H, its k rows first, over X'H.
 
-    Each batch is a job; its sums join the running ones, weighted by (t - 1) / t, and W and V take one step by
-    coordinates. With start, its datasets keep their sums, and the new ones are added (refinement).
+    The batch counts by its mean. What was there fades: by (step - 1) / step, wholly before the first batch, and to one
+    over the size before the second. When an epoch begins (rolled), what is older than the last one is taken out first.
     """
-    fresh = _start(rows, genes, k, penalty, seed)
+    fade = (step - 1) / step if step > 1 else step / size
+    if rolled:
+        now, old = now - old, now - old
+    now, old = fade * now + fresh / size, fade * old
+    k = now.shape[1]
+    now[range(k), range(k)] = np.where(now[range(k), range(k)] == 0, 1e-15, now[range(k), range(k)])
+    return now, old
+
+
+def online(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, batch: int = 5000, epochs: int = 5, sweeps: int = 1, seed: int = 1, start: Factors | None = None) -> Factors:
+    """Factors by mini-batches of about `batch` cells, each dataset's share by its size, for about `epochs` passes.
+
+    Cells are dealt to batches by hash and written once, by batch; a step reads its batch only, adds its sums to the
+    running ones (`remember`) and moves W and V by coordinates, `sweeps` times. With start, its datasets keep their
+    sums and V, and take part in W beside the new ones (refinement).
+    """
+    f = _start(rows, genes, k, penalty, seed)
+    counts = {r["dataset"]: r["count"] for r in rows.groupBy("dataset").count().collect()}
+    mine, first = set(counts), min(counts)
     if start is not None:
-        fresh.w, fresh.v = start.w.copy(), {**start.v, **fresh.v}
-        fresh.gram, fresh.cross = dict(start.gram), dict(start.cross)
-    f, n = fresh, rows.count()
-    batches, t = max(1, round(n / batch)), 0
-    mine = {r[0] for r in rows.select("dataset").distinct().collect()}
-    for epoch in range(epochs):
-        dealt = rows.withColumn("__b", F.pmod(F.xxhash64("dataset", "cell", F.lit(seed * 1000 + epoch)), F.lit(batches)))
-        for b in range(batches):
-            cross, gram, _ = _pass(dealt.where(F.col("__b") == b).drop("__b"), f)
-            t += 1
-            keep = (t - 1) / t if t > 1 else 0.0
-            for d in cross:
-                share = 1 / batch
-                f.cross[d] = (f.cross.get(d, 0) if d in f.cross and (t > 1 or d not in mine) else 0) * keep + cross[d] * share
-                f.gram[d] = (f.gram.get(d, 0) if d in f.gram and (t > 1 or d not in mine) else 0) * keep + gram[d] * share
-            update(f, f.cross, f.gram, "hals")
-    cross, gram, squares = _pass(rows, f)
+        f.w, f.v = start.w.copy(), {**{d: v.copy() for d, v in start.v.items()}, **f.v}
+        f.gram, f.cross = {d: g for d, g in start.gram.items() if d not in mine}, {d: c for d, c in start.cross.items() if d not in mine}
+    size = max(1, round(counts[first] / sum(counts.values()) * batch))
+    steps, batches = max(1, counts[first] * epochs // size), max(1, round(counts[first] / size))
+    path = session.new_path(rows.sparkSession, "batches")
+    rows.withColumn("batch", F.pmod(F.xxhash64("dataset", "cell", F.lit(seed)), F.lit(batches))).write.partitionBy("batch").parquet(path)
+    dealt = rows.sparkSession.read.parquet(path)
+    now, old = ({d: np.zeros((k + len(genes), k)) for d in mine} for _ in range(2))
+    epoch = 0
+    for step in range(steps):
+        before, epoch = epoch, (step + 1) * size // counts[first]
+        cross, gram, _, cells = _pass(dealt.where(F.col("batch") == step % batches).drop("batch"), f)
+        for d in cross:
+            now[d], old[d] = remember(now[d], old[d], np.concatenate([gram[d], cross[d]]), cells[d], step, epoch > before)
+            f.gram[d], f.cross[d] = now[d][:k], now[d][k:]
+        for _ in range(sweeps):
+            update(f, f.cross, f.gram, "hals", mine)
+    cross, gram, squares, _ = _pass(rows, f)
     f.objective.append(objective(f, cross, gram, squares))
     return f
 

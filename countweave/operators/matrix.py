@@ -12,6 +12,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import session
+
 CELL, GENE = ["dataset", "cell"], ["dataset", "gene"]
 
 
@@ -75,30 +77,48 @@ def gene_moments(norm: DataFrame) -> DataFrame:
     return sums.join(dataset_sizes(norm), "dataset").select(*GENE, "norm_sum", "norm_sum_sq", (F.col("norm_sum") / n).alias("norm_mean"), var.alias("norm_var"))
 
 
-def _variable(x: DataFrame, alpha: float, threshold: float | dict[str, float]) -> DataFrame:
-    """(dataset, gene) whose variance is over what Poisson counts of its mean would have, by the mean's confidence bound and by `threshold` in log10."""
-    norm = normalized(x)
+def _variable(x: DataFrame, alpha: float, threshold: float | dict[str, float], num_genes: int | None) -> DataFrame:
+    """(dataset, gene) whose variance is over what Poisson counts of its mean would have, by the mean's confidence bound and by `threshold` in log10; with num_genes, the so many of each dataset that are most over it."""
     cells = cell_metrics(x).groupBy("dataset").agg(F.avg(1 / F.col("n_umi")).alias("c"), F.count("*").alias("n_cells"))
-    moments = gene_moments(norm)
+    moments = session.cut(gene_moments(normalized(x)).join(cells, "dataset"), "moments")  # one row a gene
     # The bound's quantile depends on the number of genes: one of a dataset, made on the driver.
-    numbers = moments.groupBy("dataset").agg(F.count("*").alias("n_genes"))
-    deviations = {r["dataset"]: NormalDist().inv_cdf(1 - alpha / r["n_genes"] / 2) for r in numbers.collect()}
+    deviations = {r["dataset"]: NormalDist().inv_cdf(1 - alpha / r["n"] / 2) for r in moments.groupBy("dataset").agg(F.count("*").alias("n")).collect()}
     over = {d: threshold.get(d, 0.1) if isinstance(threshold, dict) else threshold for d in deviations}
     of = lambda table: F.coalesce(*[F.when(F.col("dataset").eqNullSafe(F.lit(d)), F.lit(float(v))) for d, v in table.items()], F.lit(0.0))
-    joined = moments.join(cells, "dataset")
     mean, var, c = F.col("norm_mean"), F.col("norm_var"), F.col("c")
-    upper = mean + of(deviations) * F.sqrt(mean * c / F.col("n_cells"))
-    return joined.where((var / c > upper) & (F.log10(var) > F.log10(mean * c) + of(over))).select(*GENE)
+    upper, excess = mean + of(deviations) * F.sqrt(mean * c / F.col("n_cells")), F.log10(var) - F.log10(mean * c)
+    passed = moments.where(var / c > upper)
+    if num_genes is None:
+        return passed.where(F.log10(var) > F.log10(mean * c) + of(over)).select(*GENE)
+    order = Window.partitionBy("dataset").orderBy(F.desc(F.round(excess, 9)), "gene")
+    return passed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= num_genes).select(*GENE)
 
 
-def variable_genes(x: DataFrame, alpha: float = 0.99, threshold: float | dict[str, float] = 0.1, combine: str = "union", keep_unique: bool = False) -> DataFrame:
+def variable_genes(x: DataFrame, alpha: float = 0.99, threshold: float | dict[str, float] = 0.1, combine: str = "union", keep_unique: bool = False, num_genes: int | None = None) -> DataFrame:
     """(gene) that vary more than chance in any dataset (combine="union") or in all ("intersection"); without keep_unique, only those that all datasets hold."""
-    chosen = _variable(x, alpha, threshold)
+    x = session.cut(x, "counts")  # read by several aggregations
+    chosen = _variable(x, alpha, threshold, num_genes)
     n = x.select("dataset").distinct().count()
     genes = chosen.groupBy("gene").agg(F.count("*").alias("n")).where(F.lit(combine == "union") | (F.col("n") == n)).select("gene")
     return genes if keep_unique else genes.join(shared_genes(x, n), "gene", "left_semi")
 
 
+def united(x: DataFrame) -> DataFrame:
+    """(dataset, gene, gene_sum, n_cell) of every gene of any dataset in every dataset, 0 where it has none of it: the rows that a union of genes fills up."""
+    genes, datasets = x.select("gene").distinct(), x.select("dataset").distinct()
+    grid = genes.join(datasets, F.lit(True))  # datasets are few
+    own = gene_metrics(x).select(*GENE, "gene_sum", "n_cell")
+    return grid.join(own, GENE, "left").na.fill(0, ["gene_sum", "n_cell"]).select(*GENE, "gene_sum", "n_cell")
+
+
+def dataset_of(x: DataFrame, name: str) -> DataFrame:
+    """The rows of one dataset; an unknown name is an error."""
+    own = x.where(F.col("dataset") == name)
+    if own.isEmpty():
+        raise KeyError(name)
+    return own
+
+
 def shared_genes(x: DataFrame, n: int | None = None) -> DataFrame:
     """(gene) that all datasets hold."""
     n = x.select("dataset").distinct().count() if n is None else n

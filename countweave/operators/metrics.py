@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import session
 from .factorize import Factors, loadings, specificity
 from .ranks import rank_test
 
@@ -52,18 +52,16 @@ def factor_markers(norm: DataFrame, cells: DataFrame, f: Factors, one: str, two:
     dataset, by log_fc and p; of those the n with the largest loadings there. Part shared: the n largest of the lesser
     of both datasets' loadings.
     """
-    spark, norm, cells = norm.sparkSession, session.cut(norm), session.cut(cells)  # each is read once a factor
-    close = [int(i) for i in range(f.w.shape[1]) if abs(specificity(f, one, two)[i]) <= share]
+    spark, apart = norm.sparkSession, np.abs(specificity(f, one, two))
+    close = [int(i) for i in np.flatnonzero(apart <= share)]
     long = loadings(spark, f).where(F.col("dataset").isin(one, two)).select("dataset", "gene", F.posexplode(F.zip_with("w", "v", lambda a, b: a + b)).alias("factor", "loading")).where(F.col("factor").isin(close))
     both = long.groupBy("factor", "gene").agg(F.min("loading").alias("loading"))
     out = top_genes(both, n).select(F.lit("shared").alias("part"), "factor", "gene", F.lit(None).cast("double").alias("log_fc"), F.lit(None).cast("double").alias("pval"))
     name = F.concat_ws("\t", "dataset", "cell")
     x = norm.select(name.alias("cell"), "gene", "value")
-    for factor in close:
-        own = cells.where((F.col("cluster") == factor) & F.col("dataset").isin(one, two)).select(name.alias("cell"), F.col("dataset").alias("group"))
-        tests = rank_test(x, own).where((F.col("log_fc") > log_fc) & (F.col("pval") < p))
-        ranked = tests.select("gene", F.col("group").alias("dataset"), "log_fc", "pval").join(long.where(F.col("factor") == factor), ["dataset", "gene"])
-        order = Window.partitionBy("dataset").orderBy(F.desc("loading"), "gene")
-        best = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-        out = out.unionByName(best.select(F.col("dataset").alias("part"), "factor", "gene", "log_fc", "pval"))
-    return out
+    own = cells.where(F.col("cluster").isin(close) & F.col("dataset").isin(one, two)).select(name.alias("cell"), F.col("dataset").alias("group"), F.col("cluster").cast("int").alias("factor"))
+    tests = rank_test(x, own, within="factor").where((F.col("log_fc") > log_fc) & (F.col("pval") < p))
+    ranked = tests.select("factor", "gene", F.col("group").alias("dataset"), "log_fc", "pval").join(long, ["dataset", "factor", "gene"])
+    order = Window.partitionBy("factor", "dataset").orderBy(F.desc("loading"), "gene")
+    best = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+    return out.unionByName(best.select(F.col("dataset").alias("part"), "factor", "gene", "log_fc", "pval"))

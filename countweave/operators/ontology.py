@@ -101,4 +101,4 @@ def representatives(terms: DataFrame, similar: DataFrame, ic: DataFrame, cutoff:
         if after.join(now.withColumnRenamed("representative", "old"), "go").where("representative != old").isEmpty():
             return after
         now = after
-    return now
+    raise ValueError("the groups of terms did not come to rest")

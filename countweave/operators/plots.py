@@ -10,7 +10,7 @@ from . import matrix
 
 def scatter(points: DataFrame, cells: DataFrame, seed: int = 1) -> DataFrame:
     """(dataset, cell, x, y, cluster, place) of points (dataset, cell, x, y) and cells (dataset, cell, cluster); place orders the dots of a dataset at random, so none hides the others."""
-    order = Window.partitionBy("dataset").orderBy(F.xxhash64("cell", F.lit(seed)), "cell")
+    order = Window.partitionBy("dataset").orderBy(F.md5(F.concat_ws(":", "cell", F.lit(seed)).cast("binary")), "cell")
     return points.join(cells.select("dataset", "cell", "cluster"), ["dataset", "cell"]).withColumn("place", F.row_number().over(order))
 
 

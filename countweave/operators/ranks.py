@@ -31,30 +31,32 @@ def average_ranks(values: DataFrame, by: list[str], value: str = "value", absent
     return values.join(groups.select(*by, value, "ties", rank.alias("rank")), [*by, value])
 
 
-def rank_test(values: DataFrame, cells: DataFrame, group: str = "group") -> DataFrame:
+def rank_test(values: DataFrame, cells: DataFrame, group: str = "group", within: str | None = None) -> DataFrame:
     """One against the rest, for every group of cells and feature.
 
     values: (cell, gene, value > 0), cells: (cell, group); cells without a group do not count. Gives (gene, group,
     avg_expr, log_fc, statistic, z, pval, padj): the mean of ln(value + 1e-10) in the group, less that of the other
     cells; the smaller Mann-Whitney U; its normal deviate with continuity and tie correction; p two-sided, adjusted
     by Benjamini and Hochberg over the genes of a group. With one group, or one that is all cells, nothing comes.
+
+    within: a column of cells; those of each of its values are tested for themselves, all at once, and it comes first.
     """
-    cells = cells.where(F.col(group).isNotNull()).select("cell", F.col(group).alias("group"))
-    sizes = cells.groupBy("group").agg(F.count("*").alias("n1"))
-    total = sizes.agg(F.sum("n1").alias("n"), F.collect_list(F.struct("group", "n1")).alias("groups"))  # one row, a pair for each group
-    x = values.where("value > 0").join(cells, "cell")
-    stored = x.groupBy("gene").agg(F.count("*").alias("stored"))
-    ready = x.join(stored.join(F.broadcast(total.select("n")), F.lit(True)).withColumn("absent", F.col("n") - F.col("stored")), "gene")
-    ranked = average_ranks(ready, ["gene"], absent="absent")
+    cells = cells.where(F.col(group).isNotNull()).select("cell", F.col(group).alias("group"), (F.col(within) if within else F.lit(0)).alias("part"))
+    sizes = cells.groupBy("part", "group").agg(F.count("*").alias("n1"))
+    total = sizes.groupBy("part").agg(F.sum("n1").alias("n"), F.collect_list(F.struct("group", "n1")).alias("groups"))  # a pair for each group
+    x, place = values.where("value > 0").join(cells, "cell"), ["part", "gene"]
+    stored = x.groupBy(*place).agg(F.count("*").alias("stored"))
+    ready = x.join(stored.join(total.select("part", "n"), "part").withColumn("absent", F.col("n") - F.col("stored")), place)
+    ranked = average_ranks(ready, place, absent="absent")
     cube = lambda c: c * c * c - c
-    ties = ranked.groupBy("gene").agg(F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tied"), F.first("absent").alias("absent"), F.first("n").alias("n"))
+    ties = ranked.groupBy(*place).agg(F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tied"), F.first("absent").alias("absent"), F.first("n").alias("n"))
     n, z0 = F.col("n").cast("double"), F.col("absent").cast("double")
-    ties = ties.select("gene", "n", "absent", (1 - (F.col("tied") + cube(z0)) / cube(n)).alias("t"))
+    ties = ties.select(*place, "n", "absent", (1 - (F.col("tied") + cube(z0)) / cube(n)).alias("t"))
     logs = F.ln(F.col("value") + FLOOR)
-    sums = ranked.groupBy("gene", "group").agg(F.sum("rank").alias("r"), F.count("*").alias("k"), F.sum(logs).alias("logs"))
-    whole = sums.groupBy("gene").agg(F.sum("logs").alias("all_logs"), F.sum("k").alias("all_k"))
-    every = ties.join(F.broadcast(total.select("groups")), F.lit(True)).withColumn("g", F.explode("groups")).select("gene", "n", "absent", "t", "g.group", "g.n1")
-    all_ = every.join(sums, ["gene", "group"], "left").join(whole, "gene").na.fill(0, ["r", "k", "logs"])
+    sums = ranked.groupBy(*place, "group").agg(F.sum("rank").alias("r"), F.count("*").alias("k"), F.sum(logs).alias("logs"))
+    whole = sums.groupBy(*place).agg(F.sum("logs").alias("all_logs"), F.sum("k").alias("all_k"))
+    every = ties.join(total.select("part", "groups"), "part").withColumn("g", F.explode("groups")).select(*place, "n", "absent", "t", "g.group", "g.n1")
+    all_ = every.join(sums, [*place, "group"], "left").join(whole, place).na.fill(0, ["r", "k", "logs"])
     low, n1 = F.lit(math.log(FLOOR)), F.col("n1").cast("double")
     n2 = n - n1
     r1 = F.col("r") + (n1 - F.col("k")) * (z0 + 1) / 2
@@ -62,8 +64,9 @@ def rank_test(values: DataFrame, cells: DataFrame, group: str = "group") -> Data
     inside = F.col("logs") + (n1 - F.col("k")) * low
     outside = F.col("all_logs") - F.col("logs") + (n2 - (F.col("all_k") - F.col("k"))) * low
     z = (F.greatest(u1, n1 * n2 - u1) - (n1 * n2 / 2 + 0.5)) / F.sqrt(F.col("t") * n1 * n2 * (n + 1) / 12)
-    out = all_.where(n2 > 0).select("gene", "group", (inside / n1).alias("avg_expr"), (inside / n1 - outside / n2).alias("log_fc"), F.least(u1, n1 * n2 - u1).alias("statistic"), z.alias("z"))
-    return adjusted(out.withColumn("pval", normal_tail("z")), ["group"])
+    out = all_.where(n2 > 0).select(*place, "group", (inside / n1).alias("avg_expr"), (inside / n1 - outside / n2).alias("log_fc"), F.least(u1, n1 * n2 - u1).alias("statistic"), z.alias("z"))
+    tests = adjusted(out.withColumn("pval", normal_tail("z")), ["part", "group"])
+    return tests.withColumnRenamed("part", within) if within else tests.drop("part")
 
 
 def adjusted(tests: DataFrame, by: list[str], p: str = "pval") -> DataFrame:
@@ -86,9 +89,5 @@ def wilcoxon(norm: DataFrame, clusters: DataFrame, compare: str = "clusters") ->
     if compare != "datasets":
         raise ValueError("compare is clusters or datasets")
     mixed = clusters.groupBy("cluster").agg(F.countDistinct("dataset").alias("n")).where("n > 1").select("cluster")
-    out = None
-    for (cluster,) in mixed.orderBy("cluster").collect():  # a few dozen at most
-        own = clusters.where(F.col("cluster") == cluster).select(named.alias("cell"), F.concat_ws("-", F.col("cluster").cast("string"), "dataset").alias("group"))
-        part = rank_test(x, own)
-        out = part if out is None else out.unionByName(part)
-    return rank_test(x, clusters.where("false").select(named.alias("cell"), F.col("dataset").alias("group"))) if out is None else out
+    own = clusters.join(mixed, "cluster", "left_semi")
+    return rank_test(x, own.select(named.alias("cell"), F.concat_ws("-", F.col("cluster").cast("string"), "dataset").alias("group"), "cluster"), within="cluster").drop("cluster")

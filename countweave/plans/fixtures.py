@@ -28,7 +28,7 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in SQL, as the head of a WITH clause.
-LINEITEM_SQL = """counts AS (
+LINEITEM_SQL = """counts AS MATERIALIZED (
   SELECT l_returnflag AS dataset, l_suppkey::VARCHAR AS cell, p_brand || ':' || p_size AS gene, sum(l_quantity)::BIGINT AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
 )"""

@@ -28,9 +28,9 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-_NORM = f"""WITH {LINEITEM_SQL}, norm AS (
+_NORM = f"""WITH {LINEITEM_SQL}, norm AS MATERIALIZED (
   SELECT dataset, cell, gene, value / sum(value) OVER (PARTITION BY dataset, cell) AS value FROM counts
-), sizes AS (SELECT dataset, count(DISTINCT cell) AS n_cells FROM counts GROUP BY 1)"""
+), sizes AS MATERIALIZED (SELECT dataset, count(DISTINCT cell) AS n_cells FROM counts GROUP BY 1)"""
 
 
 @query("cell_metrics", f"WITH {LINEITEM_SQL} SELECT dataset, cell, sum(value)::BIGINT AS n_umi, count(*) AS n_gene FROM counts GROUP BY ALL")
@@ -109,6 +109,38 @@ def _(spark, sf):
     return matrix.variable_genes(lineitem_counts(spark, sf))
 
 
+_CHOSEN = f"""{_MOMENTS}, c AS (
+  SELECT dataset, avg(1 / n) AS c, count(*) AS k FROM (SELECT dataset, cell, sum(value) AS n FROM counts GROUP BY ALL) GROUP BY 1
+), z AS (SELECT dataset, {_TAIL} AS z FROM (SELECT dataset, sqrt(-2 * ln(0.99 / count(*) / 2)) AS q FROM m GROUP BY 1)
+), p AS (
+  SELECT dataset, gene, log10(norm_var) - log10(norm_mean * c) AS excess FROM m JOIN c USING (dataset) JOIN z USING (dataset) WHERE norm_var / c > norm_mean + z * sqrt(norm_mean * c / k)
+), shared AS (
+  SELECT gene FROM (SELECT DISTINCT dataset, gene FROM counts) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT dataset) FROM counts)
+)"""
+
+
+@query("variable_genes_of_all", f"{_CHOSEN} SELECT gene FROM p SEMI JOIN shared USING (gene) WHERE excess > 0.1 GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT dataset) FROM counts)")
+def _(spark, sf):
+    return matrix.variable_genes(lineitem_counts(spark, sf), combine="intersection")
+
+
+@query("most_variable_genes", f"{_CHOSEN} SELECT DISTINCT gene FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY round(excess, 9) DESC, gene) <= 200) SEMI JOIN shared USING (gene)")
+def _(spark, sf):
+    return matrix.variable_genes(lineitem_counts(spark, sf), num_genes=200)
+
+
+@query("united_genes", f"""WITH {LINEITEM_SQL}, g AS (SELECT dataset, gene, sum(value)::BIGINT AS gene_sum, count(*) AS n_cell FROM counts GROUP BY ALL)
+SELECT d.dataset, a.gene, coalesce(gene_sum, 0) AS gene_sum, coalesce(n_cell, 0) AS n_cell FROM (SELECT DISTINCT gene FROM counts) a CROSS JOIN (SELECT DISTINCT dataset FROM counts) d LEFT JOIN g ON g.gene = a.gene AND g.dataset = d.dataset""")
+def _(spark, sf):
+    return matrix.united(lineitem_counts(spark, sf))
+
+
+@query("capitalized_counts", f"WITH {LINEITEM_SQL} SELECT dataset, cell, upper(CASE WHEN value % 2 = 0 THEN lower(gene) ELSE gene END) AS gene, sum(value)::BIGINT AS value FROM counts GROUP BY ALL")
+def _(spark, sf):
+    x = lineitem_counts(spark, sf)
+    return matrix.counts(x.withColumn("gene", F.when(F.col("value") % 2 == 0, F.lower("gene")).otherwise(F.col("gene"))), upper=True)
+
+
 @query("shared_genes", f"WITH {LINEITEM_SQL} SELECT gene FROM (SELECT DISTINCT dataset, gene FROM counts) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT dataset) FROM counts)")
 def _(spark, sf):
     return matrix.shared_genes(lineitem_counts(spark, sf))
@@ -120,8 +152,9 @@ def _(spark, sf):
     return lineitem_counts(spark, sf).select("gene").union(parts).distinct()
 
 
-@query("scale", f"""{_NORM}, r AS (
-  SELECT dataset, gene, sqrt(sum(value * value) / (any_value(n_cells) - 1)) AS rms FROM norm JOIN sizes USING (dataset) WHERE starts_with(gene, 'Brand#2') GROUP BY ALL
+@query("scale", f"""{_NORM}, q AS MATERIALIZED (
+  SELECT dataset, gene, sum(value * value) AS sq FROM norm WHERE starts_with(gene, 'Brand#2') GROUP BY ALL
+), r AS MATERIALIZED (SELECT dataset, gene, sqrt(sq / (n_cells - 1)) AS rms FROM q JOIN sizes USING (dataset)
 ) SELECT dataset, cell, gene, value / rms AS value FROM norm JOIN r USING (dataset, gene)""")
 def _(spark, sf):
     x = lineitem_counts(spark, sf)
@@ -191,18 +224,32 @@ def _(spark, sf):
     return ranks.rank_test(norm.select(F.col("name").alias("cell"), "gene", "value"), cells).drop("pval", "padj")
 
 
-@query("wilcoxon_clusters")
+def _wilcoxon_sql(part: str, group: str) -> str:
+    return f"""{_NORM}, shared AS (SELECT gene FROM (SELECT DISTINCT dataset, gene FROM counts) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT dataset) FROM counts)),
+cells AS MATERIALIZED (SELECT DISTINCT {part} AS part, {group} AS "group", dataset || '-' || cell AS cell FROM counts),
+x AS MATERIALIZED (SELECT {part} AS part, dataset || '-' || cell AS cell, gene, value FROM norm SEMI JOIN shared USING (gene)), stored AS (SELECT DISTINCT part, gene FROM x),
+full_ AS MATERIALIZED (SELECT c.part, c."group", c.cell, g.gene, coalesce(x.value, 0) AS value FROM cells c JOIN stored g ON c.part = g.part LEFT JOIN x ON x.cell = c.cell AND x.gene = g.gene),
+ranked AS (SELECT *, rank() OVER (PARTITION BY part, gene ORDER BY value) + (count(*) OVER (PARTITION BY part, gene, value) - 1) / 2.0 AS r FROM full_),
+ties AS (SELECT part, gene, 1 - sum(t * t * t - t) / (sum(t)::DOUBLE * sum(t) * sum(t) - sum(t)) AS t, sum(t)::DOUBLE AS n FROM (SELECT part, gene, value, count(*)::DOUBLE AS t FROM full_ GROUP BY ALL) GROUP BY ALL),
+s AS MATERIALIZED (SELECT part, gene, "group", sum(r) AS r1, count(*)::DOUBLE AS n1, sum(ln(value + 1e-10)) AS logs FROM ranked GROUP BY ALL),
+w AS (SELECT part, gene, sum(logs) AS all_logs FROM s GROUP BY ALL),
+u AS (SELECT *, n - n1 AS n2, n1 * (n - n1) + n1 * (n1 + 1) / 2 - r1 AS u1 FROM s JOIN ties USING (part, gene) JOIN w USING (part, gene))
+SELECT gene, "group", logs / n1 AS avg_expr, logs / n1 - (all_logs - logs) / n2 AS log_fc, least(u1, n1 * n2 - u1) AS statistic,
+       (greatest(u1, n1 * n2 - u1) - (n1 * n2 / 2 + 0.5)) / sqrt(t * n1 * n2 * (n + 1) / 12) AS z FROM u"""
+
+
+@query("wilcoxon_clusters", _wilcoxon_sql("0", "(cell::BIGINT % 3)::VARCHAR"))
 def _(spark, sf):
     norm = matrix.normalized(lineitem_counts(spark, sf))
     clusters = norm.select("dataset", "cell").distinct().withColumn("cluster", F.expr("cast(cell AS bigint) % 3"))
-    return ranks.wilcoxon(norm, clusters)
+    return ranks.wilcoxon(norm, clusters).drop("pval", "padj")
 
 
-@query("wilcoxon_datasets")
+@query("wilcoxon_datasets", _wilcoxon_sql("cell::BIGINT % 2", "(cell::BIGINT % 2)::VARCHAR || '-' || dataset"))
 def _(spark, sf):
     norm = matrix.normalized(lineitem_counts(spark, sf))
     clusters = norm.select("dataset", "cell").distinct().withColumn("cluster", F.expr("cast(cell AS bigint) % 2"))
-    return ranks.wilcoxon(norm, clusters, "datasets")
+    return ranks.wilcoxon(norm, clusters, "datasets").drop("pval", "padj")
 
 
 @query("benjamini_hochberg", """WITH p AS (SELECT s_suppkey AS id, s_nationkey AS g, (abs(s_acctbal) % 97) / 97 AS pval FROM supplier),
@@ -320,28 +367,47 @@ def _factor_rows(spark, sf):
     return factorize.rows_of(matrix.scaled(norm, genes), names), names
 
 
+def _k(rows) -> int:
+    """20 factors, or fewer than the smallest dataset has cells."""
+    return min(20, rows.groupBy("dataset").count().agg(F.min("count")).first()[0] - 1)
+
+
+def _batch(rows) -> int:
+    """The default of 5,000 cells, or a third of fewer, so that there are several batches."""
+    return min(5000, max(3, rows.count() // 3))
+
+
 @query("inmf")
 def _(spark, sf):
     rows, genes = _factor_rows(spark, sf)
-    return factorize.loadings(spark, factorize.factorize(rows, genes, 5, max_iters=5))
+    return factorize.loadings(spark, factorize.factorize(rows, genes, _k(rows)))
 
 
 @query("inmf_hals")
 def _(spark, sf):
     rows, genes = _factor_rows(spark, sf)
-    return factorize.loadings(spark, factorize.factorize(rows, genes, 5, max_iters=5, method="hals"))
+    return factorize.loadings(spark, factorize.factorize(rows, genes, _k(rows), thresh=1e-4, max_iters=25, method="hals"))
 
 
 @query("inmf_project")
 def _(spark, sf):
     rows, genes = _factor_rows(spark, sf)
-    return factorize.project(rows, factorize.factorize(rows, genes, 5, max_iters=3))
+    seen, unseen = rows.where("dataset != 'R'"), rows.where("dataset = 'R'")  # at what the datasets share alone
+    return factorize.project(unseen, factorize.factorize(seen, genes, _k(rows)))
 
 
 @query("online_inmf")
 def _(spark, sf):
     rows, genes = _factor_rows(spark, sf)
-    return factorize.loadings(spark, factorize.online(rows, genes, 5, batch=150, epochs=1))
+    return factorize.loadings(spark, factorize.online(rows, genes, _k(rows), batch=_batch(rows)))
+
+
+@query("online_refine")
+def _(spark, sf):
+    rows, genes = _factor_rows(spark, sf)
+    k, batch = _k(rows), _batch(rows)
+    f = factorize.online(rows.where("dataset != 'R'"), genes, k, batch=batch)
+    return factorize.loadings(spark, factorize.online(rows.where("dataset = 'R'"), genes, k, batch=batch, start=f))
 
 
 _LISTS = "SELECT p_brand AS gene, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'c' || p_size || ';c' || (p_partkey % 7) || ';c' || (p_partkey % 13) END AS barcodes FROM part"
@@ -419,12 +485,25 @@ def _(spark, sf):
     return ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
 
 
-@query("term_representatives")
+_PVAL = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
+_GROUPS = f"""ranked AS (SELECT go, frequency, {{{{'common': coalesce(frequency, 0) > 0.05, 'pval': {_PVAL.format("go")}, 'id': go}}}} AS r FROM ic),
+alike AS (SELECT a, b FROM pairs JOIN ic p ON p.go = a JOIN ic q ON q.go = b WHERE p.ic <> 0 AND q.ic <> 0 AND 2 * m / (p.ic + q.ic) >= 0.6),
+best AS (SELECT a AS go, min(r) AS r FROM (SELECT * FROM alike UNION ALL SELECT b, a FROM alike) JOIN ranked ON go = b GROUP BY a),
+first AS (SELECT ranked.go, CASE WHEN best.r < ranked.r THEN best.r.id ELSE ranked.go END AS up FROM ranked LEFT JOIN best USING (go)),
+chain AS (SELECT go, up FROM first UNION SELECT chain.go, first.up FROM chain JOIN first ON chain.up = first.go),
+grouped AS (SELECT chain.go, chain.up AS representative FROM chain JOIN first ON first.go = chain.up WHERE first.up = first.go)""".format()
+
+
+def _pval():
+    return F.conv(F.substring(F.md5(F.col("go").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+@query("term_representatives", f"WITH RECURSIVE {_TREE}, {_IC}, {_SIM}, {_GROUPS} SELECT go, representative FROM grouped")
 def _(spark, sf):
     edges = _edges(spark, sf)
     ic = ontology.information(_annotation(spark, sf), edges)
     similar = ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
-    return ontology.representatives(ic.select("go", (F.crc32("go") / float(1 << 32)).alias("pval")), similar, ic, 0.6)
+    return ontology.representatives(ic.select("go", _pval().alias("pval")), similar, ic, 0.6)
 
 
 @query("factor_markers")
@@ -450,7 +529,7 @@ def _(spark, sf):
     return plots.expression(matrix.normalized(x), _points(x), "Brand#11:7")
 
 
-@query("plot_scatter")
+@query("plot_scatter", f"""WITH {LINEITEM_SQL}, {_POINTS} SELECT dataset, cell, x, y, length(cell)::INT AS cluster, row_number() OVER (PARTITION BY dataset ORDER BY md5(cell || ':1'), cell)::INT AS place FROM points""")
 def _(spark, sf):
     x = lineitem_counts(spark, sf)
     return plots.scatter(_points(x), _points(x).withColumn("cluster", F.length("cell")))
@@ -475,12 +554,13 @@ def _(spark, sf):
     return plots.proportions(lineitem_counts(spark, sf).select("dataset", "cell").distinct().withColumn("cluster", F.length("cell")))
 
 
-@query("term_table")
+@query("term_table", f"""WITH RECURSIVE {_TREE}, {_IC}, {_SIM}, {_GROUPS}, n AS (SELECT representative, count(*) AS members FROM grouped GROUP BY 1)
+SELECT go, go AS name, {_PVAL.format("go")} AS pval, frequency, representative, members, NULL::DOUBLE AS user FROM n JOIN ic ON go = representative ORDER BY pval, go LIMIT 50""")
 def _(spark, sf):
     edges = _edges(spark, sf)
     ic = ontology.information(_annotation(spark, sf), edges)
     similar = ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
-    terms = ic.select("go", F.col("go").alias("name"), (F.crc32("go") / float(1 << 32)).alias("pval"))
+    terms = ic.select("go", F.col("go").alias("name"), _pval().alias("pval"))
     return plots.term_table(terms, ontology.representatives(terms, similar, ic, 0.6), ic)
 
 

@@ -73,3 +73,22 @@ def test_stream_projection(spark, data, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     project_stream(stream, f, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 80
+
+
+def test_remembered_sums_by_hand():
+    """Sums of one gene and one factor (H'H over X'H), batches of two cells, and two new epochs."""
+    now = old = np.zeros((2, 1))
+    steps = [(4, 8, False), (6, 2, False), (10, 4, True), (8, 6, True)]
+    want = [((2, 4), (0, 0)), ((1 + 3, 2 + 1), (0, 0)), ((2 + 5, 1.5 + 2), (2, 1.5)), (((7 - 2) * 2 / 3 + 4, (3.5 - 1.5) * 2 / 3 + 3), (10 / 3, 4 / 3))]
+    for step, ((h, x, rolled), (a, b)) in enumerate(zip(steps, want, strict=True)):
+        now, old = N.remember(now, old, np.array([[h], [x]], float), 2, step, rolled)
+        assert np.allclose(now.ravel(), a) and np.allclose(old.ravel(), b)
+    assert N.remember(np.zeros((2, 1)), np.zeros((2, 1)), np.zeros((2, 1)), 2, 0, False)[0].ravel().tolist() == [1e-15, 0]
+
+
+def test_refinement_keeps_what_is_known(data):
+    rows, genes = data
+    f = N.online(rows.where("dataset = 'a'"), genes, 3, batch=20, epochs=3)
+    again = N.online(rows.where("dataset = 'b'"), genes, 3, batch=20, epochs=3, start=f)
+    assert np.array_equal(again.v["a"], f.v["a"]) and np.array_equal(again.gram["a"], f.gram["a"])
+    assert set(again.gram) == {"a", "b"} and not np.array_equal(again.w, f.w)
