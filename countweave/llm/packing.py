@@ -28,7 +28,7 @@ from .common import cut, small_batches, tidied, without
 CAPACITY = 1024
 END = 2  #: id after each document
 ISLAND = 8192
-POPULATION, GENERATIONS, EPOCHS = 6, 10, 3
+POPULATION, GENERATIONS, EPOCHS = 6, 8, 3
 ELITES = 64  #: patterns that migrate from an island
 WEAK = 256  #: least filled bins of an island that are packed anew with those of MERGED - 1 others
 MERGED = 16
