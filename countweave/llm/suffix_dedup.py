@@ -43,6 +43,8 @@ PAD = 0xFF  # no byte of UTF-8
 BUNDLE = 16
 #: Anchors that a task holds to tell texts it has seen; bytes of a text that are searched at a time.
 SEEN, PART = 200_000, 1 << 19
+#: The level of a run that holds for strings of all lengths.
+EVERY = -1
 
 
 def _node(text: str) -> Column:
@@ -161,21 +163,23 @@ FOUND_SCHEMA = "id binary, node binary, anchor long, segment long, at long, unti
 
 @tidied
 def _segments(batches: Iterator[pa.RecordBatch], short: int, length: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, twice, left, bytes) for rows (text, wanted) with wanted: an array of (at, anchor, segment, twice)."""
+    """(anchor, segment, twice, left, bytes, id, begin) for rows (id, text, wanted) with wanted: an array of (at, anchor, segment, twice)."""
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
     for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-        buf, at = utf8(batch.column(0))
-        for d, wanted in enumerate(batch.column(1).to_pylist()):
+        ids = batch.column(0).to_pylist()
+        buf, at = utf8(batch.column(1))
+        for d, wanted in enumerate(batch.column(2).to_pylist()):
             text = buf[at[d] : at[d + 1]].tobytes()
             rows = []
             for x in wanted:
                 begin = max(0, x["at"] - (short - k))
-                rows.append((x["anchor"], x["segment"], x["twice"], x["at"] - begin, text[begin : x["at"] + length]))
+                rows.append((x["anchor"], x["segment"], x["twice"], x["at"] - begin, text[begin : x["at"] + length], ids[d], begin))
             for r in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[r : r + 5000], strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], SEGMENT)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[r : r + 5000], strict=True), kinds, strict=True)], [*SEGMENT, "id", "begin"])
 
 
 SEGMENT = ["anchor", "segment", "twice", "left", "bytes"]
-SEGMENT_SCHEMA = "anchor long, segment long, twice boolean, left long, bytes binary"
+SEGMENT_SCHEMA = "anchor long, segment long, twice boolean, left long, bytes binary, id binary, begin long"
 
 
 @tidied
@@ -227,11 +231,11 @@ def _shared(strings: DataFrame) -> DataFrame:
 
 
 def crowded_runs(segments: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(anchor, segment, level, begin, end) like `_collect`, for segments of crowded anchors: counted, not held.
+    """(anchor, segment, level, begin, end), from the segment's start, of what `_collect` finds, for segments of crowded anchors: counted, not held.
 
     Most strings are ruled out by what the strings of their bundle have in common, so few are counted one by one.
     """
-    segments = cut(segments.dropDuplicates(["anchor", "segment"]), "crowded")  # bytes cut out of repeated rows
+    segments = cut(segments.select(*SEGMENT).dropDuplicates(["anchor", "segment"]), "crowded")  # bytes cut out of repeated rows
     bundles = _shared(segments.mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA))
     bundles = cut(bundles.groupBy("anchor", "segment").agg(F.collect_list(F.struct("level", "place")).alias("wanted")), "bundles")  # of one segment each
     strings = cut(segments.join(bundles, ["anchor", "segment"]).select(*SEGMENT, "wanted").mapInArrow(lambda it: _strings(it, lengths), STRING_SCHEMA), "strings")
@@ -315,7 +319,7 @@ def repeated_columns(rounds: Rounds, lengths: tuple[int, ...], wanted: int) -> n
 
 @tidied
 def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, segment, level, begin, end): the bytes of each segment that is there once, from its start, that repeated strings of lengths[level] cover. Rows come sorted by anchor."""
+    """(id, level, begin, end): the bytes of each text's segments that are there once that repeated strings of lengths[level] cover. Rows come sorted by anchor."""
     reach, width = min(lengths) - k, min(lengths) - k + max(lengths)
     rows: list[tuple] = []
 
@@ -331,8 +335,8 @@ def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int
             rounds.put(i, block)
         found = repeated_columns(rounds, lengths, reach + 1)
         rounds.close()
-        anchor, segment, twice = (np.array([r[c] for r in part]) for c in range(3))
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        ids, twice, start = pa.array([r[5] for r in part], pa.binary()), np.array([r[2] for r in part]), np.array([r[6] for r in part])
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for level, length in enumerate(lengths):
             # Strings that start within `reach` of each other and are longer cover one run.
             first, last = reach - left, np.minimum(reach, reach - left + size - length)
@@ -340,9 +344,10 @@ def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int
             hit = inside & found[level] & ~twice  # of segments that are there twice all strings are repeated
             some = np.flatnonzero(hit.any(0))
             begin, end = hit.argmax(0)[some] - first[some], reach - hit[::-1].argmax(0)[some] - first[some] + length
-            for c, x in zip(out, (anchor[some], segment[some], np.full(len(some), level), begin, end), strict=True):
+            for c, x in zip(out, (some, np.full(len(some), level), start[some] + begin, start[some] + end), strict=True):
                 c.append(x.astype(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], COVERED)
+        of, *rest = (pa.array(np.concatenate(c)) for c in out)
+        return pa.RecordBatch.from_arrays([ids.take(of), *rest], COVERED)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -355,13 +360,13 @@ def _collect(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], k: int
         yield close()
 
 
-COVERED = ["anchor", "segment", "level", "begin", "end"]
-COVERED_SCHEMA = "anchor long, segment long, level long, begin long, end long"
+COVERED = ["id", "level", "begin", "end"]
+COVERED_SCHEMA = "id binary, level long, begin long, end long"
 
 
 def _merged(runs: np.ndarray, level: int, n: int) -> list[list[int]]:
     """The maximal runs of this level among rows (level, begin, end), in order and within n bytes."""
-    own = runs[runs[:, 0] == level, 1:]
+    own = runs[(runs[:, 0] == level) | (runs[:, 0] == EVERY), 1:]
     if not len(own):
         return []
     own = np.minimum(own[np.argsort(own[:, 0], kind="stable")], n)
@@ -370,6 +375,21 @@ def _merged(runs: np.ndarray, level: int, n: int) -> list[list[int]]:
     return np.stack([own[new, 0], until[np.r_[new[1:] - 1, len(own) - 1]]], 1).tolist()
 
 
+def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows (level, begin, end), where each text's begin) of a column of arrays of such runs."""
+    column = column.fill_null([])
+    return np.asarray(column.flatten().flatten(), np.int64).reshape(-1, 3), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(column)))]
+
+
+@tidied
+def _joined(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
+    """The same rows (id, twice, runs) with the maximal runs of each level only."""
+    for batch in batches:
+        runs, cuts = _runs(batch.column(2))
+        made = [[[level, *run] for level in range(levels) for run in _merged(runs[cuts[r] : cuts[r + 1]], level, np.iinfo(np.int64).max)] for r in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.list_(pa.int64())))], batch.schema.names)
+
+
 def passages(data: np.ndarray, runs: list[list[int]], least: int) -> list[list[int]]:
     """Of the runs of bytes those that hold `least` words or more, words that they cut through included, less those parts of words."""
     out = []
@@ -401,9 +421,7 @@ def _strip(batches: Iterator[pa.RecordBatch], text: str, length: int, passage: t
     for batch in batches:
         names = batch.schema.names
         buf, at = utf8(batch.column(names.index(text)))
-        twice, column = batch.column(names.index("__twice")).to_pylist(), batch.column(names.index("__runs")).fill_null([])
-        cuts = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(column)))]
-        runs = np.asarray(column.flatten().flatten(), np.int64).reshape(-1, 3)
+        twice, (runs, cuts) = batch.column(names.index("__twice")).to_pylist(), _runs(batch.column(names.index("__runs")))
         kept, spans, clean, found = [], [], [], []
         for r in range(batch.num_rows):
             data = buf[at[r] : at[r + 1]]
@@ -462,30 +480,32 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     likely = cut(sieve(found, "anchor", known, "anchor").where("__maybe").drop("__maybe"), "likely")
     # Equal segments first, then equal anchors: hot ones shrink before they are dealt. A row that is there twice counts twice.
     segments = likely.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.first(F.struct("id", "at")).alias("one"))
-    segments = segments.select("anchor", "segment", "one.id", "one.at", (F.col("times") > 1).alias("twice"))
-    number = segments.groupBy("anchor").agg(F.count("*").alias("n"))
-    segments = cut(segments.join(number, "anchor").where("n > 1 OR twice"), "segments")
-    of_level = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("level")) for i in range(len(lengths))])).alias("l")
+    segments = cut(segments.select("anchor", "segment", "one.id", "one.at", (F.col("times") > 1).alias("twice")), "segments")
+    number = cut(segments.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "number")
+
     def cut_out(some: DataFrame) -> DataFrame:
         """The bytes of these segments."""
         asked = cut(some.groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "segment", "twice")).alias("wanted")), "asked")  # of one text each
-        return sieve(texts.select("id", "text"), "id", asked, "id").where("__maybe").join(asked, "id").select("text", "wanted").mapInArrow(lambda it: _segments(it, short, length, k), SEGMENT_SCHEMA)
+        return sieve(texts.select("id", "text"), "id", asked, "id").where("__maybe").join(asked, "id").select("id", "text", "wanted").mapInArrow(lambda it: _segments(it, short, length, k), SEGMENT_SCHEMA)
 
-    dealt = cut_out(segments.where((F.col("n") > 1) & (F.col("n") <= hot))).repartition("anchor").sortWithinPartitions("anchor", "segment")
-    covered = dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA)
-    crowded = segments.where(F.col("n") > hot)
-    if not crowded.isEmpty():
-        covered = covered.unionByName(crowded_runs(cut_out(crowded), lengths))
+    dealt = cut_out(segments.join(number.where(F.col("n") <= hot), "anchor")).repartition("anchor").sortWithinPartitions("anchor", "segment")
     # A segment's strings were found where it stands; of one that is there twice all are repeated, wherever it stands.
+    alone = cut(dealt.mapInArrow(lambda it: _collect(it, lengths, k), COVERED_SCHEMA), "covered")
     begin = F.greatest(F.col("at") - (short - k), F.lit(0))
-    alone = cut(covered, "covered").join(segments.where("NOT twice").select("anchor", "segment", "id", "at"), ["anchor", "segment"])
-    alone = alone.select("id", F.array("level", begin + F.col("begin"), begin + F.col("end")).alias("run"))
-    often = segments.where("twice").select("anchor", "segment")
+    many = number.where(F.col("n") > hot).select("anchor")
+    if not many.isEmpty():
+        crowded = segments.join(many, "anchor")
+        places = crowded.where("NOT twice").select("anchor", "segment", "id", begin.alias("start"))
+        counted = crowded_runs(cut_out(crowded), lengths).join(places, ["anchor", "segment"])
+        alone = alone.unionByName(counted.select("id", "level", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")))
+    alone = alone.select("id", F.array("level", "begin", "end").alias("run"))
+    often, every = segments.where("twice").select("anchor", "segment"), F.lit(EVERY).cast("long")
     met = sieve(likely, "segment", often, "segment").where("__maybe").join(often, ["anchor", "segment"])
-    met = met.select("id", "at", of_level).select("id", F.array(F.col("l.level"), begin, F.col("at") + length).alias("run"))  # cut to the text's end later
-    stretched = facts.where("until IS NOT NULL").select("id", "at", "until", of_level).select("id", F.array("l.level", "at", "until").alias("run"))
+    met = met.select("id", F.array(every, begin, F.col("at") + length).alias("run"))  # cut to the text's end later
+    stretched = facts.where("until IS NOT NULL").select("id", F.array(every, "at", "until").alias("run"))
     runs = alone.unionByName(met).unionByName(stretched).groupBy("id").agg(F.collect_set("run").alias("__runs"))  # of one text each
-    marks = cut(runs.join(copies.drop("one"), "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs"), "marks")
+    marks = runs.join(copies.drop("one"), "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs")
+    marks = cut(marks.mapInArrow(lambda it: _joined(it, len(lengths)), "__m binary, __twice boolean, __runs array<array<long>>"), "marks")
     tagged = sieve(df.withColumn("__id", _row(key, node)), "__id", marks, "__m")
     kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *STRIPPED_SCHEMA[: 6 if passage else 4]]
     changed = tagged.where("__maybe").join(marks, F.col("__id") == F.col("__m"), "left").drop("__m", "__id", "__maybe").mapInArrow(lambda it: _strip(it, text, lengths[0], passage), ", ".join(kinds))
