@@ -72,6 +72,18 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever its case."""
+    low = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in low:
+            name += "_"
+        out.append(name)
+        low.add(name.lower())
+    return out
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow array, null as empty, without a copy of the texts where there is no null."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, license_scan, mixing, packing, quality_crf, quality_rules, suffix_dedup, token_alignment, url_filter, warc
+from . import embedding_dedup, jaccard_join, license_scan, mixing, packing, quality_crf, quality_rules, suffix_dedup, target_resampling, token_alignment, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_quality_crf": quality_crf.query,
     "op10_mix_sources": mixing.query,
+    "op11_target_resampling": target_resampling.query,
     "op12_token_alignment": token_alignment.query,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_warc": warc.SQL,
     "op7_license_scan": license_scan.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_target_resampling": target_resampling.SQL,
 }
