@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, license_scan, mixing, packing, quality_crf, quality_rules, suffix_dedup, target_resampling, token_alignment, url_filter, warc
+from . import embedding_dedup, jaccard_join, license_scan, metric_search, mixing, packing, quality_crf, quality_rules, suffix_dedup, target_resampling, token_alignment, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mix_sources": mixing.query,
     "op11_target_resampling": target_resampling.query,
     "op12_token_alignment": token_alignment.query,
+    "op13_metric_search": metric_search.query,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op7_license_scan": license_scan.SQL,
     "op10_mix_sources": mixing.SQL,
     "op11_target_resampling": target_resampling.SQL,
+    "op13_metric_search": metric_search.SQL,
 }
