@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,10 +33,12 @@ from .packing import LONG_RUN, RUN, UNUSUAL
 
 #: Ranges of side ids; a document gets a contribution from each at most.
 RANGES = 32
-#: Postings for each count that is sent to a block of documents, at least.
+#: Rows of postings for each count that is sent to a block of documents, at least.
 SHARE = 4
-#: Postings that a task holds at a time, words it remembers, characters of distinct words tokenized together, and of a word that is tokenized alone and not remembered.
-LIMITS = (1_500_000, 100_000, 200_000, 1000)
+#: Contributions that a task adds up at a time; characters of texts cut into words together, of distinct words tokenized together, and of a part of a longer text.
+LIMITS = (1_500_000, 4_000_000, 200_000, 4_000_000)
+#: Words that one call of a tokenizer gets; longer texts take more than their share of time.
+FEW = 150
 _SIDES: dict = {}
 
 
@@ -54,49 +58,35 @@ class Sides:
         bytes_of = [bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         #: Whether words can be tokenized apart: no piece holds a space after another character.
         self.apart = not any(re.search("[^▁]▁", x) for x in names)
-        self.bytes_a = [b""] * (max(table.values()) + 1)
-        for token, rank in table.items():
-            self.bytes_a[rank] = token
+        by_rank = {rank: token for token, rank in table.items()}
+        self.bytes_a = [by_rank.get(rank, b"") for rank in range(max(by_rank) + 1)]
         self.bytes_b = bytes_of
-
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of space + text by either side, without special tokens."""
-        spaced = " " + text
-        if UNUSUAL(spaced) or len(spaced) >= RUN and LONG_RUN(spaced):
-            if self.tokenizer is None:
-                from tokenizers import Tokenizer
-
-                self.tokenizer = Tokenizer.from_file(self.path)
-                self.tokenizer.encode_special_tokens = True
-            a = self.tokenizer.encode(spaced, add_special_tokens=False).ids
-        else:
-            a = self.fast.encode_to_numpy(spaced, disallowed_special=())
-        return np.asarray(a, np.int64), np.asarray(self.pieces.encode(text, num_threads=1), np.int64)
-
-    def aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(ids of a, ids of b, byte offsets where both end, and how many tokens of a and of b end up to there); None if a side's bytes are not the text's."""
-        a, b = self.ids(text)
+        self.long_a, self.long_b = (np.array([len(x) for x in of], np.int64) for of in (self.bytes_a, self.bytes_b))
+        #: Ids of a before "," and "|", then those of b before "," and ";": what the groups' text is made of.
+        self.shown = [f"{i}{end}".encode() for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)]
+        self.long_shown = np.array([len(x) for x in self.shown], np.int64)
+
+    def _whole(self):
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
+        return self.tokenizer
+
+    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of space + text of either side for each text, without special tokens."""
+        spaced = [" " + x for x in texts]
+        slow = [i for i, x in enumerate(spaced) if UNUSUAL(x) or len(x) >= RUN and LONG_RUN(x)]
+        found = dict(zip(slow, self._whole().encode_batch([spaced[i] for i in slow], add_special_tokens=False), strict=True)) if slow else {}
+        a = [np.array(found[i].ids, np.int64) if i in found else self.fast.encode_to_numpy(x, disallowed_special=()).astype(np.int64) for i, x in enumerate(spaced)]
+        return a, [np.array(x, np.int64) for x in self.pieces.encode(texts, num_threads=1)]
+
+    def same(self, a: np.ndarray, b: np.ndarray, text: str) -> bool:
+        """Whether both sides' bytes are those of space + text."""
         want = b" " + text.encode()
-        parts_a, parts_b = [self.bytes_a[i] if i < len(self.bytes_a) else b"" for i in a.tolist()], [self.bytes_b[i] for i in b.tolist()]
-        if b"".join(parts_a) != want or b"".join(parts_b) != want:
-            return None
-        ends_a, ends_b = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (parts_a, parts_b))
-        both, until_a, until_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        return a, b, both, until_a + 1, until_b + 1
-
-
-class Word:
-    """What a word gives: numbers of tokens and groups, the groups as text, the pairs that end them (b << 32 | a)."""
-
-    __slots__ = ("a", "b", "groups", "pairs")
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, until_a: np.ndarray, until_b: np.ndarray):
-        self.a, self.b, self.pairs = len(a), len(b), (b[until_b - 1] << 32) | a[until_a - 1]
-        out, i, j, a, b = [], 0, 0, a.tolist(), b.tolist()
-        for x, y in zip(until_a.tolist(), until_b.tolist(), strict=True):
-            out.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            i, j = x, y
-        self.groups = ";".join(out).encode()
+        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == want
 
 
 SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -109,41 +99,102 @@ def words(text: str) -> list[str]:
     return SPLIT.split(text) if ODD(text) else text.split(" ")
 
 
-def learn(sides: Sides, new: list[str], known: dict[str, Word | None], joined: int, long: int) -> None:
-    """Puts words into `known`, many of them tokenized as one text."""
-    block: list[str] = []
-
-    def alone(word: str) -> None:
-        found = sides.aligned(word)
-        known[word] = None if found is None else Word(found[0], found[1], found[3], found[4])
-
-    def close() -> None:
-        found = sides.aligned(" ".join(block)) if len(block) > 1 else None
-        if found is None:
-            for word in block:
-                alone(word)
-        else:
-            a, b, both, until_a, until_b = found
-            ends = np.cumsum([len(w.encode()) + 1 for w in block])
-            last = np.searchsorted(both, ends) + 1  # each end of a word is an end of both
-            i = x = y = 0
-            for word, j in zip(block, last.tolist(), strict=True):
-                p, q = int(until_a[j - 1]), int(until_b[j - 1])
-                known[word] = Word(a[x:p], b[y:q], until_a[i:j] - x, until_b[i:j] - y)
-                i, x, y = j, p, q
-        block.clear()
-
-    size = 0
-    for word in new:
-        if len(word) > long or not word or word[0].isspace() or word[-1].isspace() or UNUSUAL(word):
-            alone(word)
-            continue
-        block.append(word)
-        size += len(word) + 1
-        if size > joined:
+class Book:
+    """What each of some distinct words gives, by its slot: fine (whether both sides' bytes are its own), a, b (numbers of tokens), shown (its groups as text, each ended by ';'), and pairs[first:last] (b << 32 | a, of the groups' last tokens)."""
+
+    def __init__(self, sides: Sides, given: list[str], joined: int):
+        self.slot = np.zeros(len(given), np.int64)
+        ids: list[list[np.ndarray]] = [[], []]
+        counts: list[list[np.ndarray]] = [[], []]
+        fine: list[np.ndarray] = []
+        n = 0
+
+        def put(which: list[int], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, good: np.ndarray) -> None:
+            nonlocal n
+            self.slot[which] = np.arange(n, n + len(which))
+            n += len(which)
+            for of, x in zip((*ids, *counts, fine), (a, b, n_a, n_b, good), strict=True):
+                of.append(x)
+
+        alone = [i for i, w in enumerate(given) if not w or w[0].isspace() or w[-1].isspace() or not w.isascii() and UNUSUAL(w)]
+        apart = set(alone)
+        block, size = [], 0
+
+        def close() -> None:
+            own = [given[i] for i in block]
+            a, b = (np.concatenate(x) for x in sides.ids([" ".join(own[k : k + FEW]) for k in range(0, len(own), FEW)]))
+            if sides.same(a, b, " ".join(own)):
+                ends = np.cumsum([(len(w) if w.isascii() else len(w.encode())) + 1 for w in own])  # ends of tokens of both sides
+                n_a, n_b = (np.diff(np.searchsorted(np.cumsum(long[x]), ends, "right"), prepend=0) for x, long in ((a, sides.long_a), (b, sides.long_b)))
+                put(block.copy(), a, b, n_a, n_b, np.ones(len(block), bool))
+            else:
+                alone.extend(block)
+            block.clear()
+
+        for i, w in enumerate(given):
+            if i not in apart:
+                block.append(i)
+                size += len(w) + 1
+                if size > joined:
+                    close()
+                    size = 0
+        if block:
             close()
-            size = 0
-    close()
+        for k in range(0, len(alone), 1000):
+            which = alone[k : k + 1000]
+            of_a, of_b = sides.ids([given[i] for i in which])
+            good = np.array([bool(given[i]) and sides.same(a, b, given[i]) for i, a, b in zip(which, of_a, of_b, strict=True)], bool)
+            own = [[x if ok else x[:0] for x, ok in zip(of, good, strict=True)] for of in (of_a, of_b)]
+            put(which, *(np.concatenate(x) for x in own), *(np.array([len(v) for v in x]) for x in own), good)
+        none = [np.zeros(0, np.int64)]
+        a, b, self.a, self.b, good = (np.concatenate(x or none) for x in (*ids, *counts, fine))
+        self.fine = good.astype(bool)
+        self._groups(sides, a, b)
+
+    def _groups(self, sides: Sides, a: np.ndarray, b: np.ndarray) -> None:
+        ends_a, ends_b = np.cumsum(sides.long_a[a]), np.cumsum(sides.long_b[b])
+        end = np.zeros((2, int(ends_a[-1]) + 1 if len(a) else 1), bool)
+        end[0, ends_a] = end[1, ends_b] = True
+        last_a, last_b = end[1, ends_a], end[0, ends_b]
+        self.pairs = (b[last_b] << 32) | a[last_a]
+        # In the groups' text a token comes after all tokens of earlier groups, and one of b after its group's of a.
+        through_a, through_b = np.flatnonzero(last_a) + 1, np.r_[0, np.flatnonzero(last_b) + 1]
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.zeros(len(a) + len(b), np.int64)
+        n_a, n_b = len(sides.bytes_a), len(sides.bytes_b)
+        order[np.arange(len(a)) + through_b[of_a]] = a + n_a * last_a
+        order[np.arange(len(b)) + through_a[of_b]] = b + 2 * n_a + n_b * last_b
+        text = b"".join(map(sides.shown.__getitem__, order.tolist()))
+        tokens = np.r_[0, np.cumsum(self.a + self.b)]
+        at = np.r_[0, np.cumsum(sides.long_shown[order])][tokens].tolist()
+        self.shown = [text[x:y] for x, y in zip(at, at[1:], strict=False)]
+        ended = np.r_[0, np.cumsum(last_a)][np.r_[0, np.cumsum(self.a)]]
+        self.first, self.groups = ended[:-1], np.diff(ended)
+
+
+def parse(sides: Sides, texts: list[str], joined: int) -> tuple[Book, list[np.ndarray]]:
+    """The book of the texts' words, and each text's words as slots of it."""
+    cuts = [(words(x) if sides.apart else [x]) if x else [] for x in texts]
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(cuts)))}
+    of = np.fromiter(map(number.__getitem__, chain.from_iterable(cuts)), np.int64)
+    book = Book(sides, list(number), joined)
+    return book, np.split(book.slot[of], np.cumsum([len(x) for x in cuts])[:-1]) if cuts else []
+
+
+def pairs_of(book: Book, slots: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The pairs of these words, one after the other, and what else is said of each word for each of its pairs."""
+    n = book.groups[slots]
+    before = np.cumsum(n) - n
+    return book.pairs[np.repeat(book.first[slots] - before, n) + np.arange(n.sum())], *(np.repeat(x, n) for x in more)
+
+
+def _pieces(text: str, most: int) -> Iterator[str]:
+    """The text in parts of about `most` characters that can be tokenized apart."""
+    at = 0
+    while len(text) - at > most and (end := SPLIT.search(text, at + most)):
+        yield text[at : end.start()]
+        at = end.end()
+    yield text[at:]
 
 
 @tidied
@@ -151,45 +202,59 @@ def _tokens(batches: Iterator[pa.RecordBatch], files: tuple[str, str, str], text
     """For rows (key, text): a row (row, key, n_a, n_b, n_groups, sha, groups) each, and postings (b, a, base, docs, times, n): documents base + docs hold the pair so often."""
     if files not in _SIDES:
         _SIDES[files] = Sides(*files)
-    sides, (most, remembered, joined, long) = _SIDES[files], limits
-    known: dict[str, Word | None] = {}
-    row = base = TaskContext.get().partitionId() << 40
-    docs: list[np.ndarray] = []
-    pairs: list[np.ndarray] = []
-    times: list[np.ndarray] = []
-    held = 0
+    sides, (_, together, joined, part) = _SIDES[files], limits
+    row = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-            cuts = [words(x) if sides.apart else [x] for x in (x.as_py() or "" for x in part.column(1))]
-            new = list(dict.fromkeys(w for doc in cuts for w in doc if w not in known))
-            if len(known) + len(new) > remembered:
-                known.clear()
-                new = list(dict.fromkeys(w for doc in cuts for w in doc))
-            learn(sides, new, known, joined, long)
-            out = []
-            for doc in cuts:
-                found = [known[w] for w in doc] if doc != [""] else [None]
-                if None in found:
-                    out.append((row, 0, 0, 0, "", "" if texts else None))
-                else:
-                    groups = b";".join([w.groups for w in found])
-                    ends = np.concatenate([w.pairs for w in found])
-                    pair, n = np.unique(ends, return_counts=True)
-                    out.append((row, sum(w.a for w in found), sum(w.b for w in found), len(ends), hashlib.sha256(groups).hexdigest(), groups.decode() if texts else None))
-                    docs.append(np.full(len(pair), row - base, np.int32))
-                    pairs.append(pair)
-                    times.append(n)
-                    held += len(pair)
-                row += 1
-            for w in [w for w in new if len(w) > long]:
-                del known[w]
+        given = [x or "" for x in batch.column(1).to_pylist()]
+        i = 0
+        while i < len(given):
+            j, size = i + 1, len(given[i])
+            while j < len(given) and size + len(given[j]) <= together:
+                size += len(given[j])
+                j += 1
+            if j == i + 1 and size > part and sides.apart:
+                *own, pair, n = _long(sides, given[i], joined, part, texts)
+                out, doc = [own], np.zeros(len(pair), np.int32)
+            else:
+                book, slots = parse(sides, given[i:j], joined)
+                out = [_one(book, own, texts) for own in slots]
+                fine = [own if x[0] else own[:0] for own, x in zip(slots, out, strict=True)]
+                word, n = np.unique(np.concatenate(fine) * len(fine) + np.repeat(np.arange(len(fine)), [len(own) for own in fine]), return_counts=True)
+                pair, doc, n = pairs_of(book, word // len(fine), word % len(fine), n)
             cols = list(zip(*out, strict=True))
-            yield _rows([cols[0], part.column(0), *cols[1:], *[None] * 6], len(out), part.column(0).type)
-            if held >= most or row - base >= 1 << 30:
-                yield from _postings(base, docs, pairs, times, batch.column(0).type)
-                held, base = 0, row
-    if held:
-        yield from _postings(base, docs, pairs, times, batch.column(0).type)
+            yield _rows([pa.array(np.arange(row, row + len(out))), batch.column(0).slice(i, j - i), *cols, *[None] * 6], len(out), batch.column(0).type)
+            if len(pair):
+                yield from _postings(row, doc.astype(np.int32), pair, n, batch.column(0).type)
+            row += j - i
+            i = j
+
+
+def _one(book: Book, slots: np.ndarray, texts: bool) -> tuple:
+    """(n_a, n_b, n_groups, sha, groups) of a text."""
+    if not len(slots) or not book.fine[slots].all():
+        return 0, 0, 0, "", "" if texts else None
+    groups = b"".join(map(book.shown.__getitem__, slots.tolist()))[:-1]
+    return int(book.a[slots].sum()), int(book.b[slots].sum()), int(book.groups[slots].sum()), hashlib.sha256(groups).hexdigest(), groups.decode() if texts else None
+
+
+def _long(sides: Sides, text: str, joined: int, part: int, texts: bool) -> tuple:
+    """The same of a long text, part by part, then its pairs and how often it has each."""
+    hashed, shown, totals = hashlib.sha256(), [], np.zeros(3, np.int64)
+    pair = n = np.zeros(0, np.int64)
+    for piece in _pieces(text, part):
+        book, (slots,) = parse(sides, [piece], joined)
+        if not len(slots) or not book.fine[slots].all():
+            return *_one(book, slots[:0], texts), pair[:0], n[:0]
+        for k in range(0, len(slots), 100_000):
+            some = b"".join(map(book.shown.__getitem__, slots[k : k + 100_000].tolist()))
+            some = (b";" if totals[0] or k else b"") + some[:-1]
+            hashed.update(some)
+            if texts:
+                shown.append(some)
+        totals += [x[slots].sum() for x in (book.a, book.b, book.groups)]
+        pair, where = np.unique(np.r_[pair, pairs_of(book, slots)[0]], return_inverse=True)
+        n = np.bincount(where, np.r_[n, np.ones(len(where) - len(n), np.int64)], len(pair)).astype(np.int64)
+    return *totals.tolist(), hashed.hexdigest(), b"".join(shown).decode() if texts else None, pair, n
 
 
 TOKENS = ["row", "key", "n_a", "n_b", "n_groups", "sha", "groups", "b", "a", "base", "docs", "times", "n"]
@@ -201,12 +266,12 @@ def _rows(columns: list, n: int, key: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], TOKENS)
 
 
-def _postings(base: int, docs: list, pairs: list, times: list, key: pa.DataType) -> Iterator[pa.RecordBatch]:
-    doc, pair, n = (np.concatenate(x) for x in (docs, pairs, times))
-    for x in (docs, pairs, times):
-        x.clear()
-    turn = np.argsort(pair, kind="stable")
-    doc, pair, n = doc[turn], pair[turn], n[turn].astype(np.int32)
+def _postings(base: int, doc: np.ndarray, pair: np.ndarray, n: np.ndarray, key: pa.DataType) -> Iterator[pa.RecordBatch]:
+    ids, of = np.unique(pair, return_inverse=True)
+    turn = np.argsort(of * (int(doc.max()) + 1) + doc)
+    pair, doc, n = pair[turn], doc[turn], n[turn]
+    new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])])  # several words may end in one pair
+    pair, doc, n = pair[new], doc[new], np.add.reduceat(n, new).astype(np.int32)
     first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
     total, cuts = np.add.reduceat(n.astype(np.int64), first), np.r_[first, len(pair)]
     for i in range(0, len(first), 50_000):
@@ -287,7 +352,7 @@ def align(df: DataFrame, key: str = "doc_id", text: str = "text", files: tuple[s
     schema = f"row long, key {kind}, n_a long, n_b long, n_groups long, sha string, groups string, b long, a long, base long, docs array<int>, times array<int>, n long"
     tokens = cut(given.mapInArrow(lambda it: _tokens(it, files, texts, limits), schema), "tokens")
     docs, postings = tokens.where("row IS NOT NULL"), tokens.where("row IS NULL")
-    counts = cut(postings.groupBy("b", "a").agg(F.sum("n").alias("n"), F.sum(F.size("docs")).alias("size")), "counts")
+    counts = cut(postings.groupBy("b", "a").agg(F.sum("n").alias("n"), F.count("*").alias("size")), "counts")
     n_pairs, size = counts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     blocks = max(1, size // (SHARE * max(1, n_pairs)))
     where = F.pmod(F.xxhash64("b"), F.lit(ranges)).alias("range")

@@ -91,7 +91,7 @@ def test_blocks_and_flushes_change_nothing(spark, sides, monkeypatch):
     monkeypatch.setattr(T, "SHARE", 1)  # of the driver: postings go to several blocks
     rows = rows * 4
     want, _ = brute(sides, rows)
-    for limits in ((40, 30, 20, 4), (7, 5, 1, 100)):
+    for limits in ((40, 300, 20, 10), (7, 1, 1, 25), (1, 5000, 50, 1)):
         assert run(spark, rows, ranges=3, limits=limits)[0] == want
 
 
