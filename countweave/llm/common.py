@@ -52,18 +52,18 @@ def tidied(f):
 BITS = 1 << 24
 
 
-def sieve(df: DataFrame, key: str, among: DataFrame, its: str) -> DataFrame:
-    """(df with __maybe): true for all rows whose key is among the keys of the other table, and for few others.
+def sieve(df: DataFrame, key: str, among: DataFrame, its: str, flag: str = "maybe") -> DataFrame:
+    """df with a column `flag`: true for all rows whose key is among the keys of the other table, and for few others.
 
     Saves the shuffle of rows that a join would drop. The bits are made by an aggregation and sent to all tasks.
     """
+    cell, word, bits = fresh([*df.columns, flag], "cell", "word", "bits")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    cells = among.select(bit(F.col(its)).alias("c")).groupBy(F.shiftright("c", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias("__bits"))
+    cells = among.select(bit(F.col(f"`{its}`")).alias("c")).groupBy(F.shiftright("c", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias(bits))
     cells = cut(cells, "sieve")
-    marked = df.withColumn("__c", bit(F.col(key)))
-    joined = marked.join(F.broadcast(cells), F.shiftright("__c", 6) == F.col("__word"), "left")
-    hit = F.coalesce(F.expr("(__bits & shiftleft(1L, cast(__c & 63 AS int))) != 0"), F.lit(False))
-    return joined.withColumn("__maybe", hit).drop("__c", "__word", "__bits")
+    joined = df.withColumn(cell, bit(F.col(f"`{key}`"))).join(F.broadcast(cells), F.shiftright(cell, 6) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"(`{bits}` & shiftleft(1L, cast(`{cell}` & 63 AS int))) != 0"), F.lit(False))
+    return joined.withColumn(flag, hit).drop(cell, word, bits)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -124,14 +124,31 @@ def _table(seed: int) -> np.ndarray:
         return mix(np.arange(1, 257, dtype=np.uint64) * _ODD + np.uint64(seed))
 
 
+#: A prime; products of two residues and sums of millions of them fit in 64 bits.
+PRIME = (1 << 31) - 1
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, or PRIME for 0."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
 class Poly:
-    """Polynomial hashes (modulo 2**64, odd base) of any piece of a buffer out of one running sum."""
+    """Polynomial hashes of any piece of a buffer out of two running sums.
+
+    One is modulo 2**64, whose odd bases all give equal hashes to some texts of two letters (Thue and Morse's words), the
+    other modulo a prime, which does not.
+    """
 
     def __init__(self, seed: int = 1):
         self.values = _table(seed)
         self.base = 0xD6E8FEB86659FD93
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.values_p = self.values % np.uint64(PRIME)
+        self.base_p = 0x5851F42D % PRIME
+        self.inverse_p = pow(self.base_p, -1, PRIME)
+        self.up = self.down = self.up_p = self.down_p = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
@@ -140,16 +157,27 @@ class Poly:
                 p = np.full(n, b, np.uint64)
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
-
-    def sums(self, buf: np.ndarray) -> np.ndarray:
-        self._powers(len(buf) + 1)
-        out = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(self.values[buf] * self.up[: len(buf)], out=out[1:])
-        return out
-
-    def pieces(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            for name, b in (("up_p", self.base_p), ("down_p", self.inverse_p)):
+                p = np.ones(1, np.uint64)
+                while len(p) < n:
+                    p = np.r_[p, p * np.uint64(pow(b, len(p), PRIME)) % np.uint64(PRIME)]
+                setattr(self, name, p[:n])
+
+    def sums(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both running sums."""
+        n = len(buf)
+        self._powers(n + 1)
+        out, out_p = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[buf] * self.up[:n], out=out[1:])
+        np.cumsum(_residue(self.values_p[buf] * self.up_p[:n]), out=out_p[1:])
+        return out, out_p
+
+    def pieces(self, sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of buf[start:end], with the length mixed in."""
-        return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+        own, prime = sums
+        one = (own[ends] - own[starts]) * self.down[starts]
+        two = _residue(_residue(prime[ends] - prime[starts]) * self.down_p[starts]) % np.uint64(PRIME)
+        return mix(one + mix(two + _ODD) + (ends - starts).astype(np.uint64) * _ODD)
 
 
 WHITE = np.zeros(256, bool)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, without
+from .common import cut, fresh, without
 
 #: Production weights: a source gets the square root of its share, renormalized (up-weights the small sources).
 POWER = 0.5
@@ -68,17 +68,18 @@ def replicate(df: DataFrame, key: str = "doc_id", source: str = "source", units:
     units = F.coalesce(F.length("text"), F.lit(0)) if units is None else units
     df = without(df, ["copy", "rate", "shuffle_key"])
     rates = source_rates(df, source, units, weights, power)
-    rates = cut(rates.select(F.col("src").alias("__src"), "rate", F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")), "rates")
-    same = F.col(source).eqNullSafe(F.col("__src"))
+    src, parts, cdf, salt, salted, n = fresh([*df.columns, "copy", "rate", "shuffle_key"], "src", "parts", "cdf", "salt", "salted", "n")
+    rates = cut(rates.select(F.col("src").alias(src), "rate", F.col("parts").alias(parts), F.col("cdf").alias(cdf)), "rates")
+    same = F.col(f"`{source}`").eqNullSafe(F.col(src))
     if rates.count() <= FEW:  # a row holds at most ONE + 12 * sqrt(ONE) + 21 numbers
         rated = df.join(F.broadcast(rates), same)
     else:  # a source's rows are dealt over SALTS tasks
-        salted = rates.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rated = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__salt") == F.col("__salt_of"))).drop("__salt", "__salt_of")
-    draw = lambda *part: F.size(F.filter("__cdf", lambda c: c <= uniform(F.col(key), *part, seed=seed)))
-    several = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + draw(part))
-    drawn = rated.withColumn("__n", F.when(F.col("__parts") > 1, several).when(F.col("rate") > 0, draw()).otherwise(F.lit(0))).drop("__cdf", "__parts", "__src")
-    copies = drawn.where(F.col("__n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n").cast("long") - 1))).drop("__n")
+        spread = rates.withColumn(salted, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = df.withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(SALTS)).cast("int")).join(spread, same & (F.col(salt) == F.col(salted))).drop(salt, salted)
+    draw = lambda *part: F.size(F.filter(cdf, lambda c: c <= uniform(F.col(f"`{key}`"), *part, seed=seed)))
+    several = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda sofar, part: sofar + draw(part))
+    drawn = rated.withColumn(n, F.when(F.col(parts) > 1, several).when(F.col("rate") > 0, draw()).otherwise(F.lit(0))).drop(cdf, parts, src)
+    copies = drawn.where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))).drop(n)
     out = copies.withColumn("shuffle_key", uniform(F.col(key), F.col("copy"), seed=seed + 1))
     return out.repartitionByRange(F.col("shuffle_key"), F.col(key)).sortWithinPartitions("shuffle_key", key) if shuffle else out
 

@@ -108,3 +108,14 @@ def test_one_draw_up_to_the_rates_that_sql_can_do(spark):
     assert M.MOST < rate < M.ONE
     got_n = {r.doc_id: r["count"] for r in M.replicate(frame(spark, rows), shuffle=False).groupBy("doc_id").count().collect()}
     assert {k: n for k, n in got_n.items() if k} == {k: copies(k, rate) for k in range(1, 5)}
+
+
+def test_clashing_names(spark, monkeypatch):
+    extra = ["__src", "__n", "__parts", "__cdf", "__salt", "src", "parts", "cdf", "salt", "salted", "n"]
+    df = spark.createDataFrame([(i, "some text", f"s{i % 3}", *range(len(extra))) for i in range(40)], ", ".join(["doc_id long", "text string", "source string", *(f"`{c}` int" for c in extra)]))
+    want = M.replicate(df.select("doc_id", "text", "source")).count()
+    for few in (1000, 1):
+        monkeypatch.setattr(M, "FEW", few)
+        out = M.replicate(df)
+        assert out.columns[: len(df.columns)] == df.columns and out.count() == want
+        assert {tuple(r[c] for c in extra) for r in out.collect()} == {tuple(range(len(extra)))}
