@@ -31,6 +31,8 @@ LEAD, WINDOW = 4.0, 2.2
 MISSED = 1e-4
 #: Vectors of a label to a cell that are aimed at, and those that a task holds.
 CELL, HELD = 4000, 8192
+#: Salts of the classes' 64-bit keys; the first is taken under which 128 bits tell no two vectors of one key.
+SALTS = 8
 #: Most leading directions; a query goes to 2 ** LEADING cells at most.
 LEADING = 6
 
@@ -162,8 +164,15 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("l"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     fit = F.coalesce(F.col("l").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = cut(rows.withColumn("cls", F.when(fit, F.xxhash64("l", "v"))), "vectors")
-    classes = cut(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("l").alias("l"), F.first("v").alias("v"), F.count("*").alias("size")), "classes")
+    for salt in range(SALTS):
+        keyed = cut(rows.withColumn("cls", F.when(fit, F.xxhash64(F.lit(salt), "l", "v"))).withColumn("check", F.xxhash64(F.lit(salt + SALTS), "v", "l")), "vectors")
+        again = F.min("check") != F.max("check")
+        classes = cut(keyed.where("cls IS NOT NULL").groupBy("cls").agg(F.first("l").alias("l"), F.first("v").alias("v"), F.count("*").alias("size"), again.alias("mixed")), "classes")
+        if classes.where("mixed").isEmpty():  # no two vectors share a class
+            break
+    else:
+        raise ValueError(f"two different vectors share a key under each of {SALTS} salts")
+    rows = keyed
     most = classes.groupBy("l").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     leading = min(LEADING, math.ceil(math.log(most / cell, 2.5))) if most > cell else 0
     apart = math.sqrt(2 * (1 - threshold))

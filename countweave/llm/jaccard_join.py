@@ -36,6 +36,8 @@ CELLS = 1 << 20
 OFTEN, AMONG = 4, 2 << 20
 #: Eighths of the n-grams that are counted, and how many of those a part of the counting holds.
 SAMPLED, PART = 4, 2 << 20
+#: Salts of the sets' 64-bit keys; the first is taken under which 128 bits tell no two sets of one key.
+SALTS = 8
 #: n-grams that one task holds of a cluster.
 BLOCK = 4 << 20
 
@@ -44,9 +46,10 @@ def _prefix(n: int, t: tuple[int, int]) -> int:
     return n - -(-t[0] * n // t[1]) + 1
 
 
-def _node(grams: np.ndarray) -> int:
-    """The set's key, signed; null for the empty set."""
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _node(grams: np.ndarray, salt: int) -> tuple[int, int]:
+    """The set's key, signed, and a second one that tells two sets of one key."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -61,16 +64,15 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int |
 
 
 @tidied
-def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """A row (id, n, node, null, null) for each text, and rows (null, null, null, cell, count) of what is frequent."""
+def _describe(batches: Iterator[pa.RecordBatch], size: int, salt: int) -> Iterator[pa.RecordBatch]:
+    """A row (id, n, node, check, null, null) for each text, and rows (null, null, null, null, cell, count) of what is frequent."""
     rows, held, n_held, seen = [], [], 0, set()
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal rows, held, n_held
         if len(rows) > 5000 or last and rows:
-            ids, n, nodes = zip(*rows, strict=True)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), none, none], ["id", "n", "node", "cell", "times"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), none, none], DESCRIBED)
             rows = []
         if n_held > AMONG or last and held:
             grams = np.sort(np.concatenate(held))
@@ -80,13 +82,13 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             cells, where = np.unique((grams[first[often]] % np.uint64(CELLS)).astype(np.int64), return_inverse=True)
             total = np.bincount(where, times[often], len(cells)).astype(np.int64)
             none = pa.nulls(len(cells), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(cells), pa.array(total)], ["id", "n", "node", "cell", "times"])
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(cells), pa.array(total)], DESCRIBED)
             held, n_held = [], 0
             seen.clear()
 
     for key, grams in _sets(batches, size):
-        node = _node(grams) if len(grams) else None
-        rows.append((key, len(grams), node))
+        node, check = _node(grams, salt) if len(grams) else (None, None)
+        rows.append((key, len(grams), node, check))
         if node is not None and node not in seen:
             seen.add(node)
             held.append(grams)
@@ -95,8 +97,11 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     yield from flush(True)
 
 
+DESCRIBED = ["id", "n", "node", "check", "cell", "times"]
+
+
 @tidied
-def _postings(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int], ranks: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], size: int, salt: int, t: tuple[int, int], ranks: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, grams, refs, nodes, spares, a, b): n-grams of many nodes in one row for each part, or edges a > b.
 
     grams[i] is of nodes[refs[i]]; spares: how many more sampled n-grams than its prefix a node has. Where those are
@@ -136,7 +141,7 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int],
         seen.clear()
 
     for _, grams in _sets(batches, size):
-        if not len(grams) or (node := _node(grams)) in seen:
+        if not len(grams) or (node := _node(grams, salt)[0]) in seen:
             continue
         seen.add(node)
         rank = ranks[(grams % np.uint64(len(ranks))).astype(np.int64)]
@@ -327,7 +332,7 @@ def link(sets: list[np.ndarray], t: tuple[int, int] = THRESHOLD) -> np.ndarray:
 
 
 @tidied
-def _join(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+def _join(batches: Iterator[pa.RecordBatch], size: int, salt: int, t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) that give the components of each task key; rows (cluster, i, j, node, text) come sorted by key."""
     poly, key, nodes, sets, a, b = Poly(8), None, [], [], [], []
 
@@ -351,7 +356,7 @@ def _join(batches: Iterator[pa.RecordBatch], size: int, t: tuple[int, int]) -> I
                 if keys[k] != key:
                     close()
                     key = keys[k]
-                if wanted[k] not in known and len(grams) and _node(grams) == wanted[k]:
+                if wanted[k] not in known and len(grams) and _node(grams, salt)[0] == wanted[k]:
                     known.add(wanted[k])
                     nodes.append(wanted[k])
                     sets.append(grams)
@@ -373,8 +378,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     spark = df.sparkSession
     small_batches(spark)
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    facts = cut(texts.mapInArrow(lambda it: _describe(it, size), "id long, n long, node long, cell long, times long"), "sets")
-    sets = facts.where("cell IS NULL").select("id", "n", "node")
+    for salt in range(SALTS):
+        facts = cut(texts.mapInArrow(lambda it, salt=salt: _describe(it, size, salt), ", ".join(f"{c} long" for c in DESCRIBED)), "sets")
+        sets = facts.where("cell IS NULL").select("id", "n", "node")
+        checks = facts.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b"))
+        if checks.where("a != b").isEmpty():  # no two sets share a key
+            break
+    else:
+        raise ValueError(f"two different sets share a key under each of {SALTS} salts")
     frequent = facts.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times")).toPandas()  # CELLS rows at most
     ranks = np.zeros(CELLS, np.uint8)
     if len(frequent):
@@ -383,7 +394,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     parts = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) * SAMPLED // 8 // PART))
     counted = cut(
         texts.where("id IS NOT NULL")
-        .mapInArrow(lambda it: _postings(it, size, t, shared.value, parts), "part long, grams binary, refs binary, nodes binary, spares binary, a long, b long")
+        .mapInArrow(lambda it: _postings(it, size, salt, t, shared.value, parts), "part long, grams binary, refs binary, nodes binary, spares binary, a long, b long")
         .repartition("part")
         .sortWithinPartitions("part")
         .mapInArrow(_count, "node long, gram long, times long, spare long"),
@@ -401,9 +412,9 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     dealt = members.join(deal, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = dealt.select("cluster", "node", "id", "blocks", "mine", other.alias("other")).select("cluster", "node", "id", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    wanted = sieve(texts, "id", members, "id").where("__maybe")
+    wanted = sieve(texts, "id", members, "id").where("maybe")
     fetched = tasks.withColumnRenamed("id", "of").join(wanted, F.col("of") == F.col("id")).select("cluster", "i", "j", "node", "text")
-    links = cut(fetched.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _join(it, size, t), "a long, b long"), "links")
+    links = cut(fetched.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lambda it: _join(it, size, salt, t), "a long, b long"), "links")
     if deal.where("blocks > 1").isEmpty():  # each cluster was joined as a whole
         label = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     else:

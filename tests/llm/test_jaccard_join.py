@@ -73,3 +73,25 @@ def test_trie_finds_what_a_scan_finds():
     for q in range(len(sets)):
         want = {i for i, s in enumerate(sets) if 100 * len(set(s) & set(sets[q])) >= 80 * len(set(s) | set(sets[q]))}
         assert set(trie.similar(seqs[q], (80, 100)).tolist()) == want
+
+
+def test_words_of_two_letters_do_not_collide(spark):
+    """Thue and Morse's words, equal under every odd base modulo 2**64."""
+    a, b = "0", "1"
+    for _ in range(11):
+        a, b = a + b, b + a
+    table = str.maketrans("01", "xy")
+    a, b = a.translate(table), b.translate(table)
+    df = spark.createDataFrame([(1, f"{a} one two"), (2, f"{b} one two")], "doc_id long, text string")
+    assert sorted(r.component_id for r in J.join(df).collect()) == [1, 2]
+
+
+def test_keys_that_collide_are_salted(spark, monkeypatch):
+    rows = [(i, f"w{i} a b c d e{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(J, "SALTS", 0)
+    try:
+        J.join(df)
+        raise AssertionError
+    except ValueError as e:
+        assert "salts" in str(e)
