@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, Poly, sieve, small_batches, steps, tidied, utf8, WHITE, without
+from .common import cut, fresh, mix, Poly, sieve, small_batches, steps, tidied, utf8, WHITE, without
 
 LENGTH = 400
 K = 160
@@ -113,7 +113,7 @@ def _search(poly: Poly, data: np.ndarray, off: np.ndarray, short: int, length: i
     with np.errstate(over="ignore"):
         sums = poly.sums(data)
         begin = np.arange(len(data) - k + 1)
-        hashes = (sums[k:] - sums[:-k]) * poly.down[: len(begin)]  # not mixed: the order of the upper bits will do
+        hashes = (sums[0][k:] - sums[0][:-k]) * poly.down[: len(begin)]  # not mixed: the order of the upper bits will do
         room = np.repeat(off[1:], np.diff(off))[: len(begin)] - begin
         places, stretches = thinned(anchors(hashes, w, room >= short), hashes, length, k)
         of = np.searchsorted(off, places, "right") - 1
@@ -123,18 +123,19 @@ def _search(poly: Poly, data: np.ndarray, off: np.ndarray, short: int, length: i
 
 @tidied
 def _find(batches: Iterator[pa.RecordBatch], short: int, length: int, k: int, part: int = PART) -> Iterator[pa.RecordBatch]:
-    """A row (id, node) for each text, (id, null, anchor, segment, at) for each anchor of a text not yet seen in this task, and (id, null, null, null, at, until) for each periodic stretch."""
+    """A row (id, node, at) for each text, at null if it was searched; for searched texts, those not yet seen in this task, (id, null, anchor, segment, at, until) for each anchor, until null if `length` bytes
+    follow it, and (id, null, null, null, at, until) for each periodic stretch."""
     poly, seen, reach = Poly(5), set(), short - k
     for batch in batches:
         ids, known = batch.column(0), batch.column(1).to_pylist()
         buf, at = utf8(batch.column(2))
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, batch.column(1), none, none, none, none], FOUND)
         fresh = np.zeros(batch.num_rows, bool)
         for d, node in enumerate(known):
             fresh[d] = at[d + 1] - at[d] >= short and node not in seen
             if fresh[d] and len(seen) < SEEN:
                 seen.add(node)
+        yield pa.RecordBatch.from_arrays([ids, batch.column(1), none, none, pa.array(np.zeros(len(fresh), np.int64), mask=fresh), none], FOUND)
         for i, j, data, off in steps(buf, at, part):
             if not fresh[i:j].any():
                 continue
@@ -143,7 +144,8 @@ def _find(batches: Iterator[pa.RecordBatch], short: int, length: int, k: int, pa
                 of = np.searchsorted(off, places + a, "right") - 1
                 keep = (places >= first - a) & (places < last - a) & fresh[i + of]
                 places, of = places[keep] + a, of[keep]
-                yield _found(ids, i + of, anchor[keep].view(np.int64), segment[keep].view(np.int64), places - off[of])
+                until = off[of + 1] - off[of]
+                yield _found(ids, i + of, anchor[keep].view(np.int64), segment[keep].view(np.int64), places - off[of], pa.array(until, mask=places + length <= off[of + 1]))
                 if stretches:
                     x, y = np.array(stretches, np.int64).T + a
                     of = np.searchsorted(off, x, "right") - 1
@@ -151,7 +153,7 @@ def _find(batches: Iterator[pa.RecordBatch], short: int, length: int, k: int, pa
                     yield _found(ids, (i + of)[own], None, None, (x - off[of])[own], (y - off[of])[own])
 
 
-def _found(ids: pa.Array, rows: np.ndarray, anchor: np.ndarray | None, segment: np.ndarray | None, at: np.ndarray, until: np.ndarray | None = None) -> pa.RecordBatch:
+def _found(ids: pa.Array, rows: np.ndarray, anchor: np.ndarray | None, segment: np.ndarray | None, at: np.ndarray, until: np.ndarray | pa.Array) -> pa.RecordBatch:
     none = pa.nulls(len(rows), pa.int64())
     columns = [none if c is None else pa.array(c) for c in (anchor, segment, at, until)]
     return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.nulls(len(rows), pa.binary()), *columns], FOUND)
@@ -226,7 +228,7 @@ def _shared(strings: DataFrame) -> DataFrame:
     """(anchor, segment, left, level, place) of the hashes of `_strings` that are there more than once with their anchor."""
     each = strings.select("anchor", "segment", "left", "level", "first", F.posexplode("hashes").alias("i", "hash"))
     again = cut(each.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
-    hits = sieve(each, "hash", again, "hash").where("__maybe").join(again, ["anchor", "hash"])
+    hits = sieve(each, "hash", again, "hash").where("maybe").join(again, ["anchor", "hash"])
     return hits.select("anchor", "segment", "left", "level", (F.col("first") + F.col("i")).alias("place"))
 
 
@@ -416,12 +418,13 @@ def _without(data: np.ndarray, spans: list[list[int]], gap: bytes = b"") -> byte
 
 @tidied
 def _strip(batches: Iterator[pa.RecordBatch], text: str, length: int, passage: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
-    """Adds the outputs to rows that carry __twice and __runs."""
+    """The outputs in place of the last two columns, which say whether the text is there twice, and its runs."""
     spans_type = pa.list_(pa.list_(pa.int64()))
     for batch in batches:
         names = batch.schema.names
         buf, at = utf8(batch.column(names.index(text)))
-        twice, (runs, cuts) = batch.column(names.index("__twice")).to_pylist(), _runs(batch.column(names.index("__runs")))
+        *columns, copied, found = batch.columns
+        twice, (runs, cuts) = copied.to_pylist(), _runs(found)
         kept, spans, clean, found = [], [], [], []
         for r in range(batch.num_rows):
             data = buf[at[r] : at[r + 1]]
@@ -433,11 +436,10 @@ def _strip(batches: Iterator[pa.RecordBatch], text: str, length: int, passage: t
                 long = whole if whole and n >= passage[0] else _merged(own, 1 if passage[0] != length else 0, n)
                 found.append(passages(data, long, passage[1]))
                 clean.append(_without(data, found[-1], b" ").decode("utf-8", "ignore") if found[-1] else None)
-        columns = [c for name, c in zip(names, batch.columns, strict=True) if not name.startswith("__")]
         made = [pa.array(kept, pa.binary()), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()), pa.array(np.diff(at)), pa.array(spans, spans_type)]
         if passage:
             made += [pa.array(found, spans_type), pa.array(clean, pa.string())]
-        yield pa.RecordBatch.from_arrays([*columns, *made], [*(x for x in names if not x.startswith("__")), *STRIPPED[: len(made)]])
+        yield pa.RecordBatch.from_arrays([*columns, *made], [*names[:-2], *STRIPPED[: len(made)]])
 
 
 STRIPPED = ["kept", "kept_text", "n_bytes", "spans", "passages", "clean_text"]
@@ -468,16 +470,16 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     node = _node(text)
     texts = df.select(_row(key, node).alias("id"), node.alias("node"), F.col(text).alias("text"))
     facts = cut(texts.mapInArrow(lambda it: _find(it, short, length, k), FOUND_SCHEMA), "anchors")
-    rows = facts.where("node IS NOT NULL").select("id", "node")
-    copied = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("one")).where("n > 1").select("node", "one")
+    rows = facts.where("node IS NOT NULL").select("id", "node", F.when(F.col("at").isNull(), F.col("id")).alias("searched"))
+    # Of equal texts one is searched for what it shares with others: one of those that were, as each task skips what it has seen. Short ones have none.
+    copied = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("searched").alias("one")).where("n > 1").select("node", "one")
     copies = cut(rows.join(copied, "node").select("id", "one", F.lit(True).alias("twice")).distinct(), "copies")
-    # Of equal texts one is searched for what it shares with others.
     others = copies.where("id != one").select("id")
     marked = sieve(facts.where("node IS NULL").drop("node"), "id", others, "id")
-    facts = marked.where("NOT __maybe").unionByName(marked.where("__maybe").join(others, "id", "left_anti")).drop("__maybe")
-    found = facts.where("anchor IS NOT NULL").select("id", "anchor", "segment", "at")
+    facts = marked.where("NOT maybe").unionByName(marked.where("maybe").join(others, "id", "left_anti")).drop("maybe")
+    found = facts.where("anchor IS NOT NULL").select("id", "anchor", "segment", "at", "until")
     known = cut(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "known")
-    likely = cut(sieve(found, "anchor", known, "anchor").where("__maybe").drop("__maybe"), "likely")
+    likely = cut(sieve(found, "anchor", known, "anchor").where("maybe").drop("maybe"), "likely")
     # Equal segments first, then equal anchors: hot ones shrink before they are dealt. A row that is there twice counts twice.
     segments = likely.groupBy("anchor", "segment").agg(F.count("*").alias("times"), F.first(F.struct("id", "at")).alias("one"))
     segments = cut(segments.select("anchor", "segment", "one.id", "one.at", (F.col("times") > 1).alias("twice")), "segments")
@@ -486,7 +488,7 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     def cut_out(some: DataFrame) -> DataFrame:
         """The bytes of these segments."""
         asked = cut(some.groupBy("id").agg(F.collect_list(F.struct("at", "anchor", "segment", "twice")).alias("wanted")), "asked")  # of one text each
-        return sieve(texts.select("id", "text"), "id", asked, "id").where("__maybe").join(asked, "id").select("id", "text", "wanted").mapInArrow(lambda it: _segments(it, short, length, k), SEGMENT_SCHEMA)
+        return sieve(texts.select("id", "text"), "id", asked, "id").where("maybe").join(asked, "id").select("id", "text", "wanted").mapInArrow(lambda it: _segments(it, short, length, k), SEGMENT_SCHEMA)
 
     dealt = cut_out(segments.join(number.where(F.col("n") <= hot), "anchor")).repartition("anchor").sortWithinPartitions("anchor", "segment")
     # A segment's strings were found where it stands; of one that is there twice all are repeated, wherever it stands.
@@ -500,18 +502,23 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         alone = alone.unionByName(counted.select("id", "level", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("end")).alias("end")))
     alone = alone.select("id", F.array("level", "begin", "end").alias("run"))
     often, every = segments.where("twice").select("anchor", "segment"), F.lit(EVERY).cast("long")
-    met = sieve(likely, "segment", often, "segment").where("__maybe").join(often, ["anchor", "segment"])
-    met = met.select("id", F.array(every, begin, F.col("at") + length).alias("run"))  # cut to the text's end later
-    stretched = facts.where("until IS NOT NULL").select("id", F.array(every, "at", "until").alias("run"))
-    runs = alone.unionByName(met).unionByName(stretched).groupBy("id").agg(F.collect_set("run").alias("__runs"))  # of one text each
-    marks = runs.join(copies.drop("one"), "id", "full_outer").select(F.col("id").alias("__m"), F.col("twice").alias("__twice"), "__runs")
-    marks = cut(marks.mapInArrow(lambda it: _joined(it, len(lengths)), "__m binary, __twice boolean, __runs array<array<long>>"), "marks")
-    tagged = sieve(df.withColumn("__id", _row(key, node)), "__id", marks, "__m")
+    met = sieve(likely, "segment", often, "segment").where("maybe").join(often, ["anchor", "segment"])
+    end = F.coalesce("until", F.col("at") + length)
+    level = F.when(end - begin >= length, every).otherwise(F.lit(lengths.index(short)).cast("long"))  # near a text's end the longer strings may not fit
+    met = met.select("id", F.array(level, begin, end).alias("run"))
+    stretched = facts.where("until IS NOT NULL AND anchor IS NULL").select("id", F.array(every, "at", "until").alias("run"))
+    runs = alone.unionByName(met).unionByName(stretched).groupBy("id").agg(F.collect_set("run").alias("runs"))  # of one text each
+    own, mark, twice, spans, flag = fresh([*df.columns, *STRIPPED], "row", "mark", "twice", "runs", "maybe")
+    marks = runs.join(copies.drop("one"), "id", "full_outer").select("id", "twice", "runs")
+    marks = cut(marks.mapInArrow(lambda it: _joined(it, len(lengths)), "id binary, twice boolean, runs array<array<long>>"), "marks")
+    marks = marks.select(F.col("id").alias(mark), F.col("twice").alias(twice), F.col("runs").alias(spans))
+    tagged = sieve(df.withColumn(own, _row(key, node)), own, marks, mark, flag)
     kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *STRIPPED_SCHEMA[: 6 if passage else 4]]
-    changed = tagged.where("__maybe").join(marks, F.col("__id") == F.col("__m"), "left").drop("__m", "__id", "__maybe").mapInArrow(lambda it: _strip(it, text, lengths[0], passage), ", ".join(kinds))
+    given = [F.col(f"`{c}`") for c in df.columns]
+    changed = tagged.where(F.col(flag)).join(marks, F.col(own) == F.col(mark), "left").select(*given, twice, spans).mapInArrow(lambda it: _strip(it, text, lengths[0], passage), ", ".join(kinds))
     value, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<array<long>>")
     same = [value.cast("binary").alias("kept"), value.alias("kept_text"), F.octet_length(value).cast("long").alias("n_bytes"), none.alias("spans"), none.alias("passages"), F.lit(None).cast("string").alias("clean_text")]
-    whole = tagged.where("NOT __maybe").select(*[F.col(f"`{c}`") for c in df.columns], *same[: 6 if passage else 4])
+    whole = tagged.where(~F.col(flag)).select(*given, *same[: 6 if passage else 4])
     return changed.unionByName(whole)
 
 

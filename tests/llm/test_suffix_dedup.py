@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -131,3 +132,44 @@ def test_columns_against_pairs():
         order = sorted(range(50), key=lambda i: (bytes(texts[i, c + 1 :]), i))
         assert np.frombuffer(rounds.transform.read(50), np.uint8).tolist() == [texts[i, c] for i in order]
     rounds.close()
+
+
+def test_copies_beside_near_copies_in_any_order(spark):
+    """Of equal texts a task searches one; others' strings are found through it, whichever row that is."""
+    r = random.Random(11)
+    text = "".join(r.choice("abcdefgh") for _ in range(300))
+    near = text[:140] + "X" + text[141:]
+    for order in ([3, 1, 2], [1, 2, 3], [2, 3, 1]):
+        rows = [(i, text) for i in order] + [(9, near), (8, "z" * 20)]
+        for rows in (rows, rows[::-1]):
+            df = spark.createDataFrame(rows, "doc_id long, text string")
+            for n in (1, 3):
+                for passage in (None, (30, 5)):
+                    got = S.strip(df.repartition(n), length=40, k=12, passage=passage).select("doc_id", "n_bytes", "kept", "spans").collect()
+                    assert sorted([(x[0], x[1], bytes(x[2]), [list(s) for s in x[3]]) for x in got], key=str) == brute(rows, 40)
+
+
+def test_spans_beside_passages(spark):
+    """Repeats of the passages' length are no spans of the longer one, also where a text's end cuts them."""
+    r = random.Random(12)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    end, mid = make(34), make(39)
+    rows = [(1, make(50) + end), (2, make(70) + end), (3, make(30) + mid + make(30)), (4, make(45) + mid + make(50)), (5, end), (6, mid + end), *((i + 10, t) for i, t in corpus(13, 40))]
+    for n in (1, 5):
+        got = run(spark, rows, 40, 12, passage=(30, 5)) if n == 1 else S.strip(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), length=40, k=12, passage=(30, 5)).select("doc_id", "n_bytes", "kept", "spans").collect()
+        assert sorted([(x[0], x[1], bytes(x[2]), [list(s) for s in x[3]]) for x in got], key=str) == brute(rows, 40)
+
+
+def test_clashing_names(spark):
+    extra = ["__id", "__m", "row", "mark", "twice", "runs", "maybe", "cell", "word", "bits", "id", "node"]
+    df = spark.createDataFrame([(i, "ab" * 300, *range(len(extra))) for i in range(2)], ", ".join(["doc_id long", "text string", *(f"`{c}` int" for c in extra)]))
+    out = S.strip(df, passage=(240, 50))
+    assert out.columns == [*df.columns, *S.STRIPPED] and [tuple(r[c] for c in extra) for r in out.collect()] == [tuple(range(len(extra)))] * 2
+
+
+def test_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    want = [(k, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()) for k, n, kept, spans in brute(rows, 400)]
+    got = S.query(spark, "/root/testdata/sf0.001").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
