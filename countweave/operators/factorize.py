@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
+from .matrix import normalized
 
 #: Numbers of the loadings of all datasets; more are refused.
 MOST = 20_000_000
@@ -75,7 +76,7 @@ def rows_of(scaled: DataFrame, genes: list[str]) -> DataFrame:
 
 @dataclass
 class Factors:
-    """Loadings by gene (in the order of `genes`), and the running sums of online factorization."""
+    """Loadings by gene (in the order of `genes`), and of each dataset the running sums of online factorization with the number of steps in them."""
 
     genes: list[str]
     w: np.ndarray
@@ -84,6 +85,12 @@ class Factors:
     objective: list[float] = field(default_factory=list)
     gram: dict[str, np.ndarray] = field(default_factory=dict)
     cross: dict[str, np.ndarray] = field(default_factory=dict)
+    steps: dict[str, int] = field(default_factory=dict)
+
+    def copy(self) -> Factors:
+        """The same loadings and sums, in arrays of their own, without what was measured."""
+        own = lambda x: {d: a.copy() for d, a in x.items()}
+        return Factors(list(self.genes), self.w.copy(), own(self.v), self.penalty, [], own(self.gram), own(self.cross), dict(self.steps))
 
 
 def _dense(pdf: pd.DataFrame, n: int) -> np.ndarray:
@@ -151,17 +158,35 @@ def _start(rows: DataFrame, genes: list[str], k: int, penalty: float, seed: int)
     return Factors(genes, unit(r.uniform(0, 2, (len(genes), k))), v, penalty)
 
 
+def begin(rows: DataFrame, genes: list[str], k: int, penalty: float, seed: int, start: Factors | None) -> Factors:
+    """Where a run begins: at start's W and V, in copies, and at drawn V for datasets that it has none for; without start, all drawn."""
+    if start is None:
+        return _start(rows, genes, k, penalty, seed)
+    if list(start.genes) != list(genes) or start.w.shape != (len(genes), k):
+        raise ValueError("start has to hold loadings of these genes and of k factors")
+    f = start.copy()
+    f.penalty = penalty
+    names = {r[0] for r in rows.select("dataset").distinct().collect()}
+    if new := names - f.v.keys():
+        f.v |= _start(rows.where(F.col("dataset").isin(*new)), genes, k, penalty, seed).v
+    return f
+
+
 def factorize(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, thresh: float = 1e-6, max_iters: int = 30, nrep: int = 1, seed: int = 1, method: str = "nnls", start: Factors | None = None) -> Factors:
-    """The factors of the lowest objective of nrep runs. method: "nnls" solves V and then W exactly, "hals" W and then V by coordinates."""
+    """The factors of the lowest objective of nrep runs. method: "nnls" solves V and then W exactly, "hals" W and then V by coordinates.
+
+    start: loadings that the first run begins at; it is not changed. H needs no start, as each pass solves it. The
+    objective is of this run: its first entry is that of where it began.
+    """
     best = None
     for rep in range(nrep):
-        f = start or _start(rows, genes, k, penalty, seed + rep)
+        f = begin(rows, genes, k, penalty, seed + rep, start if rep == 0 else None)
         before = None
-        for _ in range(max_iters + 1):  # the last pass only measures
+        for i in range(max_iters + 1):  # the last pass only measures
             cross, gram, squares, _ = _pass(rows, f)
             now = objective(f, cross, gram, squares)
             f.objective.append(now)
-            if before is not None and abs(before - now) / ((before + now) / 2) <= thresh or len(f.objective) > max_iters:
+            if before is not None and abs(before - now) / ((before + now) / 2) <= thresh or i == max_iters:
                 break
             before = now
             update(f, cross, gram, method)
@@ -173,7 +198,7 @@ def factorize(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, t
 def update(f: Factors, cross: dict, gram: dict, method: str = "nnls", own: set[str] | None = None) -> None:
     """New V and W for these sums; with own, the V of those datasets only."""
     if method == "nnls":
-        for d in cross:
+        for d in cross if own is None else own & cross.keys():
             f.v[d] = solve((1 + f.penalty) * gram[d], (cross[d] - f.w @ gram[d]).T).T
         f.w = solve(sum(gram.values()), sum(cross[d] - f.v[d] @ gram[d] for d in cross).T).T
         return
@@ -220,28 +245,28 @@ def online(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, batc
     """Factors by mini-batches of about `batch` cells, each dataset's share by its size, for about `epochs` passes.
 
     Cells are dealt to batches by hash and written once, by batch; a step reads its batch only, adds its sums to the
-    running ones (`remember`) and moves W and V by coordinates, `sweeps` times. With start, its datasets keep their
-    sums and V, and take part in W beside the new ones (refinement).
+    running ones (`remember`) and moves W and V by coordinates, `sweeps` times. With start, its datasets take part in W
+    with their sums beside those of rows: datasets without rows keep V and sums, others go on from theirs (refinement).
+    start is not changed.
     """
-    f = _start(rows, genes, k, penalty, seed)
     counts = {r["dataset"]: r["count"] for r in rows.groupBy("dataset").count().collect()}
     mine, first = set(counts), min(counts)
-    if start is not None:
-        f.w, f.v = start.w.copy(), {**{d: v.copy() for d, v in start.v.items()}, **f.v}
-        f.gram, f.cross = {d: g for d, g in start.gram.items() if d not in mine}, {d: c for d, c in start.cross.items() if d not in mine}
+    f = begin(rows, genes, k, penalty, seed, start)
+    done = {d: f.steps.get(d, 0) for d in mine}
     size = max(1, round(counts[first] / sum(counts.values()) * batch))
     steps, batches = max(1, counts[first] * epochs // size), max(1, round(counts[first] / size))
     path = session.new_path(rows.sparkSession, "batches")
     rows.withColumn("batch", F.pmod(F.xxhash64("dataset", "cell", F.lit(seed)), F.lit(batches))).write.partitionBy("batch").parquet(path)
     dealt = rows.sparkSession.read.parquet(path)
-    now, old = ({d: np.zeros((k + len(genes), k)) for d in mine} for _ in range(2))
+    none = lambda: np.zeros((k + len(genes), k))
+    now, old = {d: np.concatenate([f.gram[d], f.cross[d]]) if d in f.gram else none() for d in mine}, {d: none() for d in mine}
     epoch = 0
     for step in range(steps):
         before, epoch = epoch, (step + 1) * size // counts[first]
         cross, gram, _, cells = _pass(dealt.where(F.col("batch") == step % batches).drop("batch"), f)
         for d in cross:
-            now[d], old[d] = remember(now[d], old[d], np.concatenate([gram[d], cross[d]]), cells[d], step, epoch > before)
-            f.gram[d], f.cross[d] = now[d][:k], now[d][k:]
+            now[d], old[d] = remember(now[d], old[d], np.concatenate([gram[d], cross[d]]), cells[d], done[d] + step, epoch > before)
+            f.gram[d], f.cross[d], f.steps[d] = now[d][:k], now[d][k:], done[d] + step + 1
         for _ in range(sweeps):
             update(f, f.cross, f.gram, "hals", mine)
     cross, gram, squares, _ = _pass(rows, f)
@@ -249,6 +274,48 @@ def online(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, batc
     return f
 
 
+STATE = "part string, dataset string, place int, gene string, numbers array<double>"
+
+
+def stored(f: Factors, path: str, spark: SparkSession) -> None:
+    """Loadings, sums and steps as a table at path, which it replaces: a row a gene of W, V and X'H, a row a factor of H'H."""
+    rows = [("w", None, i, g, f.w[i].tolist()) for i, g in enumerate(f.genes)] + [("penalty", None, 0, None, [float(f.penalty)])]
+    for part, of in (("v", f.v), ("gram", f.gram), ("cross", f.cross)):
+        rows += [(part, d, i, None, x.tolist()) for d, a in of.items() for i, x in enumerate(a)]
+    rows += [("steps", d, 0, None, [float(n)]) for d, n in f.steps.items()]
+    spark.createDataFrame(rows, STATE).write.mode("overwrite").parquet(path)
+
+
+def restored(spark: SparkSession, path: str) -> Factors:
+    """What `stored` wrote: numbers of the size of the loadings."""
+    table = spark.read.schema(STATE).parquet(path).orderBy("part", "dataset", "place").toPandas()
+    part = lambda name: table[table["part"] == name]
+    matrix = lambda x: np.array(x["numbers"].tolist(), np.float64)
+    of = lambda name: {d: matrix(x) for d, x in part(name).groupby("dataset")}
+    steps = {d: int(x[0]) for d, x in zip(part("steps")["dataset"], part("steps")["numbers"], strict=True)}
+    return Factors(part("w")["gene"].tolist(), matrix(part("w")), of("v"), float(matrix(part("penalty"))[0, 0]), [], of("gram"), of("cross"), steps)
+
+
+def new_rows(counts: DataFrame, genes: list[str], rms: DataFrame | None = None) -> DataFrame:
+    """Rows of arriving counts (dataset, cell, gene, value) at the genes of known loadings.
+
+    A cell's counts are taken over its total, all genes included, and over the genes' root mean square: rms (dataset,
+    gene, rms) if it is known, else that of these cells. Where it is under 1e-16 it counts as that. Cells without a
+    count have no row; those without one at these genes have an empty one.
+    """
+    norm = normalized(counts)
+    places = counts.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, place int")
+    own = norm.join(places, "gene")
+    if rms is None:
+        sizes = norm.groupBy("dataset").agg(F.count_distinct("cell").alias("n"))
+        rms = own.groupBy("dataset", "gene").agg(F.sum(F.col("value") * F.col("value")).alias("sq")).join(sizes, "dataset").select("dataset", "gene", F.sqrt(F.col("sq") / F.greatest(F.col("n") - 1, F.lit(1))).alias("rms"))
+    scaled = own.join(rms, ["dataset", "gene"]).select("dataset", "cell", "place", (F.col("value") / F.greatest("rms", F.lit(1e-16))).alias("value"))
+    every = norm.select("dataset", "cell").distinct()
+    long = scaled.groupBy("dataset", "cell").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("p"))  # of one cell
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return every.join(long, ["dataset", "cell"], "left").select("dataset", "cell", empty(F.col("p.place"), "int").alias("genes"), empty(F.col("p.value"), "double").alias("values"))
+
+
 def loadings(spark: SparkSession, f: Factors) -> DataFrame:
     """(dataset, gene, w, v)."""
     return spark.createDataFrame([(d, g, f.w[i].tolist(), f.v[d][i].tolist()) for d in f.v for i, g in enumerate(f.genes)], "dataset string, gene string, w array<double>, v array<double>")

@@ -78,9 +78,11 @@ ROOTS = ("GO:0008150", "GO:0003674", "GO:0005575")  # fixed values: the three ro
 
 
 def prepared(results: DataFrame, terms: DataFrame, alternatives: DataFrame, max_p: float = 1.0, namespace: str | None = None) -> DataFrame:
-    """(go, name, pval) of results (go, pval): alternative ids replaced, obsolete terms and roots dropped, others by p and namespace; of a term given twice the smaller p."""
-    named = results.join(alternatives.select(F.col("alt").alias("go"), F.col("go").alias("to")), "go", "left").select(F.coalesce("to", "go").alias("go"), "pval")
-    known = named.groupBy("go").agg(F.min("pval").alias("pval")).join(terms.where("NOT obsolete"), "go")
+    """(go, name, pval) of results (go, pval): ids that are no live term's are replaced by all that alternatives (alt, go) has for them or else dropped, so are roots, and others by p and namespace; of a term given twice the smaller p."""
+    live = terms.where("NOT obsolete")
+    other = alternatives.join(live.select(F.col("go").alias("alt")), "alt", "left_anti").select(F.col("alt").alias("go"), F.col("go").alias("to"))
+    named = results.join(other, "go", "left").select(F.coalesce("to", "go").alias("go"), "pval")
+    known = named.groupBy("go").agg(F.min("pval").alias("pval")).join(live, "go")
     keep = (F.col("pval") <= max_p) & ~F.col("go").isin(*ROOTS)
     return known.where(keep & (F.col("namespace") == namespace if namespace else F.lit(True))).select("go", "name", "pval")
 

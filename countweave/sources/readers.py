@@ -91,12 +91,18 @@ def read_relations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(terms: go, name, namespace, obsolete; alternatives: alt, go) of an OBO file's [Term] stanzas."""
+    """(terms: go, name, namespace, obsolete; alternatives: alt, go) of an OBO file's [Term] stanzas.
+
+    alternatives has each alternative id with its term's, and each obsolete id with those to consider in its place.
+    """
     stanza = spark.read.option("lineSep", "\n\n").text(path).where("startswith(trim(value), '[Term]')")
     one = lambda tag: F.regexp_extract("value", rf"(?m)^{tag}: (.*?)\s*$", 1)
-    terms = stanza.select(one("id").alias("go"), one("name").alias("name"), one("namespace").alias("namespace"), (one("is_obsolete") == "true").alias("obsolete"))
-    alternatives = stanza.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(?:alt_id|consider): (\S+)"), F.lit(1))).alias("alt"), one("id").alias("go"))
-    return terms, alternatives
+    every = lambda tag: F.explode(F.regexp_extract_all("value", F.lit(rf"(?m)^{tag}: (\S+)"), F.lit(1)))
+    obsolete = one("is_obsolete") == "true"
+    terms = stanza.select(one("id").alias("go"), one("name").alias("name"), one("namespace").alias("namespace"), obsolete.alias("obsolete"))
+    other = stanza.select(every("alt_id").alias("alt"), one("id").alias("go"))
+    instead = stanza.where(obsolete).select(one("id").alias("alt"), every("consider").alias("go"))
+    return terms, other.unionByName(instead)
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:

@@ -92,3 +92,71 @@ def test_refinement_keeps_what_is_known(data):
     again = N.online(rows.where("dataset = 'b'"), genes, 3, batch=20, epochs=3, start=f)
     assert np.array_equal(again.v["a"], f.v["a"]) and np.array_equal(again.gram["a"], f.gram["a"])
     assert set(again.gram) == {"a", "b"} and not np.array_equal(again.w, f.w)
+
+
+def test_a_start_is_taken_and_not_changed(data):
+    rows, genes = data
+    first = N.factorize(rows, genes, 3, max_iters=3, thresh=0)
+    w, v, measured = first.w.copy(), {d: x.copy() for d, x in first.v.items()}, list(first.objective)
+    again = N.factorize(rows, genes, 3, max_iters=3, thresh=0, start=first)
+    assert again is not first and first.objective == measured and np.array_equal(first.w, w) and all(np.array_equal(first.v[d], v[d]) for d in v)
+    assert len(again.objective) == 4 and np.isclose(again.objective[0], measured[-1]) and again.objective[-1] < measured[-1] and not np.array_equal(again.w, w)
+    whole = N.factorize(rows, genes, 3, max_iters=6, thresh=0)
+    assert np.allclose(whole.objective[-1], again.objective[-1], rtol=1e-9)
+    best = N.factorize(rows, genes, 3, max_iters=2, nrep=2, start=first)
+    assert best.objective[-1] <= again.objective[0] + 1e-9
+    part = N.Factors(genes, w, {"a": v["a"]}, 5.0)
+    assert set(N.factorize(rows, genes, 3, max_iters=1, start=part).v) == {"a", "b"} and set(part.v) == {"a"}
+    with pytest.raises(ValueError):
+        N.factorize(rows, genes, 2, start=first)
+
+
+def test_own_datasets_only(data):
+    rows, genes = data
+    for method in ("nnls", "hals"):
+        f = N.factorize(rows, genes, 3, max_iters=1)
+        kept = f.v["a"].copy()
+        cross, gram, *_ = N._pass(rows, f)
+        N.update(f, cross, gram, method, {"b"})
+        assert np.array_equal(f.v["a"], kept)
+
+
+def test_state_round_trip(spark, data, tmp_path):
+    rows, genes = data
+    f = N.online(rows, genes, 3, batch=30, epochs=1)
+    N.stored(f, f"{tmp_path}/s", spark)
+    g = N.restored(spark, f"{tmp_path}/s")
+    assert g.genes == genes and np.array_equal(g.w, f.w) and g.steps == f.steps and g.penalty == f.penalty
+    assert all(np.array_equal(a[d], b[d]) for a, b in ((g.v, f.v), (g.gram, f.gram), (g.cross, f.cross)) for d in "ab")
+
+
+def test_streamed_refinement(spark, data, tmp_path):
+    """Three batches, of a new dataset, another, and more cells of the first, are three calls; a replayed batch changes nothing."""
+    from countweave.streaming import online as O
+
+    rows, genes = data
+    parts = [rows.where("dataset = 'a' AND cell < 'a3'"), rows.where("dataset = 'b'"), rows.where("dataset = 'a' AND cell >= 'a3'")]
+    want = None
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        want = N.online(part, genes, 3, batch=20, epochs=2, start=want)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    O.refine_stream(stream, genes, 3, f"{tmp_path}/state", f"{tmp_path}/check", batch=20, epochs=2).awaitTermination()
+    assert O.versions(spark, f"{tmp_path}/state") == [0, 1, 2]
+    same = lambda f, g: f.steps == g.steps and np.allclose(f.w, g.w) and all(np.allclose(a[d], b[d]) for a, b in ((f.v, g.v), (f.gram, g.gram), (f.cross, g.cross)) for d in g.v)
+    assert same(O.state_at(spark, f"{tmp_path}/state", 2), want)
+    again = O.refiner(genes, 3, f"{tmp_path}/state", batch=20, epochs=2)
+    for number in (2, 1):  # also one whose followers are there already
+        again(parts[number], number)
+    again(rows.limit(0), 3)
+    assert same(O.state_at(spark, f"{tmp_path}/state", 2), want) and O.versions(spark, f"{tmp_path}/state") == [0, 1, 2]
+    assert O.versions(spark, f"{tmp_path}/nothing") == []
+
+
+def test_new_rows_by_hand(spark):
+    counts = spark.createDataFrame([("d", "x", "g1", 2), ("d", "x", "g9", 2), ("d", "y", "g1", 1), ("d", "z", "g9", 5)], "dataset string, cell string, gene string, value long")
+    got = {r.cell: (r.genes, r["values"]) for r in N.new_rows(counts, ["g0", "g1"]).collect()}
+    rms = ((0.5**2 + 1) / 2) ** 0.5
+    assert got["z"] == ([], []) and got["x"][0] == got["y"][0] == [1] and np.allclose([got["x"][1][0], got["y"][1][0]], [0.5 / rms, 1 / rms])
+    known = spark.createDataFrame([("d", "g1", 0.0)], "dataset string, gene string, rms double")
+    assert N.new_rows(counts, ["g1"], known).where("cell = 'y'").first()["values"] == [1e16]

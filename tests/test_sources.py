@@ -30,9 +30,22 @@ def test_obo_and_terms(spark, tmp_path):
     (tmp_path / "go.obo").write_text("format-version: 1.2\n\n[Term]\nid: T1\nname: one\nnamespace: n\nalt_id: T9\n\n[Term]\nid: T2\nname: two\nnamespace: n\nis_obsolete: true\nconsider: T1\n")
     terms, alternatives = S.read_obo(spark, f"{tmp_path}/go.obo")
     assert sorted((r.go, r.name, r.obsolete) for r in terms.collect()) == [("T1", "one", False), ("T2", "two", True)]
+    assert sorted(map(tuple, alternatives.collect())) == [("T2", "T1"), ("T9", "T1")]
     results = spark.createDataFrame([("T9", 0.2), ("T1", 0.1)], "go string, pval double")
-    one = alternatives.where("alt = 'T9'")
-    assert [tuple(r) for r in ontology.prepared(results, terms, one).collect()] == [("T1", "one", 0.1)]
+    assert [tuple(r) for r in ontology.prepared(results, terms, alternatives).collect()] == [("T1", "one", 0.1)]
+
+
+def test_live_and_obsolete_terms(spark, tmp_path):
+    """A term that an obsolete one names stays itself; an obsolete id is replaced by all it names."""
+    stanza = "[Term]\nid: {}\nname: n{}\nnamespace: {}\n{}"
+    obo = [stanza.format("T1", 1, "p", "alt_id: T8\n"), stanza.format("T2", 2, "p", ""), stanza.format("T3", 3, "p", "is_obsolete: true\nconsider: T1\nconsider: T2\n"), stanza.format("T4", 4, "f", ""), stanza.format("T5", 5, "p", "is_obsolete: true\n")]
+    (tmp_path / "go.obo").write_text("format-version: 1.2\n\n" + "\n".join(obo))
+    terms, alternatives = S.read_obo(spark, f"{tmp_path}/go.obo")
+    of = lambda *rows, **more: sorted((r.go, r.pval) for r in ontology.prepared(spark.createDataFrame(rows, "go string, pval double"), terms, alternatives, **more).collect())
+    assert of(("T1", 0.3)) == [("T1", 0.3)]
+    assert of(("T3", 0.1), ("T1", 0.3)) == [("T1", 0.1), ("T2", 0.1)]
+    assert of(("T5", 0.1), ("T7", 0.1)) == []
+    assert of(("T8", 0.2), ("T4", 0.1), ("T2", 0.5), max_p=0.4, namespace="p") == [("T1", 0.2)]
 
 
 def test_similarity(spark):
