@@ -30,7 +30,7 @@ from .common import cut, small_batches, tidied
 
 K, SCALE = 10, 1024
 #: Routing objects of an index at most, rows aimed at for a tree at least and at most, entries of a page, of an inner page.
-CELLS, FEW, MANY, LEAF, FAN = 1024, 256, 8192, 128, 16
+CELLS, FEW, MANY, LEAF, FAN = 1024, 256, 8192, 512, 16
 #: Queries that read one copy of a tree.
 TOGETHER = 1024
 #: Stands for a null id inside, as those come last among equal scores.
@@ -123,12 +123,13 @@ def tree(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, top: np.ndarray, spac
             of = of[np.argsort(ids[of], kind="stable")]
             pages.append((page, [-1] * len(of), ids[of], rows[of], np.zeros(len(of)), space.distances(x[of], center), x[of]))
             continue
-        seeds = of[draw.choice(len(of), fan, replace=False)]
+        ways = min(fan, -(-2 * len(of) // leaf))  # children about half full: many small pages take more time than they spare
+        seeds = of[draw.choice(len(of), ways, replace=False)]
         near = np.argmin(space.distances(x[of], x[seeds]), 1)
-        groups = [of[near == i] for i in range(fan)]
+        groups = [of[near == i] for i in range(ways)]
         if max(map(len, groups)) > 0.9 * len(of):  # equal or almost: cut in order of distance, then id
             turn = of[np.lexsort((ids[of], space.distances(x[of], x[seeds[0]])))]
-            groups = np.array_split(turn, fan)
+            groups = np.array_split(turn, ways)
             seeds = np.array([g[len(g) // 2] for g in groups])
         entries = []
         for s, group in zip(seeds, groups, strict=True):
