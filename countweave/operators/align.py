@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import knn, vote
+from .graph import knn_within, vote
 
 
-def scaled_factors(factors: DataFrame, center: bool = False) -> DataFrame:
-    """(dataset, cell, factor, value) of (dataset, cell, h): each factor over its root mean square in the dataset, sqrt(sum of squares / (n - 1)), or its z-score with the sample deviation."""
+def scaled_factors(factors: DataFrame, center: bool = False, ddof: int = 1) -> DataFrame:
+    """(dataset, cell, factor, value) of (dataset, cell, h): each factor over its root mean square in the dataset, sqrt(sum of squares / (n - ddof)), or its z-score by the deviation over n - ddof."""
     long = factors.select("dataset", "cell", F.posexplode("h").alias("factor", "value"))
-    stats = long.groupBy("dataset", "factor").agg(F.sqrt(F.sum(F.col("value") * F.col("value")) / (F.count("*") - 1)).alias("rms"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    over = F.count("*") - ddof
+    stats = long.groupBy("dataset", "factor").agg(F.sqrt(F.sum(F.col("value") * F.col("value")) / over).alias("rms"), F.avg("value").alias("mean"), (F.stddev_samp if ddof else F.stddev_pop)("value").alias("sd"))
     joined = long.join(stats, ["dataset", "factor"])
     moved = (F.col("value") - F.col("mean")) / F.col("sd") if center else F.col("value") / F.col("rms")
     size = F.col("sd") if center else F.col("rms")
@@ -32,30 +29,27 @@ def refined(clusters: DataFrame, scaled: DataFrame, k: int = 20) -> DataFrame:
     """clusters after one vote of each cell's k nearest cells of its dataset on unit vectors of factors."""
     vectors = scaled.groupBy("dataset", "cell").agg(F.sort_array(F.collect_list(F.struct("factor", "value"))).alias("p"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("n"))
     vectors = vectors.select("dataset", "cell", F.transform("p", lambda x: x["value"] / F.greatest("n", F.lit(1e-15))).alias("v"))
-    out = None
-    for (name,) in scaled.select("dataset").distinct().orderBy("dataset").collect():
-        near = knn(vectors.where(F.col("dataset") == name).select(F.col("cell").alias("id"), "v"), k)
-        own = clusters.where(F.col("dataset") == name).select(F.col("cell").alias("id"), F.col("cluster").alias("label"))
-        part = vote(own, near).select(F.lit(name).alias("dataset"), F.col("id").alias("cell"), F.col("label").alias("cluster"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _map(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = pdf["value"].to_numpy().copy()
-        for i, (x, mine, theirs) in enumerate(zip(pdf["value"], pdf["mine"], pdf["theirs"], strict=True)):
-            if theirs is None or mine is None:
-                continue
-            q2, q1 = np.asarray(mine, float), np.asarray(theirs, float)
-            if q1.sum() == 0 or q2.sum() == 0 or len(np.unique(q1)) < 2 or len(np.unique(q2)) < 2:
-                out[i] = 0.0
-                continue
-            level = q2 == 0
-            if level.any():
-                q1 = np.where(level, q1[level].mean(), q1)
-            out[i] = np.interp(x, q2, q1)
-        yield pd.DataFrame({"dataset": pdf["dataset"], "cell": pdf["cell"], "factor": pdf["factor"], "value": out})
+    name = F.concat_ws("\t", "dataset", "cell")
+    near = knn_within(vectors.select("dataset", name.alias("id"), "v"), k, "dataset")
+    voted = vote(clusters.select(name.alias("id"), F.col("cluster").alias("label")), near)
+    return clusters.select("dataset", "cell", name.alias("id")).join(voted, "id").select("dataset", "cell", F.col("label").alias("cluster"))
+
+
+def knots(at: Column, to: Column) -> Column:
+    """The points (x, y) of the map that takes the quantiles `at` to the quantiles `to`: one for each different x, y the mean of all that stand at it; a single (0, 0) if either has no spread."""
+    pairs = F.arrays_zip(at.alias("x"), to.alias("y"))
+    mean = lambda x: F.aggregate(F.filter(pairs, lambda p: p["x"] == x), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), lambda a, p: F.struct((a["s"] + p["y"]).alias("s"), (a["n"] + 1.0).alias("n")), lambda a: a["s"] / a["n"])
+    flat = (F.array_min(at) == F.array_max(at)) | (F.array_min(to) == F.array_max(to))
+    none = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    return F.when(flat, none).otherwise(F.transform(F.array_distinct(at), lambda x: F.struct(x.alias("x"), mean(x).alias("y"))))
+
+
+def interpolated(value: Column, points: Column) -> Column:
+    """value on the line through the points, which go up in x; beyond their ends the first or last y."""
+    before = F.size(F.filter(points, lambda p: p["x"] < value))
+    low, high = F.get(points, before - 1), F.get(points, before)
+    between = low["y"] + (high["y"] - low["y"]) * (value - low["x"]) / (high["x"] - low["x"])
+    return F.when(before == 0, F.get(points, F.lit(0))["y"]).when(before == F.size(points), F.element_at(points, -1)["y"]).otherwise(between)
 
 
 def quantile_align(factors: DataFrame, quantiles: int = 50, reference: str | None = None, min_cells: int = 20, max_sample: int = 1000, center: bool = False, refine: int | None = None, seed: int = 1) -> DataFrame:
@@ -81,8 +75,8 @@ def quantile_align(factors: DataFrame, quantiles: int = 50, reference: str | Non
     ends = F.concat(F.array("low"), F.slice("q", 2, quantiles - 1), F.array("high"))
     ours = stats.select("dataset", *key, F.when(F.col("n") >= min_cells, ends).alias("mine"))
     target = stats.where(F.col("dataset") == reference).select(*key, F.when(F.col("n") >= min_cells, F.col("q")).alias("theirs"))
-    ready = plain.join(ours, ["dataset", *key]).join(target, key, "left")
-    ready = ready.withColumn("theirs", F.when(F.col("dataset") != reference, F.col("theirs")))
-    moved = ready.select("dataset", "cell", "factor", "value", "mine", "theirs").mapInPandas(_map, "dataset string, cell string, factor int, value double")
+    maps = ours.where(F.col("dataset") != reference).join(target, key).where("mine IS NOT NULL AND theirs IS NOT NULL").select("dataset", *key, knots(F.col("mine"), F.col("theirs")).alias("points"))
+    ready = plain.join(maps, ["dataset", *key], "left")
+    moved = ready.select("dataset", "cell", "factor", F.when(F.col("points").isNull(), F.col("value")).otherwise(interpolated(F.col("value"), F.col("points"))).alias("value"))
     packed = moved.groupBy("dataset", "cell").agg(F.sort_array(F.collect_list(F.struct("factor", "value"))).alias("p"))
     return packed.join(clusters, ["dataset", "cell"]).select("dataset", "cell", F.col("p.value").alias("h_norm"), "cluster")

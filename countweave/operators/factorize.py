@@ -325,3 +325,10 @@ def specificity(f: Factors, one: str, two: str) -> np.ndarray:
     """Of each factor, 100 * (1 - the ratio of its loadings' lengths in two datasets)."""
     length = lambda d: np.sqrt(((f.w + f.v[d]) ** 2).sum(0))
     return 100 * (1 - length(one) / length(two))
+
+
+def specificity_of(loaded: DataFrame, one: str, two: str) -> DataFrame:
+    """(factor, specificity) like `specificity`, of a table (dataset, gene, w, v) of loadings."""
+    each = loaded.where(F.col("dataset").isin(one, two)).select("dataset", F.posexplode(F.zip_with("w", "v", lambda a, b: a + b)).alias("factor", "x"))
+    length = lambda d: F.sqrt(F.sum(F.when(F.col("dataset") == d, F.col("x") * F.col("x")).otherwise(0.0)))
+    return each.groupBy("factor").agg((100 * (1 - length(one) / length(two))).alias("specificity"))

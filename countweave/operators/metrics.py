@@ -39,6 +39,35 @@ def mixing_share(neighbours: DataFrame, cells: DataFrame) -> DataFrame:
     return ends.groupBy(F.col("src").alias("id")).agg(F.avg((F.col("d1") != F.col("d2")).cast("int")).alias("share"))
 
 
+def agreement(before: DataFrame, after: DataFrame, cells: DataFrame, k: int, sample: int | None = None, seed: int = 1) -> DataFrame:
+    """(dataset, cells, agreement): how much of their `k` neighbours cells keep, on average.
+
+    before and after: neighbours (src, dst) of the same cells, as in a dataset by itself and in the aligned space; cells
+    (id, dataset). sample: of each dataset so many cells, by hash.
+    """
+    some = cells.select("id", "dataset")
+    if sample is not None:
+        order = Window.partitionBy("dataset").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+        some = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).drop("place")
+    chosen = lambda near: near.select(F.col("src").alias("id"), "dst").join(some.select("id"), "id", "left_semi")
+    kept = chosen(before).join(chosen(after), ["id", "dst"]).groupBy("id").agg(F.count("*").alias("n"))
+    return some.join(kept, "id", "left").groupBy("dataset").agg(F.count("*").alias("cells"), (F.sum(F.coalesce("n", F.lit(0))) / (k * F.count("*"))).alias("agreement"))
+
+
+def alignment(neighbours: DataFrame, cells: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """(alignment), with `by` (by, alignment): 1 where a cell's k neighbours are of its own dataset as often as by chance, 0 where always.
+
+    1 - (own - k / n) / (k - k / n), with own the mean number of neighbours of a cell's dataset and n the number of
+    datasets, all cells alike. neighbours (src, dst), a cell itself not counted; cells (id, dataset, and by).
+    """
+    n = cells.select("dataset").distinct().count()
+    ends = neighbours.where("src != dst").join(cells.withColumnRenamed("id", "src").withColumnRenamed("dataset", "d1"), "src")
+    ends = ends.join(cells.select(F.col("id").alias("dst"), F.col("dataset").alias("d2")), "dst")
+    own = ends.groupBy("src", *([by] if by else [])).agg(F.sum((F.col("d1") == F.col("d2")).cast("int")).alias("own"))
+    value = 1 - (F.avg("own") - k / n) / (k - k / n)
+    return own.groupBy(*([by] if by else [])).agg(value.alias("alignment"))
+
+
 def top_genes(loadings_long: DataFrame, n: int) -> DataFrame:
     """(factor, gene, loading, rank): the n genes of the largest loadings of each factor (ties by name)."""
     order = Window.partitionBy("factor").orderBy(F.desc("loading"), "gene")

@@ -87,20 +87,47 @@ def prepared(results: DataFrame, terms: DataFrame, alternatives: DataFrame, max_
     return known.where(keep & (F.col("namespace") == namespace if namespace else F.lit(True))).select("go", "name", "pval")
 
 
-def representatives(terms: DataFrame, similar: DataFrame, ic: DataFrame, cutoff: float = 0.5) -> DataFrame:
-    """(go, representative): each term goes to the best term that is similar by the cutoff or more and better than itself, and on to that one's, until nothing moves.
-
-    Better: frequency up to 0.05 before above, then the smaller p, then the id. Rounds are joins.
+def representatives(terms: DataFrame, similar: DataFrame, ic: DataFrame, cutoff: float = 0.5, ancestors: DataFrame | None = None, priorities: tuple[str, ...] = ()) -> DataFrame:
+    """(go, representative): of the most similar pair of terms one gives way to the other, then of the most similar of those left, until no two reach the cutoff; each term goes to the one it gave way to, and on.
+
+    Of a pair, by the first rule that tells: a term of `priorities` stays, one of frequency over 0.05 gives way, one of
+    less than half the other's p stays, one below the other (ancestors: go, parent) stays, the smaller p, then the
+    smaller id stays. As the rules are no order (p may fall in steps that each tell little), terms are not compared with
+    all others but paired: a round settles every pair that is the most similar one of both its terms (ties by ids), which
+    gives what taking the pairs one by one would.
     """
-    rank = terms.join(ic.select("go", "frequency"), "go", "left").select("go", F.struct((F.coalesce("frequency", F.lit(0.0)) > 0.05).alias("common"), "pval", F.col("go").alias("id")).alias("r"))
-    both = similar.where(F.col("similarity") >= cutoff).select("a", "b")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.join(rank.select(F.col("go").alias("b"), F.col("r").alias("rb")), "b").groupBy("a").agg(F.min("rb").alias("rb"))
-    now = rank.join(best.withColumnRenamed("a", "go"), "go", "left").select("go", F.when(F.col("rb") < F.col("r"), F.col("rb.id")).otherwise(F.col("go")).alias("representative"))
-    for _ in range(20):
-        after = now.join(now.select(F.col("go").alias("representative"), F.col("representative").alias("next")), "representative").select("go", F.col("next").alias("representative"))
-        after = session.cut(after)
-        if after.join(now.withColumnRenamed("representative", "old"), "go").where("representative != old").isEmpty():
-            return after
-        now = after
-    raise ValueError("the groups of terms did not come to rest")
+    frequent = F.coalesce("frequency", F.lit(0.0)) > 0.05
+    facts = terms.join(ic.select("go", "frequency"), "go", "left").select("go", "pval", frequent.alias("frequent"), F.col("go").isin(*priorities).alias("prior"))
+    side = lambda x: facts.select(*(F.col(c).alias(c if c == x else f"{c}_{x}") for c in ("pval", "frequent", "prior")), F.col("go").alias(x))
+    pairs = similar.where(F.col("similarity") >= cutoff).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").join(side("a"), "a").join(side("b"), "b")
+    above = ancestors if ancestors is not None else terms.sparkSession.createDataFrame([], "go string, parent string")
+    below = lambda x, y: above.select(F.col("go").alias(x), F.col("parent").alias(y), F.lit(True).alias(f"{x}_below")).distinct()
+    pairs = pairs.join(below("a", "b"), ["a", "b"], "left").join(below("b", "a"), ["a", "b"], "left")
+    small = lambda x, y: F.col(f"pval_{x}") < F.col(f"pval_{y}") * 0.5
+    first = (
+        F.when(F.col("prior_a") != F.col("prior_b"), F.col("prior_a"))
+        .when(F.col("frequent_a") != F.col("frequent_b"), F.col("frequent_b"))
+        .when(small("a", "b") | small("b", "a"), small("a", "b"))
+        .when(F.col("a_below").isNotNull() != F.col("b_below").isNotNull(), F.col("a_below").isNotNull())
+        .otherwise(F.col("pval_a") <= F.col("pval_b"))
+    )
+    left = session.cut(pairs.select("a", "b", "similarity", first.alias("first")), "pairs")
+    given = None
+    while True:
+        ends = left.select(F.col("a").alias("go"), F.struct("similarity", "a", "b").alias("p")).unionByName(left.select(F.col("b").alias("go"), F.struct("similarity", "a", "b").alias("p")))
+        # The most similar pair, of equals that of the smallest ids.
+        best = ends.groupBy("go").agg(F.min(F.struct((-F.col("p.similarity")).alias("s"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))).alias("m"))
+        agreed = best.groupBy("m").agg(F.count("*").alias("n")).where("n = 2").select("m.a", "m.b")
+        settled = session.cut(left.join(agreed, ["a", "b"]).select(F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("go"), F.when(F.col("first"), F.col("a")).otherwise(F.col("b")).alias("to")), "settled")
+        if settled.isEmpty():
+            break
+        given = settled if given is None else given.unionByName(settled)
+        gone = settled.select(F.col("go").alias("gone"))
+        left = session.cut(left.join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti"), "pairs")
+    now = terms.select("go", F.col("go").alias("representative")) if given is None else terms.select("go").join(given, "go", "left").select("go", F.coalesce("to", "go").alias("representative"))
+    now = session.cut(now, "groups")
+    while True:  # a path is halved each time
+        after = session.cut(now.join(now.select(F.col("go").alias("representative"), F.col("representative").alias("next")), "representative").select("go", "representative", "next"), "groups")
+        if after.where("representative != next").isEmpty():
+            return now
+        now = after.select("go", F.col("next").alias("representative"))

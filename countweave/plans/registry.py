@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
-from ..operators import align, factorize, graph, matrix, metrics, ontology, plots, ranks
+from ..operators import align, communities, factorize, graph, matrix, metrics, ontology, plots, ranks
 from ..sources import readers
 from ..streaming import online
 from .fixtures import EVENTS_SQL, LINEITEM_SQL, document_counts, event_counts, lineitem_counts
@@ -303,7 +303,7 @@ def _(spark, sf):
 
 @query("communities")
 def _(spark, sf):
-    return graph.communities(graph.snn(graph.knn(_vectors(spark, sf), 20), 20))
+    return communities.communities(graph.snn(graph.knn(_vectors(spark, sf), 20), 20))
 
 
 _LABELS = "l AS (SELECT c_nationkey AS a, c_custkey % 7 AS b FROM customer), t AS (SELECT a, b, count(*)::DOUBLE AS n FROM l GROUP BY ALL)"
@@ -486,33 +486,51 @@ def _(spark, sf):
 
 
 _PVAL = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
-_GROUPS = f"""ranked AS (SELECT go, frequency, {{{{'common': coalesce(frequency, 0) > 0.05, 'pval': {_PVAL.format("go")}, 'id': go}}}} AS r FROM ic),
-alike AS (SELECT a, b FROM pairs JOIN ic p ON p.go = a JOIN ic q ON q.go = b WHERE p.ic <> 0 AND q.ic <> 0 AND 2 * m / (p.ic + q.ic) >= 0.6),
-best AS (SELECT a AS go, min(r) AS r FROM (SELECT * FROM alike UNION ALL SELECT b, a FROM alike) JOIN ranked ON go = b GROUP BY a),
-first AS (SELECT ranked.go, CASE WHEN best.r < ranked.r THEN best.r.id ELSE ranked.go END AS up FROM ranked LEFT JOIN best USING (go)),
-chain AS (SELECT go, up FROM first UNION SELECT chain.go, first.up FROM chain JOIN first ON chain.up = first.go),
-grouped AS (SELECT chain.go, chain.up AS representative FROM chain JOIN first ON first.go = chain.up WHERE first.up = first.go)""".format()
+_GROUPS = """facts AS (SELECT go, coalesce(frequency, 0) > 0.05 AS frequent, PVAL AS pval, go IN ('T7', 'T12') AS prior FROM ic),
+alike AS MATERIALIZED (
+  SELECT a, b, s, CASE WHEN x.prior <> y.prior THEN x.prior WHEN x.frequent <> y.frequent THEN y.frequent
+    WHEN x.pval < y.pval * 0.5 OR y.pval < x.pval * 0.5 THEN x.pval < y.pval * 0.5
+    WHEN (ab.go IS NULL) <> (ba.go IS NULL) THEN ab.go IS NOT NULL ELSE x.pval <= y.pval END AS first
+  FROM (SELECT a, b, CASE WHEN p.ic = 0 OR q.ic = 0 THEN 0 ELSE round(2 * m / (p.ic + q.ic), 9) END AS s FROM pairs JOIN ic p ON p.go = a JOIN ic q ON q.go = b)
+  JOIN facts x ON x.go = a JOIN facts y ON y.go = b LEFT JOIN (SELECT DISTINCT * FROM up) ab ON ab.go = a AND ab.parent = b LEFT JOIN (SELECT DISTINCT * FROM up) ba ON ba.go = b AND ba.parent = a WHERE s >= 0.9),
+state AS (
+  SELECT 0 AS i, go, NULL::VARCHAR AS keep FROM facts
+  UNION ALL
+  (WITH open AS (SELECT a, b, s, first FROM alike JOIN state v ON v.go = a JOIN state w ON w.go = b WHERE v.keep IS NULL AND w.keep IS NULL),
+  best AS (SELECT go, min({'s': -s, 'a': a, 'b': b}) AS m FROM (SELECT a AS go, s, a, b FROM open UNION ALL SELECT b, s, a, b FROM open) GROUP BY go),
+  agreed AS (SELECT m.a AS a, m.b AS b FROM best GROUP BY m HAVING count(*) = 2),
+  settled AS (SELECT CASE WHEN first THEN b ELSE a END AS go, CASE WHEN first THEN a ELSE b END AS keep FROM open JOIN agreed USING (a, b))
+  SELECT z.i + 1, z.go, coalesce(z.keep, settled.keep) FROM state z LEFT JOIN settled ON settled.go = z.go WHERE (SELECT count(*) FROM settled) > 0)),
+last AS (SELECT go, keep FROM state WHERE i = (SELECT max(i) FROM state)),
+chain AS (SELECT go, coalesce(keep, go) AS to FROM last UNION SELECT chain.go, last.keep FROM chain JOIN last ON last.go = chain.to WHERE last.keep IS NOT NULL),
+grouped AS (SELECT chain.go, chain.to AS representative FROM chain JOIN last ON last.go = chain.to WHERE last.keep IS NULL)""".replace("PVAL", _PVAL.format("go"))
 
 
 def _pval():
     return F.conv(F.substring(F.md5(F.col("go").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-@query("term_representatives", f"WITH RECURSIVE {_TREE}, {_IC}, {_SIM}, {_GROUPS} SELECT go, representative FROM grouped")
-def _(spark, sf):
+def _grouped(spark, sf):
+    """(terms, their groups, ic)."""
     edges = _edges(spark, sf)
     ic = ontology.information(_annotation(spark, sf), edges)
-    similar = ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
-    return ontology.representatives(ic.select("go", _pval().alias("pval")), similar, ic, 0.6)
+    up = ontology.closure(edges)
+    similar = ontology.similarity(ic.select("go"), up, ic).withColumn("similarity", F.round("similarity", 9))
+    terms = ic.select("go", F.col("go").alias("name"), _pval().alias("pval"))
+    return terms, ontology.representatives(terms, similar, ic, 0.9, up, ("T7", "T12")), ic
+
+
+@query("term_representatives", f"WITH RECURSIVE {_TREE}, {_IC}, {_SIM}, {_GROUPS} SELECT go, representative FROM grouped")
+def _(spark, sf):
+    return _grouped(spark, sf)[1]
 
 
 @query("factor_markers")
 def _(spark, sf):
     rows, genes = _factor_rows(spark, sf)
-    f = factorize.factorize(rows, genes, 3, max_iters=2)
-    h = factorize.project(rows, f)
-    top = h.select("dataset", "cell", (F.expr("array_position(h, array_max(h))") - 1).cast("int").alias("cluster"))
-    return metrics.factor_markers(matrix.normalized(lineitem_counts(spark, sf)), top, f, "A", "N", share=100, log_fc=0.0, p=0.5)
+    f = factorize.factorize(rows, genes, _k(rows))
+    top = align.top_factor(align.scaled_factors(factorize.project(rows, f), center=True, ddof=0))
+    return metrics.factor_markers(matrix.normalized(lineitem_counts(spark, sf)), top, f, "A", "N")
 
 
 _POINTS = "points AS (SELECT DISTINCT dataset, cell, cell::DOUBLE AS x, length(cell)::DOUBLE AS y FROM counts)"
@@ -557,11 +575,8 @@ def _(spark, sf):
 @query("term_table", f"""WITH RECURSIVE {_TREE}, {_IC}, {_SIM}, {_GROUPS}, n AS (SELECT representative, count(*) AS members FROM grouped GROUP BY 1)
 SELECT go, go AS name, {_PVAL.format("go")} AS pval, frequency, representative, members, NULL::DOUBLE AS user FROM n JOIN ic ON go = representative ORDER BY pval, go LIMIT 50""")
 def _(spark, sf):
-    edges = _edges(spark, sf)
-    ic = ontology.information(_annotation(spark, sf), edges)
-    similar = ontology.similarity(ic.select("go"), ontology.closure(edges), ic)
-    terms = ic.select("go", F.col("go").alias("name"), _pval().alias("pval"))
-    return plots.term_table(terms, ontology.representatives(terms, similar, ic, 0.6), ic)
+    terms, groups, ic = _grouped(spark, sf)
+    return plots.term_table(terms, groups, ic)
 
 
 @query("impute", f"""{_KNN}, g AS (SELECT id, (label % 3)::VARCHAR AS gene, 1.0 + label AS value FROM v)

@@ -68,3 +68,46 @@ def test_agreement(spark):
     assert metrics.purity(labels, "a", "b").first()[0] == 0.75
     same = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "a int, b string")
     assert abs(metrics.rand_index(same, "a", "b").first()[0] - 1) < 1e-12
+
+
+def test_representatives_against_pairs_one_by_one(spark):
+    """FX5's rules on drawn terms: p that falls in steps, priorities, frequent terms, children."""
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        names = [f"t{i:02d}" for i in range(14)]
+        p = {t: 2.0 ** -r.randrange(6) * r.choice((1, 0.7)) for t in names}
+        often = {t: r.choice((0.01, 0.01, 0.2, None)) for t in names}
+        parents = {(a, b) for i, a in enumerate(names) for b in names[:i] if r.random() < 0.3}
+        sim = {(a, b): r.choice((0.2, 0.5, 0.6, 0.6, 0.9)) for i, b in enumerate(names) for a in names[:i]}
+        prior = tuple(r.sample(names, 3))
+
+        def stays(a, b):
+            high = lambda t: (often[t] or 0) > 0.05
+            if (a in prior) != (b in prior):
+                return a if a in prior else b
+            if high(a) != high(b):
+                return b if high(a) else a
+            if p[a] < p[b] / 2 or p[b] < p[a] / 2:
+                return min(a, b, key=p.get)
+            if ((a, b) in parents) != ((b, a) in parents):
+                return a if (a, b) in parents else b
+            return a if p[a] <= p[b] else b
+
+        alive, to = set(names), {}
+        while some := [(-s, a, b) for (a, b), s in sim.items() if s >= 0.5 and a in alive and b in alive]:
+            _, a, b = min(some)
+            keep = stays(a, b)
+            lost = b if keep == a else a
+            alive.remove(lost)
+            to[lost] = keep
+        want = {}
+        for t in names:
+            u = t
+            while u in to:
+                u = to[u]
+            want[t] = u
+        frame = spark.createDataFrame
+        got = ontology.representatives(frame(list(p.items()), "go string, pval double"), frame([(a, b, s) for (a, b), s in sim.items()], "a string, b string, similarity double"), frame(list(often.items()), "go string, frequency double"), 0.5, frame(sorted(parents), "go string, parent string"), prior)
+        assert {x.go: x.representative for x in got.collect()} == want
