@@ -599,3 +599,143 @@ def _(spark, sf):
     folder = session.new_path(spark, "totals")
     online.totals_by_day(stream, folder, session.new_path(spark, "stream")).awaitTermination()
     return spark.read.parquet(folder).withColumn("total", F.round("total", 6))
+
+
+def _event_files(spark, sf, parts: int = 3) -> str:
+    """A folder with event_counts in files that a stream takes one by one."""
+    folder = session.new_path(spark, "arriving")
+    event_counts(spark, sf).repartition(parts, "cell", "gene").write.parquet(folder)
+    return folder
+
+
+_COUNTS = "dataset string, cell string, gene string, value long"
+
+
+def _arriving(spark, sf):
+    return spark.readStream.schema(_COUNTS).option("maxFilesPerTrigger", 1).parquet(_event_files(spark, sf))
+
+
+def _whole(spark, running):
+    folder = session.new_path(spark, "running")
+    online.kept_whole(running, folder, session.new_path(spark, "stream")).awaitTermination()
+    return online.latest(spark, folder)
+
+
+@query("stream_cell_metrics", f"WITH {EVENTS_SQL} SELECT dataset, cell, sum(value)::BIGINT AS n_umi, count(*) AS n_entries FROM counts GROUP BY ALL")
+def _(spark, sf):
+    return _whole(spark, online.running_cell_metrics(_arriving(spark, sf)))
+
+
+@query("stream_gene_moments", f"WITH {EVENTS_SQL} SELECT dataset, gene, sum(value)::BIGINT AS gene_sum, sum(value * value)::BIGINT AS gene_sum_sq, count(*) AS n_cell FROM counts GROUP BY ALL")
+def _(spark, sf):
+    return _whole(spark, online.running_gene_moments(_arriving(spark, sf)))
+
+
+@query("stream_refined", f"""WITH {EVENTS_SQL}, s AS (SELECT dataset, count(DISTINCT cell) AS cells FROM counts GROUP BY 1)
+SELECT dataset, count(*) OVER () AS versions, greatest(1, cells * 2 // 200)::BIGINT AS steps, (SELECT count(DISTINCT gene) FROM counts) AS genes, true AS non_negative, true AS fits FROM s""")
+def _(spark, sf):
+    """Each event type arrives as a batch of its own; fits: at the last version, its cells are closer to their loadings than to none."""
+    counts = session.cut(event_counts(spark, sf), "counts")
+    names = [r[0] for r in counts.select("dataset").distinct().orderBy("dataset").collect()]  # the event types
+    genes = [r[0] for r in counts.select("gene").distinct().orderBy("gene").collect()]  # the hours of the day
+    folder, states = session.new_path(spark, "arriving"), session.new_path(spark, "states")
+    for i, name in enumerate(names):
+        counts.where(F.col("dataset") == name).coalesce(1).write.parquet(f"{folder}/{i}")
+    stream = spark.readStream.schema(_COUNTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    prepare = lambda batch: factorize.new_rows(batch, genes)
+    online.refine_stream(stream, genes, 4, states, session.new_path(spark, "stream"), prepare, batch=200, epochs=2).awaitTermination()
+    versions = online.versions(spark, states)
+    f = online.state_at(spark, states, versions[-1])
+    h = factorize.project(factorize.new_rows(counts, genes), f)
+    rows = [(d, len(versions), f.steps[d], len(f.genes), bool((f.w >= 0).all() and (f.v[d] >= 0).all())) for d in f.v]
+    per = spark.createDataFrame(rows, "dataset string, versions long, steps long, genes long, non_negative boolean")
+    fits = h.groupBy("dataset").agg((F.max(F.array_max("h")) > 0).alias("fits"))
+    return per.join(fits, "dataset")
+
+
+@query("dataset_rows", f"WITH {LINEITEM_SQL} SELECT dataset, cell, gene, value FROM counts WHERE dataset = 'R'")
+def _(spark, sf):
+    return matrix.dataset_of(lineitem_counts(spark, sf), "R").select("dataset", "cell", "gene", "value")
+
+
+@query("placed_cells", f"""WITH {LINEITEM_SQL}, c AS (SELECT DISTINCT dataset, cell FROM counts),
+p AS (SELECT s_suppkey::VARCHAR AS cell, s_nationkey AS in_tissue, s_suppkey % 10 AS array_row, s_suppkey // 10 AS array_col, s_suppkey % 10 * 7 AS pxl_row, s_suppkey // 10 * 5 AS pxl_col FROM supplier WHERE s_nationkey % 5 > 0)
+SELECT dataset, c.cell, in_tissue::INT AS in_tissue, array_row::INT AS array_row, array_col::INT AS array_col, pxl_row::INT AS pxl_row, pxl_col::INT AS pxl_col, pxl_col * 0.5::DOUBLE AS x, 100 - pxl_row * 0.5::DOUBLE AS y FROM c LEFT JOIN p USING (cell)""")
+def _(spark, sf):
+    spot = spark.read.parquet(f"{sf}/supplier.parquet").where("s_nationkey % 5 > 0")
+    positions = spot.selectExpr("concat(s_suppkey, '-1') AS cell", "cast(s_nationkey AS int) AS in_tissue", "cast(s_suppkey % 10 AS int) AS array_row", "cast(s_suppkey div 10 AS int) AS array_col", "cast(s_suppkey % 10 * 7 AS int) AS pxl_row", "cast(s_suppkey div 10 * 5 AS int) AS pxl_col")
+    return readers.placed(lineitem_counts(spark, sf).select("dataset", "cell").distinct(), positions, 0.5, 100.0)
+
+
+@query("specificity", """WITH l AS (SELECT label % 2 AS d, unnest(range(20)) AS factor, unnest(list_transform(list_zip(embedding[1:20], embedding[21:40]), lambda x: x[1]::DOUBLE + x[2]::DOUBLE)) AS x FROM embeddings)
+SELECT factor::INT AS factor, 100 * (1 - sqrt(sum(x * x) FILTER (d = 0)) / sqrt(sum(x * x) FILTER (d = 1))) AS specificity FROM l GROUP BY factor""")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    loaded = v.select((F.col("label") % 2).cast("string").alias("dataset"), F.col("id").alias("gene"), F.slice("v", 1, 20).alias("w"), F.slice("v", 21, 20).alias("v"))
+    return factorize.specificity_of(loaded, "0", "1")
+
+
+@query("prepared_terms", """WITH r AS (SELECT 'T' || p_size AS go, min(p_retailprice) / 2000 AS pval FROM part GROUP BY p_size),
+t AS (SELECT DISTINCT 'T' || p_size AS go, 'name ' || p_size AS name, 'n' || p_size % 2 AS namespace, p_size % 5 = 0 AS obsolete FROM part WHERE p_size % 7 > 0),
+o AS (SELECT DISTINCT 'T' || p_size AS alt, 'T' || p_size // 5 AS go FROM part WHERE p_size % 5 = 0 UNION SELECT DISTINCT 'T' || p_size, 'T' || (p_size // 5 + 1) FROM part WHERE p_size % 5 = 0 UNION SELECT DISTINCT 'T' || p_size, 'T1' FROM part WHERE p_size % 7 = 0),
+live AS (SELECT * FROM t WHERE NOT obsolete), n AS (SELECT coalesce(o.go, r.go) AS go, pval FROM r LEFT JOIN (SELECT * FROM o ANTI JOIN live ON live.go = o.alt) o ON o.alt = r.go),
+m AS (SELECT go, min(pval) AS pval FROM n GROUP BY go) SELECT go, name, pval FROM m JOIN live USING (go) WHERE pval <= 0.47 AND namespace = 'n1'""")
+def _(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    results = part.groupBy(F.concat(F.lit("T"), "p_size").alias("go")).agg((F.min("p_retailprice") / 2000).alias("pval"))
+    terms = part.where("p_size % 7 > 0").selectExpr("concat('T', p_size) AS go", "concat('name ', p_size) AS name", "concat('n', p_size % 2) AS namespace", "p_size % 5 = 0 AS obsolete").distinct()
+    old = part.where("p_size % 5 = 0")
+    other = old.selectExpr("concat('T', p_size) AS alt", "concat('T', p_size div 5) AS go").union(old.selectExpr("concat('T', p_size)", "concat('T', p_size div 5 + 1)")).union(part.where("p_size % 7 = 0").selectExpr("concat('T', p_size)", "'T1'")).distinct()
+    return ontology.prepared(results, terms, other, 0.47, "n1")
+
+
+@query("neighbour_agreement", """WITH v AS (SELECT vec_id::VARCHAR AS id, label::VARCHAR AS dataset, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.id AS src, b.id AS dst, a.dataset, list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])) AS q FROM v a, v b),
+k AS (SELECT src, dst, dataset, row_number() OVER (PARTITION BY src ORDER BY list_sum(q[1:32]), dst) AS r1, row_number() OVER (PARTITION BY src ORDER BY list_sum(q), dst) AS r2 FROM d)
+SELECT dataset, count(DISTINCT src) AS cells, count(*) FILTER (r1 <= 10 AND r2 <= 10) / (10::DOUBLE * count(DISTINCT src)) AS agreement FROM k GROUP BY dataset""")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    return metrics.agreement(graph.knn(v.withColumn("v", F.slice("v", 1, 32)), 10), graph.knn(v, 10), v.select("id", F.col("label").cast("string").alias("dataset")), 10)
+
+
+@query("alignment_by_cluster", f"""{_KNN}, o AS (SELECT k.src, a.label % 3 AS cluster, count(*) FILTER (a.label % 2 = b.label % 2) AS own FROM k JOIN v a ON a.id = k.src JOIN v b ON b.id = k.dst WHERE k.src <> k.dst GROUP BY ALL)
+SELECT cluster::INT AS cluster, 1 - (avg(own) - 9 / 2) / (9 - 9 / 2) AS alignment FROM o GROUP BY cluster""")
+def _(spark, sf):
+    v = _vectors(spark, sf)
+    return metrics.alignment(graph.knn(v, 10), v.select("id", (F.col("label") % 2).alias("dataset"), (F.col("label") % 3).cast("int").alias("cluster")), 9, "cluster")
+
+
+@query("descent_recall", "SELECT count(*) AS vectors, 10::INT AS k, true AS reached FROM embeddings")
+def _(spark, sf):
+    """Whether neighbour descent finds 95 of 100 of the exact neighbours."""
+    v = _vectors(spark, sf)
+    found = graph.recall(graph.nn_descent(v, 10), graph.knn(v, 10))
+    return found.select(F.lit(v.count()).alias("vectors"), F.lit(10).alias("k"), (F.col("recall") >= 0.95).alias("reached"))
+
+
+@query("projection_recall", "SELECT count(*) AS vectors, 10::INT AS k, true AS reached FROM embeddings")
+def _(spark, sf):
+    """The same of buckets by random projections."""
+    v = _vectors(spark, sf)
+    found = graph.recall(graph.approximate_knn(v, 10), graph.knn(v, 10))
+    return found.select(F.lit(v.count()).alias("vectors"), F.lit(10).alias("k"), (F.col("recall") >= 0.95).alias("reached"))
+
+
+@query("community_quality", f"""{_KNN}, n AS (SELECT a.src, b.src AS dst, count(*) AS n FROM k a JOIN k b ON a.dst = b.dst GROUP BY ALL), e AS (SELECT src, dst, n / (20 - n) AS w FROM n WHERE n / (20 - n) >= 1 / 15),
+t AS (SELECT sum(w) AS t FROM e), i AS (SELECT sum(w) AS i FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.label = b.label), g AS (SELECT sum(w) AS g FROM e JOIN v ON v.id = src GROUP BY label)
+SELECT method, (SELECT count(*) FROM v) AS vectors, 0::BIGINT AS in_pieces, round((SELECT i FROM i) / (SELECT t FROM t) - (SELECT sum(g * g) FROM g) / (SELECT t * t FROM t), 9) AS of_labels, true AS better FROM (VALUES ('louvain'), ('leiden')) AS m(method)""")
+def _(spark, sf):
+    """Of the communities of both methods, two starts each: nodes, communities too many as they are not connected (louvain: not counted), and whether modularity is no less than that of the given labels, and leiden's no less than louvain's."""
+    v = _vectors(spark, sf)
+    edges = session.cut(graph.snn(graph.knn(v, 10), 10), "snn")
+    given = graph.modularity(edges, v.select("id", "label"))
+    rows, before = [], given
+    for method in ("louvain", "leiden"):
+        labels = session.cut(communities.communities(edges, n_starts=2, method=method), "labels")
+        ends = lambda side, name: labels.select(F.col("id").alias(side), F.col("label").alias(name))  # noqa: B023, E731
+        within = edges.join(ends("src", "s"), "src").join(ends("dst", "d"), "dst").where("s = d").select(F.lit(0).alias("start"), "src", "dst")
+        pieces = communities.connected(within).select("component").distinct().count()
+        now = graph.modularity(edges, labels)
+        rows.append((method, labels.count(), pieces - labels.select("label").distinct().count() if method == "leiden" else 0, round(given, 9), now >= before - 1e-9))
+        before = now
+    return spark.createDataFrame(rows, "method string, vectors long, in_pieces long, of_labels double, better boolean")
