@@ -332,3 +332,66 @@ def specificity_of(loaded: DataFrame, one: str, two: str) -> DataFrame:
     each = loaded.where(F.col("dataset").isin(one, two)).select("dataset", F.posexplode(F.zip_with("w", "v", lambda a, b: a + b)).alias("factor", "x"))
     length = lambda d: F.sqrt(F.sum(F.when(F.col("dataset") == d, F.col("x") * F.col("x")).otherwise(0.0)))
     return each.groupBy("factor").agg((100 * (1 - length(one) / length(two))).alias("specificity"))
+
+
+def _left(batches: Iterator[pd.DataFrame], w: np.ndarray, v: dict[str, np.ndarray], new: np.ndarray, penalty: float) -> Iterator[pd.DataFrame]:
+    """(dataset, sums): of what a task's cells have beyond their factors, H'H and R'H for the best H at the new loadings."""
+    total: dict[str, np.ndarray] = {}
+    none = np.zeros_like(new)
+    for pdf in batches:
+        for d, part in pdf.groupby("dataset"):
+            for i in range(0, len(part), CHUNK):
+                x = _dense(part.iloc[i : i + CHUNK], len(w))
+                r = np.maximum(x - _cells(x, w, v[d], penalty) @ (w + v[d]).T, 0)
+                h = _cells(r, new, none, penalty)
+                total[d] = total.get(d, 0) + np.concatenate([(h.T @ h).ravel(), (r.T @ h).ravel()])
+    yield pd.DataFrame({"dataset": list(total), "sums": [s.tobytes() for s in total.values()]})
+
+
+def resized(rows: DataFrame, f: Factors, k: int, seed: int = 1) -> Factors:
+    """Loadings of k factors to begin at, out of f, which is not changed.
+
+    Fewer: those stay that give the data most, by the sum of squares of H times that of their loadings. More: factors
+    are drawn, each cell's part beyond its own factors is solved on them, and the new V and then W fit that part.
+    """
+    old = f.w.shape[1]
+    g = f.copy()
+    g.gram, g.cross, g.steps = {}, {}, {}
+    if k < old:
+        _, gram, _, _ = _pass(rows, f)
+        gives = sum(np.diagonal(gram[d]) * ((f.w + f.v[d]) ** 2).sum(0) for d in gram)
+        stay = np.sort(np.argsort(-gives, kind="stable")[:k])
+        g.w, g.v = f.w[:, stay], {d: v[:, stay] for d, v in f.v.items()}
+    elif k > old:
+        w, v, penalty, more = f.w, f.v, f.penalty, k - old
+        new = np.random.default_rng(seed).uniform(0, 1, (len(f.genes), more))
+        new /= np.sqrt((new * new).sum(0))
+        parts = rows.mapInPandas(lambda it: _left(it, w, v, new, penalty), "dataset string, sums binary").withColumn("way", F.spark_partition_id() % WAYS)
+        gram, cross = {}, {}
+        for d, s in parts.groupBy("dataset", "way").applyInPandas(_added, "dataset string, sums binary").collect():
+            s = np.frombuffer(s)
+            gram[d] = gram.get(d, 0) + s[: more * more].reshape(more, more)
+            cross[d] = cross.get(d, 0) + s[more * more :].reshape(-1, more)
+        own = Factors(f.genes, new, {d: np.zeros_like(new) for d in gram}, penalty)
+        update(own, cross, gram)
+        none = np.zeros_like(new)
+        g.w, g.v = np.c_[f.w, own.w], {d: np.c_[x, own.v.get(d, none)] for d, x in f.v.items()}
+    return g
+
+
+def divergence(rows: DataFrame, f: Factors) -> float:
+    """The median over cells of how far their factors' shares are from even: log2(k) less their entropy."""
+    k = f.w.shape[1]
+    share = F.transform("h", lambda x: x / F.col("total"))
+    entropy = F.aggregate(share, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    cells = project(rows, f).withColumn("total", F.aggregate("h", F.lit(0.0), lambda s, x: s + x)).where("total > 0")
+    return cells.select((float(np.log2(k)) - entropy).alias("d")).agg(F.median("d")).first()[0] or 0.0
+
+
+def k_curve(rows: DataFrame, genes: list[str], ks: list[int], seed: int = 1, **how) -> list[tuple[int, float, float, Factors]]:
+    """(k, objective, divergence, factors) for ascending ks, each run begun at the one before with factors added. how: see `factorize`."""
+    out, f = [], None
+    for k in sorted(ks):
+        f = factorize(rows, genes, k, seed=seed, start=None if f is None else resized(rows, f, k, seed), **how)
+        out.append((k, f.objective[-1], divergence(rows, f), f))
+    return out

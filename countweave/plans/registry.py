@@ -739,3 +739,30 @@ def _(spark, sf):
         rows.append((method, labels.count(), pieces - labels.select("label").distinct().count() if method == "leiden" else 0, round(given, 9), now >= before - 1e-9))
         before = now
     return spark.createDataFrame(rows, "method string, vectors long, in_pieces long, of_labels double, better boolean")
+
+
+_RANKING = "x AS (SELECT 'g' || p_partkey AS gene, round(p_retailprice - 1400 + p_size, 2)::DOUBLE AS score, p_type AS set FROM part)"
+
+
+def _ranking(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("g"), "p_partkey").alias("gene"), F.round(F.col("p_retailprice") - 1400 + F.col("p_size"), 2).alias("score"), F.col("p_type").alias("set"))
+
+
+@query("ranked_enrichment", f"""WITH {_RANKING}, r AS (SELECT *, abs(score) AS w, row_number() OVER (ORDER BY score DESC, gene) AS place, count(*) OVER () AS n FROM x),
+s AS (SELECT *, count(*) OVER (PARTITION BY set) AS m, sum(w) OVER (PARTITION BY set) AS total, row_number() OVER (PARTITION BY set ORDER BY place) AS j, sum(w) OVER (PARTITION BY set ORDER BY place ROWS UNBOUNDED PRECEDING) AS met FROM r),
+d AS (SELECT set, m, met / total - (place - j) / (n - m) AS up, (met - w) / total - (place - j) / (n - m) AS down FROM s)
+SELECT set, m AS size, round(CASE WHEN max(up) >= -min(down) THEN max(up) ELSE min(down) END, 9) AS es FROM d GROUP BY ALL""")
+def _(spark, sf):
+    x = _ranking(spark, sf)
+    return ranks.ranked_enrichment(x.select("gene", "score"), x.select("set", "gene")).withColumn("es", F.round("es", 9))
+
+
+@query("fuzzy_graph", f"""{_KNN}, l AS (SELECT src, list({{'d': dist, 'dst': dst}} ORDER BY dist, dst) AS n, min(dist) FILTER (dist > 0) AS near, log2(count(*)) AS goal, avg(dist) AS mean FROM k WHERE src <> dst GROUP BY src),
+w AS (SELECT src, n, near, greatest(list_reduce(list_concat([{{'lo': 0::DOUBLE, 'hi': 'inf'::DOUBLE, 'mid': 1::DOUBLE}}], list_transform(range({graph.BISECTIONS}), lambda i: {{'lo': 0::DOUBLE, 'hi': 0::DOUBLE, 'mid': 0::DOUBLE}})),
+  lambda s, z: CASE WHEN list_sum(list_transform(n, lambda x: exp(-greatest(x.d - near, 0) / s.mid))) > goal THEN {{'lo': s.lo, 'hi': s.mid, 'mid': (s.lo + s.mid) / 2}}
+    ELSE {{'lo': s.mid, 'hi': s.hi, 'mid': CASE WHEN s.hi = 'inf'::DOUBLE THEN 2 * s.mid ELSE (s.mid + s.hi) / 2 END}} END).mid, {graph.LEAST} * mean) AS width FROM l),
+m AS (SELECT src, unnest(n).dst AS dst, exp(-greatest(unnest(n).d - near, 0) / width) AS weight FROM w),
+b AS (SELECT src, dst, weight FROM m UNION ALL SELECT dst, src, weight FROM m)
+SELECT src, dst, round(1 - product(1 - weight), 9) AS weight FROM b GROUP BY ALL""")
+def _(spark, sf):
+    return graph.fuzzy_union(graph.memberships(graph.knn(_vectors(spark, sf), 10))).withColumn("weight", F.round("weight", 9))

@@ -160,3 +160,15 @@ def test_new_rows_by_hand(spark):
     assert got["z"] == ([], []) and got["x"][0] == got["y"][0] == [1] and np.allclose([got["x"][1][0], got["y"][1][0]], [0.5 / rms, 1 / rms])
     known = spark.createDataFrame([("d", "g1", 0.0)], "dataset string, gene string, rms double")
     assert N.new_rows(counts, ["g1"], known).where("cell = 'y'").first()["values"] == [1e16]
+
+
+def test_other_numbers_of_factors(data):
+    rows, genes = data
+    f = N.factorize(rows, genes, 2, max_iters=5)
+    more = N.resized(rows, f, 3)
+    begun, cold = N.factorize(rows, genes, 3, max_iters=5, start=more), N.factorize(rows, genes, 3, max_iters=5)
+    assert begun.objective[0] <= f.objective[-1] * 1.01 and begun.objective[-1] <= cold.objective[-1] * 1.02 and f.w.shape[1] == 2
+    less = N.resized(rows, begun, 1)
+    assert less.w.shape == (12, 1) and any(np.array_equal(less.w[:, 0], begun.w[:, j]) for j in range(3))
+    curve = N.k_curve(rows, genes, [3, 2], max_iters=3)
+    assert [c[0] for c in curve] == [2, 3] and curve[1][1] < curve[0][1] and all(c[2] >= 0 for c in curve)

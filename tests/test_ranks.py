@@ -41,3 +41,30 @@ def test_adjusted(spark):
     got = {(r.g, r.pval): r.padj for r in R.adjusted(df, ["g"]).collect()}
     assert abs(got["a", 0.01] - 0.03) < 1e-12 and abs(got["a", 0.03] - 0.04) < 1e-12 and abs(got["a", 0.04] - 0.04) < 1e-12
     assert got["a", None] is None and got["b", 0.5] == 0.5
+
+
+def test_ranked_enrichment_by_walking(spark):
+    import random
+
+    from countweave.operators import ranks
+
+    r = random.Random(4)
+    ranking = [(f"g{i:02d}", round(r.gauss(0, 1), 1)) for i in range(60)]
+    sets = [("top", g) for g, s in ranking if s > 0.8] + [("low", g) for g, s in ranking if s < -0.9] + [("any", g) for g, _ in r.sample(ranking, 9)] + [("any", "unknown")]
+    order = sorted(ranking, key=lambda x: (-x[1], x[0]))
+
+    def walk(names):
+        inside = [(g, s) for g, s in order if g in names]
+        total, at, best = sum(abs(s) for _, s in inside), 0.0, 0.0
+        for g, s in order:
+            at += abs(s) / total if g in names else -1 / (60 - len(inside))
+            best = at if abs(at) > abs(best) + 1e-12 else best
+        return len(inside), best
+
+    frame = spark.createDataFrame(ranking, "gene string, score double"), spark.createDataFrame(sets, "set string, gene string")
+    got = {x["set"]: x for x in ranks.ranked_enrichment(*frame, permutations=40).collect()}
+    for name in ("top", "low", "any"):
+        size, es = walk({g for s, g in sets if s == name})
+        assert got[name]["size"] == size and abs(got[name].es - es) < 1e-9
+    assert got["top"].es > 0.9 and got["low"].es < -0.9 and got["top"].pval < 0.1 > got["low"].pval and got["top"].nes > 1
+    assert {x["set"]: (x.pval, x.nes) for x in ranks.ranked_enrichment(*frame, permutations=40).collect()} == {k: (x.pval, x.nes) for k, x in got.items()}
