@@ -58,9 +58,9 @@ def top_cells(x: DataFrame, n: int) -> DataFrame:
     return x.join(cell_metrics(x).withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).select(*CELL), CELL, "left_semi")
 
 
-def normalized(x: DataFrame) -> DataFrame:
-    """Each cell's values over their sum. The sums are pre-aggregated and joined back on the cell."""
-    sums = x.groupBy(*CELL).agg(F.sum("value").alias("s"))
+def normalized(x: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Each cell's values over their sum. The sums are pre-aggregated and joined back on the cell; cells: a table of `cell_metrics` that has them already."""
+    sums = x.groupBy(*CELL).agg(F.sum("value").alias("s")) if cells is None else cells.select(*CELL, F.col("n_umi").alias("s"))
     return x.join(sums, CELL).select("dataset", "cell", "gene", (F.col("value") / F.col("s")).alias("value"))
 
 
@@ -69,18 +69,19 @@ def dataset_sizes(x: DataFrame) -> DataFrame:
     return x.groupBy("dataset").agg(F.countDistinct("cell").alias("n_cells"))
 
 
-def gene_moments(norm: DataFrame) -> DataFrame:
-    """(dataset, gene, norm_sum, norm_sum_sq, norm_mean, norm_var) over all cells, absent values as 0; the variance is the sample's."""
+def gene_moments(norm: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(dataset, gene, norm_sum, norm_sum_sq, norm_mean, norm_var) over all cells, absent values as 0; the variance is the sample's. sizes: `dataset_sizes`, if they are known."""
     sums = norm.groupBy(*GENE).agg(F.sum("value").alias("norm_sum"), F.sum(F.col("value") * F.col("value")).alias("norm_sum_sq"))
     n = F.col("n_cells")
     var = F.when(n > 1, F.greatest(F.col("norm_sum_sq") - F.col("norm_sum") * F.col("norm_sum") / n, F.lit(0.0)) / (n - 1))
-    return sums.join(dataset_sizes(norm), "dataset").select(*GENE, "norm_sum", "norm_sum_sq", (F.col("norm_sum") / n).alias("norm_mean"), var.alias("norm_var"))
+    return sums.join(dataset_sizes(norm) if sizes is None else sizes, "dataset").select(*GENE, "norm_sum", "norm_sum_sq", (F.col("norm_sum") / n).alias("norm_mean"), var.alias("norm_var"))
 
 
-def _variable(x: DataFrame, alpha: float, threshold: float | dict[str, float], num_genes: int | None) -> DataFrame:
-    """(dataset, gene) whose variance is over what Poisson counts of its mean would have, by the mean's confidence bound and by `threshold` in log10; with num_genes, the so many of each dataset that are most over it."""
-    cells = cell_metrics(x).groupBy("dataset").agg(F.avg(1 / F.col("n_umi")).alias("c"), F.count("*").alias("n_cells"))
-    moments = session.cut(gene_moments(normalized(x)).join(cells, "dataset"), "moments")  # one row a gene
+def _variable(x: DataFrame, alpha: float, threshold: float | dict[str, float], num_genes: int | None) -> tuple[DataFrame, DataFrame]:
+    """((dataset, gene), the moments of all genes): genes whose variance is over what Poisson counts of its mean would have, by the mean's confidence bound and by `threshold` in log10; with num_genes, the so many of each dataset that are most over it."""
+    each = session.cut(cell_metrics(x), "cells")  # one row a cell
+    cells = each.groupBy("dataset").agg(F.avg(1 / F.col("n_umi")).alias("c"), F.count("*").alias("n_cells"))
+    moments = session.cut(gene_moments(normalized(x, each), cells.select("dataset", "n_cells")).join(cells, "dataset"), "moments")  # one row a gene
     # The bound's quantile depends on the number of genes: one of a dataset, made on the driver.
     deviations = {r["dataset"]: NormalDist().inv_cdf(1 - alpha / r["n"] / 2) for r in moments.groupBy("dataset").agg(F.count("*").alias("n")).collect()}
     over = {d: threshold.get(d, 0.1) if isinstance(threshold, dict) else threshold for d in deviations}
@@ -89,18 +90,18 @@ def _variable(x: DataFrame, alpha: float, threshold: float | dict[str, float], n
     upper, excess = mean + of(deviations) * F.sqrt(mean * c / F.col("n_cells")), F.log10(var) - F.log10(mean * c)
     passed = moments.where(var / c > upper)
     if num_genes is None:
-        return passed.where(F.log10(var) > F.log10(mean * c) + of(over)).select(*GENE)
+        return passed.where(F.log10(var) > F.log10(mean * c) + of(over)).select(*GENE), moments
     order = Window.partitionBy("dataset").orderBy(F.desc(F.round(excess, 9)), "gene")
-    return passed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= num_genes).select(*GENE)
+    return passed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= num_genes).select(*GENE), moments
 
 
 def variable_genes(x: DataFrame, alpha: float = 0.99, threshold: float | dict[str, float] = 0.1, combine: str = "union", keep_unique: bool = False, num_genes: int | None = None) -> DataFrame:
     """(gene) that vary more than chance in any dataset (combine="union") or in all ("intersection"); without keep_unique, only those that all datasets hold."""
     x = session.cut(x, "counts")  # read by several aggregations
-    chosen = _variable(x, alpha, threshold, num_genes)
-    n = x.select("dataset").distinct().count()
+    chosen, moments = _variable(x, alpha, threshold, num_genes)
+    n = moments.select("dataset").distinct().count()
     genes = chosen.groupBy("gene").agg(F.count("*").alias("n")).where(F.lit(combine == "union") | (F.col("n") == n)).select("gene")
-    return genes if keep_unique else genes.join(shared_genes(x, n), "gene", "left_semi")
+    return genes if keep_unique else genes.join(shared_genes(moments, n), "gene", "left_semi")
 
 
 def united(x: DataFrame) -> DataFrame:
@@ -125,10 +126,11 @@ def shared_genes(x: DataFrame, n: int | None = None) -> DataFrame:
     return x.select(*GENE).distinct().groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") == n).select("gene")
 
 
-def scaled(norm: DataFrame, genes: DataFrame) -> DataFrame:
-    """Values of the given genes over their root mean square, sqrt(sum of squares / (cells - 1)), not centered."""
-    own = norm.join(genes.select("gene"), "gene", "left_semi")
-    rms = own.groupBy(*GENE).agg(F.sum(F.col("value") * F.col("value")).alias("sq")).join(dataset_sizes(norm), "dataset").select(*GENE, F.sqrt(F.col("sq") / (F.col("n_cells") - 1)).alias("rms"))
+def scaled(norm: DataFrame, genes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Values of the given genes over their root mean square, sqrt(sum of squares / (cells - 1)), not centered. sizes: `dataset_sizes`, if they are known."""
+    own = session.cut(norm.join(genes.select("gene"), "gene", "left_semi"), "chosen")  # read twice, for the squares and the values
+    squares = own.groupBy(*GENE).agg(F.sum(F.col("value") * F.col("value")).alias("sq"))
+    rms = squares.join(dataset_sizes(norm) if sizes is None else sizes, "dataset").select(*GENE, F.sqrt(F.col("sq") / (F.col("n_cells") - 1)).alias("rms"))
     return own.join(rms, GENE).where("rms > 0").select("dataset", "cell", "gene", (F.col("value") / F.col("rms")).alias("value"))
 
 

@@ -158,7 +158,8 @@ def _(spark, sf):
 ) SELECT dataset, cell, gene, value / rms AS value FROM norm JOIN r USING (dataset, gene)""")
 def _(spark, sf):
     x = lineitem_counts(spark, sf)
-    return matrix.scaled(matrix.normalized(x), x.where(F.col("gene").startswith("Brand#2")).select("gene").distinct())
+    cells = session.cut(matrix.cell_metrics(x), "cells")
+    return matrix.scaled(matrix.normalized(x, cells), x.where(F.col("gene").startswith("Brand#2")).select("gene").distinct(), matrix.dataset_sizes(cells))
 
 
 @query("gene_values", f"""{_NORM}, cells AS (SELECT DISTINCT dataset, cell FROM counts), g AS (SELECT * FROM norm WHERE gene = 'Brand#11:7')
@@ -361,10 +362,10 @@ def _(spark, sf):
 
 def _factor_rows(spark, sf):
     x = lineitem_counts(spark, sf)
-    norm = matrix.normalized(x)
+    cells = session.cut(matrix.cell_metrics(x), "cells")
     genes = matrix.variable_genes(x).orderBy("gene")
     names = [r[0] for r in genes.collect()]  # the axis of the loadings, whose size is checked
-    return factorize.rows_of(matrix.scaled(norm, genes), names), names
+    return factorize.rows_of(matrix.scaled(matrix.normalized(x, cells), genes, matrix.dataset_sizes(cells)), names), names
 
 
 def _k(rows) -> int:
