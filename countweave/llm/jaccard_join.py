@@ -38,8 +38,8 @@ OFTEN, AMONG = 4, 2 << 20
 SAMPLED, PART = 4, 2 << 20
 #: Salts of the sets' 64-bit keys; the first is taken under which 128 bits tell no two sets of one key.
 SALTS = 8
-#: n-grams that one task holds of a cluster.
-BLOCK = 4 << 20
+#: n-grams of a block of a cluster; a task holds two blocks at most, at about 100 bytes each.
+BLOCK = 1 << 20
 
 
 def _prefix(n: int, t: tuple[int, int]) -> int:
