@@ -42,17 +42,17 @@ def enrichment(study: DataFrame, background: DataFrame, annotation: DataFrame, a
 
 
 def closure(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(go, parent) of all ancestors, out of edges (go, parent) of direct ones."""
+    """(go, parent) of all ancestors, out of edges (go, parent) of direct ones; paths longer than 2 ** (rounds - 1) are an error."""
     found = edges.select("go", "parent").distinct()
     n = found.count()
-    for _ in range(rounds):
+    for _ in range(rounds):  # each doubles the reach
         further = found.join(found.select(F.col("go").alias("parent"), F.col("parent").alias("above")), "parent").select("go", F.col("above").alias("parent"))
         found = session.cut(found.unionByName(further).distinct())
         m = found.count()
         if m == n:
-            break
+            return found
         n = m
-    return found
+    raise ValueError(f"ancestors are not complete after {rounds} rounds")
 
 
 def information(annotation: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
-from ..operators import align, communities, factorize, graph, matrix, metrics, ontology, plots, ranks
+from ..operators import align, communities, factorize, graph, links, matrix, metrics, ontology, plots, ranks
 from ..sources import readers
 from ..streaming import online
 from .fixtures import EVENTS_SQL, LINEITEM_SQL, document_counts, event_counts, lineitem_counts
@@ -767,3 +767,24 @@ b AS (SELECT src, dst, weight FROM m UNION ALL SELECT dst, src, weight FROM m)
 SELECT src, dst, round(1 - product(1 - weight), 9) AS weight FROM b GROUP BY ALL""")
 def _(spark, sf):
     return graph.fuzzy_union(graph.memberships(graph.knn(_vectors(spark, sf), 10))).withColumn("weight", F.round("weight", 9))
+
+
+_PLACES = """l AS (SELECT l_suppkey::VARCHAR AS cell, p_brand AS gene, month(l_shipdate) || ':' || l_linenumber AS peak, month(l_shipdate) AS m, l_linenumber, l_quantity FROM lineitem JOIN part ON l_partkey = p_partkey),
+gv AS (SELECT cell, gene, sum(l_quantity)::DOUBLE AS v FROM l GROUP BY ALL), pv AS (SELECT cell, peak, sum(l_quantity)::DOUBLE AS v FROM l GROUP BY ALL),
+g AS (SELECT DISTINCT gene, substr(gene, 7)::INT % 3 AS chrom, substr(gene, 7)::INT * 1000 AS low, substr(gene, 7)::INT * 1000 + 500 AS high FROM l),
+p AS (SELECT DISTINCT peak, l_linenumber % 3 AS chrom, m * 3000 + l_linenumber * 4500 AS low, m * 3000 + l_linenumber * 4500 + 400 AS high FROM l)"""
+
+
+@query("gene_peak_links", f"""WITH {_PLACES}, pairs AS (SELECT gene, peak FROM g JOIN p ON g.chrom = p.chrom AND p.low <= g.high + 10000 AND p.high >= g.low - 10000),
+n AS (SELECT count(DISTINCT cell) AS n FROM l), xs AS (SELECT gene, sum(v) AS x, sum(v * v) AS xx FROM gv GROUP BY 1), ys AS (SELECT peak, sum(v) AS y, sum(v * v) AS yy FROM pv GROUP BY 1),
+b AS (SELECT gene, peak, sum(gv.v * pv.v) AS xy FROM pairs JOIN gv USING (gene) JOIN pv USING (peak, cell) GROUP BY ALL)
+SELECT gene, peak, round((n * coalesce(xy, 0) - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)), 9) AS correlation FROM pairs LEFT JOIN b USING (gene, peak) JOIN xs USING (gene) JOIN ys USING (peak), n""")
+def _(spark, sf):
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.col("p_brand").alias("gene"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("cell"), "l_partkey", F.month("l_shipdate").alias("m"), "l_linenumber", "l_quantity")
+    x = session.cut(lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("peak", F.concat_ws(":", "m", "l_linenumber")), "lines")
+    number, at = F.substring("gene", 7, 9).cast("long"), (F.col("m") * 3000 + F.col("l_linenumber") * 4500).cast("long")
+    genes = x.select("gene", (number % 3).alias("chrom"), (number * 1000).alias("start"), (number * 1000 + 500).alias("end")).distinct()
+    peaks = x.select("peak", (F.col("l_linenumber") % 3).cast("long").alias("chrom"), at.alias("start"), (at + 400).alias("end")).distinct()
+    value = F.sum("l_quantity").alias("value")
+    return links.linked(x.groupBy("cell", "gene").agg(value), genes, x.groupBy("cell", "peak").agg(value), peaks, 10_000).withColumn("correlation", F.round("correlation", 9))
