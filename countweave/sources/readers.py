@@ -25,22 +25,75 @@ def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
     return df.withColumn("__again", again).withColumn(name, F.when(F.col("__again") > 0, F.concat_ws(".", name, F.col("__again").cast("string"))).otherwise(F.col(name))).drop("__again")
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """What is in a folder of any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def sample_files(spark: SparkSession, folder: str, filtered: bool = True, reference: str | None = None) -> tuple[str, str, str]:
+    """(matrix, barcodes, features) of a sample's folder.
+
+    Under it, or under its `outs`, the filtered or raw matrix of either layout is looked for: *_feature_bc_matrix with
+    features, or *_gene_bc_matrices with a folder for each reference, which has to be named if there are several; else
+    the folder holds the files itself. Files may end in .gz; peaks.bed stands for features.
+    """
+    found = _names(spark, folder)
+    if "outs" in found:
+        folder, found = f"{folder}/outs", _names(spark, f"{folder}/outs")
+    kind = "filtered" if filtered else "raw"
+    if f"{kind}_feature_bc_matrix" in found:
+        folder = f"{folder}/{kind}_feature_bc_matrix"
+    elif f"{kind}_gene_bc_matrices" in found:
+        folder = f"{folder}/{kind}_gene_bc_matrices"
+        references = _names(spark, folder)
+        if reference is None and len(references) != 1:
+            raise ValueError(f"{folder} has the references {', '.join(references) or '(none)'}; name one")
+        if reference is not None and reference not in references:
+            raise FileNotFoundError(f"{folder} has no reference {reference}")
+        folder = f"{folder}/{reference or references[0]}"
+    found = set(_names(spark, folder))
+
+    def one(*names: str) -> str:
+        for name in names:
+            for file in (name, f"{name}.gz"):
+                if file in found:
+                    return f"{folder}/{file}"
+        raise FileNotFoundError(f"{folder} has no {names[0]}")
+
+    return one("matrix.mtx"), one("barcodes.tsv"), one("features.tsv", "genes.tsv", "peaks.bed")
+
+
+def read_samples(spark: SparkSession, folders: dict[str, str], filtered: bool = True, reference: str | None = None, min_umis: int = 0, num_cells: int | None = None) -> DataFrame:
+    """The rows of `read_triplets` of several samples, by name; `sample_files` finds their files."""
+    out = None
+    for name, folder in folders.items():
+        matrix, cells, features = sample_files(spark, folder, filtered, reference)
+        one = read_triplets(spark, "", name, min_umis, num_cells, matrix, cells, features)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def read_triplets(spark: SparkSession, folder: str, dataset: str, min_umis: int = 0, num_cells: int | None = None, matrix: str = "matrix.mtx", cells: str = "barcodes.tsv", features: str = "features.tsv") -> DataFrame:
     """(dataset, cell, gene, value, feature_type) of a MatrixMarket folder: features by rows, cells by columns.
 
     Barcodes lose a trailing -1; features take their second column as name, made unique, and the third as type (null
-    without one). Cells with min_umis counts or fewer go; with num_cells, so do all but the largest.
+    without one); regions of a bed file are named chrom:start-end. Cells with min_umis counts or fewer go; with
+    num_cells, so do all but the largest. Without a folder, the names are whole paths.
     """
-    lines = spark.read.text(f"{folder}/{matrix}").where("NOT startswith(value, '%')")
-    triple = F.split("value", r"\s+")
-    size = lines.select(triple.alias("t")).select(*[F.col("t")[i].cast("long").alias(c) for i, c in enumerate(("row", "column", "value"))])
-    first = numbered_lines(spark, f"{folder}/{matrix}").where("NOT startswith(line, '%')").orderBy("n").limit(1).select(F.split("line", r"\s+").alias("t")).first()
-    head = [int(x) for x in first["t"]] if first else [0, 0, 0]
-    entries = size.exceptAll(spark.createDataFrame([tuple(head)], "row long, column long, value long"))
-    names = numbered_lines(spark, f"{folder}/{features}").select((F.col("n") + 1).alias("row"), F.split("line", "\t").alias("f"))
-    names = unique_names(names.select("row", F.coalesce(F.try_element_at("f", F.lit(2)), F.col("f")[0]).alias("gene"), F.try_element_at("f", F.lit(3)).alias("feature_type")), "gene", "row")
-    barcodes = numbered_lines(spark, f"{folder}/{cells}").select((F.col("n") + 1).alias("column"), F.regexp_replace("line", "-1$", "").alias("cell"))
-    joined = entries.join(names, "row").join(barcodes, "column").select(F.lit(dataset).alias("dataset"), "cell", "gene", "value", "feature_type")
+    place = (lambda name: f"{folder}/{name}") if folder else (lambda name: name)
+    triple = F.split(F.trim("line"), r"\s+")
+    lines = numbered_lines(spark, place(matrix)).where("NOT startswith(line, '%') AND trim(line) != ''")
+    sizes = lines.agg(F.min("n")).first()[0]  # the first line that is no comment holds the sizes
+    entries = lines.where(F.col("n") > (-1 if sizes is None else sizes)).select(*[triple[i].cast("long").alias(c) for i, c in enumerate(("row", "column", "value"))])
+    f = F.split("line", "\t")
+    bed = features.removesuffix(".gz").endswith(".bed")
+    name = F.concat(f[0], F.lit(":"), f[1], F.lit("-"), f[2]) if bed else F.coalesce(F.try_element_at(f, F.lit(2)), f[0])
+    kind = F.lit("Chromatin Accessibility") if bed else F.try_element_at(f, F.lit(3))
+    names = numbered_lines(spark, place(features)).select((F.col("n") + 1).alias("row"), name.alias("gene"), kind.alias("feature_type"))
+    barcodes = numbered_lines(spark, place(cells)).select((F.col("n") + 1).alias("column"), F.regexp_replace("line", "-1$", "").alias("cell"))
+    joined = entries.join(unique_names(names, "gene", "row"), "row").join(barcodes, "column").select(F.lit(dataset).alias("dataset"), "cell", "gene", "value", "feature_type")
     totals = joined.groupBy("cell").agg(F.sum("value").alias("total")).where(F.col("total") > min_umis)
     if num_cells is not None:
         totals = totals.orderBy(F.desc("total"), "cell").limit(num_cells)

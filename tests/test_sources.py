@@ -12,6 +12,31 @@ def test_triplets(spark, tmp_path):
     assert {r.cell for r in S.read_triplets(spark, str(tmp_path), "d", num_cells=1).collect()} == {"AAA"}
 
 
+def test_sample_folders(spark, tmp_path):
+    """Both layouts, packed files, regions, and what cannot be told is an error."""
+    import gzip
+
+    import pytest
+
+    def fill(folder, features, packed):
+        folder.mkdir(parents=True)
+        for name, text in (("matrix.mtx", "%%MatrixMarket\n2 1 2\n1 1 3\n2 1 4\n"), ("barcodes.tsv", "AAA-1\n"), features):
+            (folder / (name + ".gz")).write_bytes(gzip.compress(text.encode())) if packed else (folder / name).write_text(text)
+
+    fill(tmp_path / "new/outs/filtered_feature_bc_matrix", ("features.tsv", "i1\tg1\tGene Expression\ni2\tp1\tAntibody Capture\n"), True)
+    fill(tmp_path / "old/outs/filtered_gene_bc_matrices/hg19", ("genes.tsv", "i1\tg1\ni2\tg2\n"), False)
+    fill(tmp_path / "two/raw_gene_bc_matrices/hg19", ("genes.tsv", "i1\tg1\ni2\tg2\n"), False)
+    fill(tmp_path / "two/raw_gene_bc_matrices/mm10", ("genes.tsv", "i1\tg1\ni2\tg2\n"), False)
+    fill(tmp_path / "open", ("peaks.bed", "chr1\t5\t9\nchr2\t1\t4\n"), False)
+    rows = S.read_samples(spark, {n: f"{tmp_path}/{n}" for n in ("new", "old", "open")}).collect()
+    got = sorted((r.dataset, r.cell, r.gene, r.value, r.feature_type or "") for r in rows)
+    assert got == [("new", "AAA", "g1", 3, "Gene Expression"), ("new", "AAA", "p1", 4, "Antibody Capture"), ("old", "AAA", "g1", 3, ""), ("old", "AAA", "g2", 4, ""), ("open", "AAA", "chr1:5-9", 3, "Chromatin Accessibility"), ("open", "AAA", "chr2:1-4", 4, "Chromatin Accessibility")]
+    assert S.sample_files(spark, f"{tmp_path}/two", False, "mm10")[0].endswith("raw_gene_bc_matrices/mm10/matrix.mtx")
+    for folder, reference in (("two", None), ("two", "xx"), ("none", None)):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            S.sample_files(spark, f"{tmp_path}/{folder}", False, reference)
+
+
 def test_fragments(spark, tmp_path):
     (tmp_path / "g.bed").write_text("chr1\t1\t2\tta\t.\t+\tx;y;x\nchr1\t3\t4\tb\t.\t+\ty\nchr1\t5\t6\tc\n")
     (tmp_path / "p.bed").write_text("chr1\t1\t2\tta\t.\t+\tx;z\n")
