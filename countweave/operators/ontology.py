@@ -35,10 +35,12 @@ def term_counts(study: DataFrame, background: DataFrame, annotation: DataFrame)
     return k.join(marked, "term").join(n.join(drawn, F.lit(True)), F.lit(True)).select("term", "k", "drawn", "marked", "n")
 
 
-def enrichment(study: DataFrame, background: DataFrame, annotation: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """term_counts with pval (upper tail), padj (over all terms) and significant."""
+def enrichment(study: DataFrame, background: DataFrame, annotation: DataFrame, alpha: float = 0.05, namespaces: DataFrame | None = None) -> DataFrame:
+    """term_counts with pval (upper tail), padj (over all terms, or with namespaces, a table (term, namespace), over each one's, terms without one left out) and significant."""
     tests = term_counts(study, background, annotation).withColumn("pval", hypergeometric_tail("k", "drawn", "marked", "n"))
-    return adjusted(tests.withColumn("__all", F.lit(1)), ["__all"]).drop("__all").withColumn("significant", F.col("padj") < alpha)
+    whole = tests.withColumn("namespace", F.lit("")) if namespaces is None else tests.join(namespaces.select("term", "namespace"), "term")
+    found = adjusted(whole, ["namespace"]).withColumn("significant", F.col("padj") < alpha)
+    return found.drop("namespace") if namespaces is None else found
 
 
 def closure(edges: DataFrame, rounds: int = 30) -> DataFrame:

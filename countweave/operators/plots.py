@@ -52,3 +52,12 @@ def term_table(terms: DataFrame, representative: DataFrame, ic: DataFrame, most:
     groups = members.groupBy("representative").agg(F.count("*").alias("members"), F.sum("value").alias("user"))
     best = groups.join(terms, F.col("representative") == F.col("go")).join(ic.select("go", "frequency"), "go", "left")
     return best.select("go", "name", "pval", "frequency", "representative", "members", "user").orderBy("pval", "go").limit(most)
+
+
+def term_members(terms: DataFrame, representative: DataFrame, ic: DataFrame, user: DataFrame | None = None) -> DataFrame:
+    """(representative, representative_name, go, name, pval, frequency, value, place): every term of every group, the representative first, then by p and id; user: (go, value)."""
+    named = representative.join(terms.select(F.col("go").alias("representative"), F.col("name").alias("representative_name")), "representative")
+    rows = terms.join(named, "go").join(ic.select("go", "frequency"), "go", "left")
+    rows = rows.withColumn("value", F.lit(None).cast("double")) if user is None else rows.join(user.select("go", "value"), "go", "left")
+    order = Window.partitionBy("representative").orderBy(F.col("go") != F.col("representative"), "pval", "go")
+    return rows.withColumn("place", F.row_number().over(order)).select("representative", "representative_name", "go", "name", "pval", "frequency", "value", "place")

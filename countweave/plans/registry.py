@@ -788,3 +788,39 @@ def _(spark, sf):
     peaks = x.select("peak", (F.col("l_linenumber") % 3).cast("long").alias("chrom"), at.alias("start"), (at + 400).alias("end")).distinct()
     value = F.sum("l_quantity").alias("value")
     return links.linked(x.groupBy("cell", "gene").agg(value), genes, x.groupBy("cell", "peak").agg(value), peaks, 10_000).withColumn("correlation", F.round("correlation", 9))
+
+
+@query("enrichment_by_namespace", f"""WITH {_ANNOTATION}, s AS (SELECT * FROM a WHERE starts_with(p_brand, 'Brand#1')),
+c AS (SELECT term, count(*) AS k, (SELECT count(*) FROM s) AS drawn, (SELECT count(*) FROM a WHERE a.term = s.term) AS marked, (SELECT count(*) FROM a) AS n FROM s GROUP BY term), {_ENRICHED.split("r AS (")[0]}
+z AS (SELECT *, 'n' || substr(term, 2)::INT % 3 AS namespace FROM p WHERE substr(term, 2)::INT % 3 > 0),
+r AS (SELECT *, count(*) OVER (PARTITION BY namespace) AS m, rank() OVER (PARTITION BY namespace ORDER BY pval) + count(*) OVER (PARTITION BY namespace, pval) - 1 AS r FROM z),
+q AS (SELECT *, least(1.0, min(pval * m / r) OVER (PARTITION BY namespace ORDER BY pval RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS padj FROM r)
+SELECT namespace, term, k, drawn, marked, n, round(pval, 7) AS pval, round(padj, 7) AS padj, padj < 0.05 AS significant FROM q""")
+def _(spark, sf):
+    a = _annotation(spark, sf)
+    number = F.substring("term", 2, 9).cast("int") % 3
+    namespaces = a.select("term", F.concat(F.lit("n"), number).alias("namespace")).where(number > 0).distinct()
+    found = ontology.enrichment(a.where(F.col("p_brand").startswith("Brand#1")), a, a, namespaces=namespaces)
+    return found.withColumn("pval", F.round("pval", 7)).withColumn("padj", F.round("padj", 7))
+
+
+@query("term_members", f"""WITH RECURSIVE {_TREE}, {_IC}, {_SIM}, {_GROUPS}
+SELECT representative, representative AS representative_name, go, go AS name, {_PVAL.format("go")} AS pval, frequency, length(go)::DOUBLE AS value, row_number() OVER (PARTITION BY representative ORDER BY go <> representative, {_PVAL.format("go")}, go)::INT AS place FROM grouped JOIN ic USING (go)""")
+def _(spark, sf):
+    terms, groups, ic = _grouped(spark, sf)
+    return plots.term_members(terms, groups, ic, terms.select("go", F.length("go").cast("double").alias("value")))
+
+
+@query("factorization_descent", f"""WITH {LINEITEM_SQL} SELECT method, count(DISTINCT dataset) AS datasets, true AS falls, true AS non_negative, true AS begins_there
+FROM counts, (VALUES ('nnls'), ('hals')) AS m(method) GROUP BY method""")
+def _(spark, sf):
+    """Of each method whether no iteration raises the objective, loadings stay non-negative, and a run that starts at another's loadings begins at its objective."""
+    rows, genes = _factor_rows(spark, sf)
+    out = []
+    for method in ("nnls", "hals"):
+        f = factorize.factorize(rows, genes, _k(rows), max_iters=4, thresh=0, method=method)
+        again = factorize.factorize(rows, genes, _k(rows), max_iters=0, method=method, start=f)
+        falls = all(b <= a * (1 + 1e-9) for a, b in zip(f.objective, f.objective[1:], strict=False))
+        same = abs(again.objective[0] - f.objective[-1]) <= 1e-6 * f.objective[-1]
+        out.append((method, len(f.v), falls, bool((f.w >= 0).all() and all((v >= 0).all() for v in f.v.values())), same))
+    return spark.createDataFrame(out, "method string, datasets long, falls boolean, non_negative boolean, begins_there boolean")
