@@ -822,5 +822,5 @@ def _(spark, sf):
         again = factorize.factorize(rows, genes, _k(rows), max_iters=0, method=method, start=f)
         falls = all(b <= a * (1 + 1e-9) for a, b in zip(f.objective, f.objective[1:], strict=False))
         same = abs(again.objective[0] - f.objective[-1]) <= 1e-6 * f.objective[-1]
-        out.append((method, len(f.v), falls, bool((f.w >= 0).all() and all((v >= 0).all() for v in f.v.values())), same))
+        out.append((method, len(f.v), bool(falls), bool((f.w >= 0).all() and all((v >= 0).all() for v in f.v.values())), bool(same)))
     return spark.createDataFrame(out, "method string, datasets long, falls boolean, non_negative boolean, begins_there boolean")
