@@ -824,3 +824,11 @@ def _(spark, sf):
         same = abs(again.objective[0] - f.objective[-1]) <= 1e-6 * f.objective[-1]
         out.append((method, len(f.v), bool(falls), bool((f.w >= 0).all() and all((v >= 0).all() for v in f.v.values())), bool(same)))
     return spark.createDataFrame(out, "method string, datasets long, falls boolean, non_negative boolean, begins_there boolean")
+
+
+@query("stream_windowed_counts", """SELECT ts::DATE AS day, event_type AS dataset, user_id::VARCHAR AS cell, hour(ts)::VARCHAR AS gene, count(*) AS value FROM events GROUP BY ALL""")
+def _(spark, sf):
+    path = f"{sf}/event[s].parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = stream.select("ts", F.col("event_type").alias("dataset"), F.col("user_id").cast("string").alias("cell"), F.hour("ts").cast("string").alias("gene"), F.lit(1).cast("long").alias("value"))
+    return _whole(spark, online.windowed_counts(events)).select(F.col("window.start").cast("date").alias("day"), "dataset", "cell", "gene", "value")
