@@ -830,5 +830,6 @@ def _(spark, sf):
 def _(spark, sf):
     path = f"{sf}/event[s].parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    events = stream.select("ts", F.col("event_type").alias("dataset"), F.col("user_id").cast("string").alias("cell"), F.hour("ts").cast("string").alias("gene"), F.lit(1).cast("long").alias("value"))
-    return _whole(spark, online.windowed_counts(events)).select(F.col("window.start").cast("date").alias("day"), "dataset", "cell", "gene", "value")
+    clock = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")  # the wall clock as UTC's, as windows are laid out from there
+    events = stream.select(clock.alias("ts"), F.col("event_type").alias("dataset"), F.col("user_id").cast("string").alias("cell"), F.hour("ts").cast("string").alias("gene"), F.lit(1).cast("long").alias("value"))
+    return _whole(spark, online.windowed_counts(events)).select(F.expr("convert_timezone(current_timezone(), 'UTC', cast(window.start AS timestamp_ntz))").cast("date").alias("day"), "dataset", "cell", "gene", "value")
