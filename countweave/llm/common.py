@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import cut, new_path
 
 #: Bytes of text hashed in one numpy step.
-STEP = 1 << 20
+STEP = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of an Arrow batch between Spark and Python; rows are larger only if one text is.
 BATCH = 8 << 20

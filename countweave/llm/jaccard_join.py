@@ -33,9 +33,9 @@ THRESHOLD = (80, 100)
 #: Cells of the table of n-grams that are frequent; fixed, whatever the corpus.
 CELLS = 1 << 20
 #: Times an n-gram has to be seen among about this many to count as frequent there.
-OFTEN, AMONG = 4, 2 << 20
+OFTEN, AMONG = 3, 1 << 20
 #: Eighths of the n-grams that are counted, and how many of those a part of the counting holds.
-SAMPLED, PART = 4, 2 << 20
+SAMPLED, PART = 4, 1 << 20
 #: Salts of the sets' 64-bit keys; the first is taken under which 128 bits tell no two sets of one key.
 SALTS = 8
 #: n-grams of a block of a cluster; a task holds two blocks at most, at about 100 bytes each.
