@@ -36,8 +36,9 @@ LENGTH = 400
 K = 160
 #: Bytes of a repeated string, and words of the whole run, that make a repeated passage.
 PASSAGE = (240, 50)
-#: Segments in a collection, and different segments of one anchor that a task may hold.
-COLLECTION, HOT = 10_000, 10_000
+#: Segments that close a collection, and different segments of one anchor that a task may hold: counting their strings
+#: instead takes about ten times the time a segment.
+COLLECTION, HOT = 10_000, 50_000
 PAD = 0xFF  # no byte of UTF-8
 #: Strings of a crowded anchor that are first counted by what they have in common.
 BUNDLE = 16
