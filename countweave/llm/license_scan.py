@@ -131,7 +131,7 @@ def scan(df: DataFrame, text: str = "text", templates: tuple = TEMPLATES, t: tup
     """df with n_words, n_base (places of the phrases), first_word and last_word (the first and last of those, by word), base_labels, labels (with those of the templates) and score (1 with a phrase, else the highest share of a template that met the threshold, else 0).
 
     A-Z count as a-z; words are runs of digits, letters and all beyond ASCII. A null text is empty: no words, no
-    labels. Rows are judged one by one; input columns named like an output are replaced.
+    labels. Rows are judged one by one; input columns named like an output are replaced. An empty table gives no rows.
     """
     df = without(df, OUT)
     small_batches(df.sparkSession)

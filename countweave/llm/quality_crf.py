@@ -225,7 +225,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lines_good (of each \\n-split line, the probability that it is good) and score (the probability that the document is good, by the share of its bytes in good lines).
 
     A null text is empty: one empty line. Rows are scored one by one, by their whole text alone; input columns named
-    like an output are replaced.
+    like an output are replaced. An empty table gives no rows.
     """
     df = without(df, ["score", "lines_good"])
     small_batches(df.sparkSession)

@@ -103,7 +103,7 @@ def ledger(df: DataFrame, text: str = "text") -> DataFrame:
 
     Words are runs outside space and \\x09-\\x0D. A null or empty text measures 0 throughout, and so fails `few_words`.
     Rows with null ids, ties and repeated rows are each judged alone; input columns named like an output are replaced.
-    Repeated windows are found by 64-bit hash within each document.
+    Repeated windows are found by 64-bit hash within each document. An empty table gives no rows.
     """
     df = without(df, [*MEASURES, "failed"])
     small_batches(df.sparkSession)

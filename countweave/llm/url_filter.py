@@ -125,6 +125,7 @@ def judge(df: DataFrame, url: str = "url", rules: tuple = RULES) -> DataFrame:
 
     Of equally long rules the first counts. A null URL, or one without ://, has an empty host and path; it fits no host
     rule. Rows are judged one by one, whatever their other columns; input columns named like an output are replaced.
+    An empty table gives no rows.
     """
     if len(rules) > MOST:
         raise ValueError(f"more than {MOST} rules")
