@@ -7,6 +7,7 @@ sums, of the size of the loadings, are grouped by dataset and gene and give V an
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,17 +22,36 @@ from .matrix import normalized
 #: Numbers of the loadings of all datasets; more are refused.
 MOST = 20_000_000
 ROWS = "dataset string, cell string, genes array<int>, values array<double>"
-#: Cells that are dense at a time, and groups in which tasks' sums are added.
-CHUNK, WAYS = 500, 8
+#: Cells that are dense at a time, pieces in which tasks' sums are added, columns whose equations are solved together.
+CHUNK, WAYS, TOGETHER = 500, 8, 2000
+#: Cells that a task takes through steps of an online factorization, one batch after the other; larger batches are dealt to many tasks.
+STRETCH = 5000
+
+
+def _on(gram: np.ndarray, right: np.ndarray, passive: np.ndarray, even: bool) -> np.ndarray:
+    """x of gram x = right, of each column on its passive variables, 0 on others. even: by one stack of equations, in which the others stand for themselves; else by set and of least squares where that is needed."""
+    if even:
+        p = passive.T
+        full = np.where(p[:, :, None] & p[:, None, :], gram, np.eye(len(gram)))
+        return np.linalg.solve(full, np.where(p, right.T, 0)[:, :, None])[:, :, 0].T
+    x = np.zeros_like(right)
+    sets, where = np.unique(passive, axis=1, return_inverse=True)
+    for s in range(sets.shape[1]):
+        columns, p = np.flatnonzero(where.ravel() == s), sets[:, s]
+        if p.any():
+            inside = gram[np.ix_(p, p)]
+            x[np.ix_(p, columns)] = np.linalg.lstsq(inside, right[np.ix_(p, columns)], rcond=None)[0] if np.linalg.cond(inside) > 1e13 else np.linalg.solve(inside, right[np.ix_(p, columns)])
+    return x
 
 
 def solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     """x >= 0 of least |A x - b| for each column of `right` = A'b, with gram = A'A, by block principal pivoting (Kim and Park, 2011).
 
     Variables of infeasible sign change sides all at once while that helps, and one at a time after three failures.
-    Columns with the same passive set share one solution of equations.
+    Each column's equations are those of its passive set.
     """
     k, n = right.shape
+    even = bool(np.linalg.cond(gram) <= 1e13)  # those of some of the variables are no worse
     passive = np.zeros((k, n), bool)
     x, y = np.zeros((k, n)), -right
     tries, fewest = np.full(n, 3), np.full(n, k + 1)
@@ -51,16 +71,10 @@ def solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
         for c in open_[~better & ~again]:
             last = np.flatnonzero(wrong[:, c])[-1]
             passive[last, c] ^= True
-        sets, where = np.unique(passive[:, open_], axis=1, return_inverse=True)
-        where = where.ravel()
-        for s in range(sets.shape[1]):
-            columns, p = open_[where == s], sets[:, s]
-            x[:, columns] = 0
-            if p.any():
-                inside = gram[np.ix_(p, p)]
-                x[np.ix_(p, columns)] = np.linalg.lstsq(inside, right[np.ix_(p, columns)], rcond=None)[0] if np.linalg.cond(inside) > 1e13 else np.linalg.solve(inside, right[np.ix_(p, columns)])
-            y[:, columns] = gram @ x[:, columns] - right[:, columns]
-            y[np.ix_(p, columns)] = 0
+        for i in range(0, len(open_), TOGETHER):
+            columns = open_[i : i + TOGETHER]
+            x[:, columns] = _on(gram, right[:, columns], passive[:, columns], even)
+        y[:, open_] = np.where(passive[:, open_], 0, gram @ x[:, open_] - right[:, open_])
     else:
         raise ValueError("the pivoting did not end")
     return np.maximum(x, 0)
@@ -107,30 +121,55 @@ def _cells(x: np.ndarray, w: np.ndarray, v: np.ndarray, penalty: float) -> np.nd
 
 
 def _sums(batches: Iterator[pd.DataFrame], w: np.ndarray, v: dict[str, np.ndarray], penalty: float) -> Iterator[pd.DataFrame]:
-    """(dataset, sums) of a task's cells: |X|^2, their number, H'H and X'H, one after the other as doubles."""
+    """(dataset, piece, sums) of a task's cells: |X|^2, their number, H'H and X'H, one after the other as doubles."""
     total: dict[str, np.ndarray] = {}
     for pdf in batches:
-        for d, part in pdf.groupby("dataset"):
-            for i in range(0, len(part), CHUNK):
-                x = _dense(part.iloc[i : i + CHUNK], len(w))
-                h = _cells(x, w, v[d], penalty)
-                total[d] = total.get(d, 0) + np.concatenate([[(x * x).sum(), len(x)], (h.T @ h).ravel(), (x.T @ h).ravel()])
-    yield pd.DataFrame({"dataset": list(total), "sums": [s.tobytes() for s in total.values()]})
+        for d, s in _own(pdf, w, v, penalty).items():
+            total[d] = total.get(d, 0) + s
+    yield _pieces(total)
+
+
+def _own(pdf: pd.DataFrame, w: np.ndarray, v: dict[str, np.ndarray], penalty: float) -> dict[str, np.ndarray]:
+    """Such sums of each dataset's cells."""
+    total: dict[str, np.ndarray] = {}
+    for d, part in pdf.groupby("dataset"):
+        for i in range(0, len(part), CHUNK):
+            x = _dense(part.iloc[i : i + CHUNK], len(w))
+            h = _cells(x, w, v[d], penalty)
+            total[d] = total.get(d, 0) + np.concatenate([[(x * x).sum(), len(x)], (h.T @ h).ravel(), (x.T @ h).ravel()])
+    return total
+
+
+PIECES = "dataset string, piece int, sums binary"
+
+
+def _pieces(total: dict[str, np.ndarray]) -> pd.DataFrame:
+    rows = [(d, i, part.tobytes()) for d, s in total.items() for i, part in enumerate(np.array_split(s, WAYS))]
+    return pd.DataFrame(rows, columns=["dataset", "piece", "sums"])
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"dataset": pdf["dataset"].iloc[:1], "sums": [sum(map(np.frombuffer, pdf["sums"])).tobytes()]})
+    return pd.DataFrame({"dataset": pdf["dataset"].iloc[:1], "piece": pdf["piece"].iloc[:1], "sums": [sum(map(np.frombuffer, pdf["sums"])).tobytes()]})
+
+
+def _together(parts: DataFrame) -> dict[str, np.ndarray]:
+    """Each dataset's sums over all tasks. They are added by pieces, so that the driver gets every number once."""
+    found = parts.groupBy("dataset", "piece").applyInPandas(_added, PIECES).collect()
+    of = {(d, i): np.frombuffer(s) for d, i, s in found}
+    return {d: np.concatenate([of[d, i] for i in range(WAYS)]) for d in sorted({d for d, _ in of})}
+
+
+def _split(s: np.ndarray, k: int) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(|X|^2, cells, H'H, X'H) of such sums."""
+    return s[0], s[1], s[2 : 2 + k * k].reshape(k, k), s[2 + k * k :].reshape(-1, k)
 
 
 def _pass(rows: DataFrame, f: Factors) -> tuple[dict, dict, dict, dict]:
-    """(X'H, H'H, |X|^2, cells) of each dataset for the best H at these loadings. Tasks' sums are added in WAYS groups before the driver gets them."""
+    """(X'H, H'H, |X|^2, cells) of each dataset for the best H at these loadings."""
     w, v, penalty, k = f.w, f.v, f.penalty, f.w.shape[1]
-    parts = rows.mapInPandas(lambda it: _sums(it, w, v, penalty), "dataset string, sums binary").withColumn("way", F.spark_partition_id() % WAYS)
     cross, gram, squares, cells = {}, {}, {}, {}
-    for d, s in parts.groupBy("dataset", "way").applyInPandas(_added, "dataset string, sums binary").collect():
-        s = np.frombuffer(s)
-        for out, x in ((squares, s[0]), (cells, s[1]), (gram, s[2 : 2 + k * k].reshape(k, k)), (cross, s[2 + k * k :].reshape(-1, k))):
-            out[d] = out.get(d, 0) + x
+    for d, s in _together(rows.mapInPandas(lambda it: _sums(it, w, v, penalty), PIECES)).items():
+        squares[d], cells[d], gram[d], cross[d] = _split(s, k)
     return cross, gram, squares, cells
 
 
@@ -241,34 +280,73 @@ def remember(now: np.ndarray, old: np.ndarray, fresh: np.ndarray, size: float, s
     return now, old
 
 
+@dataclass
+class _Run:
+    """What steps of an online factorization change: the loadings, each dataset's running sums and what of them is of the epoch before; and how they go."""
+
+    f: Factors
+    now: dict[str, np.ndarray]
+    old: dict[str, np.ndarray]
+    done: dict[str, int]
+    sweeps: int
+    size: int
+    first: int
+
+    def step(self, step: int, cross: dict, gram: dict, cells: dict) -> None:
+        f, k = self.f, self.f.w.shape[1]
+        rolled = (step + 1) * self.size // self.first > (step * self.size // self.first if step else 0)
+        for d in cross:
+            self.now[d], self.old[d] = remember(self.now[d], self.old[d], np.concatenate([gram[d], cross[d]]), cells[d], self.done[d] + step, rolled)
+            f.gram[d], f.cross[d], f.steps[d] = self.now[d][:k], self.now[d][k:], self.done[d] + step + 1
+        for _ in range(self.sweeps):
+            update(f, f.cross, f.gram, "hals", set(self.now))
+
+
+def _steps(batches: Iterator[pd.DataFrame], run: _Run, step: int, places: list[int]) -> Iterator[pd.DataFrame]:
+    """(run): after a step with each of these batches, in order, of a task's cells, about STRETCH."""
+    held = list(batches)
+    rows = pd.concat(held) if held else pd.DataFrame({"batch": []})
+    for i, place in enumerate(places):
+        part = rows[rows["batch"] == place]
+        sums = {d: _split(s, run.f.w.shape[1]) for d, s in (_own(part, run.f.w, run.f.v, run.f.penalty) if len(part) else {}).items()}
+        run.step(step + i, {d: s[3] for d, s in sums.items()}, {d: s[2] for d, s in sums.items()}, {d: s[1] for d, s in sums.items()})
+    yield pd.DataFrame({"run": [pickle.dumps(run)]})
+
+
 def online(rows: DataFrame, genes: list[str], k: int, penalty: float = 5.0, batch: int = 5000, epochs: int = 5, sweeps: int = 1, seed: int = 1, start: Factors | None = None) -> Factors:
     """Factors by mini-batches of about `batch` cells, each dataset's share by its size, for about `epochs` passes.
 
     Cells are dealt to batches by hash and written once, by batch; a step reads its batch only, adds its sums to the
-    running ones (`remember`) and moves W and V by coordinates, `sweeps` times. With start, its datasets take part in W
-    with their sums beside those of rows: datasets without rows keep V and sums, others go on from theirs (refinement).
-    start is not changed.
+    running ones (`remember`) and moves W and V by coordinates, `sweeps` times. Steps follow each other: a large batch is
+    dealt to many tasks, of small ones a task takes STRETCH cells through their steps before it hands the model on. With
+    start, its datasets take part in W with their sums beside those of rows: datasets without rows keep V and sums,
+    others go on from theirs (refinement). start is not changed.
     """
     counts = {r["dataset"]: r["count"] for r in rows.groupBy("dataset").count().collect()}
     mine, first = set(counts), min(counts)
     f = begin(rows, genes, k, penalty, seed, start)
-    done = {d: f.steps.get(d, 0) for d in mine}
     size = max(1, round(counts[first] / sum(counts.values()) * batch))
     steps, batches = max(1, counts[first] * epochs // size), max(1, round(counts[first] / size))
+    each = max(1, STRETCH // batch)  # batches of a stretch
     path = session.new_path(rows.sparkSession, "batches")
-    rows.withColumn("batch", F.pmod(F.xxhash64("dataset", "cell", F.lit(seed)), F.lit(batches))).write.partitionBy("batch").parquet(path)
-    dealt = rows.sparkSession.read.parquet(path)
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64("dataset", "cell", F.lit(seed)), F.lit(batches)).cast("int")).withColumn("stretch", F.floor(F.col("batch") / each).cast("int"))
+    (dealt if each == 1 else dealt.repartition("stretch")).write.partitionBy("stretch").parquet(path)
+    dealt = rows.sparkSession.read.schema(f"{ROWS}, batch int, stretch int").parquet(path)
     none = lambda: np.zeros((k + len(genes), k))
-    now, old = {d: np.concatenate([f.gram[d], f.cross[d]]) if d in f.gram else none() for d in mine}, {d: none() for d in mine}
-    epoch = 0
-    for step in range(steps):
-        before, epoch = epoch, (step + 1) * size // counts[first]
-        cross, gram, _, cells = _pass(dealt.where(F.col("batch") == step % batches).drop("batch"), f)
-        for d in cross:
-            now[d], old[d] = remember(now[d], old[d], np.concatenate([gram[d], cross[d]]), cells[d], done[d] + step, epoch > before)
-            f.gram[d], f.cross[d], f.steps[d] = now[d][:k], now[d][k:], done[d] + step + 1
-        for _ in range(sweeps):
-            update(f, f.cross, f.gram, "hals", mine)
+    now = {d: np.concatenate([f.gram[d], f.cross[d]]) if d in f.gram else none() for d in mine}
+    run = _Run(f, now, {d: none() for d in mine}, {d: f.steps.get(d, 0) for d in mine}, sweeps, size, counts[first])
+    step = 0
+    while step < steps:
+        place = step % batches
+        own = dealt.where(F.col("stretch") == place // each).drop("stretch")
+        places = list(range(place, min(place + each, batches, place + steps - step)))
+        if each == 1:
+            cross, gram, _, cells = _pass(own, run.f)
+            run.step(step, cross, gram, cells)
+        else:
+            run = pickle.loads(own.coalesce(1).mapInPandas(lambda it, run=run, step=step, places=places: _steps(it, run, step, places), "run binary").first()[0])
+        step += len(places)
+    f = run.f
     cross, gram, squares, _ = _pass(rows, f)
     f.objective.append(objective(f, cross, gram, squares))
     return f
@@ -335,7 +413,7 @@ def specificity_of(loaded: DataFrame, one: str, two: str) -> DataFrame:
 
 
 def _left(batches: Iterator[pd.DataFrame], w: np.ndarray, v: dict[str, np.ndarray], new: np.ndarray, penalty: float) -> Iterator[pd.DataFrame]:
-    """(dataset, sums): of what a task's cells have beyond their factors, H'H and R'H for the best H at the new loadings."""
+    """(dataset, piece, sums): of what a task's cells have beyond their factors, H'H and R'H for the best H at the new loadings."""
     total: dict[str, np.ndarray] = {}
     none = np.zeros_like(new)
     for pdf in batches:
@@ -345,7 +423,7 @@ def _left(batches: Iterator[pd.DataFrame], w: np.ndarray, v: dict[str, np.ndarra
                 r = np.maximum(x - _cells(x, w, v[d], penalty) @ (w + v[d]).T, 0)
                 h = _cells(r, new, none, penalty)
                 total[d] = total.get(d, 0) + np.concatenate([(h.T @ h).ravel(), (r.T @ h).ravel()])
-    yield pd.DataFrame({"dataset": list(total), "sums": [s.tobytes() for s in total.values()]})
+    yield _pieces(total)
 
 
 def resized(rows: DataFrame, f: Factors, k: int, seed: int = 1) -> Factors:
@@ -366,12 +444,9 @@ def resized(rows: DataFrame, f: Factors, k: int, seed: int = 1) -> Factors:
         w, v, penalty, more = f.w, f.v, f.penalty, k - old
         new = np.random.default_rng(seed).uniform(0, 1, (len(f.genes), more))
         new /= np.sqrt((new * new).sum(0))
-        parts = rows.mapInPandas(lambda it: _left(it, w, v, new, penalty), "dataset string, sums binary").withColumn("way", F.spark_partition_id() % WAYS)
         gram, cross = {}, {}
-        for d, s in parts.groupBy("dataset", "way").applyInPandas(_added, "dataset string, sums binary").collect():
-            s = np.frombuffer(s)
-            gram[d] = gram.get(d, 0) + s[: more * more].reshape(more, more)
-            cross[d] = cross.get(d, 0) + s[more * more :].reshape(-1, more)
+        for d, s in _together(rows.mapInPandas(lambda it: _left(it, w, v, new, penalty), PIECES)).items():
+            gram[d], cross[d] = s[: more * more].reshape(more, more), s[more * more :].reshape(-1, more)
         own = Factors(f.genes, new, {d: np.zeros_like(new) for d in gram}, penalty)
         update(own, cross, gram)
         none = np.zeros_like(new)

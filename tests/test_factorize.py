@@ -172,3 +172,32 @@ def test_other_numbers_of_factors(data):
     assert less.w.shape == (12, 1) and any(np.array_equal(less.w[:, 0], begun.w[:, j]) for j in range(3))
     curve = N.k_curve(rows, genes, [3, 2], max_iters=3)
     assert [c[0] for c in curve] == [2, 3] and curve[1][1] < curve[0][1] and all(c[2] >= 0 for c in curve)
+
+
+def test_small_batches_share_a_task_and_every_number_is_sent_once(data):
+    rows, genes = data
+    calls, own = [], N._pass
+    N._pass = lambda *how: calls.append(1) or own(*how)
+    try:
+        f = N.online(rows, genes, 3, batch=20, epochs=3)
+    finally:
+        N._pass = own
+    alone, N.STRETCH = N.STRETCH, 1  # each step a pass of its own
+    try:
+        g = N.online(rows, genes, 3, batch=20, epochs=3)
+    finally:
+        N.STRETCH = alone
+    assert len(calls) == 1 and f.steps == g.steps and np.allclose(f.w, g.w) and all(np.allclose(f.cross[d], g.cross[d]) for d in "ab")
+    sent = N._together(rows.repartition(7).mapInPandas(lambda it: N._sums(it, f.w, f.v, 5.0), N.PIECES))
+    assert all(len(s) == 2 + 9 + 3 * len(genes) for s in sent.values())
+
+
+def test_equations_of_all_columns_at_once():
+    r = np.random.default_rng(3)
+    a, b = r.uniform(size=(40, 6)), r.normal(size=(40, 300))
+    gram, right = a.T @ a, a.T @ b
+    x = N.solve(gram, right)
+    y = gram @ x - right
+    assert (x >= 0).all() and (y > -1e-9).all() and np.abs(x * y).max() < 1e-9
+    passive = r.random((6, 300)) < 0.5
+    assert np.allclose(N._on(gram, right, passive, True), N._on(gram, right, passive, False))
