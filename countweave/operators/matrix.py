@@ -148,11 +148,43 @@ def by_group(values: DataFrame, group: str | Column) -> DataFrame:
     return values.withColumn("scaled", F.when(sd > 0, F.col("value") / sd).otherwise(F.lit(0.0)))
 
 
+#: Slices of a group's range of values whose rows are counted to find its quantiles.
+SLICES = 65_536
+
+
+def quantiles(values: DataFrame, levels: list[float], group: str = "dataset", value: str = "value") -> DataFrame:
+    """(group, q): exact quantiles of each group's values that are not null, by linear interpolation.
+
+    Equal values are counted, then the slices of each group's range; only slices that hold a quantile are ordered, each
+    by itself. No task holds a group.
+    """
+    x = F.col(value).cast("double").alias("x")
+    counted = session.cut(values.where(F.col(value).isNotNull()).groupBy(group, x).agg(F.count("*").alias("n")), "counted")
+    ends = counted.groupBy(group).agg(F.min("x").alias("low"), F.max(F.when(~F.isnan("x"), F.col("x"))).alias("high"))
+    share = F.try_divide(F.col("x") - F.col("low"), F.col("high") - F.col("low"))
+    place = F.when(share.isNotNull() & ~F.isnan(share), F.floor(share * SLICES)).otherwise(F.lit(SLICES + 1).cast("bigint"))
+    sliced = counted.join(F.broadcast(ends), group).select(group, "x", "n", place.alias("slice"))  # a row a group
+    own = Window.partitionBy(group)
+    sizes = sliced.groupBy(group, "slice").agg(F.sum("n").alias("size"))  # SLICES of a group
+    upto = F.sum("size").over(own.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.select(group, "slice", "size", (upto - F.col("size")).alias("before"), F.sum("size").over(own).alias("all"))
+    level = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("all") - 1) * F.lit(float(p))).alias("at"), F.lit(side).alias("side")) for i, p in enumerate(levels) for side in (0, 1)]))
+    rank = F.when(F.col("l.side") == 0, F.floor("l.at")).otherwise(F.ceil("l.at"))
+    wanted = sizes.select("*", level.alias("l")).select(group, "slice", "size", "before", "l.i", "l.at", "l.side", rank.alias("rank")).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("size")))
+    wanted = session.cut(wanted, "wanted")  # two rows a level
+    some = sliced.join(F.broadcast(wanted.select(group, "slice", "before").distinct()), [group, "slice"])
+    last = F.col("before") + F.sum("n").over(Window.partitionBy(group, "slice").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    met = some.withColumn("last", last).select(group, "slice", "x", "n", "last").join(F.broadcast(wanted.drop("before", "size")), [group, "slice"]).where((F.col("rank") < F.col("last")) & (F.col("rank") >= F.col("last") - F.col("n")))
+    both = met.groupBy(group, "i", "at").agg(F.max(F.when(F.col("side") == 0, F.col("x"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("hi"))
+    q = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
+    return both.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", q.alias("q")))).alias("p")).select(group, F.col("p.q").alias("q"))  # a level each
+
+
 def clipped(values: DataFrame, low: float, high: float, group: str = "dataset") -> DataFrame:
     """values held between two quantiles (linear interpolation) of the group's non-zero ones."""
-    some = F.when(F.col("value") != 0, F.col("value"))
-    bounds = values.groupBy(group).agg(F.percentile(some, F.array(F.lit(low), F.lit(high))).alias("q"))
-    return values.join(bounds, group).withColumn("value", F.when(F.col("value") == 0, F.col("value")).otherwise(F.least(F.greatest("value", F.col("q")[0]), F.col("q")[1]))).drop("q")
+    bounds = quantiles(values.where("value != 0"), [low, high], group)
+    joined = values.where(F.col(group).isNotNull()).join(F.broadcast(bounds), group, "left")
+    return joined.withColumn("value", F.when(F.col("value") == 0, F.col("value")).otherwise(F.least(F.greatest("value", F.col("q")[0]), F.col("q")[1]))).drop("q")
 
 
 def centers(points: DataFrame, group: str = "cluster") -> DataFrame:

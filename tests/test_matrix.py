@@ -55,3 +55,21 @@ def test_gene_values_hold_zeros(x):
 def test_empty(spark):
     x = spark.createDataFrame([], "dataset string, cell string, gene string, value long")
     assert M.normalized(M.counts(x)).count() == 0 and M.variable_genes(x).count() == 0
+
+
+def test_quantiles_like_percentile_without_holding_a_group(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from countweave.operators import matrix as M
+
+    r = random.Random(5)
+    rows = [("a", r.lognormvariate(0, 3)) for _ in range(400)] + [("b", float(r.randrange(5))) for _ in range(90)] + [("c", 7.0), ("e", -1.5), ("e", 2.0), ("f", None), ("g", 1e300), ("g", -1e300), ("g", 3.0)]
+    df = spark.createDataFrame(rows, "dataset string, value double")
+    levels = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {x.dataset: x.q for x in M.quantiles(df, levels).collect()}
+    want = {x.dataset: x.q for x in df.where("value IS NOT NULL").groupBy("dataset").agg(F.percentile("value", F.array(*map(F.lit, levels))).alias("q")).collect()}
+    assert got == want
+    wide = M.clipped(df, 0.1, 0.9)
+    assert wide.count() == len(rows) and "percentile" not in wide._jdf.queryExecution().optimizedPlan().toString()
