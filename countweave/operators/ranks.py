@@ -47,21 +47,22 @@ def rank_test(values: DataFrame, cells: DataFrame, group: str = "group", within:
     sizes = cells.groupBy("part", "group").agg(F.count("*").alias("n1"))
     total = sizes.groupBy("part").agg(F.sum("n1").alias("n"), F.collect_list(F.struct("group", "n1")).alias("groups"))  # a pair for each group
     x, place = values.where("value > 0").join(cells, "cell"), ["part", "gene"]
-    stored = x.groupBy(*place).agg(F.count("*").alias("stored"))
-    ready = x.join(stored.join(total.select("part", "n"), "part").withColumn("absent", F.col("n") - F.col("stored")), place)
-    ranked = average_ranks(ready, place, absent="absent")
+    alike = x.groupBy(*place, "value", "group").agg(F.count("*").alias("m"))
+    rising = Window.partitionBy(*place).orderBy("value")  # one order gives the ties and all that is smaller, so rows are dealt once
+    ties, upto = F.sum("m").over(rising.rangeBetween(Window.currentRow, Window.currentRow)), F.sum("m").over(rising.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = alike.withColumn("ties", ties).withColumn("rank", upto - F.col("ties") + (F.col("ties") + 1) / 2)
     cube = lambda c: c * c * c - c
-    ties = ranked.groupBy(*place).agg(F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tied"), F.first("absent").alias("absent"), F.first("n").alias("n"))
+    m, tied = F.col("m"), F.col("ties").cast("double") * F.col("ties") - 1
+    sums = ranked.groupBy(*place, "group").agg(F.sum(F.col("rank") * m).alias("r"), F.sum("m").alias("k"), F.sum(F.ln(F.col("value") + FLOOR) * m).alias("logs"), F.sum(tied * m).alias("tied"))
+    sums = session.cut(sums, "sums")  # a row for each feature and group
+    whole = sums.groupBy(*place).agg(F.sum("logs").alias("all_logs"), F.sum("k").alias("all_k"), F.sum("tied").alias("tied"))
     n, z0 = F.col("n").cast("double"), F.col("absent").cast("double")
-    ties = ties.select(*place, "n", "absent", (1 - (F.col("tied") + cube(z0)) / cube(n)).alias("t"))
-    logs = F.ln(F.col("value") + FLOOR)
-    sums = ranked.groupBy(*place, "group").agg(F.sum("rank").alias("r"), F.count("*").alias("k"), F.sum(logs).alias("logs"))
-    whole = sums.groupBy(*place).agg(F.sum("logs").alias("all_logs"), F.sum("k").alias("all_k"))
-    every = ties.join(total.select("part", "groups"), "part").withColumn("g", F.explode("groups")).select(*place, "n", "absent", "t", "g.group", "g.n1")
-    all_ = every.join(sums, [*place, "group"], "left").join(whole, place).na.fill(0, ["r", "k", "logs"])
+    ties = whole.join(total.select("part", "n"), "part").withColumn("absent", F.col("n") - F.col("all_k")).select(*place, "n", "absent", "all_logs", "all_k", (1 - (F.col("tied") + cube(z0)) / cube(n)).alias("t"))
+    every = ties.join(total.select("part", "groups"), "part").withColumn("g", F.explode("groups")).select(*place, "n", "absent", "all_logs", "all_k", "t", "g.group", "g.n1")
+    all_ = every.join(sums.drop("tied"), [*place, "group"], "left").na.fill(0, ["r", "k", "logs"])
     low, n1 = F.lit(math.log(FLOOR)), F.col("n1").cast("double")
     n2 = n - n1
-    r1 = F.col("r") + (n1 - F.col("k")) * (z0 + 1) / 2
+    r1 = F.col("r") + F.col("k") * z0 + (n1 - F.col("k")) * (z0 + 1) / 2
     u1 = n1 * n2 + n1 * (n1 + 1) / 2 - r1
     inside = F.col("logs") + (n1 - F.col("k")) * low
     outside = F.col("all_logs") - F.col("logs") + (n2 - (F.col("all_k") - F.col("k"))) * low

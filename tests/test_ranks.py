@@ -68,3 +68,13 @@ def test_ranked_enrichment_by_walking(spark):
         assert got[name]["size"] == size and abs(got[name].es - es) < 1e-9
     assert got["top"].es > 0.9 and got["low"].es < -0.9 and got["top"].pval < 0.1 > got["low"].pval and got["top"].nes > 1
     assert {x["set"]: (x.pval, x.nes) for x in ranks.ranked_enrichment(*frame, permutations=40).collect()} == {k: (x.pval, x.nes) for k, x in got.items()}
+
+
+def test_ranks_are_not_joined_back_to_values(spark, monkeypatch):
+    from countweave.operators import ranks as R
+
+    monkeypatch.setattr(R, "average_ranks", None)  # a table of all values more
+    values = spark.createDataFrame([("a", "g", 1.0), ("b", "g", 1.0), ("c", "g", 2.0)], "cell string, gene string, value double")
+    cells = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("d", 0)], "cell string, group int")
+    got = {r.group: r.statistic for r in R.rank_test(values, cells).collect()}
+    assert got == {0: 0.5, 1: 0.5}  # ranks 1, 2.5, 2.5, 4
