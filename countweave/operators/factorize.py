@@ -84,7 +84,7 @@ def rows_of(scaled: DataFrame, genes: list[str]) -> DataFrame:
     """A row (dataset, cell, genes, values) for each cell of long values, with genes by place."""
     spark = scaled.sparkSession
     places = spark.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, place int")
-    long = scaled.join(places, "gene").groupBy("dataset", "cell").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("p"))  # of one cell
+    long = scaled.join(F.broadcast(places), "gene").groupBy("dataset", "cell").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("p"))  # of one cell
     return session.cut(long.select("dataset", "cell", F.col("p.place").alias("genes"), F.col("p.value").alias("values")))
 
 
@@ -383,7 +383,7 @@ def new_rows(counts: DataFrame, genes: list[str], rms: DataFrame | None = None)
     """
     norm = normalized(counts)
     places = counts.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, place int")
-    own = norm.join(places, "gene")
+    own = norm.join(F.broadcast(places), "gene")
     if rms is None:
         sizes = norm.groupBy("dataset").agg(F.count_distinct("cell").alias("n"))
         rms = own.groupBy("dataset", "gene").agg(F.sum(F.col("value") * F.col("value")).alias("sq")).join(sizes, "dataset").select("dataset", "gene", F.sqrt(F.col("sq") / F.greatest(F.col("n") - 1, F.lit(1))).alias("rms"))

@@ -95,9 +95,9 @@ def _variable(x: DataFrame, alpha: float, threshold: float | dict[str, float], n
     return passed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= num_genes).select(*GENE), moments
 
 
-def variable_genes(x: DataFrame, alpha: float = 0.99, threshold: float | dict[str, float] = 0.1, combine: str = "union", keep_unique: bool = False, num_genes: int | None = None) -> DataFrame:
-    """(gene) that vary more than chance in any dataset (combine="union") or in all ("intersection"); without keep_unique, only those that all datasets hold."""
-    x = session.cut(x, "counts")  # read by several aggregations
+def variable_genes(x: DataFrame, alpha: float = 0.99, threshold: float | dict[str, float] = 0.1, combine: str = "union", keep_unique: bool = False, num_genes: int | None = None, written: bool = False) -> DataFrame:
+    """(gene) that vary more than chance in any dataset (combine="union") or in all ("intersection"); without keep_unique, only those that all datasets hold. written: x is a table already, which several aggregations read as it is."""
+    x = x if written else session.cut(x, "counts")  # read by several aggregations
     chosen, moments = _variable(x, alpha, threshold, num_genes)
     n = moments.select("dataset").distinct().count()
     genes = chosen.groupBy("gene").agg(F.count("*").alias("n")).where(F.lit(combine == "union") | (F.col("n") == n)).select("gene")

@@ -201,3 +201,12 @@ def test_equations_of_all_columns_at_once():
     assert (x >= 0).all() and (y > -1e-9).all() and np.abs(x * y).max() < 1e-9
     passive = r.random((6, 300)) < 0.5
     assert np.allclose(N._on(gram, right, passive, True), N._on(gram, right, passive, False))
+
+
+def test_counts_of_a_query_are_made_once(spark, monkeypatch):
+    from countweave.plans import registry
+
+    made, cut = [], registry.session.cut
+    monkeypatch.setattr(registry.session, "cut", lambda df, what="table": made.append("part.parquet" in str(df.inputFiles())) or cut(df, what))
+    rows, genes = registry._factor_rows(spark, "/root/testdata/sf0.001")
+    assert made.count(True) == 1 and rows.count() > 0 and genes
