@@ -21,7 +21,8 @@ def counts(df: DataFrame, upper: bool = False) -> DataFrame:
     """Whole counts, fractions cut off, without zeros; with upper, genes that differ in case only become one."""
     whole = df.select("dataset", "cell", "gene", F.col("value").cast("bigint").alias("value"))
     if upper:
-        whole = whole.groupBy("dataset", "cell", F.upper("gene").alias("gene")).agg(F.sum("value").alias("value"))
+        whole = session.cut(whole.withColumn("gene", F.upper("gene")), "counts")
+        whole = session.dealt(whole, whole.count(), "dataset", "cell", "gene").groupBy("dataset", "cell", "gene").agg(F.sum("value").alias("value"))
     return whole.where("value != 0")
 
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 
 def lineitem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Datasets are return flags, cells suppliers, genes a part's brand and size, values whole quantities."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_suppkey", "l_partkey", "l_quantity")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws(":", "p_brand", "p_size").alias("gene"))
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("l_returnflag").alias("dataset"), F.col("l_suppkey").cast("string").alias("cell"), "gene").agg(F.sum("l_quantity").cast("bigint").alias("value"))
+    named = joined.select(F.col("l_returnflag").alias("dataset"), F.col("l_suppkey").cast("string").alias("cell"), "gene", "l_quantity")
+    key = ["dataset", "cell", "gene"]
+    return session.dealt(named, lines.count(), *key).groupBy(*key).agg(F.sum("l_quantity").cast("bigint").alias("value"))
 
 
 def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

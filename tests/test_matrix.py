@@ -73,3 +73,21 @@ def test_quantiles_like_percentile_without_holding_a_group(spark):
     assert got == want
     wide = M.clipped(df, 0.1, 0.9)
     assert wide.count() == len(rows) and "percentile" not in wide._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_are_added_up_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    from countweave import session
+    from countweave.plans import fixtures
+
+    monkeypatch.setattr(session, "ROWS", 100)
+    rows = [("d", f"c{i % 300}", "gG"[i % 2] + str(i % 7), i % 4) for i in range(2100)]
+    df = spark.createDataFrame(rows, "dataset string, cell string, gene string, value long")
+    counted, want = M.counts(df, upper=True), {}
+    for d, cell, gene, value in rows:
+        want[d, cell, gene.upper()] = want.get((d, cell, gene.upper()), 0) + value
+    assert {tuple(r)[:3]: r.value for r in counted.collect()} == {key: v for key, v in want.items() if v}
+    assert counted.rdd.getNumPartitions() >= 21
+    spark.createDataFrame([("R", i % 50, i % 10, 1.0) for i in range(2100)], "l_returnflag string, l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "B", i) for i in range(10)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = fixtures.lineitem_counts(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() >= 21 and {(r.cell, r.gene): r.value for r in lines.collect()} == {(str(i % 50), f"B:{i % 10}"): 42 for i in range(50)}
