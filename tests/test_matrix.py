@@ -91,3 +91,4 @@ def test_counts_are_added_up_in_tasks_of_bounded_rows(spark, tmp_path, monkeypat
     spark.createDataFrame([(i, "B", i) for i in range(10)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     lines = fixtures.lineitem_counts(spark, str(tmp_path))
     assert lines.rdd.getNumPartitions() >= 21 and {(r.cell, r.gene): r.value for r in lines.collect()} == {(str(i % 50), f"B:{i % 10}"): 42 for i in range(50)}
+    assert lines._jdf.queryExecution().analyzed().toString().count("RepartitionByExpression") == 2  # the join's tasks as well
